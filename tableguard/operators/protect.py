@@ -114,21 +114,32 @@ def _masked_type(dtype: T.DataType, name: str, declared: Mapping[str, str]) -> T
 class _Plan:
     """Leaves of a schema and the expression that rebuilds each column from them."""
 
-    def __init__(self, df: DataFrame, declared: Mapping[str, str], key: Key, scan_public: bool) -> None:
+    def __init__(
+        self,
+        df: DataFrame,
+        declared: Mapping[str, str],
+        key: Key,
+        scan_public: bool,
+        settled: Mapping[str, tuple[str, str]] | None = None,
+    ) -> None:
         self.declared, self.key, self.scan_public = dict(declared), key, scan_public
+        self.settled = dict(settled or {})
         self.cells: list[_Cell] = []
         self.outputs = [
             (f.name, self._node(f.name, F.col(f"`{f.name}`"), f.dataType)) for f in df.schema.fields
         ]
 
-    def _node(self, name: str, col: Column, dtype: T.DataType):
-        cls = N.declared_class(name, self.declared)
+    def _node(self, name: str, col: Column, dtype: T.DataType, inner: bool = False):
+        cls, name = (not inner and self.settled.get(name)) or (
+            N.declared_class(name, self.declared),
+            name,
+        )
         nested = isinstance(dtype, (T.StructType, T.ArrayType, T.MapType))
         if nested and cls not in X.HIGH_RISK:
             if not _has_protected_leaf(dtype, name, self.declared):
                 return lambda: col
             if isinstance(dtype, T.StructType):
-                parts = [(f.name, self._node(f.name, col[f.name], f.dataType)) for f in dtype.fields]
+                parts = [(f.name, self._node(f.name, col[f.name], f.dataType, True)) for f in dtype.fields]
                 return lambda: F.when(
                     col.isNotNull(), F.struct(*[build().alias(n) for n, build in parts])
                 )
@@ -228,20 +239,22 @@ def protect(
     key: Key,
     *,
     scan_public: bool = True,
+    settled: Mapping[str, tuple[str, str]] | None = None,
 ) -> DataFrame:
     """The table with every sensitive value faked, aliased, generalised, scanned or redacted.
 
     ``policy`` maps column names to declared classes and adds to the labels found in column
     metadata and to the name rules. Protected columns become strings; column metadata carries
     their marker. ``scan_public=False`` leaves embedded personal data in public strings alone and
-    keeps the whole job in the JVM, for tables whose profile shows there is none.
+    keeps the whole job in the JVM, for tables whose profile shows there is none. ``settled`` maps
+    a column to a (class, source name) that was decided elsewhere and is not questioned here.
     """
     declared = {**field_labels(df.schema), **(policy or {})}
-    plan = _Plan(df, declared, key, scan_public)
+    plan = _Plan(df, declared, key, scan_public, settled)
     staged = plan.stage(df)
     out = []
     for name, build in plan.outputs:
-        mark = N.marker(N.declared_class(name, declared))
+        mark = N.marker(plan.settled[name][0] if name in plan.settled else N.declared_class(name, declared))
         meta = {"marker": mark} if mark else {}
         out.append(build().alias(name, metadata=meta))
     return staged.select(*out)
