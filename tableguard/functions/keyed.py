@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tableguard.functions import fixed as X
@@ -17,10 +18,17 @@ from tableguard.functions.values import as_col, check_digit, folded, java, strip
 
 
 class Key(NamedTuple):
-    """The two padded key blocks of HMAC-SHA256, as binary columns."""
+    """Key of HMAC-SHA256: both padded 64-byte blocks in one binary column."""
 
-    inner: Column
-    outer: Column
+    blocks: Column
+
+    @property
+    def inner(self) -> Column:
+        return F.substring(self.blocks, 1, 64)
+
+    @property
+    def outer(self) -> Column:
+        return F.substring(self.blocks, 65, 64)
 
 
 def key_blocks(secret: bytes, scope: str = "") -> tuple[bytes, bytes]:
@@ -34,22 +42,22 @@ def key_blocks(secret: bytes, scope: str = "") -> tuple[bytes, bytes]:
 
 
 def literal_key(secret: bytes, scope: str = "") -> Key:
-    """Key as plan literals. They show in explain output and logs: for tests only."""
-    inner, outer = key_blocks(secret, scope)
-    return Key(F.lit(inner), F.lit(outer))
+    """Key as a plan literal. It shows in explain output and logs: for tests only."""
+    return Key(F.lit(b"".join(key_blocks(secret, scope))))
 
 
 def key_table(spark: SparkSession, secret: bytes, scope: str = "") -> DataFrame:
     """One-row table holding the key blocks of a scope."""
-    inner, outer = key_blocks(secret, scope)
-    return spark.createDataFrame(
-        [(bytearray(inner), bytearray(outer))], "inner binary, outer binary"
-    )
+    return spark.createDataFrame(pa.table({"blocks": [b"".join(key_blocks(secret, scope))]}))
 
 
 def table_key(table: DataFrame) -> Key:
-    """Key read from a one-row table when the query runs, so no key byte enters the plan."""
-    return Key(table.select("inner").scalar(), table.select("outer").scalar())
+    """Key read from a one-row table when the query runs, so no key byte enters the plan.
+
+    Both blocks travel in one subquery: Spark takes two subqueries over one local table for the
+    same argument of a Python function.
+    """
+    return Key(table.select("blocks").scalar())
 
 
 def hmac_hex(message: Column, key: Key) -> Column:
@@ -156,30 +164,40 @@ def overlay_digits(v: Column, fresh: Column) -> Column:
     return F.when(v.rlike("^[0-9]+$"), fresh).otherwise(F.array_join(woven, ""))
 
 
-def fake_digits(value: Column, digest: Column, digits: Column | None = None) -> Column:
+def fresh_digits(digest: Column, digits: Column, count: Column) -> Column:
+    """``count`` new digits, the first one 0; ``digits`` is ``digest_digits(digest)``."""
+    return F.concat(F.lit("0"), F.when(count > 1, _tail(digest, digits, count - 1)).otherwise(""))
+
+
+def fresh_thai_id(digits: Column) -> Column:
+    """13 new digits with a valid check digit, the first one 0."""
+    twelve = F.concat(F.lit("0"), F.right(digits, F.lit(11)))
+    return F.concat(twelve, check_digit(twelve).cast("string"))
+
+
+def write_digits(value: Column, fresh: Column, count: Column) -> Column:
+    """Fake of a value from its new digits; a value without digits is redacted."""
+    # Over 73 digits is no phone, card or account number.
+    unfit = (count == 0) | (count > LONG_DIGITS + 1)
+    return F.when(value.isNull(), F.lit(None).cast("string")).when(unfit, X.REDACTED).otherwise(
+        overlay_digits(value, fresh)
+    )
+
+
+def fake_digits(value: Column, digest: Column) -> Column:
     """Same punctuation, first digit 0, other digits from the digest; no digit means redact.
 
-    ``digits`` is ``digest_digits(digest)`` when a caller has it as a column already.
+    One expression for occasional use; ``operators.protect`` stages its parts as columns.
     """
     n = digit_count(value)
-    tail = _tail(digest, digest_digits(digest) if digits is None else digits, n - 1)
-    fresh = F.concat(F.lit("0"), F.when(n > 1, tail).otherwise(""))
-    return (
-        F.when(value.isNull(), F.lit(None).cast("string"))
-        # Over 73 digits is no phone, card or account number.
-        .when((n == 0) | (n > LONG_DIGITS + 1), X.REDACTED)
-        .otherwise(overlay_digits(value, fresh))
-    )
+    return write_digits(value, fresh_digits(digest, digest_digits(digest), n), n)
 
 
-def fake_thai_id(value: Column, digest: Column, digits: Column | None = None) -> Column:
+def fake_thai_id(value: Column, digest: Column) -> Column:
     """13 digits with a valid check digit, starting with 0; other lengths become digit fakes."""
-    digits = digest_digits(digest) if digits is None else digits
-    twelve = F.concat(F.lit("0"), F.right(digits, F.lit(11)))
-    fresh = F.concat(twelve, check_digit(twelve).cast("string"))
-    return F.when(digit_count(value) == 13, overlay_digits(value, fresh)).otherwise(
-        fake_digits(value, digest, digits)
-    )
+    n, digits = digit_count(value), digest_digits(digest)
+    fresh = F.when(n == 13, fresh_thai_id(digits)).otherwise(fresh_digits(digest, digits, n))
+    return write_digits(value, fresh, n)
 
 
 def alias(digest: Column, suffix: str = "") -> Column:

@@ -149,7 +149,7 @@ def visible_code(sql: str) -> str:
     return "".join(out) + sql[at:]
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _visible(values: pa.Array) -> pa.Array:
     return pa.array([None if v is None else visible_code(v) for v in values.to_pylist()], pa.string())
 

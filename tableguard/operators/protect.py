@@ -154,29 +154,52 @@ class _Plan:
     def _looked_at(self, cell: _Cell) -> bool:
         return cell.held and cell.is_text
 
+    def _digit_like(self, c: _Cell) -> bool:
+        return c.cls in DIGIT_CLASSES + (X.NATIONAL_ID,) or (self._looked_at(c) and c.cls == X.PUBLIC)
+
     def stage(self, df: DataFrame) -> DataFrame:
-        """Add class, digest, digit and text columns step by step, so each is computed once."""
+        """Add the parts of every fake as columns, step by step.
+
+        Each part is referenced several times by the next one, so it is computed once and the
+        generated code stays small.
+        """
         public = [c for c in self.cells if self._looked_at(c) and c.cls == X.PUBLIC]
-        if public:
-            df = df.select("*", *[V.classify_value(c.col).alias(c.temp("c")) for c in public])
+        keyed = [
+            c
+            for c in self.cells
+            if not c.held and X.TREATMENT.get(c.cls) in ("fake", "alias") and c.dtype != T.BinaryType()
+        ]
+        first = [V.classify_value(c.col).alias(c.temp("c")) for c in public]
+        first += [V.as_text(c.col, c.dtype).alias(c.temp("x")) for c in keyed]
+        if first:
+            df = df.select("*", *first)
         digests = []
-        for c in self.cells:
-            if c in public:
-                cls = F.col(c.temp("c"))
-                keyed = cls.isin(X.EMAIL, X.NATIONAL_ID, X.PHONE, X.CREDIT_CARD)
-                digests.append(F.when(keyed, K.keyed_digest(cls, c.col, self.key)).alias(c.temp("h")))
-            elif not c.held and X.TREATMENT.get(c.cls) in ("fake", "alias") and c.cls != X.PERSONAL_NAME:
-                text = V.as_text(c.col, c.dtype)
-                digests.append(K.keyed_digest(c.cls, text, self.key).alias(c.temp("h")))
+        for c in public:
+            cls = F.col(c.temp("c"))
+            used = cls.isin(X.EMAIL, X.NATIONAL_ID, X.PHONE, X.CREDIT_CARD)
+            digests.append(F.when(used, K.keyed_digest(cls, c.col, self.key)).alias(c.temp("h")))
+        for c in keyed:
+            if c.cls != X.PERSONAL_NAME:
+                digests.append(K.keyed_digest(c.cls, F.col(c.temp("x")), self.key).alias(c.temp("h")))
         if digests:
             df = df.select("*", *digests)
-        digits = [
-            K.digest_digits(F.col(c.temp("h"))).alias(c.temp("d"))
-            for c in self.cells
-            if c in public or c.cls in DIGIT_CLASSES + (X.NATIONAL_ID,)
-        ]
-        if digits:
-            df = df.select("*", *digits)
+        numbers = [c for c in public + keyed if self._digit_like(c)]
+        if numbers:
+            parts = []
+            for c in numbers:
+                h = F.col(c.temp("h"))
+                parts.append(K.digest_digits(h).alias(c.temp("d")))
+                parts.append(F.when(h.isNotNull(), K.digit_count(self._text(c))).alias(c.temp("n")))
+            df = df.select("*", *parts)
+            fresh = []
+            for c in numbers:
+                h, d, n = (F.col(c.temp(k)) for k in "hdn")
+                one = K.fresh_digits(h, d, n)
+                national = (F.col(c.temp("c")) if c.cls == X.PUBLIC else F.lit(c.cls)) == X.NATIONAL_ID
+                if c.cls in (X.PUBLIC, X.NATIONAL_ID):
+                    one = F.when(national & (n == 13), K.fresh_thai_id(d)).otherwise(one)
+                fresh.append(one.alias(c.temp("f")))
+            df = df.select("*", *fresh)
         loose = []
         for c in self.cells:
             if self._looked_at(c) and (self.scan_public or c.cls == X.FREE_TEXT):
@@ -187,6 +210,12 @@ class _Plan:
                 loose += [j.alias(c.temp("j")), t.alias(c.temp("t"))]
         return df.select("*", *loose) if loose else df
 
+    def _text(self, c: _Cell) -> Column:
+        return c.col if self._looked_at(c) else F.col(c.temp("x"))
+
+    def _number(self, c: _Cell) -> Column:
+        return K.write_digits(self._text(c), F.col(c.temp("f")), F.col(c.temp("n")))
+
     def value(self, c: _Cell) -> Column:
         if self._looked_at(c):
             return self._text_value(c)
@@ -196,14 +225,11 @@ class _Plan:
             return c.col
         if c.cls in X.HIGH_RISK or isinstance(c.dtype, T.BinaryType):
             return V.redact(c.col)
-        text = V.as_text(c.col, c.dtype)
-        h, d = F.col(c.temp("h")), F.col(c.temp("d"))
+        h = F.col(c.temp("h"))
         if c.cls == X.PERSONAL_NAME:
-            return K.fake_name(c.name, text, self.key)
-        if c.cls == X.NATIONAL_ID:
-            return K.fake_thai_id(text, h, d)
-        if c.cls in DIGIT_CLASSES:
-            return K.fake_digits(text, h, d)
+            return K.fake_name(c.name, F.col(c.temp("x")), self.key)
+        if self._digit_like(c):
+            return self._number(c)
         if c.cls == X.EMAIL:
             return K.alias(h, X.EMAIL_SUFFIX)
         if c.cls == X.USERNAME:
@@ -220,16 +246,15 @@ class _Plan:
         t = F.col(c.temp("t")) if scanned else F.lit(None).cast("string")
         if c.cls == X.FREE_TEXT:
             return F.coalesce(j, t, c.col)
-        cls, h, d = F.col(c.temp("c")), F.col(c.temp("h")), F.col(c.temp("d"))
+        cls, h = F.col(c.temp("c")), F.col(c.temp("h"))
         name = V.stripped(t) if scanned else F.lit(X.REDACTED)
         return (
             F.when(j.isNotNull(), j)
             .when(cls == X.PUBLIC, F.coalesce(t, c.col))
             .when(cls == "jwt", X.REDACTED)
             .when(cls == X.EMAIL, K.alias(h, X.EMAIL_SUFFIX))
-            .when(cls == X.NATIONAL_ID, K.fake_thai_id(c.col, h, d))
             .when(cls == X.PERSONAL_NAME, name)
-            .otherwise(K.fake_digits(c.col, h, d))
+            .otherwise(self._number(c))
         )
 
 
@@ -315,9 +340,10 @@ def explain_masking(
     branches = None
     text = raw.cast("string")
     h = K.keyed_digest(F.col("__tg_cls"), text, key)
+    number = K.write_digits(text, F.col("__tg_f"), F.col("__tg_n"))
     part = {
         X.PERSONAL_NAME: K.fake_name(column, text, key),
-        X.NATIONAL_ID: K.fake_thai_id(text, F.col("__tg_h"), F.col("__tg_d")),
+        X.NATIONAL_ID: number,
         X.EMAIL: K.alias(F.col("__tg_h"), X.EMAIL_SUFFIX),
         X.USERNAME: K.alias(F.col("__tg_h")),
         X.DATE_OF_BIRTH: V.birth_year(raw, df.schema[column].dataType),
@@ -327,10 +353,16 @@ def explain_masking(
         X.PUBLIC: F.col("__tg_scan"),
     }
     for c in DIGIT_CLASSES:
-        part[c] = K.fake_digits(text, F.col("__tg_h"), F.col("__tg_d"))
+        part[c] = number
     j, t = S.protect_loose(text, column, key, declared)
     kept = kept.select("*", h.alias("__tg_h"), F.coalesce(j, t, text).alias("__tg_scan"))
-    kept = kept.select("*", K.digest_digits(F.col("__tg_h")).alias("__tg_d"))
+    kept = kept.select(
+        "*", K.digest_digits(F.col("__tg_h")).alias("__tg_d"), K.digit_count(text).alias("__tg_n")
+    )
+    hc, dc, nc = F.col("__tg_h"), F.col("__tg_d"), F.col("__tg_n")
+    thai = (F.col("__tg_cls") == X.NATIONAL_ID) & (nc == 13)
+    fresh = F.when(thai, K.fresh_thai_id(dc)).otherwise(K.fresh_digits(hc, dc, nc))
+    kept = kept.select("*", fresh.alias("__tg_f"))
     for c, expr in part.items():
         test = F.col("__tg_cls") == c
         branches = F.when(test, expr) if branches is None else branches.when(test, expr)
