@@ -11,6 +11,7 @@ from tableguard.functions import fixed as X
 from tableguard.functions.values import as_col, java
 from tableguard.operators.fingerprints import joined, set_hash, sha256_text
 from tableguard.operators.objects import classify_corpus
+from tableguard.session import cut_lineage
 from tableguard.sources.rules import Rules
 
 DEFAULT_PREFIX = "-- context: "
@@ -90,7 +91,7 @@ def header_problems(h: Column) -> Column:
         ),
     }
     return F.array_compact(
-        F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for name, bad in rules.items()])
+        F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in rules.items()])
     )
 
 
@@ -295,11 +296,14 @@ def folder_plan(
     )
     rows = rows.withColumn("rendered", rendered).withColumn("output_hash", sha256_text("rendered"))
 
+    rows = rows.withColumn("id_key", F.lower("object_id")).withColumn("dest_key", F.lower("destination"))
+    # Files are scanned and rendered once; the counts below read the stored result.
+    rows = cut_lineage(rows)
+
     def repeated(key: Column, name: str) -> DataFrame:
         counted = rows.where(F.col("problem").isNull()).groupBy(key.alias(name)).agg(F.count(F.lit(1)).alias("n"))
         return counted.where("n > 1").select(name, F.lit(True).alias(f"{name}_twice"))
 
-    rows = rows.withColumn("id_key", F.lower("object_id")).withColumn("dest_key", F.lower("destination"))
     out = rows.join(repeated(F.col("id_key"), "id_key"), "id_key", "left")
     out = out.join(repeated(F.col("dest_key"), "dest_key"), "dest_key", "left")
     problem = (
