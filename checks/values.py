@@ -269,8 +269,11 @@ p AS (SELECT contact, w, regexp_extract(w, '^(Mr|Dr)', 1) AS title, regexp_match
 SELECT contact, title || ' ' || {pool_sql(X.LATIN_GIVEN, 'g')} || CASE WHEN two THEN ' ' || {pool_sql(X.LATIN_FAMILY, 'f')} ELSE '' END AS fake, count(*) AS n FROM p GROUP BY ALL""",
 )
 def fake_titled_names(t: Tables):
-    rows = t.sql(CONTACTS).select("contact", K.fake_titled_name(F.col("contact"), t.key, thai=False).alias("fake"))
-    return rows.where("fake is not null").groupBy("contact", "fake").agg(F.count(F.lit(1)).alias("n"))
+    # Public binary passes unchanged, so it carries the original next to the fake.
+    pairs = t.sql(CONTACTS).select(F.encode("contact", "UTF-8").alias("raw"), F.col("contact").alias("full_name"))
+    titled = P.protect(pairs.where("c_custkey % 11 in (6, 7)"), None, t.key)
+    rows = titled.select(F.decode("raw", "UTF-8").alias("contact"), F.col("full_name").alias("fake"))
+    return rows.groupBy("contact", "fake").agg(F.count(F.lit(1)).alias("n"))
 
 
 @check(

@@ -71,51 +71,47 @@ def keyed_digest(cls: Column | str, value: Column | str, key: Key) -> Column:
     return hmac_hex(F.concat(c, F.lit("|"), folded(value)), key)
 
 
-def _div(a: Column, b: int) -> Column:
-    """Whole-number division."""
-    return F.call_function("div", a, F.lit(b).cast("long"))
-
-
 _LIMB = 6  # hex digits per limb: 24-bit limbs keep every sum of products inside a long
 _CHUNK = 9  # decimal digits per chunk
+SHORT_DIGITS = 27  # longest run taken by the unrolled form
+LONG_DIGITS = 72  # longest run one digest can always supply
+
 
+def _chunks(digest: str, n: int) -> list[str]:
+    """Lowest ``n`` groups of nine decimal digits of a 256-bit hex column, lowest first, as SQL.
 
-def _chunks(digest: Column, n: int) -> list[Column]:
-    """Lowest ``n`` groups of nine decimal digits of a 256-bit hex number, lowest first."""
-    limbs = []
-    stop = 64
+    Schoolbook conversion with whole numbers: limbs times the digits of their weights, plus the
+    carry of the group below. Text keeps the many small terms to one call into the JVM.
+    """
+    limbs, stop = [], 64
     while stop > 0:
         start = max(0, stop - _LIMB)
-        limbs.append(F.conv(F.substring(digest, start + 1, stop - start), 16, 10).cast("long"))
+        limbs.append(f"cast(conv(substring({digest}, {start + 1}, {stop - start}), 16, 10) as bigint)")
         stop = start
-    out: list[Column] = []
-    carry: Column | None = None
-    base = 10**_CHUNK
+    base, out, carry = 10**_CHUNK, [], None
     for i in range(n):
-        total = carry
-        for j, limb in enumerate(limbs):
-            weight = (1 << (4 * _LIMB * j)) // base**i % base
-            if weight:
-                part = limb * F.lit(weight).cast("long")
-                total = part if total is None else total + part
-        out.append(total % F.lit(base))
-        carry = _div(total, base)
+        weights = [(1 << (4 * _LIMB * j)) // base**i % base for j in range(len(limbs))]
+        terms = [f"{limb} * {w}L" for limb, w in zip(limbs, weights) if w]
+        total = " + ".join(terms if carry is None else [carry, *terms])
+        out.append(f"({total}) % {base}L")
+        carry = f"(({total}) div {base}L)"
     return out
 
 
-SHORT_DIGITS = 27  # longest run taken by the unrolled form
-LONG_DIGITS = 72  # longest run one digest can always supply
-
-
-def digest_digits(digest: Column | str, k: int = SHORT_DIGITS) -> Column:
-    """Last ``k`` decimal digits (k <= 72) of a hex digest read as one big integer."""
+def digest_digits(digest: str, k: int = SHORT_DIGITS) -> Column:
+    """Last ``k`` decimal digits (k <= 72) of a hex digest column read as one big integer."""
     if not 1 <= k <= LONG_DIGITS:
         raise ValueError(f"k must lie between 1 and {LONG_DIGITS}")
     if k > SHORT_DIGITS:
-        return F.right(_all_digits(as_col(digest)), F.lit(k))
+        return F.right(_all_digits(F.col(digest)), F.lit(k))
     n = -(-k // _CHUNK)
-    parts = [F.lpad(c.cast("string"), _CHUNK, "0") for c in reversed(_chunks(as_col(digest), n))]
-    return F.substring(F.concat(*parts), n * _CHUNK - k + 1, k)
+    parts = [f"lpad(cast({c} as string), {_CHUNK}, '0')" for c in reversed(_chunks(f"`{digest}`", n))]
+    return F.expr(f"right(concat({', '.join(parts)}), {k})")
+
+
+def _div(a: Column, b: int) -> Column:
+    """Whole-number division."""
+    return F.call_function("div", a, F.lit(b).cast("long"))
 
 
 def _all_digits(digest: Column) -> Column:
@@ -184,19 +180,19 @@ def write_digits(value: Column, fresh: Column, count: Column) -> Column:
     )
 
 
-def fake_digits(value: Column, digest: Column) -> Column:
-    """Same punctuation, first digit 0, other digits from the digest; no digit means redact.
+def fake_digits(value: Column, digest: str) -> Column:
+    """Same punctuation, first digit 0, other digits from a digest column; no digit means redact.
 
     One expression for occasional use; ``operators.protect`` stages its parts as columns.
     """
     n = digit_count(value)
-    return write_digits(value, fresh_digits(digest, digest_digits(digest), n), n)
+    return write_digits(value, fresh_digits(F.col(digest), digest_digits(digest), n), n)
 
 
-def fake_thai_id(value: Column, digest: Column) -> Column:
+def fake_thai_id(value: Column, digest: str) -> Column:
     """13 digits with a valid check digit, starting with 0; other lengths become digit fakes."""
     n, digits = digit_count(value), digest_digits(digest)
-    fresh = F.when(n == 13, fresh_thai_id(digits)).otherwise(fresh_digits(digest, digits, n))
+    fresh = F.when(n == 13, fresh_thai_id(digits)).otherwise(fresh_digits(F.col(digest), digits, n))
     return write_digits(value, fresh, n)
 
 
@@ -207,7 +203,7 @@ def alias(digest: Column, suffix: str = "") -> Column:
 def pick(pool: list[str], digest: Column) -> Column:
     """Entry of a pool selected by the first 32 bits of a digest."""
     index = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % len(pool)
-    return F.element_at(F.array(*[F.lit(x) for x in pool]), (index + 1).cast("int"))
+    return F.element_at(F.split(F.lit(" ".join(pool)), " "), (index + 1).cast("int"))
 
 
 def name_digest(salt: str, raw: Column, key: Key) -> Column:
@@ -215,32 +211,6 @@ def name_digest(salt: str, raw: Column, key: Key) -> Column:
     return hmac_hex(message, key)
 
 
-def _pools(thai: Column, given: Column, family: Column) -> tuple[Column, Column]:
-    return (
-        F.when(thai, pick(X.THAI_GIVEN, given)).otherwise(pick(X.LATIN_GIVEN, given)),
-        F.when(thai, pick(X.THAI_FAMILY, family)).otherwise(pick(X.LATIN_FAMILY, family)),
-    )
-
-
-def fake_titled_name(value: Column, key: Key, thai: bool) -> Column:
-    """Keep the title of a titled name and replace the names after it; null when not titled."""
-    pattern = java("^(?:" + (X.THAI_NAME_RE if thai else X.LATIN_NAME_RE) + ")")
-    v = stripped(value)
-    whole, title, last = (F.regexp_extract(v, pattern, g) for g in (0, 1, 3))
-    given_pool, family_pool = (
-        (X.THAI_GIVEN, X.THAI_FAMILY) if thai else (X.LATIN_GIVEN, X.LATIN_FAMILY)
-    )
-    given = pick(given_pool, name_digest("given", whole, key))
-    family = pick(family_pool, name_digest("family", whole, key))
-    gap = "" if thai else " "
-    return F.when(
-        whole != "",
-        F.when(last != "", F.concat(title, F.lit(gap), given, F.lit(" "), family)).otherwise(
-            F.concat(title, F.lit(gap), given)
-        ),
-    )
-
-
 def name_parts(column_name: str) -> str:
     """Which part of a fake name a column asks for: given, family or both."""
     words = words_of(column_name)
@@ -250,20 +220,48 @@ def name_parts(column_name: str) -> str:
     return "family" if hints & set(X.FAMILY_HINTS) else "both"
 
 
-def fake_name(column_name: str, value: Column, key: Key) -> Column:
-    """Fake name in the script of the value; given, family or both as the column name asks."""
-    thai = value.rlike("[ก-๏]")
-    given, family = _pools(
-        thai, name_digest("given", value, key), name_digest("family", value, key)
-    )
-    part = name_parts(column_name)
-    plain = {"given": given, "family": family, "both": F.concat(given, F.lit(" "), family)}[part]
+def name_source(value: Column) -> Column:
+    """Struct of what a fake name is made from: script, text that is hashed, title and last name
+    of a titled name."""
     v = stripped(value)
-    thai_titled = v.rlike(java(f"^(?:{X.THAI_NAME_RE})"))
-    latin_titled = v.rlike(java(f"^(?:{X.LATIN_NAME_RE})"))
-    return (
-        F.when(value.isNull(), F.lit(None).cast("string"))
-        .when(thai & thai_titled, fake_titled_name(value, key, True))
-        .when(~thai & latin_titled, fake_titled_name(value, key, False))
-        .otherwise(plain)
+    thai = value.rlike("[ก-๏]")
+    patterns = [java(f"^(?:{p})") for p in (X.THAI_NAME_RE, X.LATIN_NAME_RE)]
+
+    def group(n: int) -> Column:
+        t, l = (F.regexp_extract(v, p, n) for p in patterns)
+        return F.when(thai, t).otherwise(l)
+
+    whole = group(0)
+    return F.struct(
+        thai.alias("thai"),
+        F.when(whole != "", whole).otherwise(value).alias("text"),
+        group(1).alias("title"),
+        group(3).alias("last"),
     )
+
+
+def render_name(part: str, source: Column, given: Column, family: Column) -> Column:
+    """Fake name from its source and the digests of the given and the family name."""
+    thai, title = source["thai"], source["title"]
+    first = F.when(thai, pick(X.THAI_GIVEN, given)).otherwise(pick(X.LATIN_GIVEN, given))
+    second = F.when(thai, pick(X.THAI_FAMILY, family)).otherwise(pick(X.LATIN_FAMILY, family))
+    both = F.concat(first, F.lit(" "), second)
+    head = F.concat(title, F.when(thai, "").otherwise(" "))
+    plain = {"given": first, "family": second, "both": both}[part]
+    return F.when(title != "", F.concat(head, F.when(source["last"] != "", both).otherwise(first))).otherwise(plain)
+
+
+def fake_name(column_name: str, value: Column, key: Key) -> Column:
+    """Fake name in the script of the value; given, family or both as the column name asks.
+
+    One expression for occasional use; ``operators.protect`` stages its parts as columns.
+    """
+    source = name_source(value)
+    digests = [name_digest(salt, source["text"], key) for salt in ("given", "family")]
+    return F.when(value.isNotNull(), render_name(name_parts(column_name), source, *digests))
+
+
+def fake_titled_name(value: Column, key: Key) -> Column:
+    """Titled name with its title kept and the names replaced; null when there is no title."""
+    source = name_source(value)
+    return F.when(source["title"] != "", fake_name("", value, key))

@@ -173,7 +173,14 @@ class _Plan:
         first += [V.as_text(c.col, c.dtype).alias(c.temp("x")) for c in keyed]
         if first:
             df = df.select("*", *first)
+        names = [c for c in keyed if c.cls == X.PERSONAL_NAME]
+        if names:
+            df = df.select("*", *[K.name_source(F.col(c.temp("x"))).alias(c.temp("m")) for c in names])
         digests = []
+        for c in names:
+            for salt in ("given", "family"):
+                made = K.name_digest(salt, F.col(c.temp("m"))["text"], self.key)
+                digests.append(made.alias(c.temp(salt)))
         for c in public:
             cls = F.col(c.temp("c"))
             used = cls.isin(X.EMAIL, X.NATIONAL_ID, X.PHONE, X.CREDIT_CARD)
@@ -188,7 +195,7 @@ class _Plan:
             parts = []
             for c in numbers:
                 h = F.col(c.temp("h"))
-                parts.append(K.digest_digits(h).alias(c.temp("d")))
+                parts.append(K.digest_digits(c.temp("h")).alias(c.temp("d")))
                 parts.append(F.when(h.isNotNull(), K.digit_count(self._text(c))).alias(c.temp("n")))
             df = df.select("*", *parts)
             fresh = []
@@ -227,7 +234,8 @@ class _Plan:
             return V.redact(c.col)
         h = F.col(c.temp("h"))
         if c.cls == X.PERSONAL_NAME:
-            return K.fake_name(c.name, F.col(c.temp("x")), self.key)
+            parts = [F.col(c.temp(k)) for k in ("m", "given", "family")]
+            return F.when(F.col(c.temp("x")).isNotNull(), K.render_name(K.name_parts(c.name), *parts))
         if self._digit_like(c):
             return self._number(c)
         if c.cls == X.EMAIL:
@@ -357,7 +365,7 @@ def explain_masking(
     j, t = S.protect_loose(text, column, key, declared)
     kept = kept.select("*", h.alias("__tg_h"), F.coalesce(j, t, text).alias("__tg_scan"))
     kept = kept.select(
-        "*", K.digest_digits(F.col("__tg_h")).alias("__tg_d"), K.digit_count(text).alias("__tg_n")
+        "*", K.digest_digits("__tg_h").alias("__tg_d"), K.digit_count(text).alias("__tg_n")
     )
     hc, dc, nc = F.col("__tg_h"), F.col("__tg_d"), F.col("__tg_n")
     thai = (F.col("__tg_cls") == X.NATIONAL_ID) & (nc == 13)

@@ -7,6 +7,7 @@ only, so no row is read before the request is known to be safe.
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
@@ -87,24 +88,43 @@ class Scope:
             for f in schema.fields:
                 seen[f.name.lower()] = seen.get(f.name.lower(), 0) + 1
         self.ambiguous = {n for n, k in seen.items() if k > 1}
+        self._whole: DataFrame | None = None
+        self._plain: list[str] = []
+        self._known: dict[tuple[str, frozenset[str]], list[tuple[str, str]] | None] = {}
 
     def columns(self) -> list[tuple[str, str]]:
         return [(t, f.name) for t, s in self.tables.items() for f in s.fields]
 
     def frame(self, without: tuple[str, str] | None = None, extra: Mapping[str, T.DataType] | None = None) -> DataFrame:
-        plain, structs = [], []
-        for t, schema in self.tables.items():
-            kept = [f for f in schema.fields if (t, f.name) != without]
-            plain += [
-                T.StructField(f.name, f.dataType) for f in kept if f.name.lower() not in self.ambiguous
+        """Empty rows of the scope, one column left out and some aliases added."""
+        if self._whole is None:
+            plain = [
+                T.StructField(f.name, f.dataType)
+                for s in self.tables.values()
+                for f in s.fields
+                if f.name.lower() not in self.ambiguous
             ]
-            if kept:
-                structs.append(T.StructField(t, T.StructType(kept)))
-        known = {f.name.lower() for f in plain + structs}
-        plain += [T.StructField(n, d) for n, d in (extra or {}).items() if n.lower() not in known]
-        return self.spark.createDataFrame([], T.StructType(plain + structs))
+            structs = [T.StructField(t, s) for t, s in self.tables.items()]
+            self._plain = [f.name for f in plain]
+            self._whole = self.spark.createDataFrame([], T.StructType(plain + structs))
+        out = self._whole
+        if without is not None:
+            t, c = without
+            kept = [F.col(f"`{n}`") for n in self._plain if n != c or c.lower() in self.ambiguous]
+            for name, schema in self.tables.items():
+                if name != t:
+                    kept.append(F.col(f"`{name}`"))
+                elif len(schema.fields) > 1:
+                    kept.append(F.col(f"`{name}`").dropFields(f"`{c}`").alias(name))
+            out = out.select(*kept)
+        known = {n.lower() for n in [*self._plain, *self.tables]}
+        new = {n: F.lit(None).cast(d) for n, d in (extra or {}).items() if n.lower() not in known}
+        return out.withColumns(new) if new else out
 
     def resolves(self, expr: str, frame: DataFrame) -> bool:
+        # A probe that fails is an answer here, so it does not belong into the log.
+        log = logging.getLogger("SQLQueryContextLogger")
+        before, log.disabled = log.disabled, True
         try:
             frame.selectExpr(expr).schema
             return True
@@ -112,9 +132,17 @@ class Scope:
             raise
         except AnalysisException:
             return False
+        finally:
+            log.disabled = before
 
     def sources(self, expr: str, aliases: Mapping[str, T.DataType] | None = None) -> list[tuple[str, str]] | None:
         """Columns an expression needs: those without which it no longer resolves. None is unknown."""
+        key = (expr, frozenset(aliases or ()))
+        if key not in self._known:
+            self._known[key] = self._sources(expr, aliases)
+        return self._known[key]
+
+    def _sources(self, expr: str, aliases: Mapping[str, T.DataType] | None) -> list[tuple[str, str]] | None:
         bare = _LITERAL.sub("''", expr)
         if _OPAQUE.search(bare):
             return None

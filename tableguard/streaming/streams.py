@@ -118,6 +118,15 @@ def read_index(spark: SparkSession, root: str, before: int | None = None, schema
     return versions.where(F.col("batch") == (-1 if last is None else last)).drop("batch")
 
 
+def _timed(df: DataFrame, time: str, watermark: str) -> DataFrame:
+    """A stream gets its watermark, which needs a time with a zone; a table stays as it is."""
+    if not df.isStreaming:
+        return df
+    if isinstance(df.schema[time].dataType, T.TimestampNTZType):
+        df = df.withColumn(time, F.col(time).cast("timestamp"))
+    return df.withWatermark(time, watermark)
+
+
 def audit_rollup(
     events: DataFrame,
     window: str = "5 minutes",
@@ -130,7 +139,7 @@ def audit_rollup(
 
     ``events`` has the time column, the key columns, ``failed`` (boolean) and ``duration_ms``.
     """
-    rows = events.withWatermark(time, watermark) if events.isStreaming else events
+    rows = _timed(events, time, watermark)
     w = F.window(time, window, slide) if slide else F.window(time, window)
     return (
         rows.groupBy(w.alias("w"), *keys)
@@ -151,7 +160,7 @@ def drift_alarm(
     time: str = "occurred_at",
 ) -> DataFrame:
     """Value classes seen per window and column that the column's own class does not explain."""
-    rows = df.withWatermark(time, watermark) if df.isStreaming else df
+    rows = _timed(df, time, watermark)
     strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     pairs = F.array(
         *[
