@@ -71,31 +71,35 @@ def keyed_digest(cls: Column | str, value: Column | str, key: Key) -> Column:
     return hmac_hex(F.concat(c, F.lit("|"), folded(value)), key)
 
 
-_LIMB = 6  # hex digits per limb: 24-bit limbs keep every sum of products inside a long
-_CHUNK = 9  # decimal digits per chunk
-SHORT_DIGITS = 27  # longest run taken by the unrolled form
+SHORT_DIGITS = 18  # longest run taken by the unrolled form
 LONG_DIGITS = 72  # longest run one digest can always supply
+_CHUNK = 9  # decimal digits per chunk
+_HEX = 15  # hex digits per limb: the most that fits a long
+_BITS = 20  # bits per part of a limb: keeps every sum of products inside a long
+
 
+def digest_limbs(digest: str) -> list[str]:
+    """SQL of the five 60-bit limbs of a hex digest column, lowest first."""
+    spans = [(max(0, stop - _HEX), stop) for stop in range(64, 0, -_HEX)]
+    return [f"cast(conv(substring(`{digest}`, {a + 1}, {b - a}), 16, 10) as bigint)" for a, b in spans]
 
-def _chunks(digest: str, n: int) -> list[str]:
-    """Lowest ``n`` groups of nine decimal digits of a 256-bit hex column, lowest first, as SQL.
 
-    Schoolbook conversion with whole numbers: limbs times the digits of their weights, plus the
-    carry of the group below. Text keeps the many small terms to one call into the JVM.
+def limb_digits(limbs: list[str], k: int = SHORT_DIGITS) -> Column:
+    """Last ``k`` <= 18 decimal digits of the number made of limbs.
+
+    Two chunks of nine digits: 20-bit parts times the digits of their weights, plus the carry of
+    the chunk below. SQL text keeps the many small terms to one call into the JVM.
     """
-    limbs, stop = [], 64
-    while stop > 0:
-        start = max(0, stop - _LIMB)
-        limbs.append(f"cast(conv(substring({digest}, {start + 1}, {stop - start}), 16, 10) as bigint)")
-        stop = start
-    base, out, carry = 10**_CHUNK, [], None
-    for i in range(n):
-        weights = [(1 << (4 * _LIMB * j)) // base**i % base for j in range(len(limbs))]
-        terms = [f"{limb} * {w}L" for limb, w in zip(limbs, weights) if w]
+    per, mask = 60 // _BITS, (1 << _BITS) - 1
+    parts = [f"(shiftright({limb}, {_BITS * i}) & {mask}L)" for limb in limbs for i in range(per)]
+    base, chunks, carry = 10**_CHUNK, [], None
+    for i in range(-(-k // _CHUNK)):
+        weights = [(1 << (_BITS * j)) // base**i % base for j in range(len(parts))]
+        terms = [f"{part} * {w}L" for part, w in zip(parts, weights) if w]
         total = " + ".join(terms if carry is None else [carry, *terms])
-        out.append(f"({total}) % {base}L")
+        chunks.insert(0, f"lpad(cast(({total}) % {base}L as string), {_CHUNK}, '0')")
         carry = f"(({total}) div {base}L)"
-    return out
+    return F.expr(f"right(concat({', '.join(chunks)}), {k})")
 
 
 def digest_digits(digest: str, k: int = SHORT_DIGITS) -> Column:
@@ -104,9 +108,7 @@ def digest_digits(digest: str, k: int = SHORT_DIGITS) -> Column:
         raise ValueError(f"k must lie between 1 and {LONG_DIGITS}")
     if k > SHORT_DIGITS:
         return F.right(_all_digits(F.col(digest)), F.lit(k))
-    n = -(-k // _CHUNK)
-    parts = [f"lpad(cast({c} as string), {_CHUNK}, '0')" for c in reversed(_chunks(f"`{digest}`", n))]
-    return F.expr(f"right(concat({', '.join(parts)}), {k})")
+    return limb_digits(digest_limbs(digest), k)
 
 
 def _div(a: Column, b: int) -> Column:
@@ -141,7 +143,7 @@ def _all_digits(digest: Column) -> Column:
 
 
 def _tail(digest: Column, digits: Column, count: Column) -> Column:
-    """Last ``count`` digits for a per-row count; ``digits`` holds the last 27."""
+    """Last ``count`` digits for a per-row count; ``digits`` holds the last 18."""
     long = F.right(_all_digits(digest), count)
     return F.when(count <= SHORT_DIGITS, F.right(digits, count)).otherwise(long)
 
@@ -150,14 +152,22 @@ def digit_count(v: Column) -> Column:
     return F.length(v) - F.length(F.regexp_replace(v, r"\p{Nd}", ""))
 
 
-def overlay_digits(v: Column, fresh: Column) -> Column:
-    """Write ``fresh`` digits over the digits of ``v`` and keep everything between them."""
-    between = F.split(v, r"\p{Nd}", -1)
+def overlay_digits(v: Column, fresh: Column, count: Column) -> Column:
+    """Write ``count`` fresh digits over the digits of ``v`` and keep everything between them."""
+    # Nearly all values are digits with one gap at most; that needs no list.
+    size, ascii_digits = F.length(v), F.lit("0123456789")
+    head = size - F.length(F.ltrim(v, ascii_digits))
+    tail = size - F.length(F.rtrim(v, ascii_digits))
+    gap = F.substr(v, head + 1, size - head - tail)
+    split_once = F.concat(F.left(fresh, head), gap, F.right(fresh, tail))
     woven = F.zip_with(
-        between, F.split(fresh, ""), lambda s, d: F.concat(s, F.coalesce(d, F.lit("")))
+        F.split(v, r"\p{Nd}", -1), F.split(fresh, ""), lambda s, d: F.concat(s, F.coalesce(d, F.lit("")))
+    )
+    return (
+        F.when(size == count, fresh)
+        .when(head + tail == count, split_once)
+        .otherwise(F.array_join(woven, ""))
     )
-    # Plain digit strings, the usual case, skip the array work.
-    return F.when(v.rlike("^[0-9]+$"), fresh).otherwise(F.array_join(woven, ""))
 
 
 def fresh_digits(digest: Column, digits: Column, count: Column) -> Column:
@@ -176,7 +186,7 @@ def write_digits(value: Column, fresh: Column, count: Column) -> Column:
     # Over 73 digits is no phone, card or account number.
     unfit = (count == 0) | (count > LONG_DIGITS + 1)
     return F.when(value.isNull(), F.lit(None).cast("string")).when(unfit, X.REDACTED).otherwise(
-        overlay_digits(value, fresh)
+        overlay_digits(value, fresh, count)
     )
 
 

@@ -192,12 +192,14 @@ class _Plan:
             df = df.select("*", *digests)
         numbers = [c for c in public + keyed if self._digit_like(c)]
         if numbers:
-            parts = []
+            limbs, parts = [], []
             for c in numbers:
-                h = F.col(c.temp("h"))
-                parts.append(K.digest_digits(c.temp("h")).alias(c.temp("d")))
-                parts.append(F.when(h.isNotNull(), K.digit_count(self._text(c))).alias(c.temp("n")))
-            df = df.select("*", *parts)
+                named = [(sql, f"{c.temp('l')}_{i}") for i, sql in enumerate(K.digest_limbs(c.temp("h")))]
+                limbs += [F.expr(sql).alias(name) for sql, name in named]
+                parts.append(K.limb_digits([name for _, name in named]).alias(c.temp("d")))
+                known = F.col(c.temp("h")).isNotNull()
+                parts.append(F.when(known, K.digit_count(self._text(c))).alias(c.temp("n")))
+            df = df.select("*", *limbs).select("*", *parts)
             fresh = []
             for c in numbers:
                 h, d, n = (F.col(c.temp(k)) for k in "hdn")
