@@ -185,49 +185,51 @@ def sample_shape(samples: DataFrame, rules: Rules) -> DataFrame:
     return _rows(samples, F.array_compact(F.array(*out)), 5) if out else _none(samples)
 
 
-def evidence_id() -> Column:
-    parts = [F.col(c) for c in ("object_id", "kind", "category", "summary")]
-    return F.concat(F.lit("ev_"), F.substring(F.sha2(F.concat_ws("\0", *parts), 256), 1, 24))
+def evidence_id(kind: Column, category: Column, summary: Column) -> Column:
+    text = F.concat_ws("\0", F.col("object_id"), kind, category, summary)
+    return F.concat(F.lit("ev_"), F.substring(F.sha2(text, 256), 1, 24))
 
 
 def evidence(matches: DataFrame) -> DataFrame:
     """Evidence record of every match: id, object, kind and a short summary."""
+    made = evidence_id(F.col("kind"), F.col("category"), F.col("summary"))
     return matches.select(
-        evidence_id().alias("evidence_id"), "object_id", "kind", F.substring("summary", 1, 240).alias("summary")
+        made.alias("evidence_id"), "object_id", "kind", F.substring("summary", 1, 240).alias("summary")
     ).distinct()
 
 
-def best_matches(matches: DataFrame) -> DataFrame:
-    """Best match per object and category; of equal ones, the earlier kind of evidence."""
-    row = F.struct("confidence", "kind", "summary", "authoritative")
-    best = matches.groupBy("object_id", "category").agg(
-        F.max_by(row, F.struct(F.col("confidence"), -F.col("seq"))).alias("m")
-    )
-    return best.select("object_id", "category", "m.*")
-
+def _decide(rows: DataFrame, allow_confirmed: bool) -> DataFrame:
+    """Decision per object from ``found``, the array of all its matches.
 
-def pick(matches: DataFrame, allow_confirmed: bool) -> DataFrame:
-    """(object_id, category, status, candidates) from the matches of each object.
-
-    A single authoritative category confirms, two leave the object unresolved; otherwise the two
-    best candidates must differ by at least 0.15. The candidate list of an object is bounded by
-    the number of rules.
+    Of the matches of one category the most confident counts, of equal ones the earlier kind of
+    evidence. All of it is array work inside one row.
     """
-    ranked = best_matches(matches).withColumn("evidence_id", evidence_id())
-    ranked = ranked.groupBy("object_id").agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct((-F.col("confidence")).alias("rank"), "category", "confidence", "kind", "authoritative", "evidence_id")
-            )
-        ).alias("ranked")
+    by_category = F.array_sort(
+        F.transform(
+            "found",
+            lambda m: F.struct(m["category"].alias("category"), (-m["confidence"]).alias("rank"), m["seq"].alias("seq"), m.alias("match")),
+        )
+    )
+    rows = rows.withColumn("sorted", by_category)
+    first_of = F.filter(
+        "sorted",
+        lambda m, i: (i == 0) | (F.get("sorted", i - 1)["category"] != m["category"]),
+    )
+    ranked = F.array_sort(
+        F.transform(
+            first_of,
+            lambda m: F.struct(m["rank"].alias("rank"), m["category"].alias("category"), m["match"].alias("match")),
+        )
     )
+    rows = rows.withColumn("ranked", F.transform(ranked, lambda m: m["match"]))
     sure = F.filter("ranked", lambda m: m["authoritative"])
     first, second = F.get("ranked", F.lit(0)), F.get("ranked", F.lit(1))
     close = (F.size("ranked") > 1) & (first["confidence"] - second["confidence"] < MARGIN)
     authoritative = F.lit(allow_confirmed) & (F.size(sure) > 0)
     one = F.size(sure) == 1
     status = (
-        F.when(authoritative, F.when(one, CONFIRMED).otherwise(UNRESOLVED))
+        F.when(F.size("ranked") == 0, UNRESOLVED)
+        .when(authoritative, F.when(one, CONFIRMED).otherwise(UNRESOLVED))
         .when(close, UNRESOLVED)
         .otherwise(SUGGESTED)
     )
@@ -240,28 +242,37 @@ def pick(matches: DataFrame, allow_confirmed: bool) -> DataFrame:
             m["category"].alias("category"),
             m["confidence"].alias("confidence"),
             m["kind"].alias("kind"),
-            m["evidence_id"].alias("evidence_id"),
+            evidence_id(m["kind"], m["category"], m["summary"]).alias("evidence_id"),
         ),
     )
-    return ranked.select(
+    return rows.select(
         "object_id", category.alias("category"), status.alias("status"), candidates.alias("candidates")
     )
 
 
-def _for_all(objects: DataFrame, picked: DataFrame) -> DataFrame:
-    """Picked rows for every object; an object without matches is unresolved."""
-    return objects.select("object_id").join(picked, "object_id", "left").select(
-        "object_id",
-        "category",
-        F.coalesce("status", F.lit(UNRESOLVED)).alias("status"),
-        F.coalesce("candidates", F.array()).alias("candidates"),
-    )
+def pick(matches: DataFrame, allow_confirmed: bool, objects: DataFrame | None = None) -> DataFrame:
+    """(object_id, category, status, candidates) from the matches of each object.
+
+    A single authoritative category confirms, two leave the object unresolved; otherwise the two
+    best candidates must differ by at least 0.15. With ``objects``, every object and no other gets
+    a row. One shuffle in all; the matches of an object are bounded by the rules and the kinds of
+    evidence.
+    """
+    match = F.struct("category", "confidence", "kind", "summary", "authoritative", "seq")
+    rows = matches.select("object_id", match.alias("m"), F.lit(False).alias("listed"))
+    if objects is not None:
+        empty = objects.select("object_id", F.lit(None).cast(rows.schema["m"].dataType).alias("m"), F.lit(True).alias("listed"))
+        rows = rows.unionByName(empty)
+    grouped = rows.groupBy("object_id").agg(F.collect_list("m").alias("found"), F.bool_or("listed").alias("listed"))
+    return _decide(grouped if objects is None else grouped.where("listed"), allow_confirmed)
 
 
 def pass1(objects: DataFrame, rules: Rules) -> DataFrame:
-    """First pass: preliminary category per object."""
-    picked = _for_all(objects, pick(pass1_matches(objects, rules), allow_confirmed=False))
-    return picked.withColumn("status", F.lit("preliminary"))
+    """First pass: preliminary category per object. A projection; nothing is shuffled."""
+    found = F.transform(rule_matches(rules), lambda m: m.withField("seq", F.lit(1)))
+    return _decide(objects.select("object_id", found.alias("found")), allow_confirmed=False).withColumn(
+        "status", F.lit("preliminary")
+    )
 
 
 def apply_overrides(final: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -305,13 +316,17 @@ def all_matches(
         )
         out = out.unionByName(forced.join(objects.select("object_id"), "object_id", "left_semi"))
     if proposals is not None:
+        # However many proposals repeat a category, the most confident one is kept per object.
+        best = proposals.groupBy("object_id", "category").agg(
+            F.max(F.struct(F.col("confidence").cast("double").alias("confidence"), F.col("origin"))).alias("p")
+        )
         out = out.unionByName(
-            proposals.select(
+            best.select(
                 "object_id",
                 "category",
-                F.col("confidence").cast("double").alias("confidence"),
+                F.col("p.confidence").alias("confidence"),
                 F.lit("model_proposal").alias("kind"),
-                F.concat(F.lit("sanitized proposal from "), F.col("origin")).alias("summary"),
+                F.concat(F.lit("sanitized proposal from "), F.col("p.origin")).alias("summary"),
                 F.lit(False).alias("authoritative"),
                 F.lit(6).alias("seq"),
             )
@@ -330,7 +345,7 @@ def pass2(
 ) -> DataFrame:
     """Second pass: final category, status and candidates per object."""
     matches = all_matches(objects, first, rules, columns, edges, samples, proposals)
-    final = _for_all(objects, pick(matches, allow_confirmed=True))
+    final = pick(matches, True, objects)
     if rules.overrides:
         final = apply_overrides(final, _override_rows(objects.sparkSession, rules))
     return final
