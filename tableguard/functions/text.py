@@ -14,6 +14,24 @@ _MARK_CLASSES = "EMAIL|CREDIT_CARD|NATIONAL_ID|PHONE|PERSONAL_NAME"
 _MARKS = rf"\[REDACTED:(?:{_MARK_CLASSES})\]"
 
 
+# Cheap tests a text must pass before a pattern can match in it. Most documents pass none, so
+# the expensive patterns only run where they may find something. Marks hold no hint, so a test
+# of the original text also covers the text between two replacements.
+_NUMBER = "[0-9][0-9 ()-]{6,}[0-9]"
+
+
+def _secret_hint(c: Column) -> Column:
+    return c.rlike(java(r"=\s*['\"]")) | c.rlike(java(r"bearer\s", "iu")) | c.contains("PRIVATE KEY-----")
+
+
+def _pii_hint(c: Column) -> Column:
+    return c.contains("@") | c.rlike(f"{_NUMBER}|[ก-๏]{{2}}|(?:Mr|Ms|Miss|Dr)")
+
+
+def _none_or_zero(c: Column) -> Column:
+    return F.when(c.isNotNull(), 0)
+
+
 def redact_secrets(c: Column | str) -> tuple[Column, Column]:
     """(text without secrets, number of secrets): assignments, bearer tokens, private keys."""
     t0 = as_col(c)
@@ -25,7 +43,8 @@ def redact_secrets(c: Column | str) -> tuple[Column, Column]:
         + F.regexp_count(t1, F.lit(_BEARER))
         + F.regexp_count(t2, F.lit(_PEM))
     )
-    return t3, n
+    hint = _secret_hint(t0)
+    return F.when(hint, t3).otherwise(t0), F.when(hint, n).otherwise(_none_or_zero(t0))
 
 
 def secret_count(c: Column | str) -> Column:
@@ -39,18 +58,20 @@ def redact_pii(c: Column | str) -> tuple[Column, Column]:
     for cls, pattern in X.SCAN_ORDER:
         after = F.regexp_replace(after, java(pattern), f"[REDACTED:{cls.upper()}]")
     n = F.regexp_count(after, F.lit(_MARKS)) - F.regexp_count(before, F.lit(_MARKS))
-    return after, n
+    hint = _pii_hint(before)
+    return F.when(hint, after).otherwise(before), F.when(hint, n).otherwise(_none_or_zero(before))
 
 
 def pii_counts(c: Column | str) -> dict[str, Column]:
     """Marks each pattern would add on the running text, by class."""
-    text = as_col(c)
+    before = as_col(c)
+    text, hint = before, _pii_hint(before)
     out: dict[str, Column] = {}
     for cls, pattern in X.SCAN_ORDER:
         n = F.regexp_count(text, F.lit(java(pattern)))
         out[cls] = out[cls] + n if cls in out else n
         text = F.regexp_replace(text, java(pattern), f"[REDACTED:{cls.upper()}]")
-    return out
+    return {cls: F.when(hint, n).otherwise(_none_or_zero(before)) for cls, n in out.items()}
 
 
 def _interleave(text: Column, literals: Column, pattern: str) -> Column:
