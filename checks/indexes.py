@@ -220,14 +220,14 @@ def _managed(t: Tables):
 
 @check(
     "generation_drift",
-    f"""{ctes(h=_HEADER_FIELDS)} SELECT object_id, CASE p_partkey % 6 WHEN 1 THEN 'header_invalid' WHEN 2 THEN 'header_invalid' WHEN 3 THEN 'body_differs' WHEN 4 THEN 'body_differs' ELSE CASE WHEN p_partkey % 6 = 5 THEN 'file_missing' END END AS drift FROM h""",
+    f"""{ctes(h=_HEADER_FIELDS)} SELECT object_id, CASE p_partkey % 6 WHEN 1 THEN 'header_invalid' WHEN 2 THEN 'header_invalid' WHEN 3 THEN 'body_differs' WHEN 4 THEN 'body_differs' ELSE NULL END AS drift FROM h WHERE NOT contains(object_name, 'ANVIL') UNION ALL SELECT object_id, 'file_missing' FROM h WHERE contains(object_name, 'ANVIL')""",
 )
 def generation_drift(t: Tables):
-    corpus = CO.parse_header(_corpus(t).where("p_partkey % 6 <> 5").select("path", "content"))
+    corpus = CO.parse_header(_corpus(t).where("path not like '%ANVIL%'").select("path", "content"))
     return I.generation_plan(_managed(t), corpus, include_unresolved=True).select("object_id", "drift")
 
 
-_DRIFT_OUT = f"{ctes(h=_HEADER_FIELDS)} SELECT schema_name || '/' || object_name || '.sql' AS destination, CASE WHEN p_partkey % 6 = 5 THEN 'file_missing' WHEN p_partkey % 6 BETWEEN 1 AND 4 THEN 'file_changed' ELSE 'not_in_manifest' END AS reason FROM h WHERE p_partkey % 6 <> 0 OR p_partkey % 4 = 0"
+_DRIFT_OUT = f"{ctes(h=_HEADER_FIELDS)} SELECT schema_name || '/' || object_name || '.sql' AS destination, CASE WHEN contains(object_name, 'ANVIL') THEN 'file_missing' WHEN p_partkey % 6 BETWEEN 1 AND 4 THEN 'file_changed' ELSE 'not_in_manifest' END AS reason FROM h WHERE contains(object_name, 'ANVIL') OR p_partkey % 6 BETWEEN 1 AND 4 OR object_type = 'table'"
 
 
 @check("corpus_drift", _DRIFT_OUT)
@@ -237,8 +237,8 @@ def corpus_drift(t: Tables):
     digest = F.concat(F.lit("sha256:"), F.sha2("content", 256))
     header = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CO.HEADER.fields])
     plan = full.select(path.alias("destination"), "object_id", digest.alias("output_hash"), header.alias("header"))
-    manifest = full.where("p_partkey % 4 <> 0").select(path.alias("path"), digest.alias("sha256"))
-    files = _corpus(t).where("p_partkey % 6 <> 5").select("path", "content")
+    manifest = full.where("object_type <> 'table'").select(path.alias("path"), digest.alias("sha256"))
+    files = _corpus(t).where("path not like '%ANVIL%'").select("path", "content")
     return CO.corpus_drift(plan, files, manifest).select("destination", "reason")
 
 
@@ -333,8 +333,8 @@ def unmanaged_conflicts(t: Tables):
     return B.unmanaged_conflicts(existing.select("path", "sha256").distinct(), inv.where("batch < 'src2'"), incoming.select("path", "sha256").distinct()).distinct()
 
 
-_DECL = "select cast(doc_id as string) as path, n_chars as size_bytes, case when doc_id % 13 = 0 then 'x' else lang end as sha256 from {documents} where doc_id % 17 <> 0"
-_REAL = "select cast(doc_id as string) as path, case when doc_id % 11 = 0 then n_chars + 1 else n_chars end as size_bytes, lang as sha256 from {documents} where doc_id % 19 <> 0"
+_DECL = "select cast(doc_id as string) as path, n_chars as size_bytes, case when doc_id % 13 = 0 then 'x' else lang end as sha256 from {documents} where source <> 'src3'"
+_REAL = "select cast(doc_id as string) as path, case when doc_id % 11 = 0 then n_chars + 1 else n_chars end as size_bytes, lang as sha256 from {documents} where source <> 'src11'"
 
 
 @check(
