@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: Bytes of text handled at a time inside a task; bounds the memory of numpy work arrays.
 SLICE_BYTES = 4 << 20
@@ -14,6 +17,25 @@ SLICE_BYTES = 4 << 20
 _M1, _M2, _GOLDEN = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
 
+def hand_over(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once per application, as a file Spark serves."""
+    context = spark.sparkContext
+    if getattr(context, "_tableguard_handed_over", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="tableguard-")) / "tableguard_package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, f"{package.name}/{file.relative_to(package)}")
+    context.addPyFile(str(archive))
+    context._tableguard_handed_over = True
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    hand_over(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """SplitMix64 finaliser of unsigned 64-bit numbers."""
     with np.errstate(over="ignore"):
@@ -58,7 +80,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], sche
                 if part.num_rows and (columns := fn(part)) is not None:
                     yield pa.RecordBatch.from_arrays([as_array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def arrow_schema(schema: T.StructType) -> pa.Schema:
@@ -82,7 +104,7 @@ def keep_rows(df: DataFrame, text: str, mask: Callable[[pa.RecordBatch], np.ndar
                 if part.num_rows:
                     yield part.filter(pa.array(mask(part), type=pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return map_arrow(df, run, df.schema)
 
 
 def starts_of(lengths: np.ndarray) -> np.ndarray:

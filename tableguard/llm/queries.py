@@ -35,3 +35,17 @@ def token_counts(spark: SparkSession, sf: str) -> DataFrame:
     from tableguard.llm.tokens import count_tokens
 
     return count_tokens(table(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query("op9_secret_scans")
+def secret_scans(spark: SparkSession, sf: str) -> DataFrame:
+    from tableguard.llm.secrets import digest
+
+    return digest(table(spark, sf, "documents"))
+
+
+@query("op6_license_scans")
+def license_scans(spark: SparkSession, sf: str) -> DataFrame:
+    from tableguard.llm.licenses import scan
+
+    return scan(table(spark, sf, "documents"))
