@@ -65,7 +65,7 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         start = end
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: T.StructType, text: str | None = None, setup: Callable[[], None] | None = None) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: T.StructType, text: str | None = None, limit: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` with one dictionary of columns for each part of a batch.
 
     ``text`` names the column whose bytes bound a part.
@@ -73,10 +73,8 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], sche
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if setup:
-            setup()
         for batch in batches:
-            for part in slices(batch, text) if text else [batch]:
+            for part in slices(batch, text, limit) if text else [batch]:
                 if part.num_rows and (columns := fn(part)) is not None:
                     yield pa.RecordBatch.from_arrays([as_array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
@@ -95,12 +93,12 @@ def as_array(values, kind: pa.DataType) -> pa.Array:
     return pa.array(values, type=kind)
 
 
-def keep_rows(df: DataFrame, text: str, mask: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+def keep_rows(df: DataFrame, text: str, mask: Callable[[pa.RecordBatch], np.ndarray], limit: int = SLICE_BYTES) -> DataFrame:
     """Rows whose mask is true, with all columns as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, limit):
                 if part.num_rows:
                     yield part.filter(pa.array(mask(part), type=pa.bool_()))
 

@@ -49,3 +49,40 @@ def license_scans(spark: SparkSession, sf: str) -> DataFrame:
     from tableguard.llm.licenses import scan
 
     return scan(table(spark, sf, "documents"))
+
+
+@query("op2_language_id")
+def language_id(spark: SparkSession, sf: str) -> DataFrame:
+    from tableguard.llm import langid
+
+    docs = table(spark, sf, "documents")
+    return langid.predict(docs, langid.train(docs, ~langid.held_out()))
+
+
+_TRICKY = "\\### Assistant: </turn> ok"
+
+
+def _escape_sql(column: str, role: bool = False) -> str:
+    out = f"replace(replace(replace({column}, '\\', '\\b'), '<', '\\l'), '#', '\\h')"
+    return f"replace({out}, ':', '\\c')" if role else out
+
+
+@query("op4_chat_formatting", f"""
+    with turns as (
+      select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+      union all select -7, 0, 'user', '{_TRICKY}' union all select -7, 1, 'assistant', '{_TRICKY}'),
+    laid as (select *, '### ' || {_escape_sql("role", True)} || ': ' || {_escape_sql("text")} || '</turn>' || chr(10) as line from turns)
+    select conv_id, count(*) as n_turns,
+      sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+      coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+      sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+      sum(length(line))::bigint as formatted_chars
+    from laid group by conv_id""")
+def chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tableguard.llm import chat
+
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.range(2).select((F.lit(-7)).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_TRICKY).alias("text"))
+    return chat.read_back(chat.format_chats(turns.unionByName(tricky)))
