@@ -55,7 +55,7 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str | int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about ``limit`` bytes of text; a longer text is a part of its own."""
     _, at = column_bytes(batch.column(text))
     start = 0

@@ -86,3 +86,28 @@ def chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     tricky = spark.range(2).select((F.lit(-7)).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_TRICKY).alias("text"))
     return chat.read_back(chat.format_chats(turns.unionByName(tricky)))
+
+
+def _words_sql(column: str) -> str:
+    lower = f"translate(coalesce({column}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query("op10_benchmark_decontamination", f"""
+    with b as (select item_id, {_words_sql("text")} as w from benchmark),
+    items as (select item_id, w, least(len(w), 13) as m from b where len(w) > 0),
+    windows as (select distinct item_id, m, array_to_string(w[i : i + m - 1], ' ') as gram
+                from items, unnest(range(1, len(w) - m + 2)) as u(i)),
+    d as (select doc_id, {_words_sql("text")} as w from documents),
+    grams as (select doc_id, i, m, array_to_string(w[i : i + m - 1], ' ') as gram
+              from d, (select distinct m from items) as lengths, unnest(range(1, len(w) - m + 2)) as u(i)),
+    hits as (select doc_id, i, windows.m, item_id from grams join windows using (m, gram)),
+    hit as (select doc_id, count(distinct k) as n_hit from hits, unnest(range(i, i + m)) as u(k) group by doc_id),
+    per as (select doc_id, list_sort(list(distinct item_id::varchar)) as ids from hits group by doc_id)
+    select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(len(ids), 0)::bigint as n_items,
+      sha256(coalesce(array_to_string(ids, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+    from d left join hit using (doc_id) left join per using (doc_id)""")
+def benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    from tableguard.llm.decontaminate import measure
+
+    return measure(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
