@@ -111,3 +111,10 @@ def benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     from tableguard.llm.decontaminate import measure
 
     return measure(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op1_simhash_near_dedup")
+def simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    from tableguard.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf, "documents"))
