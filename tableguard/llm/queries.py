@@ -118,3 +118,19 @@ def simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     from tableguard.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op3_exact_top_k", """
+    with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+               where vec_id is not null and embedding is not null
+                 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    pairs as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
+              from v as q join v as c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id),
+    ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pairs)
+    select query_id, rank::int as rank, vec_id, score from ranked where rank <= 5""")
+def exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tableguard.llm.topk import top_k
+
+    return top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
