@@ -41,6 +41,42 @@ def _rank_groups(sa: np.ndarray, keys: np.ndarray, slots: np.ndarray, rank: np.n
     return slots[np.repeat(sizes > 1, sizes)]
 
 
+def common_prefixes(text: np.ndarray, sa: np.ndarray, lanes: int = 4096) -> np.ndarray:
+    """Length of the common prefix of each suffix in ``sa`` and the one before it.
+
+    Kasai's pass over the text, with the text cut into lanes that advance side by side: the prefix
+    shared at a place is at least the one shared at the place before, less one. The array must be
+    fully sorted.
+    """
+    n = len(text)
+    out = np.zeros(n, np.int64)
+    if n < 2:
+        return out
+    slot = np.empty(n, np.int64)
+    slot[sa] = np.arange(n)
+    before = np.full(n, -1, np.int64)  # by place, the place that sorts just before
+    before[sa[1:]] = sa[:-1]
+    lanes = min(lanes, n)
+    at = np.arange(lanes) * n // lanes
+    stop = np.append(at[1:], n)
+    shared = np.zeros(lanes, np.int64)
+    live = np.arange(lanes)
+    while len(live):
+        i = at[live]
+        j = before[i]
+        h = shared[live]
+        x, y = i + h, j + h
+        same = (j >= 0) & (x < n) & (y < n)
+        same[same] = text[x[same]] == text[y[same]]
+        shared[live[same]] += 1
+        done = live[~same]
+        out[slot[at[done]]] = np.where(before[at[done]] >= 0, shared[done], 0)
+        shared[done] = np.where(before[at[done]] >= 0, np.maximum(shared[done] - 1, 0), 0)
+        at[done] += 1
+        live = live[at[live] < stop[live]]
+    return out
+
+
 def prefix_ranges(text: np.ndarray, sa: np.ndarray, other: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each pattern ``other[start : start + length]`` the range of ``sa`` that begins with it.
 

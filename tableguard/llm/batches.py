@@ -45,6 +45,24 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+_FACTOR = 0x9E3779B97F4A7C15 | 1
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64."""
+    size = 1 << max(16, int(n).bit_length())
+    if size not in _POWERS:
+        _POWERS.clear()
+        both = []
+        for base in (_FACTOR, pow(_FACTOR, -1, 1 << 64)):
+            out = np.full(size, base, np.uint64)
+            out[0] = 1
+            both.append(np.multiply.accumulate(out))
+        _POWERS[size] = both[0], both[1]
+    return _POWERS[size]
+
+
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the offsets of its rows (nulls have no bytes)."""
     column = column.cast(pa.large_string()).fill_null("")

@@ -24,7 +24,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tableguard.llm.arrays import prefix_ranges, suffix_array
-from tableguard.llm.batches import arrow_schema, column_bytes, id_type, map_arrow, mix64, ranges, slices, starts_of
+from tableguard.llm.batches import arrow_schema, column_bytes, id_type, map_arrow, mix64, powers, ranges, slices, starts_of
 
 WINDOW = 13
 #: Bytes of benchmark text that one pass takes to every task.
@@ -35,23 +35,6 @@ SHARD_BYTES = 2 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_WORD = np.array([c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 for c in range(256)])[_LOWER]
-_FACTOR = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2^64."""
-    size = 1 << max(16, int(n).bit_length())
-    if size not in _POWERS:
-        _POWERS.clear()
-        both = []
-        for base in (_FACTOR, pow(_FACTOR, -1, 1 << 64)):
-            out = np.full(size, base, np.uint64)
-            out[0] = 1
-            both.append(np.multiply.accumulate(out))
-        _POWERS[size] = both[0], both[1]
-    return _POWERS[size]
-
 
 def words_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of ragged texts, and the number of words before each text."""
@@ -67,7 +50,7 @@ def words_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ends = at[1:][at[1:] > 0] - 1
     last[ends] = inside[ends]
     begin, end = np.flatnonzero(first), np.flatnonzero(last)
-    power, inverse = _powers(len(data))
+    power, inverse = powers(len(data))
     with np.errstate(over="ignore"):
         total = np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * power[: len(data)])
         before = np.where(begin > 0, total[np.maximum(begin, 1) - 1], np.uint64(0))

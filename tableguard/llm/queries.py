@@ -134,3 +134,10 @@ def exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
     from tableguard.llm.topk import top_k
 
     return top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op8_suffix_array_dedup")
+def suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    from tableguard.llm.suffixes import digest
+
+    return digest(table(spark, sf, "documents"))
