@@ -141,3 +141,10 @@ def suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
     from tableguard.llm.suffixes import digest
 
     return digest(table(spark, sf, "documents"))
+
+
+@query("op5_sentencepiece_dropout")
+def sentencepiece_dropout(spark: SparkSession, sf: str) -> DataFrame:
+    from tableguard.llm.pieces import encode
+
+    return encode(table(spark, sf, "documents"), tokenizer_path("piece_bpe_32k.model"))
