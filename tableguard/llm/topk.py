@@ -54,8 +54,10 @@ def whole_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "e
         bad = np.append(0, np.cumsum(~np.isfinite(whole)))
         good = np.flatnonzero(bad[at[1:]] == bad[at[:-1]])
         vecs = [whole[at[i] : at[i + 1]] for i in good.tolist()]
+        with np.errstate(over="ignore"):
+            norms = [float(np.sqrt(v @ v)) for v in vecs]
         return {
-            "id": batch.column("id").take(pa.array(good)), "norm": [float(np.sqrt(v @ v)) for v in vecs],
+            "id": batch.column("id").take(pa.array(good)), "norm": norms,
             "dim": [len(v) for v in vecs], "vec": [v.astype("<f8").tobytes() for v in vecs],
         }
 
@@ -101,9 +103,10 @@ class Block:
     def __init__(self, ids: bytes, vecs: bytes, n: int, turn: np.ndarray) -> None:
         self.ids = np.frombuffer(ids, np.int64)
         self.vecs = np.frombuffer(vecs, np.float64).reshape(n, -1) if n else np.zeros((0, len(turn)))
-        self.part = self.vecs @ turn
-        self.norm = np.sqrt(np.einsum("ij,ij->i", self.vecs, self.vecs))
-        self.rest = np.sqrt(np.maximum(self.norm**2 - np.einsum("ij,ij->i", self.part, self.part), 0))
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.part = self.vecs @ turn
+            self.norm = np.sqrt(np.einsum("ij,ij->i", self.vecs, self.vecs))
+            self.rest = np.sqrt(np.maximum(self.norm**2 - np.einsum("ij,ij->i", self.part, self.part), 0))
 
 
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -120,10 +123,11 @@ def best_of(queries: Block, vectors: Block, floors: np.ndarray, k: int) -> tuple
 
     Candidates that cannot reach a query's floor may be missing.
     """
-    slack = 1e-6 * queries.norm * vectors.norm.max(initial=0) + 1
-    rows = np.flatnonzero(queries.norm * vectors.norm.max(initial=0) + slack >= floors)
-    bound = queries.part[rows] @ vectors.part.T + np.outer(queries.rest[rows], vectors.rest)
-    able = bound + slack[rows, None] >= floors[rows, None]
+    with np.errstate(over="ignore", invalid="ignore"):  # what overflows is not skipped
+        slack = 1e-6 * queries.norm * vectors.norm.max(initial=0) + 1
+        rows = np.flatnonzero(~(queries.norm * vectors.norm.max(initial=0) + slack < floors))
+        bound = queries.part[rows] @ vectors.part.T + np.outer(queries.rest[rows], vectors.rest)
+        able = ~(bound + slack[rows, None] < floors[rows, None])
     able &= queries.ids[rows, None] != vectors.ids[None, :]
     keep_q, keep_v = able.any(axis=1), able.any(axis=0)
     rows, able = rows[keep_q], able[keep_q][:, keep_v]
