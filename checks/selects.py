@@ -116,6 +116,61 @@ def request_distinct(t: Tables):
     return P.protected_rows({"o": t.orders}, request, t.key, DECLARED)
 
 
+#: Requests on customers (names and balances protected): name, request, answered or refused, and
+#: the rows of an answer that show a raw name or balance.
+_DECISIONS = {
+    "plain": (dict(select=("c_custkey", "c_name", "c_acctbal")), True),
+    "star": (dict(select=("*",)), True),
+    "qualified_star": (dict(select=("c.*",)), True),
+    "renamed": (dict(select=("c_name AS c_mktsegment", "c_acctbal AS nat")), True),
+    "public_filter": (dict(select=("c_name",), where=("c_mktsegment = 'BUILDING'",), order_by=("c_custkey desc",)), True),
+    "public_groups": (dict(select=("c_nationkey", "count(*) AS n"), group_by=("c_nationkey",), order_by=("max(c_custkey) desc",)), True),
+    "star_in_call": (dict(select=("concat_ws('|', c.*) AS x",)), False),
+    "star_in_hash": (dict(select=("hash(c.*) AS x",)), False),
+    "star_in_struct": (dict(select=("c_custkey",), where=("to_json(struct(*)) like '%Ace%'",)), False),
+    "star_in_having": (dict(select=("c_nationkey",), group_by=("c_nationkey",), having=("max(to_json(struct(c.*))) > 'a'",)), False),
+    "table_as_value": (dict(select=("to_json(c) AS x",)), False),
+    "shadowing_alias": (dict(select=("c_custkey", "c_acctbal AS c_nationkey"), order_by=("c_nationkey desc",)), False),
+    "name_filter": (dict(select=("c_custkey",), where=("c_name like 'A%'",)), False),
+    "balance_order": (dict(select=("c_custkey",), order_by=("c_acctbal",)), False),
+    "name_length": (dict(select=("length(c_name) AS n",)), False),
+    "unknown_filter": (dict(select=("c_custkey",), where=("get_json_object(c_mktsegment, '$.a') = 'x'",)), False),
+    "off_the_list": (dict(select=("java_method('java.lang.System', 'getProperty', 'user.name') AS x",)), False),
+    "subquery": (dict(select=("c_custkey",), where=("exists (select 1)",)), False),
+}
+_ROWS = {"public_filter": "WHERE c_mktsegment = 'BUILDING'"}
+
+
+@check(
+    "guard_decisions",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS request, '{'answered' if answered else 'refused'}' AS outcome, CAST("
+        + ("0" if not answered else "(SELECT count(DISTINCT c_nationkey) FROM customer)" if name == "public_groups" else f"(SELECT count(*) FROM customer {_ROWS.get(name, '')})")
+        + " AS BIGINT) AS n, CAST(0 AS BIGINT) AS leaks"
+        for name, (_, answered) in _DECISIONS.items()
+    ),
+)
+def guard_decisions(t: Tables):
+    """What becomes of a request, and whether any answered row shows what the row of its key holds."""
+    raw = t.customer.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("raw_name"), F.col("c_acctbal").cast("string").alias("raw_balance"))
+    parts = []
+    for name, (request, _) in _DECISIONS.items():
+        try:
+            answer = P.protected_rows({"c": t.customer}, P.Request(table="c", **request), t.key, DECLARED)
+        except ValueError:
+            parts.append(t.spark.range(1).select(F.lit(name).alias("request"), F.lit("refused").alias("outcome"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("leaks")))
+            continue
+        shown = F.concat_ws("|", *[F.col(f"`{c}`").cast("string") for c in answer.columns if c not in ("c_custkey", "c_nationkey", "n")])
+        seen = answer.select(shown.alias("shown"), *([F.col("c_custkey").alias("k")] if "c_custkey" in answer.columns else [F.lit(None).cast("long").alias("k")]))
+        leak = F.coalesce(F.contains("shown", F.col("raw_name")) | F.array_contains(F.split("shown", r"\|"), F.col("raw_balance")), F.lit(False))
+        met = seen.join(raw, "k", "left").agg(F.count("*").alias("n"), F.count_if(leak).alias("leaks"))
+        parts.append(met.select(F.lit(name).alias("request"), F.lit("answered").alias("outcome"), "n", "leaks"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 # Allowed functions --------------------------------------------------------------------------------
 
 

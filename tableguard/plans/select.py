@@ -9,17 +9,21 @@ from __future__ import annotations
 
 import logging
 import re
-from collections.abc import Mapping
+import threading
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException, ParseException
+from pyspark.logger import PySparkLogger
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tableguard.functions import fixed as X, names as N, values as V
+from tableguard.functions.allowed import ALLOWED
 from tableguard.functions.keyed import Key
 from tableguard.operators.protect import protect
 
-# Limits of one answer.
+# Usual limits of one answer; every one is a parameter, and None lifts it.
 DEFAULT_ROWS, MAX_ROWS, MAX_COLUMNS, MAX_BYTES = 100, 500, 50, 256 * 1024
 
 
@@ -33,9 +37,12 @@ class RestrictedUse(ValueError):
 
 @dataclass(frozen=True)
 class Join:
+    """A joined table, by a condition or by the columns both sides share."""
+
     table: str
-    on: str
+    on: str = ""
     how: str = "inner"
+    using: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -70,7 +77,66 @@ _PLAIN = re.compile(r"^`?\w+`?(\.`?\w+`?)?$")
 _STAR = re.compile(r"^(?:(?P<table>\w+)\.)?\*$")
 _LITERAL = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"")
 _CALL = re.compile(r"[A-Za-z_]\w*\s*\(|\bcase\b|\bover\b", re.I)
-_OPAQUE = re.compile(r"json|variant|\bselect\b|\bexists\b|\w:\w", re.I)
+_OPAQUE = re.compile(r"json|variant|\w:\w", re.I)
+#: A star that stands for columns: after nothing, a bracket, a comma or a dot, but not in count(*).
+_COUNT_ALL = re.compile(r"\bcount\s*\(\s*\*\s*\)", re.I)
+_INNER_STAR = re.compile(r"(?:^|[(,.])\s*\*")
+_CALLED = re.compile(r"((?:`[^`]*`|\w+)(?:\s*\.\s*(?:`[^`]*`|\w+))*)\s*\(")
+_SUBQUERY = re.compile(r"\b(?:select|exists|from\s+values|table)\b", re.I)
+# Words before a bracket that call nothing, Spark's own spellings of allowed
+# functions, and words that call a function without a bracket.
+_NOT_CALLS = frozenset(
+    "and or not in case when then else over between like ilike rlike is as by filter within group interval any some all "
+    "distinct on partition order rows range decimal numeric dec varchar char escape".split()
+)
+_SPARK_NAMES = frozenset("get_json_object to_json named_struct struct date_format date_part if".split())
+_BARE_CALLS = frozenset("current_user session_user current_catalog current_database current_schema".split())
+
+
+class RefusedExpression(ValueError):
+    """An expression calls what a request may not call."""
+
+
+def check_calls(expr: str, columns: frozenset[str] = frozenset()) -> None:
+    """Refuse functions that are not on the allow list, qualified names and subqueries.
+
+    Runs on the text, before anything is resolved.
+    """
+    bare = _LITERAL.sub("''", expr)
+    if _SUBQUERY.search(bare):
+        raise RefusedExpression("a subquery belongs into ctes")
+    for name in _CALLED.findall(bare):
+        low = name.strip("`").lower()
+        if low not in ALLOWED and low not in _SPARK_NAMES and (low not in _NOT_CALLS or "`" in name):
+            raise RefusedExpression(f"function {name} is not on the allow list")
+    for word in set(re.findall(r"\w+", bare.lower())) & _BARE_CALLS - columns:
+        raise RefusedExpression(f"function {word} is not on the allow list")
+
+
+class _Quiet(logging.Filter):
+    """Drops what the thread logs while it probes."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.local = threading.local()
+
+    def filter(self, record: logging.LogRecord) -> bool:
+        return not getattr(self.local, "on", False)
+
+
+_QUIET = _Quiet()
+
+
+@contextmanager
+def _probing() -> Iterator[None]:
+    """A probe that fails is an answer, so it does not belong into the log."""
+    for name in ("SQLQueryContextLogger", "DataFrameQueryContextLogger"):
+        PySparkLogger.getLogger(name).addFilter(_QUIET)  # a filter is added once only
+    _QUIET.local.on = True
+    try:
+        yield
+    finally:
+        _QUIET.local.on = False
 
 
 def _split_alias(item: str) -> tuple[str, str | None]:
@@ -81,13 +147,14 @@ def _split_alias(item: str) -> tuple[str, str | None]:
 class Scope:
     """The columns a request can see: every table as a struct, unambiguous names also plain."""
 
-    def __init__(self, spark: SparkSession, tables: Mapping[str, T.StructType]) -> None:
-        self.spark, self.tables = spark, dict(tables)
+    def __init__(self, spark: SparkSession, tables: Mapping[str, T.StructType], shared: frozenset[str] = frozenset()) -> None:
+        """``shared``: names (lower case) that a join by columns makes one."""
+        self.spark, self.tables, self.shared = spark, dict(tables), shared
         seen: dict[str, int] = {}
         for schema in self.tables.values():
             for f in schema.fields:
                 seen[f.name.lower()] = seen.get(f.name.lower(), 0) + 1
-        self.ambiguous = {n for n, k in seen.items() if k > 1}
+        self.ambiguous = {n for n, k in seen.items() if k > 1} - shared
         self._whole: DataFrame | None = None
         self._plain: list[str] = []
         self._known: dict[tuple[str, frozenset[str]], list[tuple[str, str]] | None] = {}
@@ -98,12 +165,12 @@ class Scope:
     def frame(self, without: tuple[str, str] | None = None, extra: Mapping[str, T.DataType] | None = None) -> DataFrame:
         """Empty rows of the scope, one column left out and some aliases added."""
         if self._whole is None:
-            plain = [
-                T.StructField(f.name, f.dataType)
+            plain = list({
+                f.name.lower(): T.StructField(f.name, f.dataType)
                 for s in self.tables.values()
                 for f in s.fields
                 if f.name.lower() not in self.ambiguous
-            ]
+            }.values())
             structs = [T.StructField(t, s) for t, s in self.tables.items()]
             self._plain = [f.name for f in plain]
             self._whole = self.spark.createDataFrame([], T.StructType(plain + structs))
@@ -122,18 +189,30 @@ class Scope:
         return out.withColumns(new) if new else out
 
     def resolves(self, expr: str, frame: DataFrame) -> bool:
-        # A probe that fails is an answer here, so it does not belong into the log.
-        log = logging.getLogger("SQLQueryContextLogger")
-        before, log.disabled = log.disabled, True
-        try:
-            frame.selectExpr(expr).schema
-            return True
-        except ParseException:
-            raise
-        except AnalysisException:
-            return False
-        finally:
-            log.disabled = before
+        with _probing():
+            try:
+                frame.selectExpr(expr).schema
+                return True
+            except ParseException:
+                raise
+            except AnalysisException:
+                return False
+
+    def type_of(self, expr: str) -> T.DataType:
+        with _probing():
+            try:
+                return self.frame().selectExpr(expr).schema[0].dataType
+            except AnalysisException as error:
+                raise ValueError(f"expression does not resolve: {expr}") from error
+
+    def opaque(self, bare: str) -> bool:
+        """Whether lineage cannot be told. What reads columns that it does not spell is refused:
+        its values must not even reach an error message."""
+        if any(re.search(rf"(?<![\w.])`?{re.escape(t)}`?(?!\w|`|\s*\.)", bare, re.I) for t in self.tables):
+            raise RefusedExpression("a table's name is not a value")
+        if _INNER_STAR.search(_COUNT_ALL.sub("count(1)", bare)):
+            raise RefusedExpression("a star stands alone or in count(*)")
+        return bool(_OPAQUE.search(bare))
 
     def sources(self, expr: str, aliases: Mapping[str, T.DataType] | None = None) -> list[tuple[str, str]] | None:
         """Columns an expression needs: those without which it no longer resolves. None is unknown."""
@@ -144,7 +223,8 @@ class Scope:
 
     def _sources(self, expr: str, aliases: Mapping[str, T.DataType] | None) -> list[tuple[str, str]] | None:
         bare = _LITERAL.sub("''", expr)
-        if _OPAQUE.search(bare):
+        check_calls(expr, frozenset(c.lower() for _, c in self.columns()))
+        if self.opaque(bare):
             return None
         if not self.resolves(expr, self.frame(extra=aliases)):
             raise ValueError(f"expression does not resolve: {expr}")
@@ -210,7 +290,8 @@ def output_policy(sources: list[tuple[str, str]] | None, tables: Mapping[str, _T
 def guard(request: Request, scope: Scope, tables: Mapping[str, _Table]) -> None:
     """Refuse a request that uses a protected column, or an alias of one, outside a projection.
 
-    A function, CASE or window over a protected column is refused as well.
+    A function, CASE or window over a protected column is refused as well. Outside the projection
+    an expression of unknown lineage counts as using every protected column.
     """
     # Names are matched across tables: a name protected in one table is protected in all.
     protected = {c.lower() for t in tables.values() for c, k in t.classes.items() if k != X.PUBLIC}
@@ -218,9 +299,11 @@ def guard(request: Request, scope: Scope, tables: Mapping[str, _Table]) -> None:
     aliases: dict[str, T.DataType] = {}
     carried: set[str] = set()
 
-    def check(expr: str) -> None:
+    def check(expr: str, projected: bool = False) -> None:
         found = scope.sources(expr, aliases)
-        if found is None:
+        if found is None and not projected:
+            restricted.update(protected)
+        elif found is None:
             bare = _LITERAL.sub("''", expr).lower()
             restricted.update(c for c in protected if re.search(rf"\b{re.escape(c)}\b", bare))
         else:
@@ -232,17 +315,17 @@ def guard(request: Request, scope: Scope, tables: Mapping[str, _Table]) -> None:
         for expr, name in _expand(item, tables):
             bare = _LITERAL.sub("''", expr)
             if not _PLAIN.match(expr) and not expr.startswith("`") and _CALL.search(bare):
-                check(expr)
+                check(expr, projected=True)
             found = scope.sources(expr)
             if found is None or any(c.lower() in protected for _, c in found):
                 carried.add(name)
     for item in request.select:
         for expr, name in _expand(item, tables):
-            aliases[name] = scope.frame().selectExpr(expr).schema[0].dataType
-    carried = {a for a in carried if not any(a.lower() == c.lower() for _, c in scope.columns())}
+            aliases[name] = scope.type_of(expr)
     for j in request.joins:
         if j.on:
             check(j.on)
+        restricted.update(c for c in j.using if c.lower() in protected)
     order = [re.sub(r"\s+(asc|desc)(\s+nulls\s+(first|last))?\s*$", "", o, flags=re.I) for o in request.order_by]
     for expr in (*request.where, *request.group_by, *request.having, *order):
         check(expr)
@@ -254,19 +337,23 @@ def _build(request: Request, tables: Mapping[str, _Table]) -> DataFrame:
     """The raw relational part of a request, as ordinary DataFrame operations."""
     df = tables[request.table].df.alias(request.table)
     for j in request.joins:
-        df = df.join(tables[j.table].df.alias(j.table), F.expr(j.on), j.how)
+        df = df.join(tables[j.table].df.alias(j.table), list(j.using) if j.using else F.expr(j.on), j.how)
     for w in request.where:
         df = df.where(F.expr(w))
     # Semi and anti joins do not add columns, so their tables cannot be selected from.
     seen = {n: tables[n] for n in [request.table, *[j.table for j in request.joins if "semi" not in j.how and "anti" not in j.how]]}
     items = [x for item in request.select for x in _expand(item, seen)]
     outputs = [F.expr(e).alias(n) for e, n in items]
+    order = [_sort_key(o) for o in request.order_by]
+    sorts: list[str] = []
     if request.group_by or request.having:
         keys = [F.expr(g) for g in request.group_by]
         named = [(e, n) for e, n in items if e not in request.group_by]
         df = df.groupBy(*[k.alias(f"__g{i}") for i, k in enumerate(keys)]).agg(
             *[F.expr(e).alias(n) for e, n in named] or [F.count(F.lit(1)).alias("__n")],
             *[F.expr(h).alias(f"__h{i}") for i, h in enumerate(request.having)],
+            # What is sorted by is an output, or computed along with the groups.
+            *[F.expr(o).alias(f"__o{i}") for i, (o, _, _) in enumerate(map(_sort_parts, request.order_by)) if not _is_output(o, items, request)],
         )
         for i in range(len(request.having)):
             df = df.where(F.col(f"__h{i}"))
@@ -274,21 +361,32 @@ def _build(request: Request, tables: Mapping[str, _Table]) -> DataFrame:
         outputs = [
             F.col(f"__g{position[e]}").alias(n) if e in position else F.col(f"`{n}`") for e, n in items
         ]
-        df = df.select(*outputs)
+        sorts = [c for c in df.columns if c.startswith("__o")]
+        order = [_directed(F.col(f"__o{i}") if f"__o{i}" in sorts else F.col(f"`{_is_output(o, items, request)}`"), down, nulls) for i, (o, down, nulls) in enumerate(map(_sort_parts, request.order_by))]
+        df = df.select(*outputs, *sorts)
         outputs = None
-    order = [_sort_key(o) for o in request.order_by]
     if outputs is not None:
         # Sorting after the projection resolves aliases and still sees the input columns.
         df = df.select(*outputs)
     if request.distinct:
         df = df.distinct()
-    return df.orderBy(*order) if order else df
+    return (df.orderBy(*order) if order else df).drop(*sorts)
 
 
-def _sort_key(text: str) -> Column:
+def _is_output(expr: str, items: list[tuple[str, str]], request: Request) -> str | None:
+    """Name of the output that an expression to sort by names."""
+    bare = expr.strip("`")
+    named = next((n for _, n in items if n.lower() == bare.lower()), None)
+    return named or next((n for e, n in items if e == expr and e in request.group_by), None)
+
+
+def _sort_parts(text: str) -> tuple[str, bool, str]:
+    """Expression, whether descending, and where nulls go."""
     m = re.match(r"^(.*?)(?:\s+(asc|desc))?(?:\s+nulls\s+(first|last))?\s*$", text.strip(), re.I | re.S)
-    c = F.expr(m[1])
-    down, nulls = (m[2] or "").lower() == "desc", (m[3] or "").lower()
+    return m[1], (m[2] or "").lower() == "desc", (m[3] or "").lower()
+
+
+def _directed(c: Column, down: bool, nulls: str) -> Column:
     if nulls == "first":
         return c.desc_nulls_first() if down else c.asc_nulls_first()
     if nulls == "last":
@@ -296,27 +394,34 @@ def _sort_key(text: str) -> Column:
     return c.desc() if down else c.asc()
 
 
+def _sort_key(text: str) -> Column:
+    expr, down, nulls = _sort_parts(text)
+    return _directed(F.expr(expr), down, nulls)
+
+
 def resolve(
     tables: Mapping[str, DataFrame],
     request: Request,
     declared: Mapping[str, str] | None = None,
+    most_columns: int | None = MAX_COLUMNS,
 ) -> tuple[DataFrame, dict[str, Policy]]:
     """(raw rows, policy per output column) of a request that passed the guard."""
     declared = dict(declared or {})
     held = {
         n: _Table(d, {c: N.declared_class(c, declared) for c in d.columns}) for n, d in tables.items()
     }
-    return _resolve(held, request, declared)
+    return _resolve(held, request, declared, most_columns)
 
 
-def _resolve(held: dict[str, _Table], request: Request, declared: Mapping[str, str]):
+def _resolve(held: dict[str, _Table], request: Request, declared: Mapping[str, str], most_columns: int | None):
     held = dict(held)
     for name, inner in request.ctes.items():
-        df, policies = _resolve(held, inner, declared)
+        df, policies = _resolve(held, inner, declared, most_columns)
         held[name] = _Table(df, {c: p.cls for c, p in policies.items()})
     used = {n: held[n] for n in [request.table, *[j.table for j in request.joins]]}
     spark = held[request.table].df.sparkSession
-    scope = Scope(spark, {n: t.df.schema for n, t in used.items()})
+    shared = frozenset(c.lower() for j in request.joins for c in j.using)
+    scope = Scope(spark, {n: t.df.schema for n, t in used.items()}, shared)
     guard(request, scope, used)
     policies: dict[str, Policy] = {}
     visible = {n: t for n, t in used.items() if not any(j.table == n and ("semi" in j.how or "anti" in j.how) for j in request.joins)}
@@ -325,11 +430,14 @@ def _resolve(held: dict[str, _Table], request: Request, declared: Mapping[str, s
             if name in policies:
                 raise ValueError(f"output column {name} is named twice")
             policies[name] = output_policy(scope.sources(expr), used, name, declared)
-    if len(policies) > MAX_COLUMNS:
-        raise ValueError(f"a result has at most {MAX_COLUMNS} columns")
-    df = _build(request, used)
+    if most_columns is not None and len(policies) > most_columns:
+        raise ValueError(f"a result has at most {most_columns} columns")
+    try:
+        df = _build(request, used)
+    except AnalysisException as error:
+        raise ValueError("the request does not resolve") from error
     for other in request.union_all:
-        more, theirs = _resolve(held, other, declared)
+        more, theirs = _resolve(held, other, declared, most_columns)
         if len(theirs) != len(policies):
             raise ValueError("all parts of a union have the same number of columns")
         df = df.union(more)
@@ -362,14 +470,13 @@ def shaped(df: DataFrame, mode: str) -> DataFrame:
     return df.select(*out)
 
 
-def bound(df: DataFrame, max_rows: int = DEFAULT_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
+def bound(df: DataFrame, max_rows: int = DEFAULT_ROWS, max_bytes: int = MAX_BYTES, most_rows: int | None = MAX_ROWS) -> DataFrame:
     """First rows within a row and a byte limit, with ``row_number``, ``running_bytes`` and the
     reason when the answer is cut.
 
     ``limit`` ends the distributed part: the running total only ever sees ``max_rows + 1`` rows.
     """
-    if not 1 <= max_rows <= MAX_ROWS:
-        raise ValueError(f"max_rows lies between 1 and {MAX_ROWS}")
+    _check_rows(max_rows, most_rows)
     cells = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(4)) for c in df.columns]
     size = F.lit(len(df.columns) * 3 + 2)
     for c in cells:
@@ -389,19 +496,26 @@ def bound(df: DataFrame, max_rows: int = DEFAULT_ROWS, max_bytes: int = MAX_BYTE
     return kept.drop("__total", "__bytes")
 
 
+def _check_rows(max_rows: int, most_rows: int | None) -> None:
+    if max_rows < 1 or most_rows is not None and max_rows > most_rows:
+        raise ValueError(f"max_rows lies between 1 and {most_rows}")
+
+
 def protected_select(
     tables: Mapping[str, DataFrame],
     request: Request,
     key: Key,
     declared: Mapping[str, str] | None = None,
+    max_bytes: int = MAX_BYTES,
+    most_rows: int | None = MAX_ROWS,
+    most_columns: int | None = MAX_COLUMNS,
 ) -> DataFrame:
     """Bounded, masked answer to a request."""
-    if not 1 <= request.max_rows <= MAX_ROWS:
-        raise ValueError(f"max_rows lies between 1 and {MAX_ROWS}")
-    df, policies = resolve(tables, request, declared)
+    _check_rows(request.max_rows, most_rows)
+    df, policies = resolve(tables, request, declared, most_columns)
     # Bounding before masking keeps the keyed work to the rows that are returned.
     masked = mask(df.limit(request.max_rows + 1), policies, key, declared)
-    return bound(shaped(masked, request.value_mode), request.max_rows)
+    return bound(shaped(masked, request.value_mode), request.max_rows, max_bytes, most_rows)
 
 
 def protected_rows(

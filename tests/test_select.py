@@ -64,6 +64,75 @@ def test_an_alias_does_not_declassify(people, key, item, secret):
         assert all(secret not in str(v) for v in row)
 
 
+STARS = ["concat_ws('|', p.*)", "concat('|', *)", "coalesce(p.*)", "hash(p.*)", "to_json(struct(*))", "to_json(struct(p.*))", "to_json(p)", "struct(p.*)", "cast(p AS string)", "concat(p . *)", "named_struct('a', p)", "`p`", "P"]
+
+
+@pytest.mark.parametrize("expr", STARS)
+def test_whole_rows_have_unknown_lineage(people, key, expr):
+    """A star inside a call, or a table's name as a value: never in the clear, never in a predicate."""
+    secrets = ("Ann", "Lee", "hunter2", "08123456")
+    inner = P.Request(table="p", select=("id", f"{expr} AS x"))
+    for request in (inner, P.Request(table="c", ctes={"c": inner}, select=("id", "x")), P.Request(table="p", select=("id", "code"), union_all=(inner,))):
+        try:
+            rows = P.protected_rows({"p": people}, request, key).collect()
+        except ValueError:
+            continue
+        assert not any(s in str(v) for r in rows for v in r for s in secrets)
+    clauses = [dict(where=(f"{expr} LIKE '%Ann%'",)), dict(order_by=(expr,)), dict(group_by=(expr,), select=("count(*) AS n",)), dict(group_by=("grp",), select=("grp",), having=(f"max({expr}) > 'a'",)), dict(joins=(P.Join("q", f"{expr} = q.note2"),), select=("p.id",))]
+    for clause in clauses:
+        with pytest.raises(ValueError):
+            answer(people, key, **{"select": ("id",)} | clause)
+    with pytest.raises(ValueError):
+        P.resolve({"p": people}, P.Request(table="c", ctes={"c": inner}, select=("id",), order_by=("x",)))
+
+
+def test_an_alias_that_shadows_an_input_name_stays_protected(people, key):
+    for order in ("code desc", "CODE", "`code` asc nulls last"):
+        with pytest.raises(P.RestrictedUse):
+            answer(people, key, select=("id", "phone AS code"), order_by=(order,))
+
+
+@pytest.mark.parametrize("expr", ["java_method('java.lang.System', 'getProperty', 'user.name')", "reflect('java.lang.System', 'exit')", "input_file_name()", "system.builtin.upper(code)", "`java_method`('a', 'b')", "current_user", "(SELECT 1)", "EXISTS (SELECT 1)", "sha2(code, 256)", "transform(array(code), x -> x)"])
+def test_calls_off_the_allow_list(people, key, expr):
+    with pytest.raises(P.RefusedExpression):
+        answer(people, key, select=("id", f"{expr} AS x"))
+    with pytest.raises(P.RefusedExpression):
+        answer(people, key, select=("id",), where=(f"{expr} = 'x'",))
+
+
+def test_words_that_call_nothing(people, key):
+    rows = answer(people, key, select=("id", "case when (grp > 1) and (id in (1, 2)) then cast(id as decimal(5, 1)) end AS x", "sum(id) over (partition by grp) AS s", "id * (grp + 1) AS m"), where=("not (id between 1 and 3) or (code like ('x1'))",)).collect()
+    assert len(rows) == 28
+
+
+def test_a_failed_probe_leaves_errors_and_logs_alone(people, spark):
+    from pyspark.errors import AnalysisException
+
+    P.lineage({"p": people}, ["upper(code) AS u"])
+    with pytest.raises(AnalysisException):
+        people.select(F.col("missing")).schema
+    with pytest.raises(AnalysisException):
+        spark.sql("select missing from values (1) as t(a)").schema
+
+
+def test_joins_by_columns_and_order_by_aggregates(people, key):
+    tables = {"p": people, "q": people.select("id", "phone", F.col("code").alias("other"))}
+    rows = P.protected_rows(tables, P.Request(table="p", joins=(P.Join("q", using=("id",)),), select=("id", "other"), order_by=("id desc",)), key).collect()
+    assert [r.id for r in rows] == list(range(29, -1, -1))
+    with pytest.raises(P.RestrictedUse):
+        P.resolve(tables, P.Request(table="p", joins=(P.Join("q", using=("phone",)),), select=("p.id",)))
+    grouped = P.Request(table="p", select=("grp", "count(*) AS n"), group_by=("grp",), order_by=("sum(id) desc", "grp"))
+    assert [tuple(r) for r in P.protected_rows(tables, grouped, key).collect()] == [(2, 10), (1, 10), (0, 10)]
+    with pytest.raises(P.RestrictedUse):
+        P.resolve(tables, P.Request(table="p", select=("grp",), group_by=("grp",), order_by=("max(phone)",)))
+
+
+def test_limits_can_be_lifted(people, key):
+    many = people.sparkSession.range(700).withColumn("code", F.lit("a"))
+    request = P.Request(table="m", select=tuple(f"id AS c{i}" for i in range(60)), max_rows=650)
+    assert P.protected_select({"m": many}, request, key, max_bytes=1 << 30, most_rows=None, most_columns=None).count() == 650
+
+
 def test_lineage(people):
     got = P.lineage({"p": people}, ["id", "first_name || last_name AS n", "grp + 1 AS g", "get_json_object(props, '$.a') AS j", "upper(code) AS u", "'id' AS lit", "case when grp > 1 then id end AS c"])
     assert got == {"id": ["id"], "n": ["first_name", "last_name"], "g": ["grp"], "j": None, "u": ["code"], "lit": [], "c": ["grp", "id"]}
