@@ -174,35 +174,34 @@ COLUMNS = f"""
 select o.object_id, o.schema_name, o.object_name as table_name, c.ordinal,
        split_part('ROLE_ID,USERNAME,CONTENT_ID,STATUS,BODY,PUBLISHED_AT,CODE_NO', ',', c.ordinal) as column_name,
        split_part('bigint,string,bigint,string,string,timestamp,int', ',', c.ordinal) as data_type
-from (select distinct l_partkey, l_linenumber as ordinal from {{lineitem}} where l_returnflag = 'A') c
+from (select distinct l_partkey, l_linenumber as ordinal from {{lineitem}}) c
 join ({OBJECTS}) o on o.p_partkey = c.l_partkey"""
 
-# Dependencies: the object of a line item's part uses the object numbered like its supplier.
+# Dependencies: the object of a line item's part uses the object numbered like its supplier, and
+# every fourth one a single object.
 EDGES = f"""
 select s.object_id as source_object_id, t.object_id as target_object_id,
        case l_returnflag when 'A' then 'routine_read' when 'N' then 'foreign_key' else 'routine_write' end as edge_type
 from {{lineitem}} l
 join ({OBJECTS}) s on s.p_partkey = l.l_partkey
-join ({OBJECTS}) t on t.p_partkey = l.l_suppkey
-where l_linenumber <= 3"""
+join ({OBJECTS}) t on t.p_partkey = case when l_partkey % 4 = 0 then 1 + l_partkey % 10 else l_suppkey end"""
 
-# Foreign keys: one per (part, line number); constraints on the first two columns.
+# Foreign keys: one to three per part, and constraints on one to four columns, from all line items.
 FOREIGN_KEYS = f"""
 select 'FK_' || cast(k.l_partkey as string) || '_' || cast(k.ordinal as string) as name,
        s.object_id as source_object_id, coalesce(t.object_id, 'table:gone.T' || cast(k.target as string)) as target_object_id,
-       split_part('ROLE_ID,USERNAME,CONTENT_ID', ',', k.ordinal) as source_column, 'ID' as target_column, k.ordinal
-from (select l_partkey, l_linenumber as ordinal, max(l_suppkey) * 21 as target from {{lineitem}}
-      where l_linenumber <= 3 and l_returnflag <> 'R' and l_tax < 0.02 group by l_partkey, l_linenumber) k
+       split_part('ROLE_ID,USERNAME,CONTENT_ID', ',', cast(k.ordinal as int)) as source_column, 'ID' as target_column, k.ordinal
+from (select l_partkey, 1 + l_linenumber % (1 + l_partkey % 3) as ordinal, max(l_suppkey) * 21 as target from {{lineitem}}
+      group by l_partkey, 1 + l_linenumber % (1 + l_partkey % 3)) k
 join ({OBJECTS}) s on s.p_partkey = k.l_partkey
 left join ({OBJECTS}) t on t.p_partkey = k.target"""
 
 CONSTRAINT_ROWS = f"""
 select o.object_id, case when k.ordinal = 3 then 'UQ_' else 'PK_' end || o.object_name as constraint_name,
        case when k.ordinal = 3 then 'UNIQUE' else 'primary key' end as constraint_type,
-       split_part('role_id,username,content_id', ',', k.ordinal) as column_name, k.ordinal,
+       split_part('role_id,username,content_id,status', ',', cast(k.ordinal as int)) as column_name, k.ordinal,
        case when k.ordinal = 3 then 'CONTENT_ID > 0' end as expression
-from (select distinct l_partkey, l_linenumber as ordinal from {{lineitem}}
-      where l_linenumber <= 3 and l_returnflag = 'R' and l_discount < 0.03) k
+from (select distinct l_partkey, 1 + l_linenumber % (1 + l_partkey % 4) as ordinal from {{lineitem}}) k
 join ({OBJECTS}) o on o.p_partkey = k.l_partkey"""
 
 # Index rows from customers, entries from customers with orders and from suppliers.

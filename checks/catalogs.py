@@ -130,7 +130,7 @@ def carried_forward(t: Tables):
 
 _CONTEXTS = """select o_custkey as context, case when o_custkey % 7 = 0 then 'failed' else 'synced' end as status, count(*) as added, sum(case when o_orderstatus = 'F' then 1 else 0 end) as changed,
  sum(case when o_orderstatus = 'O' then 1 else 0 end) as deleted, max(o_orderkey) as reused, min(o_orderkey) as refreshed, true as complete from {orders} group by o_custkey"""
-_SKIPS = "select o_orderpriority as reason, count(*) as n from {orders} where o_orderstatus = 'P' group by o_orderpriority"
+_SKIPS = "select o_orderpriority as reason, sum(case when o_orderstatus = 'P' then 1 else 0 end) as n from {orders} group by o_orderpriority"
 _SUMS = ", ".join(f"CAST(sum({c}) FILTER (status = 'synced') AS BIGINT) AS {c}" for c in ("added", "changed", "deleted", "reused", "refreshed"))
 
 
@@ -198,11 +198,10 @@ def sample_per_nation(t: Tables):
 
 @check(
     "sample_shortage",
-    "SELECT 20 AS requested_count, least(20, count(*)) AS actual_count, CASE WHEN count(*) < 20 THEN 'source_returned_fewer_rows' END AS shortage_reason, true AS deterministic FROM orders WHERE o_orderstatus = 'P' AND o_totalprice < 3000",
+    "SELECT 20 AS requested_count, least(20, count(*)) AS actual_count, CASE WHEN count(*) < 20 THEN 'source_returned_fewer_rows' END AS shortage_reason, true AS deterministic FROM region",
 )
 def sample_shortage(t: Tables):
-    rows = t.orders.where("o_orderstatus = 'P' and o_totalprice < 3000")
-    return C.sample_status(C.sample(rows, 20, primary=["o_orderkey"]), 20, True)
+    return C.sample_status(C.sample(t.region, 20, primary=["r_regionkey"]), 20, True)
 
 
 _PRELIM = "CASE WHEN len(list_filter(string_split(lower(object_name), '_'), lambda x: x <> '')) >= 2 AND regexp_matches(list_filter(string_split(lower(object_name), '_'), lambda x: x <> '')[1], '^[a-z][a-z0-9]*$') THEN list_filter(string_split(lower(object_name), '_'), lambda x: x <> '')[1] END"
@@ -225,8 +224,8 @@ def category_preview(t: Tables):
     return rows.withColumn("representative_names", F.array_join("representative_names", ","))
 
 
-FINAL = f"""select object_id, case when p_partkey % 11 = 3 then null when object_name like 'LUT%' then 'lut' when object_name like 'UM%' then 'um' when object_name like 'CONTENT%' then 'content' end as category,
- case when p_partkey % 11 = 3 then 'final_unresolved' when p_partkey % 5 = 0 then 'final_suggested' else 'final_confirmed' end as status from ({OBJECTS}) x where object_name not like '%GEAR%'"""
+FINAL = f"""select case when object_name like '%GEAR%' then 'gone.' || object_id else object_id end as object_id, case when p_partkey % 11 = 3 then null when object_name like 'LUT%' then 'lut' when object_name like 'UM%' then 'um' when object_name like 'CONTENT%' then 'content' end as category,
+ case when p_partkey % 11 = 3 then 'final_unresolved' when p_partkey % 5 = 0 then 'final_suggested' else 'final_confirmed' end as status from ({OBJECTS}) x"""
 _JOINED = f"{ctes(o=OBJECTS, f=FINAL)}, j AS (SELECT o.object_id, o.object_type, o.object_name, o.modified_at, f.object_id IS NOT NULL AS known, f.category AS fc, f.status, {_PRELIM.replace('object_name', 'o.object_name')} AS prelim FROM o LEFT JOIN f ON f.object_id = o.object_id)"
 _LOOSE = "CASE WHEN known THEN fc ELSE prelim END"
 _SURE = "CASE WHEN status = 'final_confirmed' THEN fc END"
@@ -303,8 +302,10 @@ def retention(t: Tables):
     return C.retention(t.sql(RECORDS), t.sql(_PINS), F.expr(_NOW)).select("record_id", "status")
 
 
-_FAILURES = f"""select object_id, case p_partkey % 3 when 0 then 'analysis' when 1 then 'sample' else 'dependencies' end as stage, 'E' as error_code from ({OBJECTS}) x where object_name like '%GEAR%'"""
-_GOOD = f"select * from ({OBJECTS}) x where not (object_name like '%GEAR%' and p_partkey % 3 = 0)"
+# All objects, marked with the stage that failed for them, if any.
+_MARKED = f"""select x.*, case when object_name like '%GEAR%' then case p_partkey % 3 when 0 then 'analysis' when 1 then 'sample' else 'dependencies' end end as stage, 'E' as error_code from ({OBJECTS}) x"""
+_FAILURES = f"select object_id, stage, error_code from ({_MARKED}) m where stage is not null"
+_GOOD = f"select * from ({_MARKED}) m where coalesce(stage, '') <> 'analysis'"
 _STATUS = f"""{ctes(g=_GOOD, f=_FAILURES)}, s AS (SELECT (SELECT count(*) FROM g) AS analysed, (SELECT count(*) FROM f WHERE stage = 'analysis') AS failed, (SELECT count(*) FROM f WHERE stage = 'sample') AS fs,
  (SELECT count(*) FROM f WHERE stage = 'dependencies') AS fd, (SELECT count(*) FROM g WHERE split_part(lower(object_name), '_', 1) IN ('lut', 'um')) AS materialised)"""
 

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from checks.base import ENTRIES, FILES, INDEX, OBJECTS, Tables, check, ctes, set_hash_sql, sha_text, with_lists
 from checks.catalogs import FINAL
 from checks.objectgraph import RULES
-from tableguard.operators import bundle as B, corpus as CO, index as I
+from checks.texts import _ASSIGN, _BEARER, _DONE, _GATED, _n, _secret_steps
+from tableguard.operators import bundle as B, corpus as CO, index as I, texts as TX
 
 _OWNED = ["context", "description", "tags_csv", "classification_status", "classification_source"]
 _TECH = ["source_fingerprint", "content_hash", "managed_relative_path", "header_version", "output_format_version", "evidence_csv"]
@@ -212,6 +213,12 @@ def folder_plan(t: Tables):
     return CO.folder_plan(_folder(t), RULES, "parquet").select("path", "destination", "object_id", "context", "problem")
 
 
+def _moved(t: Tables):
+    """All files, some of them at another place than expected."""
+    path = F.when(F.col("path").contains("ANVIL"), F.concat(F.lit("moved/"), "path")).otherwise(F.col("path"))
+    return _corpus(t).select(path.alias("path"), "content")
+
+
 def _managed(t: Tables):
     """An index and the files it points to; some files drifted."""
     idx = _headers(t).withColumn("managed_relative_path", F.concat("schema_name", F.lit("/"), "object_name", F.lit(".sql")))
@@ -223,7 +230,7 @@ def _managed(t: Tables):
     f"""{ctes(h=_HEADER_FIELDS)} SELECT object_id, CASE p_partkey % 6 WHEN 1 THEN 'header_invalid' WHEN 2 THEN 'header_invalid' WHEN 3 THEN 'body_differs' WHEN 4 THEN 'body_differs' ELSE NULL END AS drift FROM h WHERE NOT contains(object_name, 'ANVIL') UNION ALL SELECT object_id, 'file_missing' FROM h WHERE contains(object_name, 'ANVIL')""",
 )
 def generation_drift(t: Tables):
-    corpus = CO.parse_header(_corpus(t).where("path not like '%ANVIL%'").select("path", "content"))
+    corpus = CO.parse_header(_moved(t))
     return I.generation_plan(_managed(t), corpus, include_unresolved=True).select("object_id", "drift")
 
 
@@ -237,9 +244,9 @@ def corpus_drift(t: Tables):
     digest = F.concat(F.lit("sha256:"), F.sha2("content", 256))
     header = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CO.HEADER.fields])
     plan = full.select(path.alias("destination"), "object_id", digest.alias("output_hash"), header.alias("header"))
-    manifest = full.where("object_type <> 'table'").select(path.alias("path"), digest.alias("sha256"))
-    files = _corpus(t).where("path not like '%ANVIL%'").select("path", "content")
-    return CO.corpus_drift(plan, files, manifest).select("destination", "reason")
+    listed = F.when(F.col("object_type") == "table", F.concat(F.lit("old/"), path)).otherwise(path)
+    manifest = full.select(listed.alias("path"), digest.alias("sha256"))
+    return CO.corpus_drift(plan, _moved(t), manifest).select("destination", "reason")
 
 
 # Output bundles -----------------------------------------------------------------------------------
@@ -333,8 +340,8 @@ def unmanaged_conflicts(t: Tables):
     return B.unmanaged_conflicts(existing.select("path", "sha256").distinct(), inv.where("batch < 'src2'"), incoming.select("path", "sha256").distinct()).distinct()
 
 
-_DECL = "select cast(doc_id as string) as path, n_chars as size_bytes, case when doc_id % 13 = 0 then 'x' else lang end as sha256 from {documents} where source <> 'src3'"
-_REAL = "select cast(doc_id as string) as path, case when doc_id % 11 = 0 then n_chars + 1 else n_chars end as size_bytes, lang as sha256 from {documents} where source <> 'src11'"
+_DECL = "select case when source = 'src3' then 'old/' else '' end || cast(doc_id as string) as path, n_chars as size_bytes, case when doc_id % 13 = 0 then 'x' else lang end as sha256 from {documents}"
+_REAL = "select case when source = 'src11' then 'new/' else '' end || cast(doc_id as string) as path, case when doc_id % 11 = 0 then n_chars + 1 else n_chars end as size_bytes, lang as sha256 from {documents}"
 
 
 @check(
@@ -362,13 +369,13 @@ def reconciliation(t: Tables):
 
 @check(
     "masking_report",
-    f"SELECT CAST(sum(len(regexp_extract_all(text, '(?i)(?:password|passwd|pwd|secret|api[_-]?key|token)\\s*=\\s*(?:''[^''\\n]*''|\"[^\"\\n]*\")')) + len(regexp_extract_all(text, '(?i)bearer\\s+[A-Za-z0-9._~-]+'))) AS BIGINT) AS secret_literals_redacted, (SELECT count(*) FROM documents WHERE lang = 'de') AS objects_skipped_security FROM documents",
+    f"""{ctes(gated=_GATED)}, {_secret_steps('gated', 'text', 'doc_id')}, again AS (SELECT secrets, {_n('clean', _ASSIGN)} - {_n('clean', _DONE)} + {_n('clean', _BEARER)} AS residual FROM s3)
+SELECT CAST(sum(secrets) AS BIGINT) AS secret_literals_redacted, count(*) FILTER (residual > 0) AS objects_skipped_security FROM again""",
 )
 def masking_report(t: Tables):
-    from tableguard.operators.texts import redact_corpus
-
-    rows = redact_corpus(t.documents.select("doc_id", "text"), "text")
-    report = B.masking_report(rows, t.documents.where("lang = 'de'"))
+    gated = t.sql(_GATED)
+    rows, (_, skipped) = TX.redact_corpus(gated, "text"), TX.residual_gate(gated, "text")
+    report = B.masking_report(rows, skipped)
     return report.select(F.col("secret_literals_redacted").cast("long"), "objects_skipped_security")
 
 

@@ -144,7 +144,7 @@ def neighbourhood_vote(t: Tables):
 
 
 # Sample pages: the column names of objects that have some.
-_SAMPLES = f"select object_id, string_agg(column_name, ' ') as names from ({COLUMNS}) x where ordinal < 6 group by object_id"
+_SAMPLES = f"select object_id, string_agg(column_name, ' ') as names from ({COLUMNS}) x group by object_id"
 _SHAPES = " UNION ALL ".join(
     f"SELECT object_id, '{r['name']}' AS category, 0.68::DOUBLE AS confidence, 'sample_shape' AS kind, 'sanitized sample column shape' AS summary, false AS authoritative, 5 AS seq FROM s WHERE "
     + " OR ".join(f"contains(lower(names), '{k}')" for k in r["column_keywords"])
@@ -224,7 +224,7 @@ def sources_and_tags(t: Tables):
     return O.source_and_tags(_final(t), t.sql(OBJECTS)).withColumn("tags", F.array_join("tags", ","))
 
 
-_OVERRIDE_ROWS = f"select object_id, case when length(object_id) % 2 = 0 then 'um' else 'content' end as override from ({OBJECTS}) x where object_type = 'procedure'"
+_OVERRIDE_ROWS = f"select case when object_type = 'procedure' then object_id else 'gone.' || object_id end as object_id, case when length(object_id) % 2 = 0 then 'um' else 'content' end as override from ({OBJECTS}) x"
 
 
 @check(
@@ -238,7 +238,7 @@ def owner_overrides(t: Tables):
 # Proposals: one per order, citing evidence of the object of its customer number.
 _PROPOSALS = f"""select o_orderkey as proposal_id, coalesce(object_id, 'table:gone.' || cast(o_orderkey as string)) as object_id, case o_orderkey % 7 when 0 then 'other' when 1 then 'lut' else 'um' end as category,
  'ev_' || cast(o_custkey as string) as cited, case when o_orderkey % 5 = 0 then 'ev_' || cast(o_custkey + 1 as string) end as cited_too from {{orders}} left join ({OBJECTS}) x on p_partkey = o_custkey"""
-_KNOWN = f"select 'ev_' || cast(p_partkey as string) as evidence_id, object_id from ({OBJECTS}) x where object_name not like '%GEAR%'"
+_KNOWN = f"select 'ev_' || cast(p_partkey as string) as evidence_id, case when object_name like '%GEAR%' then 'gone.' || object_id else object_id end as object_id from ({OBJECTS}) x"
 _MARKED = f"""{ctes(p=_PROPOSALS, k=_KNOWN, o=OBJECTS)}, m AS (SELECT p.proposal_id, p.object_id, p.category, p.object_id IN (SELECT object_id FROM o) AND category IN ('lut', 'um', 'content')
  AND EXISTS (SELECT 1 FROM k WHERE k.evidence_id = p.cited AND k.object_id = p.object_id) AND (cited_too IS NULL OR EXISTS (SELECT 1 FROM k WHERE k.evidence_id = p.cited_too AND k.object_id = p.object_id)) AS accepted FROM p)"""
 
@@ -279,7 +279,7 @@ def corpus_classes(t: Tables):
 # Graph ----------------------------------------------------------------------------------------
 
 _PLAN = f"pl AS (SELECT o.object_id, f.category AS fc, coalesce(CASE WHEN f.object_id IS NOT NULL THEN f.category ELSE split_part(lower(o.object_name), '_', 1) END IN ('lut', 'um'), false) AS included FROM o LEFT JOIN f USING (object_id)), inside AS (SELECT object_id FROM pl WHERE included)"
-_CONF = "conf AS (SELECT object_id, category FROM f WHERE status = 'final_confirmed' AND category IS NOT NULL)"
+_CONF = "conf AS (SELECT object_id, category FROM f WHERE status = 'final_confirmed' AND category IS NOT NULL AND object_id IN (SELECT object_id FROM o))"
 _GRAPH = f"{ctes(o=OBJECTS, f=FINAL, c=COLUMNS, fk=FOREIGN_KEYS, cr=CONSTRAINT_ROWS, e=EDGES)}, {_PLAN}, {_CONF}"
 
 
@@ -391,6 +391,7 @@ def cardinality_parts_items(t: Tables):
     return G.infer_cardinality(t.lineitem, t.lineitem, ["l_suppkey"], ["l_partkey"])
 
 
-@check("orphan_keys", "SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY o_custkey")
+@check("orphan_keys", "SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT CASE WHEN c_acctbal > 0 THEN c_custkey ELSE -c_custkey END FROM customer) GROUP BY o_custkey")
 def orphan_keys(t: Tables):
-    return G.orphan_keys(t.orders, t.customer.where("c_acctbal > 0"), ["o_custkey"], ["c_custkey"])
+    parents = t.customer.select(F.when(F.col("c_acctbal") > 0, F.col("c_custkey")).otherwise(-F.col("c_custkey")).alias("c_custkey"))
+    return G.orphan_keys(t.orders, parents, ["o_custkey"], ["c_custkey"])

@@ -264,14 +264,14 @@ def fake_names(t: Tables):
 
 @check(
     "fake_titled_names",
-    f"""{ctes(contacts=CONTACTS)}, m AS (SELECT contact, trim(contact) AS w FROM contacts WHERE regexp_matches(contact, '^(Mr|Dr)')),
-p AS (SELECT contact, w, regexp_extract(w, '^(Mr|Dr)', 1) AS title, regexp_matches(w, '^(?:Mr|Dr)\\.? [A-Z][a-z]+ [A-Z]') AS two, {_name_digest('given', 'w')} AS g, {_name_digest('family', 'w')} AS f FROM m)
-SELECT contact, title || ' ' || {pool_sql(X.LATIN_GIVEN, 'g')} || CASE WHEN two THEN ' ' || {pool_sql(X.LATIN_FAMILY, 'f')} ELSE '' END AS fake, count(*) AS n FROM p GROUP BY ALL""",
+    f"""{ctes(contacts=CONTACTS)}, m AS (SELECT contact, trim(contact) AS w FROM contacts),
+t AS (SELECT *, regexp_extract(w, '^(Mr|Dr)', 1) AS title, regexp_matches(w, '^(?:Mr|Dr)\\.? [A-Z][a-z]+ [A-Z]') AS two FROM m), s AS (SELECT *, CASE WHEN title <> '' THEN w ELSE contact END AS said FROM t),
+p AS (SELECT *, {_name_digest('given', 'said')} AS g, {_name_digest('family', 'said')} AS f FROM s)
+SELECT contact, CASE WHEN title <> '' THEN title || ' ' ELSE '' END || {pool_sql(X.LATIN_GIVEN, 'g')} || CASE WHEN two OR title = '' THEN ' ' || {pool_sql(X.LATIN_FAMILY, 'f')} ELSE '' END AS fake, count(*) AS n FROM p GROUP BY ALL""",
 )
 def fake_titled_names(t: Tables):
     # Public binary passes unchanged, so it carries the original next to the fake.
-    contacts = t.sql(CONTACTS).where(F.col("contact").rlike("^(Mr|Dr)"))
-    pairs = contacts.select(F.encode("contact", "UTF-8").alias("raw"), F.col("contact").alias("full_name"))
+    pairs = t.sql(CONTACTS).select(F.encode("contact", "UTF-8").alias("raw"), F.col("contact").alias("full_name"))
     titled = P.protect(pairs, None, t.key)
     rows = titled.select(F.decode("raw", "UTF-8").alias("contact"), F.col("full_name").alias("fake"))
     return rows.groupBy("contact", "fake").agg(F.count(F.lit(1)).alias("n"))

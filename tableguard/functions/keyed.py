@@ -1,7 +1,8 @@
 """Keyed digests and the fakes and aliases built from them, as native expressions.
 
-Only ``sha2``, ``concat``, integer arithmetic and ``CASE`` are used, so a protected column stays
-inside whole-stage code generation.
+Only ``sha2``, ``concat``, ``split``, integer arithmetic and ``CASE`` are used, so a protected column
+stays inside whole-stage code generation. The one exception is :func:`long_fake`, for values of
+more than 19 digits; callers keep it in a projection of its own.
 """
 
 from __future__ import annotations
@@ -72,7 +73,9 @@ def keyed_digest(cls: Column | str, value: Column | str, key: Key) -> Column:
 
 
 SHORT_DIGITS = 18  # longest run taken by the unrolled form
+SHORT_COUNT = SHORT_DIGITS + 1  # digits of the longest value written by it
 LONG_DIGITS = 72  # longest run one digest can always supply
+ALIAS_LENGTH = 10  # hex digits of an alias, unless another length is asked for
 _CHUNK = 9  # decimal digits per chunk
 _HEX = 15  # hex digits per limb: the most that fits a long
 _BITS = 20  # bits per part of a limb: keeps every sum of products inside a long
@@ -142,10 +145,18 @@ def _all_digits(digest: Column) -> Column:
     return F.when(digest.isNotNull(), F.array_join(padded, ""))
 
 
-def _tail(digest: Column, digits: Column, count: Column) -> Column:
-    """Last ``count`` digits for a per-row count; ``digits`` holds the last 18."""
-    long = F.right(_all_digits(digest), count)
-    return F.when(count <= SHORT_DIGITS, F.right(digits, count)).otherwise(long)
+def _chained_digits(digest: Column, count: Column) -> Column:
+    """Last ``count`` digits of the digest's number, its hash's number and so on, one after the other."""
+    start = F.struct(digest.alias("seed"), F.lit("").alias("out"))
+
+    def step(state: Column, _: Column) -> Column:
+        number = F.ltrim(_all_digits(state["seed"]), F.lit("0"))
+        more = F.struct(F.sha2(F.unhex(state["seed"]), 256).alias("seed"), F.concat(state["out"], number).alias("out"))
+        return F.when(F.length(state["out"]) < count, more).otherwise(state)
+
+    # A link adds 70 digits at least, but for a chance of one in 10^7.
+    rounds = F.sequence(F.lit(1), _div(count.cast("long"), 70).cast("int") + 2)
+    return F.right(F.aggregate(rounds, start, step)["out"], count)
 
 
 def digit_count(v: Column) -> Column:
@@ -160,19 +171,26 @@ def overlay_digits(v: Column, fresh: Column, count: Column) -> Column:
     tail = size - F.length(F.rtrim(v, ascii_digits))
     gap = F.substr(v, head + 1, size - head - tail)
     split_once = F.concat(F.left(fresh, head), gap, F.right(fresh, tail))
+    # More gaps: the pieces between the digits, with the new digits written out between them.
+    pieces = F.split(v, r"\p{Nd}", -1)
+    parts = [F.element_at(pieces, 1)]
+    for i in range(1, SHORT_COUNT + 1):
+        parts += [F.substring(fresh, i, 1), F.coalesce(F.get(pieces, F.lit(i)), F.lit(""))]
+    return F.when(size == count, fresh).when(head + tail == count, split_once).otherwise(F.concat(*parts))
+
+
+def long_fake(v: Column, digest: Column, count: Column) -> Column:
+    """Fake of a value with any number of digits; null for one that the short form covers."""
+    fresh = F.concat(F.lit("0"), _chained_digits(digest, count - 1))
     woven = F.zip_with(
         F.split(v, r"\p{Nd}", -1), F.split(fresh, ""), lambda s, d: F.concat(s, F.coalesce(d, F.lit("")))
     )
-    return (
-        F.when(size == count, fresh)
-        .when(head + tail == count, split_once)
-        .otherwise(F.array_join(woven, ""))
-    )
+    return F.when(count > SHORT_COUNT, F.array_join(woven, ""))
 
 
-def fresh_digits(digest: Column, digits: Column, count: Column) -> Column:
-    """``count`` new digits, the first one 0; ``digits`` is ``digest_digits(digest)``."""
-    return F.concat(F.lit("0"), F.when(count > 1, _tail(digest, digits, count - 1)).otherwise(""))
+def fresh_digits(digits: Column, count: Column) -> Column:
+    """``count`` <= 19 new digits, the first one 0; ``digits`` holds the last 18 of a digest."""
+    return F.concat(F.lit("0"), F.when(count > 1, F.right(digits, count - 1)).otherwise(""))
 
 
 def fresh_thai_id(digits: Column) -> Column:
@@ -181,13 +199,15 @@ def fresh_thai_id(digits: Column) -> Column:
     return F.concat(twelve, check_digit(twelve).cast("string"))
 
 
-def write_digits(value: Column, fresh: Column, count: Column) -> Column:
-    """Fake of a value from its new digits; a value without digits is redacted."""
-    # Over 73 digits is no phone, card or account number.
-    unfit = (count == 0) | (count > LONG_DIGITS + 1)
-    return F.when(value.isNull(), F.lit(None).cast("string")).when(unfit, X.REDACTED).otherwise(
-        overlay_digits(value, fresh, count)
-    )
+def write_digits(value: Column, fresh: Column, count: Column, long: Column | None = None) -> Column:
+    """Fake of a value from its new digits; a value without digits is redacted.
+
+    ``long`` is ``long_fake`` of the value, needed where it may have more than 19 digits.
+    """
+    out = F.when(value.isNull(), F.lit(None).cast("string")).when(count == 0, X.REDACTED)
+    if long is not None:
+        out = out.when(count > SHORT_COUNT, long)
+    return out.otherwise(overlay_digits(value, fresh, count))
 
 
 def fake_digits(value: Column, digest: str) -> Column:
@@ -196,18 +216,28 @@ def fake_digits(value: Column, digest: str) -> Column:
     One expression for occasional use; ``operators.protect`` stages its parts as columns.
     """
     n = digit_count(value)
-    return write_digits(value, fresh_digits(F.col(digest), digest_digits(digest), n), n)
+    return write_digits(value, fresh_digits(digest_digits(digest), n), n, long_fake(value, F.col(digest), n))
 
 
 def fake_thai_id(value: Column, digest: str) -> Column:
     """13 digits with a valid check digit, starting with 0; other lengths become digit fakes."""
     n, digits = digit_count(value), digest_digits(digest)
-    fresh = F.when(n == 13, fresh_thai_id(digits)).otherwise(fresh_digits(F.col(digest), digits, n))
-    return write_digits(value, fresh, n)
+    fresh = F.when(n == 13, fresh_thai_id(digits)).otherwise(fresh_digits(digits, n))
+    return write_digits(value, fresh, n, long_fake(value, F.col(digest), n))
+
 
+def alias(digest: Column, suffix: str = "", length: int = ALIAS_LENGTH) -> Column:
+    return F.concat(F.lit("user_"), F.substring(digest, 1, length), F.lit(suffix))
 
-def alias(digest: Column, suffix: str = "") -> Column:
-    return F.concat(F.lit("user_"), F.substring(digest, 1, 10), F.lit(suffix))
+
+def alias_collisions(df: DataFrame, value: Column | str, key: Key, cls: str = X.USERNAME, length: int = ALIAS_LENGTH) -> DataFrame:
+    """How many distinct values share an alias of ``length`` hex digits with another one.
+
+    Ten digits are 40 bits: expect one pair of values in common from about a million values on.
+    """
+    digests = df.select(keyed_digest(cls, value, key).alias("h")).where("h is not null").distinct()
+    groups = digests.groupBy(F.substring("h", 1, length).alias("alias")).agg(F.count("*").alias("n"))
+    return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_values"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("n_shared"))
 
 
 def pick(pool: list[str], digest: Column) -> Column:

@@ -28,17 +28,43 @@ def folded(c: Column | str) -> Column:
 
 
 def as_text(c: Column | str, dtype: T.DataType) -> Column:
-    """Text of a value as it is hashed. Doubles keep plain notation up to 1e16."""
+    """Text of a value as it is hashed; the same as for a number inside JSON."""
     c = as_col(c)
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        plain = F.regexp_replace(c.cast("decimal(38,8)").cast("string"), r"(\.[0-9]+?)0+$", "$1")
-        big = (F.abs(c) >= 1e7) & (F.abs(c) < 1e16)
-        return F.when(big, plain).otherwise(c.cast("string"))
+        return float_text(c)
     if isinstance(dtype, T.BooleanType):
         return F.initcap(c.cast("string"))
     return c.cast("string")
 
 
+def float_text(c: Column) -> Column:
+    """Shortest digits of a floating-point number: plain from 1e-4 up to 1e16, else with exponent.
+
+    One rule for all sizes, ``1234567.5``, ``25000000.5``, ``1.5e+16``, ``1e-05``, made from the
+    digits of the engine's own text without rounding. (Virtual machines before version 19 give a
+    few numbers, such as 5e22, more digits than they need.)
+    """
+    text = c.cast("string")
+    sign = F.when(text.startswith("-"), "-").otherwise("")
+    number = F.ltrim(F.substring_index(text, "E", 1), F.lit("-"))
+    power = F.substring_index(text, "E", -1).try_cast("int")
+    first, rest = F.substring(number, 1, 1), F.substring(number, 3, 40)
+    rest = F.when(rest == "0", "").otherwise(rest)
+    digits, after = F.concat(first, rest), F.length(rest)
+    whole = F.concat(digits, F.repeat(F.lit("0"), power - after), F.lit(".0"))
+    split = F.concat(F.left(digits, power + 1), F.lit("."), F.substr(digits, power + 2))
+    size = F.abs(power).cast("string")
+    shown = F.concat(
+        first, F.when(after > 0, F.concat(F.lit("."), rest)).otherwise(""),
+        F.when(power < 0, "e-").otherwise("e+"), F.when(F.length(size) < 2, F.lpad(size, 2, "0")).otherwise(size),
+    )
+    scaled = F.when(power == -4, F.concat(F.lit("0.000"), digits)).when(power.between(7, 15), F.when(after <= power, whole).otherwise(split))
+    return (
+        F.when(text == "NaN", "nan").when(text == "Infinity", "inf").when(text == "-Infinity", "-inf")
+        .when(text.contains("E"), F.concat(sign, F.coalesce(scaled, shown))).otherwise(text)
+    )
+
+
 def classify_value(c: Column | str) -> Column:
     """Class of a whole string by its shape; ``public`` when it has none (or is null)."""
     v = stripped(c)

@@ -202,13 +202,16 @@ class _Plan:
             df = df.select("*", *limbs).select("*", *parts)
             fresh = []
             for c in numbers:
-                h, d, n = (F.col(c.temp(k)) for k in "hdn")
-                one = K.fresh_digits(h, d, n)
+                d, n = (F.col(c.temp(k)) for k in "dn")
+                one = K.fresh_digits(d, n)
                 national = (F.col(c.temp("c")) if c.cls == X.PUBLIC else F.lit(c.cls)) == X.NATIONAL_ID
                 if c.cls in (X.PUBLIC, X.NATIONAL_ID):
                     one = F.when(national & (n == 13), K.fresh_thai_id(d)).otherwise(one)
                 fresh.append(one.alias(c.temp("f")))
             df = df.select("*", *fresh)
+            # Only long values need lists, in a projection of its own.
+            long = [K.long_fake(self._text(c), F.col(c.temp("h")), F.col(c.temp("n"))).alias(c.temp("w")) for c in numbers if self._may_be_long(c)]
+            df = df.select("*", *long) if long else df
         loose = []
         for c in self.cells:
             if self._looked_at(c) and (self.scan_public or c.cls == X.FREE_TEXT):
@@ -222,8 +225,14 @@ class _Plan:
     def _text(self, c: _Cell) -> Column:
         return c.col if self._looked_at(c) else F.col(c.temp("x"))
 
+    def _may_be_long(self, c: _Cell) -> bool:
+        """Whether a value may have more than 19 digits. Whole numbers of 64 bits have no more, and
+        doubles 17 and three of the exponent."""
+        return not isinstance(c.dtype, (T.IntegralType, T.FloatType, T.DateType, T.BooleanType))
+
     def _number(self, c: _Cell) -> Column:
-        return K.write_digits(self._text(c), F.col(c.temp("f")), F.col(c.temp("n")))
+        long = F.col(c.temp("w")) if self._may_be_long(c) else None
+        return K.write_digits(self._text(c), F.col(c.temp("f")), F.col(c.temp("n")), long)
 
     def value(self, c: _Cell) -> Column:
         if self._looked_at(c):
@@ -350,7 +359,7 @@ def explain_masking(
     branches = None
     text = raw.cast("string")
     h = K.keyed_digest(F.col("__tg_cls"), text, key)
-    number = K.write_digits(text, F.col("__tg_f"), F.col("__tg_n"))
+    number = K.write_digits(text, F.col("__tg_f"), F.col("__tg_n"), F.col("__tg_w"))
     part = {
         X.PERSONAL_NAME: K.fake_name(column, text, key),
         X.NATIONAL_ID: number,
@@ -369,10 +378,10 @@ def explain_masking(
     kept = kept.select(
         "*", K.digest_digits("__tg_h").alias("__tg_d"), K.digit_count(text).alias("__tg_n")
     )
-    hc, dc, nc = F.col("__tg_h"), F.col("__tg_d"), F.col("__tg_n")
+    dc, nc = F.col("__tg_d"), F.col("__tg_n")
     thai = (F.col("__tg_cls") == X.NATIONAL_ID) & (nc == 13)
-    fresh = F.when(thai, K.fresh_thai_id(dc)).otherwise(K.fresh_digits(hc, dc, nc))
-    kept = kept.select("*", fresh.alias("__tg_f"))
+    fresh = F.when(thai, K.fresh_thai_id(dc)).otherwise(K.fresh_digits(dc, nc))
+    kept = kept.select("*", fresh.alias("__tg_f"), K.long_fake(text, F.col("__tg_h"), nc).alias("__tg_w"))
     for c, expr in part.items():
         test = F.col("__tg_cls") == c
         branches = F.when(test, expr) if branches is None else branches.when(test, expr)

@@ -101,7 +101,43 @@ def test_long_numbers_use_all_digits(spark, key):
     got = P.protect(spark.createDataFrame([(value,)], "phone string"), None, key).first()[0]
     want = str(int(hmac.new(SECRET, f"phone|{value}".encode(), hashlib.sha256).hexdigest(), 16))[-62:]
     assert got.replace("-", "") == "0" + want and [i for i, c in enumerate(got) if c == "-"] == [7 + 8 * i for i in range(8)]
-    assert P.protect(spark.createDataFrame([("1" * 74,), ("none",)], "phone string"), None, key).collect()[0][0] == "[REDACTED]"
+    assert P.protect(spark.createDataFrame([("none",)], "phone string"), None, key).first()[0] == "[REDACTED]"
+
+
+def test_digits_beyond_one_digest_are_chained(spark, key):
+    values = ["7" * n for n in (18, 19, 20, 21, 73, 74, 77, 78, 79, 80, 155, 156, 157, 200, 500)] + ["12-3" * 30, "4 " * 90]
+    got = [r[0] for r in P.protect(spark.createDataFrame([(v,) for v in values], "phone string").coalesce(1), None, key).collect()]
+    rep = S.Replacer(b"".join(K.key_blocks(SECRET)), {})
+    for value, fake in zip(values, got, strict=True):
+        seed = hmac.new(SECRET, f"phone|{value.strip()}".encode(), hashlib.sha256).digest()
+        digits, n = "", sum(c.isdigit() for c in value)
+        while len(digits) < n - 1:
+            digits += str(int.from_bytes(seed, "big"))
+            seed = hashlib.sha256(seed).digest()
+        assert "".join(c for c in fake if c.isdigit()) == "0" + digits[-(n - 1) :]
+        assert fake == rep._digits("phone", value) and [c.isdigit() for c in fake] == [c.isdigit() for c in value]
+
+
+def test_numbers_have_one_text_whatever_their_size(spark):
+    from tableguard.functions import values as V
+
+    numbers = [0.0, -0.0, 1.0, -1.5, 1e-3, 9.9e-4, 1.25e-4, 1e-4, 9.99e-5, 1e-5, -1.5e-9, 1e6, 9999999.0, 1e7, 12345678.25, -25000000.5, 123456789012345.6, 1e15, 9.5e15, 1e16, 1.5e16, 1.2345678901234567e19, 1e100, -1e-300, float("nan"), float("inf"), float("-inf")]
+    rows = spark.createDataFrame([(v,) for v in numbers], "v double").coalesce(1)
+    assert [r[0] for r in rows.select(V.float_text(F.col("v"))).collect()] == [str(v) for v in numbers]
+
+
+def test_json_locations_and_deep_json(spark, key):
+    rep = S.Replacer(b"".join(K.key_blocks(SECRET)), {})
+    out = rep.walk("x", {"latitude": ["NaN", "inf", "13.756331", " 1e1 ", "-0.04", "x"], "a": [{"password": {"b": 1}}]})
+    assert out == {"latitude": [X.LOCATION_MARK, X.LOCATION_MARK, "13.8", "10.0", "-0.0", X.LOCATION_MARK], "a": [{"password": X.REDACTED}]}
+    deep = "[" * 100_000 + "]" * 100_000
+    assert S.container(deep) is None
+
+
+def test_alias_collisions_are_counted(spark, key):
+    names = spark.range(3000).select(F.concat(F.lit("n"), "id").alias("name"))
+    few = K.alias_collisions(names, "name", key, length=2).first()
+    assert few.n_values == few.n_shared == 3000 and K.alias_collisions(names, "name", key).first().n_shared == 0
 
 
 def test_types(spark, key):
