@@ -15,7 +15,7 @@ by ``measure`` and pass through ``remove``.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +30,7 @@ WINDOW = 13
 #: Bytes of benchmark text that one pass takes to every task.
 CHUNK_BYTES = 4 << 20
 #: Bytes of documents that form a shard.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -171,34 +171,64 @@ def indexes(benchmark: DataFrame, id_col: str, text_col: str, chunk_bytes: int =
 _STATE = T.StructType([T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
 
 
-def matched(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", out: str = "_matched", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """All rows and columns, and in ``out`` the stretches of words that benchmark items cover.
+#: Makes the output of a part from its rows and their matches.
+Finish = Callable[[pa.RecordBatch, list[dict | None]], pa.RecordBatch]
 
-    ``out`` holds starts and ends (words from 0, end exclusive, longest stretches) and the ids of
-    the items that occur, as text.
+
+def _searched(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, schema: T.StructType, finish: Finish, chunk_bytes: int) -> DataFrame:
+    """``finish`` applied to all rows and what the benchmark covers in them.
+
+    A benchmark of one chunk takes one pass. Before the last of several, matches go along in a column.
     """
     context = docs.sparkSession.sparkContext
-    docs = docs.withColumn(out, F.lit(None).cast(_STATE))
+    out = "_matched"
+    while out in docs.columns:
+        out += "_"
+    waiting: Index | None = None
     for index in indexes(benchmark, item_col, item_text_col, chunk_bytes):
-        docs = _pass(docs, context.broadcast(index), text_col, out)
-    return docs
+        if waiting is not None:
+            if out not in docs.columns:
+                docs = docs.withColumn(out, F.lit(None).cast(_STATE))
+            docs = _pass(docs, context.broadcast(waiting), text_col, out, docs.schema, _carry)
+        waiting = index
+    return _pass(docs, context.broadcast(waiting), text_col, out, schema, finish)
 
 
-def _pass(docs: DataFrame, index: Broadcast, text_col: str, out: str) -> DataFrame:
-    schema = docs.schema
+def _pass(docs: DataFrame, index: Broadcast, text_col: str, out: str, schema: T.StructType, finish: Finish) -> DataFrame:
+    text_place = docs.columns.index(text_col)
+    carried = out in docs.columns
     arrow = arrow_schema(schema)
-    place, text_place = schema.names.index(out), schema.names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_place, SHARD_BYTES):
-                state = _extend(index.value, part.column(text_place), part.column(place).to_pylist())
-                columns = [pa.array(state, arrow.field(place).type) if k == place else c for k, c in enumerate(part.columns)]
-                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+                old = part.column(part.num_columns - 1).to_pylist() if carried else [None] * part.num_rows
+                state = _extend(index.value, part.column(text_place), old)
+                done = finish(part.select(range(part.num_columns - carried)), state)
+                yield pa.RecordBatch.from_arrays(done.columns, schema=arrow)
 
     return map_arrow(docs, run, schema)
 
 
+def _carry(part: pa.RecordBatch, state: list[dict | None]) -> pa.RecordBatch:
+    return _with_state(part, state, "_matched")
+
+
+def _with_state(part: pa.RecordBatch, state: list[dict | None], out: str) -> pa.RecordBatch:
+    kind = arrow_schema(T.StructType([T.StructField(out, _STATE)])).field(0).type
+    return pa.RecordBatch.from_arrays([*part.columns, pa.array(state, kind)], [str(k) for k in range(part.num_columns + 1)])
+
+
+def matched(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", out: str = "matched", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """All rows and columns, and in ``out`` the stretches of words that benchmark items cover.
+
+    ``out`` holds starts and ends (words from 0, end exclusive, longest stretches) and the ids of
+    the items that occur, as text. It is null where nothing matches.
+    """
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, _STATE)])
+    return _searched(docs, benchmark, text_col, item_col, item_text_col, schema, lambda part, state: _with_state(part, state, out), chunk_bytes)
+
+
 def _extend(index: Index, texts: pa.Array, state: list[dict | None]) -> list[dict | None]:
     words, word_at = words_of(*column_bytes(texts))
     windows, first = index.matches(words, word_at)
@@ -228,8 +258,6 @@ def _union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def measure(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Per document its words, hit words, occurring items and whether it is contaminated."""
-    narrow = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
-    found = matched(narrow, benchmark, "_text", item_col, item_text_col)
     long = T.LongType()
     schema = T.StructType([
         T.StructField(id_col, id_type(docs, id_col)), T.StructField("n_words", long), T.StructField("n_hit", long),
@@ -237,15 +265,14 @@ def measure(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     ])
     arrow = arrow_schema(schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts, state = word_counts(batch.column("_text")), batch.column("_matched").to_pylist()
-            hits = hit_words(state)
-            items = [x["items"] if x else [] for x in state]
-            columns = [batch.column("_id"), counts, hits, [len(x) for x in items], [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], contaminated(counts, hits)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+    def finish(part: pa.RecordBatch, state: list[dict | None]) -> pa.RecordBatch:
+        counts, hits = word_counts(part.column(1)), hit_words(state)
+        items = [x["items"] if x else [] for x in state]
+        columns = [part.column(0), counts, hits, [len(x) for x in items], [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], contaminated(counts, hits)]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return map_arrow(found, run, schema)
+    narrow = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
+    return _searched(narrow, benchmark, "_text", item_col, item_text_col, schema, finish, CHUNK_BYTES)
 
 
 def word_counts(texts: pa.Array) -> np.ndarray:
@@ -271,15 +298,9 @@ def contaminated(words: np.ndarray, hits: np.ndarray) -> np.ndarray:
 
 def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Documents that are not contaminated, with their columns."""
-    out = "_matched"
-    while out in docs.columns:
-        out += "_"
-    found = matched(docs, benchmark, text_col, item_col, item_text_col, out)
-    schema, place = docs.schema, docs.schema.names.index(text_col)
+    place = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bad = contaminated(word_counts(batch.column(place)), hit_words(batch.column(batch.num_columns - 1).to_pylist()))
-            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(~bad))
+    def finish(part: pa.RecordBatch, state: list[dict | None]) -> pa.RecordBatch:
+        return part.filter(pa.array(~contaminated(word_counts(part.column(place)), hit_words(state))))
 
-    return map_arrow(found, run, schema)
+    return _searched(docs, benchmark, text_col, item_col, item_text_col, docs.schema, finish, CHUNK_BYTES)

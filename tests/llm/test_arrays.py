@@ -84,7 +84,7 @@ def test_repeats_of_short_windows(spark):
         assert (len(text), int((ends - starts).sum()), len(starts)) == want[i][:3]
 
 
-def test_decontamination_odd_rows(spark, messy, nothing):
+def test_decontamination_odd_rows(spark, messy, nothing, monkeypatch):
     from tests.llm.conftest import PASSAGE
 
     words = PASSAGE.split()
@@ -99,9 +99,12 @@ def test_decontamination_odd_rows(spark, messy, nothing):
     assert kept.columns == messy.columns and kept.count() == sum(not r.contaminated for r in decontaminate.measure(messy, benchmark).collect())
     assert decontaminate.measure(nothing, benchmark).count() == 0
     assert not any(r.contaminated for r in decontaminate.measure(messy, benchmark.limit(0)).collect())
-    few = decontaminate.matched(messy, benchmark, chunk_bytes=30).where("_matched_ is not null") if "_matched_" in messy.columns else decontaminate.matched(messy.drop("_matched"), benchmark, chunk_bytes=30)
-    whole = decontaminate.matched(messy.drop("_matched"), benchmark)
-    assert few.select("doc_id", "_matched").exceptAll(whole.select("doc_id", "_matched")).count() == 0
+    few, whole = (decontaminate.matched(messy, benchmark, chunk_bytes=n) for n in (30, 1 << 20))
+    assert few.columns == [*messy.columns, "matched"]
+    assert few.select("doc_id", "matched").exceptAll(whole.select("doc_id", "matched")).count() == 0
+    monkeypatch.setattr(decontaminate, "CHUNK_BYTES", 30)
+    assert by_id(decontaminate.measure(messy, benchmark).collect()) == got
+    assert decontaminate.remove(messy, benchmark).count() == kept.count()
 
 
 def plain_top(vectors, k):
