@@ -206,3 +206,30 @@ def pii_findings(t: Tables):
     a = TX.pii_findings(t.documents.select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text"), "text", "kind", "id")
     b = TX.pii_findings(t.conversations.select(F.lit("turn").alias("kind"), F.col("conv_id").alias("id"), "text"), "text", "kind", "id")
     return a.unionByName(b)
+
+
+# Texts put together from values of known class, so that SQL can say what is found and replaced.
+PLANTED = """
+select k, email, phone, card, name, thai,
+       'à ' || email || ' tel ' || phone || ' / ' || card || ' for ' || name || '!' as message
+from (select c_custkey as k,
+             case when c_custkey % 4 = 0 then '08' || lpad(cast(c_custkey as string), 8, '1') || '@x.org'
+                  else 'user' || cast(c_custkey as string) || '@mail.example.com' end as email,
+             '08' || lpad(cast(c_custkey as string), 8, '2') as phone,
+             '4111 1111 2222 ' || lpad(cast(c_custkey % 10000 as string), 4, '0') as card,
+             case c_custkey % 3 when 0 then 'Dr. ' || upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) || ' Stone'
+                                when 1 then 'นายสมชาย ใจดี' else 'nobody' end as name,
+             c_custkey % 3 = 1 as thai
+      from {customer}) c"""
+_PIECES = "email, phone, credit_card, personal_name".split(", ")
+_AT = {"email": "2", "phone": "7 + length(email)", "credit_card": "10 + length(email) + length(phone)", "personal_name": "15 + length(email) + length(phone) + length(card)"}
+_SIZE = {"email": "email", "phone": "phone", "credit_card": "card", "personal_name": "name"}
+
+
+@check(
+    "planted_findings",
+    f"{ctes(p=PLANTED)} " + " UNION ALL ".join(f"SELECT k, '{c}' AS class, CAST({_AT[c]} AS INTEGER) AS start, CAST({_AT[c]} + length({_SIZE[c]}) AS INTEGER) AS \"end\" FROM p" + (" WHERE k % 3 <> 2" if c == "personal_name" else "") for c in _PIECES),
+)
+def planted_findings(t: Tables):
+    """Every planted value, and nothing else: a phone number inside an address is the address's."""
+    return TX.pii_findings(t.sql(PLANTED), "message", "k")

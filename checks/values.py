@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from checks.base import (
     CONTACTS, NAMES, THAI_IDS, Tables, check, ctes, digest_sql, digits_sql, duck, fake_digits_sql, hmac_sql, overlay_sql, pool_sql,
 )
+from checks.texts import PLANTED
 from tableguard.functions import fixed as X, keyed as K, names as N, scan as S, values as V
 from tableguard.operators import aliases as A, protect as P
 
@@ -482,6 +483,24 @@ def masked_embeddings(t: Tables):
     return masked.select("vec_id", "label", F.size("embedding").cast("long").alias("dims"), first.alias("first"))
 
 
+def _thai_or_latin(thai: list[str], latin: list[str], digest: str) -> str:
+    return f"CASE WHEN thai THEN {pool_sql(thai, digest)} ELSE {pool_sql(latin, digest)} END"
+
+
+@check(
+    "planted_texts",
+    f"""{ctes(p=PLANTED)}, h AS (SELECT *, {digest_sql('email', 'email')} AS he, {digest_sql('phone', 'phone')} AS hp, {digest_sql('credit_card', 'card')} AS hc, {_name_digest('given', 'name')} AS hg, {_name_digest('family', 'name')} AS hf FROM p),
+f AS (SELECT k, 'à user_' || substr(he, 1, 10) || '@example.invalid tel ' || {fake_digits_sql('phone', 'hp')} || ' / ' || {fake_digits_sql('card', 'hc')} || ' for ' ||
+ CASE WHEN k % 3 = 2 THEN name ELSE CASE WHEN thai THEN 'นาย' ELSE 'Dr ' END || {_thai_or_latin(X.THAI_GIVEN, X.LATIN_GIVEN, 'hg')} || ' ' || {_thai_or_latin(X.THAI_FAMILY, X.LATIN_FAMILY, 'hf')} END || '!' AS scanned FROM h)
+SELECT k, scanned, scanned AS message FROM f""",
+)
+def planted_texts(t: Tables):
+    """Planted values replaced in free text, by the scan and by whole-table protection."""
+    rows = t.sql(PLANTED).select("k", "message").withColumn("raw", F.encode("message", "UTF-8"))
+    masked = P.protect(rows, {"message": X.FREE_TEXT}, t.key)
+    return masked.select("k", S.scan_text(F.decode("raw", "UTF-8"), t.key).alias("scanned"), "message")
+
+
 @check("scanned_texts")
 def scanned_texts(t: Tables):
     """Whole documents with embedded personal values replaced; SQL has no look-around."""

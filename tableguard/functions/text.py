@@ -100,27 +100,29 @@ def one_line(c: Column | str) -> Column:
     return stripped(F.regexp_replace(as_col(c), r"[\s\x1c-\x1f\x85\p{Z}]+", " "))
 
 
-def safe_message(c: Column | str, limit: int = 200) -> Column:
-    """Short failure reason without SQL bodies, secrets or absolute paths."""
+def safe_message(c: Column | str, limit: int | None = 200) -> Column:
+    """Short failure reason without SQL bodies, secrets or absolute paths; no limit keeps it whole."""
     text = F.regexp_replace(one_line(c), java(X.SQL_BODY_RE, "isu"), X.REDACTED)
     text, _ = redact_secrets(text)
     text = F.regexp_replace(text, java(X.ABSOLUTE_PATH_RE), X.REDACTED)
-    cut = F.concat(F.rtrim(F.substring(text, 1, limit - 1), F.lit(X.WHITESPACE)), F.lit("…"))
-    text = F.when(F.length(text) > limit, cut).otherwise(text)
+    if limit is not None:
+        cut = F.concat(F.rtrim(F.substring(text, 1, limit - 1), F.lit(X.WHITESPACE)), F.lit("…"))
+        text = F.when(F.length(text) > limit, cut).otherwise(text)
     return F.when(text == "", "No sanitized reason is available.").otherwise(text)
 
 
-def driver_error(c: Column | str) -> Column:
-    """Driver message: one line, connection secrets removed, 1000 characters at most, and the
-    native error numbers it names."""
+def driver_error(c: Column | str, limit: int | None = 1000) -> Column:
+    """Driver message: one line, connection secrets removed, at most ``limit`` characters, and all
+    native error numbers of the whole message."""
     text = F.regexp_replace(one_line(c), java(X.CONNECTION_SECRET_RE, "iu"), "$1=<redacted>")
-    text = F.substring(text, 1, 1000)
     numbers = F.regexp_extract_all(text, F.lit(X.NATIVE_ERROR_RE), 1).cast("array<int>")
-    return F.struct(text.alias("message"), numbers.alias("native_errors"))
+    shown = text if limit is None else F.substring(text, 1, limit)
+    return F.struct(shown.alias("message"), numbers.alias("native_errors"))
 
 
-def tool_diagnostic(c: Column | str, limit: int = 512) -> Column:
-    """Tool output without secrets or quoted values, bounded, with a hash of the raw text."""
+def tool_diagnostic(c: Column | str, limit: int | None = 512) -> Column:
+    """Tool output without secrets or quoted values, bounded unless there is no limit, with a hash
+    of the raw text."""
     raw = stripped(c)
     text = F.regexp_replace(raw, java(X.TOOL_SECRET_RE, "iu"), "$1=[REDACTED]")
     found = F.regexp_extract_all(text, F.lit(X.QUOTED_LITERAL_RE), 0)
@@ -128,10 +130,13 @@ def tool_diagnostic(c: Column | str, limit: int = 512) -> Column:
         found, lambda s: F.concat(F.lit("'<redacted "), F.length(s).cast("string"), F.lit(" chars>'"))
     )
     text = F.translate(_interleave(text, marks, X.QUOTED_LITERAL_RE), "\r\n", "  ")
-    size = F.length(text)
-    cut = F.concat(
-        F.lit(f"diagnostic truncated: showing {limit} of "), size.cast("string"), F.lit(" characters")
-    )
     mark = F.concat(F.lit("diagnostic fingerprint: "), F.substring(F.sha2(raw, 256), 1, 12))
-    lines = F.array_compact(F.array(F.substring(text, 1, limit), F.when(size > limit, cut), mark))
+    if limit is None:
+        lines = F.array(text, mark)
+    else:
+        size = F.length(text)
+        cut = F.concat(
+            F.lit(f"diagnostic truncated: showing {limit} of "), size.cast("string"), F.lit(" characters")
+        )
+        lines = F.array_compact(F.array(F.substring(text, 1, limit), F.when(size > limit, cut), mark))
     return F.when(raw == "", F.array().cast("array<string>")).otherwise(lines)

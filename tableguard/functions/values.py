@@ -141,13 +141,13 @@ def binary_marker(c: Column | str) -> Column:
     return F.when(c.isNotNull(), F.concat(F.lit("[BINARY "), F.octet_length(c), F.lit(" BYTES]")))
 
 
-def bounded_text(c: Column | str, name: str = "", data_type: str = "") -> Column:
+def bounded_text(c: Column | str, name: str = "", data_type: str = "", longest: int = 200) -> Column:
     """Long or structured text as a placeholder that only states its size."""
     c = as_col(c)
     payload = "payload" in name.lower()
     large = data_type.lower().replace(" ", "") in X.LARGE_TEXT_TYPES
     size = F.octet_length(c).cast("string")
-    long = F.length(c) > 200
+    long = F.length(c) > longest
     look = F.lit(True) if payload or large else long
     # Parse only what could be JSON text at all.
     is_json = F.try_parse_json(F.when(look, c)).isNotNull()

@@ -65,11 +65,15 @@ def alias_registry(values: DataFrame, registry: DataFrame, key: Key) -> DataFram
 
 
 def apply_aliases(df: DataFrame, column: str, cls: str, registry: DataFrame, key: Key) -> DataFrame:
-    """Replace a column by its registered alias; null stays null."""
+    """Replace a column by its registered alias; null stays null.
+
+    Nulls get keys of their own that match nothing, one per partition, so they do not meet in one task.
+    """
     own = registry.where(F.col("class") == cls).select(
         F.col("digest").alias("__tg_digest"), F.col("alias").alias("__tg_alias")
     )
-    keyed = df.withColumn("__tg_key", alias_digest(F.col(f"`{column}`").cast("string"), key))
+    nothing = F.concat(F.lit("null "), F.spark_partition_id().cast("string"))
+    keyed = df.withColumn("__tg_key", F.coalesce(alias_digest(F.col(f"`{column}`").cast("string"), key), nothing))
     joined = keyed.join(own, F.col("__tg_key") == F.col("__tg_digest"), "left")
     return joined.select(
         *[F.col("__tg_alias").alias(c) if c == column else F.col(f"`{c}`") for c in df.columns]

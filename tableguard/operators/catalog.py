@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -269,27 +271,43 @@ def sampling_order(
     return (keys, True) if keys else (list(columns[:1]), False)
 
 
-def _checked_size(n: int) -> int:
-    if not 10 <= n <= 20:
-        raise ValueError("a sample holds 10 to 20 rows")
+#: Usual rows of a sample and of a page; both are parameters, and None lifts them.
+SAMPLE_ROWS, PAGE_ROWS = (10, 20), 250
+
+
+def _checked_size(n: int, bounds: tuple[int, int] | None) -> int:
+    if bounds is not None and not bounds[0] <= n <= bounds[1]:
+        raise ValueError(f"a sample holds {bounds[0]} to {bounds[1]} rows")
     return n
 
 
+def checked_page(limit: int, most: int | None) -> int:
+    if limit < 1 or most is not None and limit > most:
+        raise ValueError(f"a page holds 1 to {most} rows")
+    return limit
+
+
 def sample(
-    table: DataFrame, n: int, primary: Sequence[str] | None = None, unique: Sequence[str] | None = None
+    table: DataFrame,
+    n: int,
+    primary: Sequence[str] | None = None,
+    unique: Sequence[str] | None = None,
+    bounds: tuple[int, int] | None = SAMPLE_ROWS,
 ) -> DataFrame:
     """First ``n`` rows by key: a top-k per task, then one merge of at most n rows per task."""
     order, _ = sampling_order(table.columns, primary, unique)
-    return table.orderBy(*order).limit(_checked_size(n))
+    return table.orderBy(*order).limit(_checked_size(n, bounds))
 
 
-def sample_groups(table: DataFrame, group: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+def sample_groups(
+    table: DataFrame, group: Sequence[str], order: Sequence[str], n: int, bounds: tuple[int, int] | None = SAMPLE_ROWS
+) -> DataFrame:
     """``n`` rows per group of stacked tables.
 
     The rank filter runs on the map side first, so a hot group sends n rows per task.
     """
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return table.withColumn("sample_rank", rank).where(F.col("sample_rank") <= _checked_size(n))
+    return table.withColumn("sample_rank", rank).where(F.col("sample_rank") <= _checked_size(n, bounds))
 
 
 def sample_status(page: DataFrame, requested: int, deterministic: bool) -> DataFrame:
@@ -401,10 +419,9 @@ def sitemap(objects: DataFrame, final: DataFrame, plan_rows: DataFrame | None =
     )
 
 
-def page(df: DataFrame, key: str, after=None, limit: int = 100) -> DataFrame:
+def page(df: DataFrame, key: str, after=None, limit: int = 100, most: int | None = PAGE_ROWS) -> DataFrame:
     """One bounded page after a key, plus one row when more follow (``has_more`` by count)."""
-    if not 1 <= limit <= 250:
-        raise ValueError("a page holds 1 to 250 rows")
+    checked_page(limit, most)
     rows = df if after is None else df.where(F.col(key) > F.lit(after))
     return rows.orderBy(key).limit(limit + 1)
 
@@ -418,8 +435,10 @@ def latest_eligible(
     """(rows, skip_counts): newest eligible record per key, and why the others were skipped.
 
     ``records`` has a session key first in ``key_cols``, ``expires_at, status, selection_mode``
-    and optionally ``corrupt``. The newest record per key is an aggregate, not a window, so a key
-    that holds much of the table is reduced before the shuffle.
+    and optionally ``corrupt``. The newest record per key is an aggregate over the key, the time
+    and the tie alone, not a window, so a key that holds much of the table is reduced before the
+    shuffle; whole rows are met by all three, which spreads a hot key's records. Records that agree
+    in all three all stay.
     """
     session = F.col(key_cols[0])
     corrupt = F.col("corrupt") if "corrupt" in records.columns else F.lit(False)
@@ -431,19 +450,18 @@ def latest_eligible(
         .when(F.col("selection_mode").isNull() | (F.col("selection_mode") == "ask"), "selection_incomplete")
     )
     tagged = records.withColumn("__tg_reason", reason)
-    payload = F.struct(*[F.col(c) for c in records.columns])
-    newest = (
-        tagged.where(F.col("__tg_reason").isNull())
-        .groupBy(*[F.col(k).alias(f"__tg_k{i}") for i, k in enumerate(key_cols)])
-        .agg(F.max_by(payload, F.struct(F.col(created), F.col(tie))).alias("row"), F.count(F.lit(1)).alias("n"))
-    )
-    rows = newest.select("row.*")
+    eligible = tagged.where(F.col("__tg_reason").isNull()).drop("__tg_reason")
+    keys = [F.col(k).alias(f"__tg_k{i}") for i, k in enumerate(key_cols)]
+    kept = eligible.groupBy(*keys).agg(F.max(F.struct(F.col(created).alias("at"), F.col(tie).alias("tie"))).alias("__tg_top"), F.count(F.lit(1)).alias("n"))
+    same = [F.col(k).eqNullSafe(F.col(f"__tg_k{i}")) for i, k in enumerate(key_cols)]
+    same += [F.col(created).eqNullSafe(F.col("__tg_top.at")), F.col(tie).eqNullSafe(F.col("__tg_top.tie"))]
+    rows = eligible.join(kept, reduce(and_, same), "left_semi")
     skipped = (
         tagged.where(F.col("__tg_reason").isNotNull())
         .groupBy(F.col("__tg_reason").alias("reason"))
         .agg(F.count(F.lit(1)).alias("n"))
         .unionByName(
-            newest.agg(F.sum(F.col("n") - 1).alias("n")).select(F.lit("superseded").alias("reason"), "n")
+            kept.agg(F.sum(F.col("n") - 1).alias("n")).select(F.lit("superseded").alias("reason"), "n")
         )
         .where("n > 0")
     )

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tableguard.functions import fixed as X
+from tableguard.operators.catalog import PAGE_ROWS, checked_page
 from tableguard.operators.fingerprints import set_hash, joined as joined_text, sha256_text
 
 KEY = ["schema_name", "object_name", "object_type"]
@@ -26,7 +27,7 @@ TECHNICAL = [
 ]
 FIELDS = OWNED + TECHNICAL
 # Limits of one entry and of one batch.
-MAX_SCHEMA, MAX_NAME, MAX_DESCRIPTION, MAX_LIST, MAX_PATH, MAX_BATCH = 128, 256, 2000, 64, 1024, 5000
+MAX_SCHEMA, MAX_NAME, MAX_DESCRIPTION, MAX_LIST, MAX_PATH = 128, 256, 2000, 64, 1024
 
 
 def _merge(index: DataFrame, entries: DataFrame) -> DataFrame:
@@ -96,10 +97,10 @@ def search(
     key: str = "id",
     after=None,
     limit: int = 100,
+    most: int | None = PAGE_ROWS,
 ) -> DataFrame:
     """One page of index rows by key, plus one row when more follow."""
-    if not 1 <= limit <= 250:
-        raise ValueError("a page holds 1 to 250 rows")
+    checked_page(limit, most)
     rows = index.where((F.col("active") == F.lit(active)) & F.col("schema_name").isin(*schemas))
     for column, value in (("context", context), ("object_type", object_type), ("classification_status", status)):
         if value is not None:

@@ -190,12 +190,11 @@ def evidence_id(kind: Column, category: Column, summary: Column) -> Column:
     return F.concat(F.lit("ev_"), F.substring(F.sha2(text, 256), 1, 24))
 
 
-def evidence(matches: DataFrame) -> DataFrame:
-    """Evidence record of every match: id, object, kind and a short summary."""
+def evidence(matches: DataFrame, length: int | None = 240) -> DataFrame:
+    """Evidence record of every match: id, object, kind and a summary, cut to a length if there is one."""
     made = evidence_id(F.col("kind"), F.col("category"), F.col("summary"))
-    return matches.select(
-        made.alias("evidence_id"), "object_id", "kind", F.substring("summary", 1, 240).alias("summary")
-    ).distinct()
+    summary = F.col("summary") if length is None else F.substring("summary", 1, length)
+    return matches.select(made.alias("evidence_id"), "object_id", "kind", summary.alias("summary")).distinct()
 
 
 def _decide(rows: DataFrame, allow_confirmed: bool) -> DataFrame:

@@ -471,19 +471,22 @@ def profile_sensitivity(
     return cells.groupBy("column_name", "class").agg(*aggs)
 
 
-def protect_distinct(df: DataFrame, column: str, policy: Mapping[str, str], key: Key) -> DataFrame:
+def protect_distinct(df: DataFrame, column: str, policy: Mapping[str, str], key: Key, salts: int = 16) -> DataFrame:
     """Mask one column through its distinct values and join them back.
 
     Pays off when the distinct share is small. The distinct values are found with a map-side
-    aggregate; a hot value is one row of the mapping, and adaptive execution splits its partition
-    of the big side (or broadcasts a mapping it measured to be small).
+    aggregate. The few rows of the mapping are repeated ``salts`` times, and each partition of the
+    big side meets one of the copies, so a hot value, and null, spread over as many tasks.
     """
     values = df.select(F.col(f"`{column}`").alias(column)).where(F.col(f"`{column}`").isNotNull()).distinct()
     plan = _Plan(values, {**field_labels(df.schema), **policy}, key, False)
     mapped = plan.stage(values).select(
         F.col(f"`{column}`").alias("__tg_from"), plan.outputs[0][1]().alias("__tg_to")
     )
-    joined = df.join(mapped, F.col(f"`{column}`") == F.col("__tg_from"), "left")
+    copies = mapped.withColumn("__tg_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = df.withColumn("__tg_own", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    same = (F.col(f"`{column}`") == F.col("__tg_from")) & (F.col("__tg_own") == F.col("__tg_salt"))
+    joined = salted.join(copies, same, "left")
     return joined.select(
         *[F.col("__tg_to").alias(c) if c == column else F.col(f"`{c}`") for c in df.columns]
     )

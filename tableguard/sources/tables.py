@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -10,6 +10,9 @@ from tableguard.functions import fixed as X
 from tableguard.operators.bundle import inventory
 
 
+NOT_UTF8 = "FILE_NOT_UTF8"
+
+
 def read_table_all(
     spark: SparkSession,
     url: str,
@@ -17,8 +20,15 @@ def read_table_all(
     key: str | None = None,
     partitions: int = 32,
     options: Mapping[str, str] | None = None,
+    predicates: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Whole table over JDBC in parallel key ranges; one small query finds the bounds."""
+    """Whole table over JDBC in parallel key ranges; one small query finds the bounds.
+
+    A table without a numeric or date key is read by ``predicates``, conditions that together cover
+    every row once, one task each. With neither, one task reads it: for small tables only.
+    """
+    if predicates is not None:
+        return spark.read.jdbc(url, table, predicates=list(predicates), properties=dict(options or {}))
     reader = spark.read.format("jdbc").option("url", url).options(**dict(options or {}))
     if key is None:
         return reader.option("dbtable", table).load()
@@ -37,8 +47,9 @@ def read_table_all(
 
 
 def read_sql_corpus(spark: SparkSession, root: str, pattern: str = "*.sql") -> DataFrame:
-    """(path, content) of all matching files below a folder; path is relative, a byte order mark
-    is dropped."""
+    """(path, content, problem) of all matching files below a folder; path is relative, a byte
+    order mark is dropped. A file that is not UTF-8 has no content and a problem; the others are
+    read all the same."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -47,9 +58,11 @@ def read_sql_corpus(spark: SparkSession, root: str, pattern: str = "*.sql") -> D
     )
     base = root.rstrip("/") + "/"
     inside = F.substring_index(F.col("path"), base, -1)
-    text = F.decode("content", "UTF-8")
+    valid = F.is_valid_utf8(F.col("content").cast("string"))
+    text = F.when(valid, F.decode("content", "UTF-8"))
     bare = F.when(F.startswith(text, F.lit("﻿")), F.substr(text, F.lit(2))).otherwise(text)
-    return files.select(F.url_decode(F.replace(inside, F.lit("+"), F.lit("%2B"))).alias("path"), bare.alias("content"))
+    path = F.url_decode(F.replace(inside, F.lit("+"), F.lit("%2B")))
+    return files.select(path.alias("path"), bare.alias("content"), F.when(~valid, NOT_UTF8).alias("problem"))
 
 
 def canonical_json(df: DataFrame) -> Column:
@@ -62,12 +75,19 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> N
 
 
 def write_sample(
-    df: DataFrame, path: str, fmt: str = "csv", markers: Mapping[str, str] | None = None, mode: str = "errorifexists"
+    df: DataFrame,
+    path: str,
+    fmt: str = "csv",
+    markers: Mapping[str, str] | None = None,
+    mode: str = "errorifexists",
+    most: int = 20,
 ) -> None:
-    """Masked sample as CSV (markers in the header) or JSON lines (plain names).
+    """Masked sample as CSV (markers in the header) or JSON lines (plain names), in one file.
 
-    A sample holds at most twenty rows, so it is written as one file.
+    More rows than ``most`` are refused, since one task writes them.
     """
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"a sample holds {most} rows at most")
     marks = markers or {f.name: (f.metadata or {}).get("marker", "") for f in df.schema.fields}
     few = df.coalesce(1)
     if fmt == "csv":
@@ -85,9 +105,8 @@ def materialize(df: DataFrame, root: str, mode: str = "errorifexists") -> None:
     placed = df.withColumn("category", F.coalesce("category", F.lit("unknowns"))).withColumn(
         "folder", folder[F.col("object_type")]
     )
-    # One shuffle by target folder, split by id so that a large category is not one file.
-    spread = F.pmod(F.xxhash64("object_id"), F.lit(16))
-    placed.repartition("category", "folder", spread).write.mode(mode).partitionBy("category", "folder").parquet(root)
+    # One shuffle by target folder; adaptive execution splits large folders and joins small ones.
+    placed.hint("rebalance", "category", "folder").write.mode(mode).partitionBy("category", "folder").parquet(root)
 
 
 def write_manifest(files: DataFrame, path: str, mode: str = "errorifexists") -> None:

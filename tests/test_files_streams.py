@@ -50,8 +50,11 @@ def test_corpus_files(spark, tmp_path):
     (tmp_path / "a b").mkdir()
     (tmp_path / "a b" / "x+y.sql").write_bytes("﻿create table t (a int)".encode())
     (tmp_path / "n.txt").write_text("no")
-    got = [tuple(r) for r in ST.read_sql_corpus(spark, str(tmp_path)).collect()]
-    assert got == [("a b/x+y.sql", "create table t (a int)")]
+    (tmp_path / "latin.sql").write_bytes("-- café".encode("latin-1"))
+    files = ST.read_sql_corpus(spark, str(tmp_path))
+    assert files.columns == ["path", "content", "problem"]
+    got = {r.path: (r.content, r.problem) for r in files.collect()}
+    assert got == {"a b/x+y.sql": ("create table t (a int)", None), "latin.sql": (None, ST.NOT_UTF8)}
 
 
 def test_sinks(spark, key, tmp_path):
@@ -60,6 +63,8 @@ def test_sinks(spark, key, tmp_path):
     ST.write_sample(masked, str(tmp_path / "csv"))
     assert spark.read.text(str(tmp_path / "csv")).first()[0] == "first_name ⟨FAKE:PERSONAL_NAME⟩,tel ⟨FAKE:PHONE⟩,b"
     ST.write_sample(masked, str(tmp_path / "json"), "json")
+    with pytest.raises(ValueError):
+        ST.write_sample(spark.range(21), str(tmp_path / "many"))
     line = spark.read.text(str(tmp_path / "json")).first()[0]
     assert line == json.dumps(json.loads(line), sort_keys=True, separators=(",", ":")) and list(json.loads(line)) == ["b", "first_name", "tel"]
     files = spark.createDataFrame([("a", "é"), ("b", "")], "path string, content string")
