@@ -6,7 +6,7 @@ from checks.base import ENTRIES, FILES, INDEX, OBJECTS, Tables, check, ctes, set
 from checks.catalogs import FINAL
 from checks.objectgraph import RULES
 from checks.texts import _ASSIGN, _BEARER, _DONE, _GATED, _n, _secret_steps
-from tableguard.operators import bundle as B, corpus as CO, index as I, texts as TX
+from tableguard.operators import bundle as B, corpus as CO, fingerprints as FP, index as I, texts as TX
 
 _OWNED = ["context", "description", "tags_csv", "classification_status", "classification_source"]
 _TECH = ["source_fingerprint", "content_hash", "managed_relative_path", "header_version", "output_format_version", "evidence_csv"]
@@ -287,6 +287,15 @@ def inventory_hashes(t: Tables):
     return B.inventory_hash(_inventory(t), ["batch"])
 
 
+@check(
+    "sealed_inventories",
+    f"""{_INV}, r AS (SELECT batch, substr(sha256(path), 1, 3) AS b, sha256({_INV_PAYLOAD}) AS h FROM inv), g AS (SELECT batch, b, sha256(string_agg(h, '' ORDER BY h)) AS h, count(*) AS n FROM r GROUP BY batch, b)
+SELECT batch, CAST(sum(n) AS BIGINT) AS rows, 'sha256:' || sha256(string_agg(b || h, '' ORDER BY b)) AS digest FROM g GROUP BY batch""",
+)
+def sealed_inventories(t: Tables):
+    return FP.sealed_digest(_inventory(t), FP.joined("path", "size_bytes", "sha256"), F.col("path"), ["batch"])
+
+
 _ASM = f"{_INV}, a AS (SELECT path, count(DISTINCT sha256) AS k, min(size_bytes) AS size_bytes, min(sha256) AS sha256 FROM inv GROUP BY path)"
 
 
@@ -374,7 +383,7 @@ SELECT CAST(sum(secrets) AS BIGINT) AS secret_literals_redacted, count(*) FILTER
 )
 def masking_report(t: Tables):
     gated = t.sql(_GATED)
-    rows, (_, skipped) = TX.redact_corpus(gated, "text"), TX.residual_gate(gated, "text")
+    rows, skipped = TX.redact_corpus(gated, "text"), TX.gated(gated, "text").where("error_code is not null")
     report = B.masking_report(rows, skipped)
     return report.select(F.col("secret_literals_redacted").cast("long"), "objects_skipped_security")
 

@@ -82,9 +82,8 @@ _COUNTS = ", ".join(f"CAST(sum({_total(label)}) AS BIGINT) AS {label.lower()}" f
 
 @check("pii_counts_by_lang", f"WITH {_pii_steps('documents', 'text')} SELECT lang, {_COUNTS} FROM p{_LAST} GROUP BY lang")
 def pii_counts_by_lang(t: Tables):
-    counts = Tx.pii_counts("text")
-    rows = t.documents.select("lang", *[n.alias(c) for c, n in counts.items()])
-    return rows.groupBy("lang").agg(*[F.sum(c).cast("long").alias(c) for c in counts])
+    rows = TX.personal_counts(t.documents.select("lang", "text"), "text")
+    return rows.groupBy("lang").agg(*[F.sum(c).cast("long").alias(c) for c in rows.columns if c != "lang"])
 
 
 @check("secret_findings_by_source", f"WITH {_secret_steps('documents', 'text')} SELECT source, count(*) AS docs, CAST(sum(secrets) AS BIGINT) AS n FROM s3 WHERE secrets > 0 GROUP BY source")
@@ -115,9 +114,9 @@ again AS (SELECT doc_id, clean, secrets, {_n('clean', _ASSIGN)} - {_n('clean', _
 SELECT doc_id, CASE WHEN residual > 0 THEN 'RAW_SECRET_DETECTED' ELSE sha256(clean) END AS outcome, CASE WHEN residual = 0 THEN CAST(secrets AS BIGINT) END AS secrets FROM again""",
 )
 def residual_gate(t: Tables):
-    kept, skipped = TX.residual_gate(t.sql(_GATED), "text")
-    a = kept.select("doc_id", F.sha2("text", 256).alias("outcome"), F.col("secrets_redacted").cast("long").alias("secrets"))
-    return a.unionByName(skipped.select("doc_id", F.col("error_code").alias("outcome"), F.lit(None).cast("long").alias("secrets")))
+    rows = TX.gated(t.sql(_GATED), "text")
+    secrets = F.when(F.col("error_code").isNull(), F.col("secrets_redacted").cast("long"))
+    return rows.select("doc_id", F.coalesce("error_code", F.sha2("text", 256)).alias("outcome"), secrets.alias("secrets"))
 
 
 _STATEMENTS = f"""select c_custkey, 'insert into t values (N' || chr(39) || 'to ' || contact || ' it' || chr(39) || chr(39) || 's' || chr(39) || ', 1); -- tel 0812345678 ' || chr(39) || c_mktsegment || chr(39) as body

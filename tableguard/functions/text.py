@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tableguard.functions import fixed as X
 from tableguard.functions.values import as_col, java, stripped
@@ -47,6 +47,40 @@ def redact_secrets(c: Column | str) -> tuple[Column, Column]:
     return F.when(hint, t3).otherwise(t0), F.when(hint, n).otherwise(_none_or_zero(t0))
 
 
+def staged_secrets(df: DataFrame, text: str, clean: str, count: str) -> DataFrame:
+    """``redact_secrets`` of a column as two more columns, one replacement per projection.
+
+    Every running text is a column, so each pattern stands in the plan once for its count and once
+    for its replacement.
+    """
+    hint, running = f"{clean}_hint", F.col(text)
+    df = df.withColumn(hint, _secret_hint(running))
+    for i, (pattern, mark) in enumerate(((_ASSIGN, "$1='[REDACTED]'"), (_BEARER, X.REDACTED), (_PEM, X.REDACTED))):
+        n = F.when(F.col(hint), F.regexp_count(running, F.lit(pattern))).otherwise(_none_or_zero(running))
+        after = F.when(F.col(hint), F.regexp_replace(running, pattern, mark)).otherwise(running)
+        df = df.select("*", n.alias(f"{count}_{i}"), after.alias(f"{clean}_{i}"))
+        running = F.col(f"{clean}_{i}")
+    total = F.col(f"{count}_0") + F.col(f"{count}_1") + F.col(f"{count}_2")
+    helpers = [hint, *(f"{x}_{i}" for x in (clean, count) for i in range(3))]
+    return df.withColumns({clean: running, count: total}).drop(*helpers)
+
+
+def staged_pii(df: DataFrame, text: str, clean: str, counts: str) -> DataFrame:
+    """Marked text and marks per class (a struct), one pattern per projection."""
+    hint, running = f"{clean}_hint", F.col(text)
+    df = df.withColumn(hint, _pii_hint(running))
+    found: dict[str, list[str]] = {}
+    for i, (cls, pattern) in enumerate(X.SCAN_ORDER):
+        n = F.when(F.col(hint), F.regexp_count(running, F.lit(java(pattern)))).otherwise(_none_or_zero(running))
+        after = F.when(F.col(hint), F.regexp_replace(running, java(pattern), f"[REDACTED:{cls.upper()}]")).otherwise(running)
+        df = df.select("*", n.alias(f"{counts}_{i}"), after.alias(f"{clean}_{i}"))
+        found.setdefault(cls, []).append(f"{counts}_{i}")
+        running = F.col(f"{clean}_{i}")
+    sums = [sum((F.col(c) for c in names[1:]), F.col(names[0])).alias(cls) for cls, names in found.items()]
+    helpers = [hint, *(f"{x}_{i}" for x in (clean, counts) for i in range(len(X.SCAN_ORDER)))]
+    return df.withColumns({clean: running, counts: F.struct(*sums)}).drop(*helpers)
+
+
 def secret_count(c: Column | str) -> Column:
     return redact_secrets(c)[1]
 

@@ -49,8 +49,12 @@ def alias_registry(values: DataFrame, registry: DataFrame, key: Key) -> DataFram
         .distinct()
     )
     new = wanted.join(registry.select("class", "digest"), ["class", "digest"], "left_anti")
+    # Encodings that share ten characters share eleven hex digits of the digest, so only those
+    # registered digests matter; the work after this depends on the new values alone.
+    near = F.substring("digest", 1, 11).alias("__tg_near")
+    rivals = registry.select("class", "digest", near).join(new.select("class", near).distinct(), ["class", "__tg_near"], "left_semi")
     both = new.select("class", "digest", F.lit(True).alias("fresh")).unionByName(
-        registry.select("class", "digest", F.lit(False).alias("fresh"))
+        rivals.select("class", "digest", F.lit(False).alias("fresh"))
     )
     coded = both.withColumn("code", encode_digest("digest"))
     group = Window.partitionBy("class", F.substring("code", 1, _FIRST)).orderBy("code")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tableguard.functions import fixed as X
 from tableguard.functions.values import as_col
-from tableguard.operators.fingerprints import joined, set_hash, sha256_text
+from tableguard.operators.fingerprints import joined, order_free_checksum, sha256_text
 
 # Reports rebuilt during assembly, by output profile.
 REPORTS = {
@@ -72,7 +72,7 @@ def inventory_hash(items: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return items.groupBy(*by).agg(
         F.count(F.lit(1)).alias("files"),
         F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"),
-        set_hash(joined("path", "size_bytes", "sha256")).alias("inventory_sha256"),
+        order_free_checksum(joined("path", "size_bytes", "sha256")).alias("inventory_sha256"),
     )
 
 

@@ -20,11 +20,12 @@ def joined(*cols: Column | str) -> Column:
     return F.concat_ws("\0", *[F.coalesce(as_col(c).cast("string"), F.lit("")) for c in cols])
 
 
-def set_hash(payload: Column) -> Column:
-    """Aggregate: hash of the set of payloads of a group, whatever their order.
+def order_free_checksum(payload: Column) -> Column:
+    """Aggregate: checksum of the payloads of a group, whatever their order.
 
     Row hashes are added limb by limb, so the aggregate is partial on the map side and no task
-    ever holds the list that is hashed. Only meaningful when compared with itself.
+    ever holds a list. It tells whether something changed; it does not resist anyone who makes
+    collisions on purpose. ``sealed_digest`` does.
     """
     row = F.sha2(payload, 256)
     sums = [
@@ -36,6 +37,21 @@ def set_hash(payload: Column) -> Column:
     )
 
 
+def sealed_digest(df: DataFrame, payload: Column, key: Column, by: list[str] | None = None, digits: int = 3) -> DataFrame:
+    """(by.., rows, digest): SHA-256 over sorted row hashes, collision-resistant.
+
+    Rows fall into buckets by the first hex digits of the hash of their key (16^digits of them); each
+    bucket's sorted row hashes are hashed, and then the buckets' hashes in order. So lists stay a
+    bucket long, whatever the size of a group.
+    """
+    by = list(by or [])
+    hashed = df.select(*by, F.substring(F.sha2(key, 256), 1, digits).alias("__tg_bucket"), F.sha2(payload, 256).alias("__tg_row"))
+    rows = F.sha2(F.array_join(F.array_sort(F.collect_list("__tg_row")), ""), 256)
+    buckets = hashed.groupBy(*by, "__tg_bucket").agg(rows.alias("__tg_hash"), F.count(F.lit(1)).alias("__tg_n"))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("__tg_bucket", "__tg_hash"))), lambda b: F.concat(b["__tg_bucket"], b["__tg_hash"]))
+    return buckets.groupBy(*by).agg(F.sum("__tg_n").alias("rows"), F.concat(F.lit("sha256:"), F.sha2(F.array_join(whole, ""), 256)).alias("digest"))
+
+
 def object_fingerprint(
     schema: str = "schema_name", kind: str = "object_type", name: str = "object_name", modified: str = "modified_at"
 ) -> Column:
@@ -50,7 +66,7 @@ def schema_fingerprint(objects: DataFrame, by: list[str] | None = None) -> DataF
     """One hash per group (or for all) over object identities, or fingerprints where known."""
     payload = joined(*[c for c in ("schema_name", "object_type", "object_name", "fingerprint") if c in objects.columns])
     return objects.groupBy(*(by or [])).agg(
-        F.count(F.lit(1)).alias("object_count"), set_hash(payload).alias("schema_fingerprint")
+        F.count(F.lit(1)).alias("object_count"), order_free_checksum(payload).alias("schema_fingerprint")
     )
 
 

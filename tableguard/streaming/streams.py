@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tableguard.functions import names as N, values as V
 from tableguard.functions.keyed import Key
 from tableguard.operators.aliases import alias_registry, apply_aliases
-from tableguard.operators.fingerprints import joined, set_hash
+from tableguard.operators.fingerprints import joined, order_free_checksum
 from tableguard.operators.index import FIELDS, KEY, upsert
 from tableguard.operators.protect import protect
 
@@ -73,15 +73,17 @@ def _newest(entries: DataFrame) -> DataFrame:
 def index_sink(root: str) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function that syncs a context index.
 
-    Every batch leaves its content hash in a ledger and a new index version. A replay with the
-    same content changes nothing; the same number with other content is a conflict.
+    Every batch leaves its content hash in a ledger, and the rows of the identities it names as a
+    part of the index; what it costs depends on the batch, but for one scan of the identities kept.
+    A replay with the same content changes nothing; the same number with other content is a
+    conflict. ``compact_index`` joins old parts from time to time.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         entries = _newest(batch)
         payload = joined(*KEY, *[F.to_json(F.struct(F.col(f))) for f in FIELDS])
-        digest = entries.agg(set_hash(payload).alias("digest")).first()["digest"]
+        digest = entries.agg(order_free_checksum(payload).alias("digest")).first()["digest"]
         ledger = _stored(spark, f"{root}/ledger", "digest string")
         seen = ledger.where(F.col("batch") == batch_id).select("digest").first()
         if seen is not None:
@@ -89,7 +91,8 @@ def index_sink(root: str) -> Callable[[DataFrame, int], None]:
                 raise BatchConflict(f"batch {batch_id} was applied with other content")
             return
         before = read_index(spark, root, before=batch_id, schema=_index_schema(batch))
-        upsert(before, entries).write.mode("overwrite").parquet(f"{root}/index/batch={batch_id}")
+        touched = before.join(entries.select(*KEY), KEY, "left_semi").select(*before.columns)
+        upsert(touched, entries).write.mode("overwrite").parquet(f"{root}/index/batch={batch_id}")
         # The ledger row comes last: a crash before it only repeats the same version.
         spark.createDataFrame([(digest,)], "digest string").write.mode("overwrite").parquet(
             f"{root}/ledger/batch={batch_id}"
@@ -104,7 +107,8 @@ def _index_schema(batch: DataFrame) -> T.StructType:
 
 
 def read_index(spark: SparkSession, root: str, before: int | None = None, schema: T.StructType | None = None) -> DataFrame:
-    """Newest stored version of the index (below a batch number, when given)."""
+    """The index as of its newest part (below a batch number, when given): of each identity the
+    rows of the last part that names it."""
     reader = spark.read if schema is None else spark.read.schema(schema)
     try:
         versions = reader.parquet(f"{root}/index")
@@ -114,8 +118,19 @@ def read_index(spark: SparkSession, root: str, before: int | None = None, schema
         versions = spark.createDataFrame([], schema)
     if before is not None:
         versions = versions.where(F.col("batch") < before)
-    last = versions.agg(F.max("batch").alias("b")).first()["b"]
-    return versions.where(F.col("batch") == (-1 if last is None else last)).drop("batch")
+    last = versions.groupBy(*KEY).agg(F.max("batch").alias("batch"))
+    return versions.join(last, [*KEY, "batch"], "left_semi").drop("batch")
+
+
+def compact_index(spark: SparkSession, root: str, target: str) -> None:
+    """The newest rows of an index as one part under another root, together with the ledger.
+
+    Run while no batch is being applied, and go on with the new root.
+    """
+    parts = spark.read.parquet(f"{root}/index")
+    last = parts.agg(F.max("batch").alias("b")).first()["b"]
+    read_index(spark, root).write.parquet(f"{target}/index/batch={last}")
+    spark.read.parquet(f"{root}/ledger").write.partitionBy("batch").parquet(f"{target}/ledger")
 
 
 def _timed(df: DataFrame, time: str, watermark: str) -> DataFrame:
