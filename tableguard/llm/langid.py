@@ -75,11 +75,18 @@ def _blocks(points: np.ndarray):
 
 
 def train(docs: DataFrame, labelled: Column, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Model of the rows where ``labelled`` holds: of each language those with the smallest hashes."""
+    """Model of the rows where ``labelled`` holds: of each language those with the smallest hashes.
+
+    Only rows whose hash lies below twice the expected place of the last one are ranked, so the
+    ranking sees about twice the sample, however many rows a language has.
+    """
     usable = labelled & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
-    narrow = docs.where(usable).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
-    chosen = narrow.withColumn("_rank", rank).where(F.col("_rank") <= rows).select("_id").distinct()
+    place = F.shiftrightunsigned(F.xxhash64("_id"), 33)  # 31 bits
+    narrow = docs.where(usable).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")).withColumn("_place", place)
+    sizes = narrow.groupBy("_lang").agg(F.count("*").alias("_n"))
+    low = narrow.join(F.broadcast(sizes), "_lang").where(F.col("_place") <= F.lit(2.0**31) * 2 * rows / F.col("_n"))
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_place", "_id"))
+    chosen = low.withColumn("_rank", rank).where(F.col("_rank") <= rows).select("_id").distinct()
     texts = docs.where(usable).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
     # At most ``rows`` ids of every language: small enough for every executor.
     sample = texts.join(F.broadcast(chosen), "_id", "left_semi")
