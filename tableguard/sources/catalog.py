@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tableguard.operators.catalog import object_id, object_type
 
-KINDS = ("objects", "columns", "constraints", "foreign_keys", "indexes", "comments", "dependencies")
+KINDS = ("objects", "columns", "constraints", "foreign_keys", "indexes", "comments", "dependencies", "definitions")
 
 # One query per metadata kind. {schemas} is the quoted list of schemas. Every engine returns the
 # same column names per kind.
@@ -36,6 +36,11 @@ _STANDARD = {
         left join information_schema.check_constraints c
           on c.constraint_schema = t.constraint_schema and c.constraint_name = t.constraint_name
         where t.table_schema in ({schemas})""",
+    "definitions": """
+        select routine_schema as schema_name, routine_name as object_name, lower(routine_type) as raw_type,
+               1 as line, routine_definition as text
+        from information_schema.routines
+        where routine_type in ('PROCEDURE', 'FUNCTION') and routine_schema in ({schemas})""",
     # Source and target columns are paired by position, so composite keys stay one key.
     "foreign_keys": """
         select s.table_schema as schema_name, s.table_name, s.constraint_name,
@@ -53,6 +58,12 @@ _STANDARD = {
 }
 
 _POSTGRES = _STANDARD | {
+    "definitions": """
+        select n.nspname as schema_name, p.proname as object_name,
+               case p.prokind when 'p' then 'procedure' else 'function' end as raw_type,
+               1 as line, pg_get_functiondef(p.oid) as text
+        from pg_proc p join pg_namespace n on n.oid = p.pronamespace
+        where p.prokind in ('p', 'f') and n.nspname in ({schemas})""",
     "indexes": """
         select n.nspname as schema_name, t.relname as table_name, i.relname as index_name,
                case when x.indisunique then 1 else 0 end as is_unique,
@@ -109,6 +120,9 @@ _MYSQL = _STANDARD | {
 }
 
 _ORACLE = {
+    "definitions": """
+        select owner as schema_name, name as object_name, lower(type) as raw_type, line as line, text as text
+        from all_source where type in ('PROCEDURE', 'FUNCTION') and owner in ({schemas})""",
     "objects": """
         select owner as schema_name, object_name, lower(object_type) as raw_type
         from all_objects
@@ -156,6 +170,13 @@ _ORACLE = {
 }
 
 _SQLSERVER = _STANDARD | {
+    "definitions": """
+        select s.name as schema_name, o.name as object_name, o.type as raw_type,
+               1 as line, m.definition as text
+        from sys.sql_modules m
+        join sys.objects o on o.object_id = m.object_id
+        join sys.schemas s on s.schema_id = o.schema_id
+        where o.type in ('P', 'FN', 'IF', 'TF') and s.name in ({schemas})""",
     "foreign_keys": """
         select schema_name(f.schema_id) as schema_name,
                object_name(f.parent_object_id) as table_name, f.name as constraint_name,
@@ -245,6 +266,7 @@ _SCHEMAS = {
     "indexes": "schema_name string, table_name string, index_name string, is_unique boolean, is_primary boolean, column_name string, column_order int, is_included boolean",
     "comments": "schema_name string, table_name string, description string",
     "dependencies": "schema_name string, routine_name string, routine_type string, target_schema string, target_name string",
+    "definitions": "schema_name string, object_name string, raw_type string, line int, text string",
     "labels": "schema_name string, table_name string, column_name string, information_type string, label string",
 }
 
@@ -265,6 +287,12 @@ def _normal(kind: str, rows: DataFrame) -> DataFrame:
     if kind == "objects":
         rows = rows.withColumn("object_type", object_type("raw_type")).where("object_type is not null")
         return rows.withColumn("object_id", object_id())
+    if kind == "definitions":
+        # Engines that keep source line by line give many rows; a routine's lines become one text.
+        rows = rows.withColumn("object_type", object_type("raw_type")).where("object_type is not null")
+        lines = F.array_sort(F.collect_list(F.struct("line", "text")))
+        joined = F.array_join(F.transform(lines, lambda x: x["text"]), "")
+        return rows.withColumn("object_id", object_id()).groupBy("object_id", "schema_name", "object_name", "object_type").agg(joined.alias("definition"))
     if kind == "foreign_keys":
         return rows.withColumn("source_object_id", _table_id())
     if kind == "dependencies":

@@ -46,6 +46,27 @@ def test_catalog_queries_name_their_columns(engine):
         assert all(name in text for name in first), (kind, first)
 
 
+def test_routine_definitions_join_their_lines(spark):
+    rows = spark.createDataFrame([("a", "P", "procedure", 2, "begin null; end;"), ("a", "P", "procedure", 1, "procedure P as\n"), ("a", "F", "FN", 1, "f"), ("a", "X", "trigger", 1, "t")], SC._SCHEMAS["definitions"])
+    got = {r.object_id: r.definition for r in SC._normal("definitions", rows).collect()}
+    assert got == {"procedure:a.P": "procedure P as\nbegin null; end;", "function:a.F": "f"}
+
+
+def test_index_parts_hold_only_what_a_batch_names(spark, tmp_path):
+    """A batch writes the rows of its own identities; reading and compacting give the whole index."""
+    sink = SS.index_sink(str(tmp_path / "a"))
+    sink(entries(spark, *[dict(object_name=f"T{i}") for i in range(50)]), 0)
+    sink(entries(spark, dict(object_name="T7", description="changed"), dict(object_name="NEW")), 1)
+    parts = spark.read.parquet(str(tmp_path / "a" / "index"))
+    assert {r["batch"]: r["count"] for r in parts.groupBy("batch").count().collect()} == {0: 50, 1: 2}
+    now = SS.read_index(spark, str(tmp_path / "a"))
+    assert now.count() == 51 and now.where("description = 'changed'").count() == 1
+    SS.compact_index(spark, str(tmp_path / "a"), str(tmp_path / "b"))
+    assert SS.read_index(spark, str(tmp_path / "b")).exceptAll(now).count() == 0
+    SS.index_sink(str(tmp_path / "b"))(entries(spark, dict(object_name="LATER")), 2)
+    assert SS.read_index(spark, str(tmp_path / "b")).count() == 52
+
+
 def test_corpus_files(spark, tmp_path):
     (tmp_path / "a b").mkdir()
     (tmp_path / "a b" / "x+y.sql").write_bytes("﻿create table t (a int)".encode())
