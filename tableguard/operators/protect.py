@@ -413,19 +413,39 @@ def explain_masking(
     return kept.select(*[F.col(f"`{c}`") for c in df.columns], decision.alias("decision"))
 
 
+def _leaves(name: str, col: Column, dtype: T.DataType, declared: Mapping[str, str]):
+    """(name, column, type, class) of what protection treats by itself inside a column."""
+    cls = N.declared_class(name, declared)
+    if isinstance(dtype, T.StructType) and cls not in X.HIGH_RISK:
+        for f in dtype.fields:
+            yield from _leaves(f.name, col[f.name], f.dataType, declared)
+    elif isinstance(dtype, (T.ArrayType, T.MapType)) and cls not in X.HIGH_RISK:
+        if _has_protected_leaf(dtype, name, declared):
+            yield name, col, dtype, X.PUBLIC
+    else:
+        yield name, col, dtype, cls
+
+
 def treatment_counts(df: DataFrame, policy: Mapping[str, str] | None, key: Key) -> DataFrame:
-    """(treatment, n): how many values each treatment replaces in the whole table."""
+    """(treatment, n): how many values each treatment replaces in the whole table.
+
+    Fields of structs count as columns do; elements of arrays and maps are counted as JSON.
+    """
     declared = {**field_labels(df.schema), **(policy or {})}
     staged, sums = [], {t: [] for t in S.COUNTED}
-    for i, f in enumerate(df.schema.fields):
-        c, cls = F.col(f"`{f.name}`"), N.declared_class(f.name, declared)
+    leaves = [x for f in df.schema.fields for x in _leaves(f.name, F.col(f"`{f.name}`"), f.dataType, declared)]
+    for i, (name, c, dtype, cls) in enumerate(leaves):
         if cls not in _HELD:
             sums[X.TREATMENT.get(cls, "redact")].append(c.isNotNull().cast("long"))
-        elif isinstance(f.dataType, T.StringType):
+        elif isinstance(dtype, (T.ArrayType, T.MapType)):
+            staged.append(S.loose_counts(F.to_json(c), name, key, declared).alias(f"__tg_n{i}"))
+            for t in S.COUNTED:
+                sums[t].append(F.coalesce(F.col(f"__tg_n{i}.{t}"), F.lit(0)))
+        elif isinstance(dtype, T.StringType):
             shape = V.classify_value(c) if cls == X.PUBLIC else F.lit(X.PUBLIC)
             staged.append(N.treatment(shape).alias(f"__tg_s{i}"))
             staged.append(
-                S.loose_counts(F.when(shape == X.PUBLIC, c), f.name, key, declared).alias(f"__tg_n{i}")
+                S.loose_counts(F.when(shape == X.PUBLIC, c), name, key, declared).alias(f"__tg_n{i}")
             )
             for t in S.COUNTED:
                 whole = (F.col(f"__tg_s{i}") == t).cast("long")

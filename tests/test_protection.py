@@ -134,6 +134,16 @@ def test_json_locations_and_deep_json(spark, key):
     assert S.container(deep) is None
 
 
+def test_treatments_of_nested_values_are_counted(spark, key):
+    rows = spark.sql("""select * from values
+      (named_struct('phone', '0812345678', 'n', 1, 'in', named_struct('email', 'a@b.co')), array('0812345678', 'x'), map('pwd', 'x', 'k', 'plain'), 'y'),
+      (null, null, null, null) as t(person, contact, extra, code)""")
+    counts = {r.treatment: r.n for r in P.treatment_counts(rows, None, key).collect()}
+    masked = P.protect(rows, None, key).first()
+    assert masked.person.phone != "0812345678" and masked.contact[0] != "0812345678" and masked.extra["pwd"] == X.REDACTED
+    assert counts == {"fake": 2, "alias": 1, "redact": 1}
+
+
 def test_alias_collisions_are_counted(spark, key):
     names = spark.range(3000).select(F.concat(F.lit("n"), "id").alias("name"))
     few = K.alias_collisions(names, "name", key, length=2).first()
