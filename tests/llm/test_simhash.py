@@ -107,7 +107,11 @@ def test_every_near_word_reaches_the_home():
             assert set(k2[h2].tolist()) <= set(key[place == n].tolist())
 
 
-def test_components_of_a_chain_and_a_star(spark):
+@pytest.mark.parametrize("hot", [1000, 50])
+def test_components_of_a_chain_and_a_star(spark, monkeypatch, hot):
+    from tableguard.llm import components as C
+
+    monkeypatch.setattr(C, "HOT_LINKS", hot)
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 300)] + [(7, 7), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(300)}}
