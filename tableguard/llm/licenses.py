@@ -1,9 +1,9 @@
 """License scans: ordered signature rules behind a keyword prefilter.
 
 A text is reduced to its words in lower case (letters and digits, and every character beyond
-ASCII). The rules are regular expressions over the words joined by single spaces. Only texts that
-hold one of a few stems are searched, and of those only by the rules whose keyword is among the
-words. Detections are resolved by interval containment: a detection that lies inside one of higher
+ASCII). The rules are regular expressions over the words joined by single spaces. A text is searched
+only by the rules whose keyword and cue are among its words; both are words that every match of
+the rule holds. Detections are resolved by interval containment: a detection that lies inside one of higher
 priority, or of equal priority and greater length, is suppressed. The base phrases are never
 suppressed.
 
@@ -71,15 +71,16 @@ NAMES = {
     "cc-by-nc-nd": ["cc by nc nd(?: [1-4] [05])?", "creative commons attribution non ?commercial no ?deriv\\w*(?: [1-4] [05])?"],
     "proprietary": ["commercial", "proprietary"],
 }
-#: Sentences a license name stands in: pattern around the name, priority, certainty.
+#: Sentences a license name stands in: pattern around the name, its cues (words one of which every
+#: such sentence holds), priority, certainty.
 NOTICES = (
-    ("(?:dual )?licensed under (?:the )?(?:terms of (?:the )?)?{}(?: licen[sc]e)?", 5, 1.0),
-    ("(?:released|distributed|available|published|provided) under (?:the )?(?:terms of (?:the )?)?{}(?: licen[sc]e)?", 5, 0.95),
-    ("subject to (?:the )?(?:terms of (?:the )?)?{}(?: licen[sc]e)?", 4, 0.9),
-    ("(?:spdx )?licen[sc]e identifier {}(?: only| or later)?", 6, 1.0),
-    ("licen[sc]e {}", 3, 0.8),
-    ("under (?:the )?{} licen[sc]e", 3, 0.85),
-    ("{} licen[sc]e", 2, 0.7),
+    ("(?:dual )?licensed under (?:the )?(?:terms of (?:the )?)?{}(?: licen[sc]e)?", "licensed", 5, 1.0),
+    ("(?:released|distributed|available|published|provided) under (?:the )?(?:terms of (?:the )?)?{}(?: licen[sc]e)?", "under", 5, 0.95),
+    ("subject to (?:the )?(?:terms of (?:the )?)?{}(?: licen[sc]e)?", "subject", 4, 0.9),
+    ("(?:spdx )?licen[sc]e identifier {}(?: only| or later)?", "identifier", 6, 1.0),
+    ("licen[sc]e {}", "license licence", 3, 0.8),
+    ("under (?:the )?{} licen[sc]e", "license licence", 3, 0.85),
+    ("{} licen[sc]e", "license licence", 2, 0.7),
 )
 #: Names that say by themselves that they are licenses.
 SPEAKING = re.compile(r"licen|cc0|cc by|creative commons|gpl|public domain|wtfpl|odbl|pddl|gfdl")
@@ -89,8 +90,6 @@ OTHERS = (
     ("public-domain", "public domain", "domain", 1, 0.4),
     ("all-rights-reserved", "all rights reserved", "reserved", 1, 0.3),
 )
-#: One of these stems is in every text a rule can match.
-STEMS = (b"licen", b"lgpl", b"gpl", b" cc", b"commons", b"public domain", b"rights reserved", b"subject to", b" under ")
 
 
 @dataclass(frozen=True)
@@ -98,6 +97,7 @@ class Rule:
     label: str
     pattern: re.Pattern[bytes]
     keywords: frozenset[bytes]
+    cues: frozenset[bytes]  # empty: none needed
     priority: int
     certainty: float
 
@@ -117,13 +117,13 @@ def rules() -> tuple[Rule, ...]:
     """Every name in every notice, names that speak for themselves, and the others; in order."""
     out = []
 
-    def add(label: str, text: str, keywords: frozenset[bytes], priority: int, certainty: float) -> None:
-        out.append(Rule(label, re.compile(f"(?<= ){text}(?= )".encode()), keywords, priority, certainty))
+    def add(label: str, text: str, keywords: frozenset[bytes], priority: int, certainty: float, cues: str = "") -> None:
+        out.append(Rule(label, re.compile(f"(?<= ){text}(?= )".encode()), keywords, frozenset(cues.encode().split()), priority, certainty))
 
-    for around, priority, certainty in NOTICES:
+    for around, cues, priority, certainty in NOTICES:
         for label, names in NAMES.items():
             for name in names:
-                add(label, around.format(f"(?:{name})"), _keywords(name), priority, certainty)
+                add(label, around.format(f"(?:{name})"), _keywords(name), priority, certainty, cues)
     for label, names in NAMES.items():
         for name in names:
             if SPEAKING.search(name):
@@ -133,6 +133,16 @@ def rules() -> tuple[Rule, ...]:
     return tuple(out)
 
 
+@lru_cache(maxsize=1)
+def _by_keyword() -> dict[bytes, list[int]]:
+    """Numbers of the rules that have a keyword."""
+    out: dict[bytes, list[int]] = {}
+    for number, rule in enumerate(rules()):
+        for word in rule.keywords:
+            out.setdefault(word, []).append(number)
+    return out
+
+
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _GAPS = re.compile(rb"  +")
 
@@ -154,10 +164,11 @@ def _base_places(words: bytes) -> list[tuple[int, str]]:
 
 def detections(words: bytes) -> list[tuple[int, int, Rule]]:
     """(start, end, rule) of what is left after containment."""
-    present = set(words.split())
+    present, by_keyword = set(words.split()), _by_keyword()
     found = []
-    for number, rule in enumerate(rules()):
-        if not rule.keywords.isdisjoint(present):
+    for number in sorted({n for word in by_keyword.keys() & present for n in by_keyword[word]}):
+        rule = rules()[number]
+        if not rule.cues or not rule.cues.isdisjoint(present):
             found += [(-rule.priority, m.start() - m.end(), number, m.start(), m.end(), rule) for m in rule.pattern.finditer(words)]
     found.sort(key=lambda x: x[:4])
     # Kept intervals never contain one another, so starts and ends are both in order.
@@ -179,8 +190,6 @@ def detections(words: bytes) -> list[tuple[int, int, Rule]]:
 
 def scan_words(words: bytes) -> tuple[list[tuple[int, str]], list[tuple[int, int, Rule]]]:
     """Base places (byte position, label) and detections of one text."""
-    if not any(stem in words for stem in STEMS):
-        return [], []
     return _base_places(words), detections(words)
 
 

@@ -81,6 +81,41 @@ def test_license_priorities_and_containment(nothing):
         assert rule.keywords
 
 
+def _spellings(tree):
+    """Strings a rule matches, every option of every part among them."""
+    out = [""]
+    for kind, value in tree:
+        name = str(kind)
+        if name == "LITERAL":
+            part = [chr(value)]
+        elif name == "IN":
+            part = [c for c in "0123456789abcdefghijklmnopqrstuvwxyz" if any(str(k) == "CATEGORY" or (v == ord(c) if str(k) == "LITERAL" else v[0] <= ord(c) <= v[1]) for k, v in value)]
+        elif name == "SUBPATTERN":
+            part = _spellings(value[3])
+        elif name == "BRANCH":
+            part = [s for option in value[1] for s in _spellings(option)]
+        elif name == "MAX_REPEAT":
+            part = ["", *_spellings(value[2])]
+        else:
+            assert name == "ASSERT"  # the spaces around
+            continue
+        # Each option stands in a string, though not each pair of options.
+        out = [out[k % len(out)] + part[k % len(part)] for k in range(len(out) * len(part) if len(out) * len(part) <= 64 else max(len(out), len(part)))]
+    return out
+
+
+def test_license_gates_lose_no_match_of_any_rule():
+    for rule in licenses.rules():
+        for text in _spellings(re._parser.parse(rule.pattern.pattern.decode())):
+            words = licenses.words_text(f"data {text} end".encode())
+            assert rule.pattern.search(words), (rule, text)
+            assert not rule.keywords.isdisjoint(words.split()) and (not rule.cues or not rule.cues.isdisjoint(words.split())), (rule, text)
+            found = licenses.scan_words(words)[1]
+            assert found and found == licenses.detections(words), text
+    for text, label in [("data: ODbL 1.0", "odbl-1"), ("WTFPL", "wtfpl"), ("PDDL", "pddl-1"), ("GFDL", "gfdl-1.3"), ("Apache 2.0", "apache-2")]:
+        assert [r.label for *_, r in licenses.scan_words(licenses.words_text(text.encode()))[1]] == [label]
+
+
 def test_token_counts_are_the_library_s(messy, nothing, documents):
     from tokenizers import Tokenizer
 
