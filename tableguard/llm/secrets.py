@@ -7,7 +7,9 @@ searched in every row.
 
 Null texts count as empty; matches of one rule are leftmost and do not overlap, matches of
 different rules may; positions are code points, the end is exclusive; repeated rows give repeated
-results; no other column is read by ``scan``, and ``redact`` passes all columns through.
+results; no other column is read by ``scan``, and ``redact`` passes all columns through. A private
+key goes from its BEGIN line to the first END line of a private key; if another BEGIN or the end of
+the text comes before, over the key's header and base64 lines that follow, however many.
 """
 
 from __future__ import annotations
@@ -40,8 +42,17 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 16),
     Rule("hex", r"[0-9a-f]+", 32),
 )
+# Lines may end in an escape, as in JSON, and be quoted or indented.
+_EOL, _MARGIN, _B64 = r"(?:\r\n?|\n|(?:\\+r)?\\+n)", r"[\x20\t>|#*\"']*+", r"[A-Za-z0-9+/=]"
+_REST = rf"""[\x20\t"',;+]*+(?={_EOL}|\Z)"""
+_HEADER = rf"(?:{_EOL}{_MARGIN})++(?:Proc-Type|DEK-Info|Version|Comment|Charset|Hash|MessageID):[^\r\n\\]*+"
+# A line is of the key where it follows at once; after blank lines or a space if it is long or ends
+# the text, and after blank lines also if it holds more than letters.
+_LINE = rf"{_EOL}{_MARGIN}{_B64}++{_REST}|(?:{_EOL}{_MARGIN})++(?:{_B64}{{16,}}+{_REST}|(?=[A-Za-z]*+[0-9+/=]){_B64}++{_REST}|{_B64}++(?=\s*+\Z))|[\x20\t]++(?:{_B64}{{16,}}+|{_B64}++(?=\s*+\Z))"
+_LABEL = r"[A-Z0-9\x20]*PRIVATE\x20KEY(?:\x20BLOCK)?-----"
+_TO_END = rf"(?:[^-]++|-(?!----BEGIN\x20|----END\x20{_LABEL}))*+-----END\x20{_LABEL}"
 MORE = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("pem", rf"-----BEGIN\x20{_LABEL}(?:{_TO_END}|(?:{_HEADER}|{_LINE})*+)"),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud", r"AIza[0-9A-Za-z_-]{35}"),

@@ -43,6 +43,42 @@ def test_secret_rules_and_redaction(spark, messy, nothing):
     assert secrets.redact(nothing).count() == 0 and secrets.digest(nothing).count() == 0
 
 
+def _key_texts():
+    """Texts that hold a private key, and the parts of it that must go."""
+    import base64
+
+    raw = base64.b64encode(bytes(i * 89 % 251 for i in range(1210))).decode()
+    lines = [raw[i : i + 64] for i in range(0, len(raw), 64)]
+    for label in ("PRIVATE KEY", "RSA PRIVATE KEY", "ENCRYPTED PRIVATE KEY", "OPENSSH PRIVATE KEY", "PGP PRIVATE KEY BLOCK", "A" * 60 + " PRIVATE KEY"):
+        begin, end = f"-----BEGIN {label}-----", f"-----END {label}-----"
+        headers = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B2C", ""] if "RSA" in label else ["Version: GnuPG v1", ""] if "PGP" in label else []
+        body = [*headers, *lines, *(["=aB3d"] if "PGP" in label else [])]
+        parts = [begin, *(b for b in body if b)]
+        for eol in ("\n", "\r\n", "\\n", "\n    ", "\n> ", "\n\n"):
+            yield "before " + eol.join([begin, *body, end]) + eol + "after it", [*parts, end]
+            yield "before " + eol.join([begin, *body]) + eol + "after it", parts
+            yield "before " + eol.join([begin, *body[:-2], body[-2][:9]]), [*parts[:-2], body[-2][:9]]
+        yield f"before {begin}\n{lines[0]}\n-----BEGIN CERTIFICATE-----\n after it", [begin, lines[0]]
+        yield "before " + " ".join([begin, *lines, end]) + " after it", [*lines, end]
+
+
+def test_no_line_of_a_private_key_is_left(spark):
+    cases = list(_key_texts())
+    docs = spark.createDataFrame([(i, text, len(text)) for i, (text, _) in enumerate(cases)], "doc_id long, text string, n_chars long")
+    out = by_id(secrets.redact(docs).collect())
+    for i, (text, gone) in enumerate(cases):
+        assert not [g for g in gone if g in out[i].text], (text, out[i].text)
+        assert out[i].text.startswith("before [SECRET]") and out[i].n_chars == len(out[i].text)
+        assert out[i].text.endswith("after it") or not text.endswith("after it"), (text, out[i].text)
+    pem = next(r for r in secrets.RULES if r.kind == "pem")
+    assert trigrams.query_of(pem.pattern, pem.flags)
+    # Prose after a marker stays, and many markers take no time that grows with their square.
+    search = re.compile(pem.pattern, pem.flags)
+    assert search.sub("", "-----BEGIN PRIVATE KEY----- is how it begins\n\nThen it goes on.") == " is how it begins\n\nThen it goes on."
+    assert len(search.findall("-----BEGIN PRIVATE KEY-----\nx y - " * 50_000)) == 50_000
+    assert search.sub("", "-----BEGIN PRIVATE KEY-----" + "\n" * 200_000 + "- x") == "\n" * 200_000 + "- x"
+
+
 def test_trigram_queries_never_miss():
     """Whatever a pattern matches passes its query; patterns without trigrams have none."""
     cases = [("ab(cd|ef)gh", "xxABefghyy", re.I), ("abc?def", "abdef", 0), ("(foo|ba[rz]+)x", "barzrzx", 0), ("[a-z]+", "hello", 0), ("a{3}b", "aaab", 0), ("(x|y)(abc|abd)*q", "xq", 0)]
