@@ -59,7 +59,7 @@ MORE = (
     Rule("payment", r"sk_(live|test)_[0-9A-Za-z]{16,}"),
     Rule("webtoken", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}"),
     Rule("bearer", r"bearer\x20+[A-Za-z0-9._~+/=-]{16,}", flags=re.ASCII | re.IGNORECASE),
-    Rule("login", r"://[^\s/:@]{1,200}:[^\s/@]{1,200}@[a-z0-9]", flags=re.ASCII),
+    Rule("login", r"://[^\s/:@]*+:[^\s/@]++@[A-Za-z0-9]", flags=re.ASCII),
 )
 RULES = BASE + MORE
 

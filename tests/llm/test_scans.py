@@ -79,6 +79,14 @@ def test_no_line_of_a_private_key_is_left(spark):
     assert search.sub("", "-----BEGIN PRIVATE KEY-----" + "\n" * 200_000 + "- x") == "\n" * 200_000 + "- x"
 
 
+@pytest.mark.parametrize("url", ["https://u:" + "q" * 5000 + "@h.example", "https://" + "u" * 300 + ":pw@h.example", "redis://:pw@cache.example", "ftp://u:pw@HOST.EXAMPLE"])
+def test_logins_of_any_length_user_and_host(spark, url):
+    docs = spark.createDataFrame([(1, f"see {url} there", 9), (2, "http://h.example:80/a@b and ://::/@x", 9)], "doc_id long, text string, n_chars long")
+    out = by_id(secrets.redact(docs).collect())
+    assert out[1].text == f"see {url.split(':')[0]}[SECRET]{url.split('@')[1][1:]} there"
+    assert "[SECRET]" not in out[2].text
+
+
 def test_trigram_queries_never_miss():
     """Whatever a pattern matches passes its query; patterns without trigrams have none."""
     cases = [("ab(cd|ef)gh", "xxABefghyy", re.I), ("abc?def", "abdef", 0), ("(foo|ba[rz]+)x", "barzrzx", 0), ("[a-z]+", "hello", 0), ("a{3}b", "aaab", 0), ("(x|y)(abc|abd)*q", "xq", 0)]
