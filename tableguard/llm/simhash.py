@@ -29,7 +29,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tableguard.llm.batches import arrow_schema, doc_columns, id_type, map_arrow, map_batches, mix64, ranges, starts_of
 from tableguard.llm.components import components
@@ -286,12 +286,17 @@ def links(distinct: DataFrame, most: int = MOST_BITS) -> DataFrame:
     return map_arrow(dealt, run, _LINKS)
 
 
+def _rooted(marked: DataFrame, id_col: str, most: int) -> DataFrame:
+    """Every fingerprint ``fp`` with ``_least``, the smallest id that has it, and the root of its component."""
+    distinct = marked.groupBy("fp").agg(F.min(id_col).alias("_least"))
+    found = components(links(distinct, most))
+    return distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "_least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, most: int = MOST_BITS) -> DataFrame:
     """id, fingerprint (16 hex digits) and component_id, the smallest id that links lead to."""
     marked = cut_lineage(fingerprints(docs, id_col, text_col, size))
-    distinct = marked.groupBy("fp").agg(F.min(id_col).alias("_least"))
-    found = components(links(distinct, most))
-    rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "_least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(marked, id_col, most)
     least = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
     classes = rooted.join(least, "root").select("fp", "component_id")
     return marked.join(classes, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -300,12 +305,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id.
 
-    Of rows with the same id the first by text stays; rows without id all stay.
+    Documents are told apart by id and text hash: those that share an id without being
+    near-duplicates all stay, those without id take part and come last. Of rows equal in both one
+    stays.
     """
-    kept = near_duplicates(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    chosen = docs.join(kept, docs[id_col] == F.col("_kept"), "left_semi")
     place = "_place"
     while place in docs.columns:
         place += "_"
-    first = chosen.withColumn(place, F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col))).where(F.col(place) == 1).drop(place)
-    return first.unionByName(docs.where(F.col(id_col).isNull()))
+    document = F.struct(docs[id_col].isNull().alias("no_id"), docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("hash"))
+    marked = cut_lineage(fingerprints(docs.select(document.alias("_document"), docs[text_col].alias("_text")), "_document", "_text"))
+    kept = _rooted(marked, "_document", MOST_BITS).groupBy("root").agg(F.min("_least").alias("_kept"))
+    # Equal rows become one in each task before they meet.
+    different = docs.withColumn(place, document).dropDuplicates([place])
+    return different.join(kept, different[place] == kept["_kept"], "left_semi").drop(place)

@@ -62,6 +62,18 @@ def test_odd_rows(messy, nothing):
     assert len(ids) == len(set(ids)) and None in ids and 5 in ids and 6 not in ids
 
 
+def test_keep_one_tells_documents_by_id_and_text(spark):
+    a, b, c = ("one two three four five six", "quite another text about nothing at all", "a third document of other words again")
+    rows = [(1, a), (1, b), (2, b), (2, c), (3, c), (None, c), (None, "no id here but several words"), (None, "no id here but several words"), (4, a), (4, a), (5, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, _place int")
+    kept = S.keep_one(docs)
+    got = sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=str)
+    assert kept.columns == docs.columns and got == sorted([(1, a), (1, b), (2, c), (None, "no id here but several words"), (5, "")], key=str)
+    assert "Window" not in kept._jdf.queryExecution().executedPlan().toString()
+    hot = spark.range(3000).selectExpr("cast(null as long) as doc_id", "'the same words in every row' as text")
+    assert [r.text for r in S.keep_one(hot).collect()] == ["the same words in every row"]
+
+
 def test_long_text_in_blocks(monkeypatch):
     text = " ".join(f"w{i * 7919 % 1013}" for i in range(5000))
     whole = S.fingerprint(text.encode())
