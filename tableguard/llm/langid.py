@@ -6,7 +6,7 @@ language) is broadcast. Prediction scores whole texts in numpy: n-gram numbers o
 batch, gathered from the matrix and summed per text.
 
 Null texts and texts without a letter are ``und`` with score 0, as is everything if there is
-nothing to learn from; ties go to the language that sorts first; a text of any length is scored
+nothing to learn from (``keep_known`` then keeps every text with a letter); ties go to the language that sorts first; a text of any length is scored
 whole, block by block; repeated rows give repeated results; a null id is never held out. Only the
 id, the text and, in training, the language are read.
 """
@@ -115,11 +115,16 @@ def train(docs: DataFrame, labelled: Column, rows: int = SAMPLE_ROWS, id_col: st
     return Model(languages, (np.log(weights) - np.log(weights.sum(axis=0))).astype(np.float32))
 
 
+def _count_letters(points: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Letters of each text."""
+    return np.add.reduceat(np.append(points != 32, False), at[:-1], dtype=np.int64) if len(at) > 1 else np.zeros(0, np.int64)
+
+
 def score_texts(texts: list[str], model: Model) -> tuple[list[str], list[float]]:
     """Best language of each text and its posterior probability, all languages being as likely."""
     points, at = _points(texts)
     rows = len(texts)
-    letters = np.add.reduceat(np.append(points != 32, False), at[:-1]) if rows else np.zeros(0)
+    letters = _count_letters(points, at)
     total = np.zeros((rows, len(model.languages)))
     for start, grams in _blocks(points):
         if not len(grams):
@@ -163,11 +168,17 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def keep_known(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """Rows with a language that scores ``least`` or more, with all their columns."""
+    """Rows with a language that scores ``least`` or more, with all their columns.
+
+    A model without languages cannot reject a text: then all rows with a letter stay.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(_fast(model))
 
     def mask(batch: pa.RecordBatch) -> np.ndarray:
-        names, scores = score_texts(batch.column(text_col).fill_null("").to_pylist(), shared.value)
+        texts = batch.column(text_col).fill_null("").to_pylist()
+        if not shared.value.languages:
+            return _count_letters(*_points(texts)) > 0
+        names, scores = score_texts(texts, shared.value)
         return (np.array(scores) >= least) & (np.array(names) != UNKNOWN)
 
     return keep_rows(docs, text_col, mask, PART)

@@ -208,6 +208,16 @@ def test_language_odd_rows(documents, messy, nothing):
     assert {r.lang_pred for r in langid.predict(messy, empty).collect()} == {"und"}
 
 
+def test_texts_with_letters_stay_if_there_is_nothing_to_learn(spark, messy, nothing):
+    empty = langid.train(nothing, F.lit(True))
+    assert langid.keep_known(messy, empty, 0.0).count() == langid.keep_known(messy, empty).count() == messy.count() - 4
+    import corpus_pipeline
+
+    unlabelled = messy.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language_id(spark, unlabelled, SF).count() == messy.count() - 4
+    assert langid.keep_known(nothing, empty).count() == 0
+
+
 def test_language_scores_do_not_depend_on_blocks(documents, monkeypatch):
     model = langid.train(documents, ~langid.held_out(), rows=20)
     texts = [r.text for r in documents.limit(40).collect()] + ["", "12"]
