@@ -267,7 +267,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     verdicts = found.unionByName(twice)
     parts = mixed.select("key", "content", "_id", "_hash", "start").join(verdicts, ["key", "content"])
     spans = whole.unionByName(parts.select("_id", "_hash", (F.col("start") + F.col("offset")).alias("start"), F.col("found").alias("windows")))
-    return spans.groupBy("_id", "_hash").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+    # Rows that are equal in id and text give equal spans; each counts once.
+    return spans.groupBy("_id", "_hash").agg(F.collect_set(F.struct("start", "windows")).alias("spans"))
 
 
 def _same_row(a: DataFrame, b: DataFrame):

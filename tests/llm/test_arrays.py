@@ -84,6 +84,16 @@ def test_repeats_of_short_windows(spark):
         assert (len(text), int((ends - starts).sum()), len(starts)) == want[i][:3]
 
 
+def test_spans_of_equal_rows_count_once(spark):
+    text = " ".join(f"word{i * 7919 % 613}" for i in range(120))
+    rows = [(None, text)] * 30 + [(1, "prefix " + text)] * 5 + [(2, "w " * 300)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = suffixes.repeated_spans(docs).collect()
+    assert spans and all(len(r.spans) == len({tuple(s) for s in r.spans}) <= 1000 for r in spans)
+    got = suffixes.digest(docs).collect()
+    assert len(got) == len(rows) and all(r.n_removed == r.n_bytes for r in got if r.doc_id is None)
+
+
 def test_decontamination_odd_rows(spark, messy, nothing, monkeypatch):
     from tests.llm.conftest import PASSAGE
 
