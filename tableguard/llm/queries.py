@@ -148,3 +148,10 @@ def sentencepiece_dropout(spark: SparkSession, sf: str) -> DataFrame:
     from tableguard.llm.pieces import encode
 
     return encode(table(spark, sf, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op12_periodic_run_detection")
+def periodic_run_detection(spark: SparkSession, sf: str) -> DataFrame:
+    from tableguard.llm import periods
+
+    return periods.digest(periods.with_planted_runs(table(spark, sf, "documents")))
