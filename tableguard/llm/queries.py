@@ -155,3 +155,34 @@ def periodic_run_detection(spark: SparkSession, sf: str) -> DataFrame:
     from tableguard.llm import periods
 
     return periods.digest(periods.with_planted_runs(table(spark, sf, "documents")))
+
+
+_TERMS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+@query("op11_source_divergence_audit", f"""
+    with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, {_TERMS_SQL} as w from documents),
+    places as (select r, lang, source, unnest(w) as term from d),
+    terms as (select lang, term, count(*) as c from places group by lang, term having count(distinct r) >= 10),
+    langs as (select lang, count(*) as v, sum(c) as n from terms group by lang),
+    counts as (select lang, source, term, count(*) as c from places semi join terms using (lang, term) group by lang, source, term),
+    groups as (select lang, source, coalesce(any_value(v), 0) as v, coalesce(any_value(langs.n), 0) as n_all,
+                 coalesce((select sum(c) from counts where counts.lang = g.lang and counts.source = g.source), 0) as n
+               from (select distinct lang, source from d) as g left join langs using (lang) group by lang, source),
+    shares as (select g.lang, g.source, t.term, coalesce(k.c, 0) as c,
+                 1 + (1000000000::hugeint * (coalesce(k.c, 0) + 2)) // (g.n + 2 * g.v)::hugeint as p,
+                 1 + (1000000000::hugeint * (t.c + 2)) // (g.n_all + 2 * g.v)::hugeint as q
+               from groups as g join terms as t on t.lang = g.lang left join counts as k on k.lang = g.lang and k.source = g.source and k.term = t.term),
+    pairs as (select g.lang, g.source, o.source as item,
+                coalesce((select sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) from shares as a join shares as b on a.lang = b.lang and a.term = b.term
+                          where a.lang = g.lang and a.source = g.source and b.source = o.source), 0)::bigint as value
+              from groups as g join groups as o on g.lang = o.lang and g.source <> o.source),
+    stand_out as (select lang, source, term as item, (((p - q) * (p - q)) // (p + q))::bigint as value from shares where c > 0 and p > q),
+    ranked as (select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item) as rank from pairs
+               union all
+               select lang, source, 'term', item, value, row_number() over (partition by lang, source order by value desc, item) from stand_out)
+    select lang, source, part, item, value, rank::int as rank from ranked where part = 'pair' or rank <= 10""")
+def source_divergence_audit(spark: SparkSession, sf: str) -> DataFrame:
+    from tableguard.llm.divergence import audit
+
+    return audit(table(spark, sf, "documents"))
