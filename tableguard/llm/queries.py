@@ -186,3 +186,13 @@ def source_divergence_audit(spark: SparkSession, sf: str) -> DataFrame:
     from tableguard.llm.divergence import audit
 
     return audit(table(spark, sf, "documents"))
+
+
+@query("op13_exact_dedup", """
+    with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents)
+    select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size, doc_id = max(doc_id) over same as kept, sha256(t) as text_sha256
+    from d window same as (partition by t)""")
+def exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    from tableguard.llm.exact import deduplicate
+
+    return deduplicate(spark, f"{sf}/documents.parquet")
