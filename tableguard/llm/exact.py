@@ -33,14 +33,23 @@ from tableguard.session import cut_lineage
 
 #: Bytes of the SHA-256 that the state is keyed by.
 KEY_BYTES = 16
-#: Batches that the ledger is read in, and ledger rows for each partition of the state.
-BATCHES, STATE_ROWS, LEAST_PARTITIONS = 4, 2_000_000, 8
+#: Ledger rows of a batch, batches at least, ledger rows for each partition of the state, and such partitions at least.
+BATCH_ROWS, LEAST_BATCHES, STATE_ROWS, LEAST_PARTITIONS = 50_000_000, 2, 2_000_000, 8
 #: Keys with more than this part of the rows are hot.
 HOT = 1000
 #: Hits that are broadcast to the documents; more are joined by a shuffle.
-BROADCAST_HITS = 200_000
+BROADCAST_HITS = 50_000
 
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STORE = "spark.sql.streaming.stateStore."
+#: State on disk; the partitions of an executor share the memory for blocks and for writing.
+STATE_SETTINGS = {
+    f"{_STORE}providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STORE}rocksdb.boundedMemoryUsage": "true",
+    f"{_STORE}rocksdb.maxMemoryUsageMB": "256",
+    f"{_STORE}rocksdb.writeBufferSizeMB": "8",
+    f"{_STORE}rocksdb.allowFAllocate": "false",  # a small partition would take 4 MB ahead
+    f"{_STORE}rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -50,9 +59,8 @@ def normalised(text: Column) -> Column:
 
 
 @contextmanager
-def _settings(spark: SparkSession, **values: str) -> Iterator[None]:
-    """Settings of the session while a stream starts, which keeps them."""
-    values = {k.replace("__", "."): v for k, v in values.items()}
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of the session while a stream starts, which keeps them, or while state is read."""
     before = {k: spark.conf.get(k, None) for k in values}
     for k, v in values.items():
         spark.conf.set(k, v)
@@ -81,7 +89,7 @@ def _ledger_schema(id_kind: T.DataType) -> T.StructType:
 
 
 def absorb(
-    spark: SparkSession, path: str, state: str, batches: int = BATCHES, partitions: int | None = None, key_bytes: int = KEY_BYTES,
+    spark: SparkSession, path: str, state: str, batches: int | None = None, partitions: int | None = None, key_bytes: int = KEY_BYTES,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Take the Parquet files at ``path`` that are new since the last call into the folder
@@ -95,14 +103,14 @@ def absorb(
     rows = ledger.count()
     if not rows:
         return ledger
-    files = len(ledger.inputFiles())
+    files = -(-len(ledger.inputFiles()) // (batches or max(LEAST_BATCHES, -(-rows // BATCH_ROWS))))
     held = (
-        spark.readStream.schema(known).option("maxFilesPerTrigger", str(max(1, -(-files // batches)))).parquet(f"{state}/ledger")
+        spark.readStream.schema(known).option("maxFilesPerTrigger", str(files)).parquet(f"{state}/ledger")
         .withColumn("key", F.substring("digest", 1, key_bytes)).groupBy("key")
         .agg(F.max(F.struct("id", "file", "row")).alias("kept"), F.count(F.lit(1)).alias("size"))
     )
     count = partitions or max(LEAST_PARTITIONS, -(-rows // STATE_ROWS))
-    with _settings(spark, spark__sql__streaming__stateStore__providerClass=_ROCKSDB, spark__sql__shuffle__partitions=str(count)):
+    with _settings(spark, STATE_SETTINGS | {"spark.sql.shuffle.partitions": str(count)}):
         query = held.writeStream.format("noop").outputMode("update").option("checkpointLocation", f"{state}/keyed").trigger(availableNow=True).start()
     query.awaitTermination()
     return ledger
@@ -134,7 +142,9 @@ def decide(
     sha = F.lower(F.hex("digest")).alias("text_sha256")
     if ledger.isEmpty():
         return ledger.select(F.col("id").alias(id_col), F.col("id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha)
-    linked = written(_linked(ledger, written(entries(spark, state), f"{folder}/entries"), key_bytes), f"{folder}/linked")
+    with _settings(spark, STATE_SETTINGS):
+        held = written(entries(spark, state), f"{folder}/entries")
+    linked = written(_linked(ledger, held, key_bytes), f"{folder}/linked")
     # By null-safe places, as nothing else tells rows with equal or missing ids apart.
     stays = (F.col("kept.file") == F.col("file")) & (F.col("kept.row") == F.col("row"))
     hits = linked.where(F.col("size") > 1).select("id", "file", "row", "key", stays.alias("stays"))
@@ -154,7 +164,7 @@ def decide(
 
 
 def deduplicate(
-    spark: SparkSession, path: str, state: str | None = None, key_bytes: int = KEY_BYTES, batches: int = BATCHES, partitions: int | None = None,
+    spark: SparkSession, path: str, state: str | None = None, key_bytes: int = KEY_BYTES, batches: int | None = None, partitions: int | None = None,
     broadcast_hits: int = BROADCAST_HITS, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Decisions on all documents that the Parquet files at ``path`` hold.
