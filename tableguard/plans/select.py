@@ -1,30 +1,39 @@
 """Protected select: a read path that masks by lineage and refuses inference.
 
-A request is structured; its expressions are ordinary Spark SQL expressions that Spark itself
-resolves. Lineage, guard and output policy are settled while the plan is built, from schemas
-only, so no row is read before the request is known to be safe.
+A request is structured; its expressions are ordinary Spark SQL expressions. Each is parsed once
+by the session's own parser and checked as a tree. The request is first built over empty tables of the
+same columns, and Spark's analysed plan tells by expression id where every output comes from and
+which columns filter, join, sort or group. Only then is it built over the rows, from the same trees.
+No row is read before the request is known to be safe.
 """
 
 from __future__ import annotations
 
 import logging
-import re
 import threading
 from collections.abc import Iterator, Mapping
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException, ParseException
+from pyspark.errors import AnalysisException
 from pyspark.logger import PySparkLogger
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tableguard.functions import fixed as X, names as N, values as V
-from tableguard.functions.allowed import ALLOWED
 from tableguard.functions.keyed import Key
 from tableguard.operators.protect import protect
+from tableguard.plans.lineage import Origin, Trace, trace
+from tableguard.plans.parsed import Names, Ordered, Parsed, Reader, RefusedExpression
+
+__all__ = [
+    "Join", "Policy", "RefusedExpression", "Request", "RestrictedUse", "bound", "lineage", "mask", "output_policy", "protected_rows",
+    "protected_select", "protected_write", "resolve", "shaped",
+]
 
 # Usual limits of one answer; every one is a parameter, and None lifts it.
 DEFAULT_ROWS, MAX_ROWS, MAX_COLUMNS, MAX_BYTES = 100, 500, 50, 256 * 1024
+#: Classes that are shown in part: any computation could undo that.
+GENERALISED = frozenset({X.ADDRESS, X.DATE_OF_BIRTH, X.PRECISE_LOCATION})
 
 
 class RestrictedUse(ValueError):
@@ -72,49 +81,8 @@ class Policy:
     forced: bool
 
 
-_ALIAS = re.compile(r"^(?P<expr>.*\S)\s+AS\s+`?(?P<alias>\w+)`?\s*$", re.I | re.S)
-_PLAIN = re.compile(r"^`?\w+`?(\.`?\w+`?)?$")
-_STAR = re.compile(r"^(?:(?P<table>\w+)\.)?\*$")
-_LITERAL = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"")
-_CALL = re.compile(r"[A-Za-z_]\w*\s*\(|\bcase\b|\bover\b", re.I)
-_OPAQUE = re.compile(r"json|variant|\w:\w", re.I)
-#: A star that stands for columns: after nothing, a bracket, a comma or a dot, but not in count(*).
-_COUNT_ALL = re.compile(r"\bcount\s*\(\s*\*\s*\)", re.I)
-_INNER_STAR = re.compile(r"(?:^|[(,.])\s*\*")
-_CALLED = re.compile(r"((?:`[^`]*`|\w+)(?:\s*\.\s*(?:`[^`]*`|\w+))*)\s*\(")
-_SUBQUERY = re.compile(r"\b(?:select|exists|from\s+values|table)\b", re.I)
-# Words before a bracket that call nothing, Spark's own spellings of allowed
-# functions, and words that call a function without a bracket.
-_NOT_CALLS = frozenset(
-    "and or not in case when then else over between like ilike rlike is as by filter within group interval any some all "
-    "distinct on partition order rows range decimal numeric dec varchar char escape".split()
-)
-_SPARK_NAMES = frozenset("get_json_object to_json named_struct struct date_format date_part if".split())
-_BARE_CALLS = frozenset("current_user session_user current_catalog current_database current_schema".split())
-
-
-class RefusedExpression(ValueError):
-    """An expression calls what a request may not call."""
-
-
-def check_calls(expr: str, columns: frozenset[str] = frozenset()) -> None:
-    """Refuse functions that are not on the allow list, qualified names and subqueries.
-
-    Runs on the text, before anything is resolved.
-    """
-    bare = _LITERAL.sub("''", expr)
-    if _SUBQUERY.search(bare):
-        raise RefusedExpression("a subquery belongs into ctes")
-    for name in _CALLED.findall(bare):
-        low = name.strip("`").lower()
-        if low not in ALLOWED and low not in _SPARK_NAMES and (low not in _NOT_CALLS or "`" in name):
-            raise RefusedExpression(f"function {name} is not on the allow list")
-    for word in set(re.findall(r"\w+", bare.lower())) & _BARE_CALLS - columns:
-        raise RefusedExpression(f"function {word} is not on the allow list")
-
-
 class _Quiet(logging.Filter):
-    """Drops what the thread logs while it probes."""
+    """Drops what the thread logs while a request is tried."""
 
     def __init__(self) -> None:
         super().__init__()
@@ -128,275 +96,189 @@ _QUIET = _Quiet()
 
 
 @contextmanager
-def _probing() -> Iterator[None]:
-    """A probe that fails is an answer, so it does not belong into the log."""
+def _trying() -> Iterator[None]:
+    """A request that does not resolve is an answer, so it does not belong into the log."""
     for name in ("SQLQueryContextLogger", "DataFrameQueryContextLogger"):
         PySparkLogger.getLogger(name).addFilter(_QUIET)  # a filter is added once only
     _QUIET.local.on = True
     try:
         yield
+    except AnalysisException as error:
+        raise ValueError("the request does not resolve") from error
     finally:
         _QUIET.local.on = False
 
 
-def _split_alias(item: str) -> tuple[str, str | None]:
-    m = _ALIAS.match(item.strip())
-    return (m["expr"].strip(), m["alias"]) if m else (item.strip(), None)
-
-
-class Scope:
-    """The columns a request can see: every table as a struct, unambiguous names also plain."""
-
-    def __init__(self, spark: SparkSession, tables: Mapping[str, T.StructType], shared: frozenset[str] = frozenset()) -> None:
-        """``shared``: names (lower case) that a join by columns makes one."""
-        self.spark, self.tables, self.shared = spark, dict(tables), shared
-        seen: dict[str, int] = {}
-        for schema in self.tables.values():
-            for f in schema.fields:
-                seen[f.name.lower()] = seen.get(f.name.lower(), 0) + 1
-        self.ambiguous = {n for n, k in seen.items() if k > 1} - shared
-        self._whole: DataFrame | None = None
-        self._plain: list[str] = []
-        self._known: dict[tuple[str, frozenset[str]], list[tuple[str, str]] | None] = {}
-
-    def columns(self) -> list[tuple[str, str]]:
-        return [(t, f.name) for t, s in self.tables.items() for f in s.fields]
-
-    def frame(self, without: tuple[str, str] | None = None, extra: Mapping[str, T.DataType] | None = None) -> DataFrame:
-        """Empty rows of the scope, one column left out and some aliases added."""
-        if self._whole is None:
-            plain = list({
-                f.name.lower(): T.StructField(f.name, f.dataType)
-                for s in self.tables.values()
-                for f in s.fields
-                if f.name.lower() not in self.ambiguous
-            }.values())
-            structs = [T.StructField(t, s) for t, s in self.tables.items()]
-            self._plain = [f.name for f in plain]
-            self._whole = self.spark.createDataFrame([], T.StructType(plain + structs))
-        out = self._whole
-        if without is not None:
-            t, c = without
-            kept = [F.col(f"`{n}`") for n in self._plain if n != c or c.lower() in self.ambiguous]
-            for name, schema in self.tables.items():
-                if name != t:
-                    kept.append(F.col(f"`{name}`"))
-                elif len(schema.fields) > 1:
-                    kept.append(F.col(f"`{name}`").dropFields(f"`{c}`").alias(name))
-            out = out.select(*kept)
-        known = {n.lower() for n in [*self._plain, *self.tables]}
-        new = {n: F.lit(None).cast(d) for n, d in (extra or {}).items() if n.lower() not in known}
-        return out.withColumns(new) if new else out
-
-    def resolves(self, expr: str, frame: DataFrame) -> bool:
-        with _probing():
-            try:
-                frame.selectExpr(expr).schema
-                return True
-            except ParseException:
-                raise
-            except AnalysisException:
-                return False
-
-    def type_of(self, expr: str) -> T.DataType:
-        with _probing():
-            try:
-                return self.frame().selectExpr(expr).schema[0].dataType
-            except AnalysisException as error:
-                raise ValueError(f"expression does not resolve: {expr}") from error
-
-    def opaque(self, bare: str) -> bool:
-        """Whether lineage cannot be told. What reads columns that it does not spell is refused:
-        its values must not even reach an error message."""
-        if any(re.search(rf"(?<![\w.])`?{re.escape(t)}`?(?!\w|`|\s*\.)", bare, re.I) for t in self.tables):
-            raise RefusedExpression("a table's name is not a value")
-        if _INNER_STAR.search(_COUNT_ALL.sub("count(1)", bare)):
-            raise RefusedExpression("a star stands alone or in count(*)")
-        return bool(_OPAQUE.search(bare))
-
-    def sources(self, expr: str, aliases: Mapping[str, T.DataType] | None = None) -> list[tuple[str, str]] | None:
-        """Columns an expression needs: those without which it no longer resolves. None is unknown."""
-        key = (expr, frozenset(aliases or ()))
-        if key not in self._known:
-            self._known[key] = self._sources(expr, aliases)
-        return self._known[key]
-
-    def _sources(self, expr: str, aliases: Mapping[str, T.DataType] | None) -> list[tuple[str, str]] | None:
-        bare = _LITERAL.sub("''", expr)
-        check_calls(expr, frozenset(c.lower() for _, c in self.columns()))
-        if self.opaque(bare):
-            return None
-        if not self.resolves(expr, self.frame(extra=aliases)):
-            raise ValueError(f"expression does not resolve: {expr}")
-        named = bare.lower()
-        return [
-            (t, c)
-            for t, c in self.columns()
-            # A column that is not spelled in the text cannot be needed by it.
-            if c.lower() in named and not self.resolves(expr, self.frame((t, c), aliases))
-        ]
-
-
 @dataclass
 class _Table:
     df: DataFrame
     classes: dict[str, str]
 
 
-def _class_of(tables: Mapping[str, _Table], source: tuple[str, str]) -> str:
-    return tables[source[0]].classes[source[1]]
+@dataclass(frozen=True)
+class _Read:
+    """A request, parsed."""
 
+    select: list[tuple[str, Parsed]]
+    on: dict[str, Parsed]
+    where: list[Parsed]
+    group_by: list[Parsed]
+    having: list[Parsed]
+    order_by: list[Ordered]
 
-def _expand(item: str, tables: Mapping[str, _Table]) -> list[tuple[str, str]]:
-    """(expression, output name) of one select item; stars become their columns."""
-    star = _STAR.match(item.strip())
-    if star:
-        chosen = [star["table"]] if star["table"] else list(tables)
-        return [(f"`{t}`.`{c}`", c) for t in chosen for c in tables[t].df.columns]
-    expr, alias = _split_alias(item)
-    return [(expr, alias or (expr.split(".")[-1].strip("`") if _PLAIN.match(expr) else expr))]
+    @property
+    def grouped(self) -> bool:
+        return bool(self.group_by or self.having)
 
+    def output(self, value: Parsed) -> int | None:
+        """Place of the output that a sort key of a grouped request names or repeats."""
+        if len(value.plain) == 1:
+            for i, (name, _) in enumerate(self.select):
+                if name.lower() == value.plain[0].lower():
+                    return i
+        return next((i for i, (_, e) in enumerate(self.select) if e.same(value)), None)
 
-def lineage(tables: Mapping[str, DataFrame], select: list[str]) -> dict[str, list[str] | None]:
-    """Output name to the source columns it is computed from; None is unknown."""
-    held = {n: _Table(d, dict.fromkeys(d.columns, X.PUBLIC)) for n, d in tables.items()}
-    scope = Scope(next(iter(tables.values())).sparkSession, {n: d.schema for n, d in tables.items()})
-    out: dict[str, list[str] | None] = {}
-    for item in select:
-        for expr, name in _expand(item, held):
-            found = scope.sources(expr)
-            out[name] = None if found is None else sorted({c for _, c in found})
+
+def _hides(join: Join) -> bool:
+    """Semi and anti joins do not add columns, so their tables cannot be selected from."""
+    return "semi" in join.how.lower() or "anti" in join.how.lower()
+
+
+def _items(reader: Reader, texts: tuple[str, ...], tables: Mapping[str, _Table]) -> list[tuple[str, Parsed]]:
+    """(output name, expression) of the select items; stars become their columns."""
+    out = []
+    for text in texts:
+        star = reader.star(text)
+        if star is None:
+            parsed = reader.value(text)
+            out.append((parsed.name or (parsed.plain[-1] if parsed.plain else text), parsed))
+            continue
+        chosen = [n for n in tables if not star or n.lower() == star[-1].lower()]
+        if len(star) > 1 or not chosen:
+            raise ValueError(f"no table of that name: {text}")
+        out += [(c, reader.column_of(n, c)) for n in chosen for c in tables[n].df.columns]
     return out
 
 
-def output_policy(sources: list[tuple[str, str]] | None, tables: Mapping[str, _Table], name: str, declared) -> Policy:
-    """Unknown lineage is redacted, a high-risk source wins, mixed classes are redacted, one class
-    is kept; without sensitive sources the output name decides."""
-    if sources is None:
-        return Policy(X.UNKNOWN_SENSITIVE, name, True)
-    found = [(c, _class_of(tables, (t, c))) for t, c in sources]
-    sensitive = [(c, k) for c, k in found if k != X.PUBLIC]
-    risky = [(c, k) for c, k in sensitive if k in X.HIGH_RISK]
-    if risky:
-        return Policy(risky[0][1], risky[0][0], True)
-    if len({k for _, k in sensitive}) > 1:
-        return Policy(X.UNKNOWN_SENSITIVE, sensitive[0][0], True)
-    if sensitive:
-        return Policy(sensitive[0][1], sensitive[0][0], True)
-    cls = N.declared_class(name, declared)
-    return Policy(cls, name, cls != X.PUBLIC)
-
-
-def guard(request: Request, scope: Scope, tables: Mapping[str, _Table]) -> None:
-    """Refuse a request that uses a protected column, or an alias of one, outside a projection.
-
-    A function, CASE or window over a protected column is refused as well. Outside the projection
-    an expression of unknown lineage counts as using every protected column.
-    """
-    # Names are matched across tables: a name protected in one table is protected in all.
-    protected = {c.lower() for t in tables.values() for c, k in t.classes.items() if k != X.PUBLIC}
-    restricted: set[str] = set()
-    aliases: dict[str, T.DataType] = {}
-    carried: set[str] = set()
-
-    def check(expr: str, projected: bool = False) -> None:
-        found = scope.sources(expr, aliases)
-        if found is None and not projected:
-            restricted.update(protected)
-        elif found is None:
-            bare = _LITERAL.sub("''", expr).lower()
-            restricted.update(c for c in protected if re.search(rf"\b{re.escape(c)}\b", bare))
-        else:
-            restricted.update(c for _, c in found if c.lower() in protected)
-        words = set(re.findall(r"\w+", _LITERAL.sub("''", expr).lower()))
-        restricted.update(a for a in carried if a.lower() in words)
-
-    for item in request.select:
-        for expr, name in _expand(item, tables):
-            bare = _LITERAL.sub("''", expr)
-            if not _PLAIN.match(expr) and not expr.startswith("`") and _CALL.search(bare):
-                check(expr, projected=True)
-            found = scope.sources(expr)
-            if found is None or any(c.lower() in protected for _, c in found):
-                carried.add(name)
-    for item in request.select:
-        for expr, name in _expand(item, tables):
-            aliases[name] = scope.type_of(expr)
-    for j in request.joins:
-        if j.on:
-            check(j.on)
-        restricted.update(c for c in j.using if c.lower() in protected)
-    order = [re.sub(r"\s+(asc|desc)(\s+nulls\s+(first|last))?\s*$", "", o, flags=re.I) for o in request.order_by]
-    for expr in (*request.where, *request.group_by, *request.having, *order):
-        check(expr)
-    if restricted:
-        raise RestrictedUse(sorted(restricted, key=str.lower))
+def _read(spark: SparkSession, request: Request, tables: Mapping[str, _Table]) -> _Read:
+    reader = Reader(spark, Names({n.lower(): frozenset(c.lower() for c in t.df.columns) for n, t in tables.items()}))
+    hidden = {j.table for j in request.joins if _hides(j)}
+    select = _items(reader, request.select, {n: t for n, t in tables.items() if n not in hidden})
+    names = [n for n, _ in select]
+    for name in names:
+        if names.count(name) > 1:
+            raise ValueError(f"output column {name} is named twice")
+    outputs = frozenset(n.lower() for n in names)
+    return _Read(
+        select,
+        {j.table: reader.condition(j.on) for j in request.joins if not j.using},
+        [reader.condition(w) for w in request.where],
+        [reader.key(g) for g in request.group_by],
+        [reader.condition(h) for h in request.having],
+        [reader.order(o, outputs) for o in request.order_by],
+    )
 
 
-def _build(request: Request, tables: Mapping[str, _Table]) -> DataFrame:
+def _build(request: Request, read: _Read, frames: Mapping[str, DataFrame]) -> DataFrame:
     """The raw relational part of a request, as ordinary DataFrame operations."""
-    df = tables[request.table].df.alias(request.table)
+    df = frames[request.table].alias(request.table)
+    spark = df.sparkSession
+
+    def column(parsed: Parsed) -> Column:
+        return parsed.column(spark)
+
     for j in request.joins:
-        df = df.join(tables[j.table].df.alias(j.table), list(j.using) if j.using else F.expr(j.on), j.how)
-    for w in request.where:
-        df = df.where(F.expr(w))
-    # Semi and anti joins do not add columns, so their tables cannot be selected from.
-    seen = {n: tables[n] for n in [request.table, *[j.table for j in request.joins if "semi" not in j.how and "anti" not in j.how]]}
-    items = [x for item in request.select for x in _expand(item, seen)]
-    outputs = [F.expr(e).alias(n) for e, n in items]
-    order = [_sort_key(o) for o in request.order_by]
-    sorts: list[str] = []
-    if request.group_by or request.having:
-        keys = [F.expr(g) for g in request.group_by]
-        named = [(e, n) for e, n in items if e not in request.group_by]
-        df = df.groupBy(*[k.alias(f"__g{i}") for i, k in enumerate(keys)]).agg(
-            *[F.expr(e).alias(n) for e, n in named] or [F.count(F.lit(1)).alias("__n")],
-            *[F.expr(h).alias(f"__h{i}") for i, h in enumerate(request.having)],
-            # What is sorted by is an output, or computed along with the groups.
-            *[F.expr(o).alias(f"__o{i}") for i, (o, _, _) in enumerate(map(_sort_parts, request.order_by)) if not _is_output(o, items, request)],
-        )
-        for i in range(len(request.having)):
-            df = df.where(F.col(f"__h{i}"))
-        position = {g: i for i, g in enumerate(request.group_by)}
-        outputs = [
-            F.col(f"__g{position[e]}").alias(n) if e in position else F.col(f"`{n}`") for e, n in items
-        ]
-        sorts = [c for c in df.columns if c.startswith("__o")]
-        order = [_directed(F.col(f"__o{i}") if f"__o{i}" in sorts else F.col(f"`{_is_output(o, items, request)}`"), down, nulls) for i, (o, down, nulls) in enumerate(map(_sort_parts, request.order_by))]
-        df = df.select(*outputs, *sorts)
-        outputs = None
-    if outputs is not None:
+        df = df.join(frames[j.table].alias(j.table), list(j.using) if j.using else column(read.on[j.table]), j.how)
+    for w in read.where:
+        df = df.where(column(w))
+    if not read.grouped:
         # Sorting after the projection resolves aliases and still sees the input columns.
-        df = df.select(*outputs)
+        df = df.select(*[column(e).alias(n) for n, e in read.select])
+        df = df.distinct() if request.distinct else df
+        return df.orderBy(*[o.directed(column(o.value)) for o in read.order_by]) if read.order_by else df
+    # What is sorted by is an output, or computed along with the groups.
+    places = [read.output(o.value) for o in read.order_by]
+    grouped = df.groupBy(*[column(g).alias(f"__g{i}") for i, g in enumerate(read.group_by)]).agg(
+        *[column(e).alias(f"__s{i}") for i, (_, e) in enumerate(read.select)],
+        *[column(h).alias(f"__h{i}") for i, h in enumerate(read.having)],
+        *[column(o.value).alias(f"__o{i}") for i, o in enumerate(read.order_by) if places[i] is None],
+    )
+    for i in range(len(read.having)):
+        grouped = grouped.where(F.col(f"__h{i}"))
+    outputs = [f"__s{i}" for i in range(len(read.select))]
     if request.distinct:
-        df = df.distinct()
-    return (df.orderBy(*order) if order else df).drop(*sorts)
+        if None in places:
+            raise ValueError("distinct rows are sorted by what is selected")
+        grouped = grouped.select(*outputs).distinct()
+    if read.order_by:
+        keys = [F.col(f"__o{i}" if places[i] is None else f"__s{places[i]}") for i in range(len(places))]
+        grouped = grouped.orderBy(*[o.directed(k) for o, k in zip(read.order_by, keys)])
+    return grouped.select(*[F.col(s).alias(n) for s, (n, _) in zip(outputs, read.select)])
 
 
-def _is_output(expr: str, items: list[tuple[str, str]], request: Request) -> str | None:
-    """Name of the output that an expression to sort by names."""
-    bare = expr.strip("`")
-    named = next((n for _, n in items if n.lower() == bare.lower()), None)
-    return named or next((n for e, n in items if e == expr and e in request.group_by), None)
+def _empty(spark: SparkSession, tables: Mapping[str, _Table]) -> dict[str, DataFrame]:
+    """Tables of the same columns without rows, each with expression ids of its own."""
+    nothing = spark._jvm.java.util.ArrayList()
+    return {n: DataFrame(spark._jsparkSession.createDataFrame(nothing, t.df._jdf.schema()), spark) for n, t in tables.items()}
 
 
-def _sort_parts(text: str) -> tuple[str, bool, str]:
-    """Expression, whether descending, and where nulls go."""
-    m = re.match(r"^(.*?)(?:\s+(asc|desc))?(?:\s+nulls\s+(first|last))?\s*$", text.strip(), re.I | re.S)
-    return m[1], (m[2] or "").lower() == "desc", (m[3] or "").lower()
-
-
-def _directed(c: Column, down: bool, nulls: str) -> Column:
-    if nulls == "first":
-        return c.desc_nulls_first() if down else c.asc_nulls_first()
-    if nulls == "last":
-        return c.desc_nulls_last() if down else c.asc_nulls_last()
-    return c.desc() if down else c.asc()
-
+def lineage(tables: Mapping[str, DataFrame], select: list[str]) -> dict[str, list[str] | None]:
+    """Output name to the source columns it is computed from; None is unknown."""
+    held = {n: _Table(d, {}) for n, d in tables.items()}
+    spark = next(iter(tables.values())).sparkSession
+    first, *others = held
+    request = Request(table=first, select=tuple(select), joins=tuple(Join(o, how="cross") for o in others))
+    reader = Reader(spark, Names({n.lower(): frozenset(c.lower() for c in t.df.columns) for n, t in held.items()}))
+    read = _Read(_items(reader, request.select, held), {o: reader.condition("true") for o in others}, [], [], [], [])
+    leaves = _empty(spark, held)
+    with _trying():
+        found = trace(_build(request, read, leaves), leaves)
+    return {n: None if e.nested or o.inside else sorted({c for _, c in o.sources}) for (n, e), o in zip(read.select, found.outputs)}
+
+
+def output_policy(sources: Mapping[str, str] | None, name: str, declared: Mapping[str, str], bare: bool = True) -> Policy:
+    """Class of an output from the classes of its source columns (None: unknown lineage).
+
+    The greatest of these decides: a high-risk source, sources of several classes or a
+    computation on what is only shown in part (both unknown), one class, the class of its name.
+    """
+    if sources is None:
+        return Policy(X.UNKNOWN_SENSITIVE, name, True)
+    ranked = sorted((c for c, k in sources.items() if k != X.PUBLIC), key=lambda c: sources[c] not in X.HIGH_RISK)
+    if not ranked:
+        cls = N.declared_class(name, declared)
+        return Policy(cls, name, cls != X.PUBLIC)
+    lead = sources[ranked[0]]
+    mixed = len({sources[c] for c in ranked}) > 1
+    shown = lead if lead in X.HIGH_RISK or not mixed and (bare or lead not in GENERALISED) else X.UNKNOWN_SENSITIVE
+    return Policy(shown, ranked[0], True)
+
+
+def guard(request: Request, read: _Read, found: Trace, types: T.StructType, tables: Mapping[str, _Table]) -> None:
+    """Refuse a request that uses a protected column, or what comes from one, outside a projection.
+
+    In a projection, functions, CASE, windows, casts and comparisons over a protected column are
+    refused as well, and sums and products of whole or decimal numbers, which may overflow: an error
+    would tell the value. Outside the projection what is read from inside a value counts as every
+    protected column.
+    """
+    # Names are matched across tables: a name protected in one table is protected in all.
+    protected = {c.lower() for t in tables.values() for c, k in t.classes.items() if k != X.PUBLIC}
 
-def _sort_key(text: str) -> Column:
-    expr, down, nulls = _sort_parts(text)
-    return _directed(F.expr(expr), down, nulls)
+    def held(origin: Origin) -> set[str]:
+        return {c for _, c in origin.sources if c.lower() in protected}
+
+    restricted: set[str] = {c for j in request.joins for c in j.using if c.lower() in protected}
+    for origin in found.used:
+        restricted |= protected if origin.inside else held(origin)
+    outside = [*read.on.values(), *read.where, *read.group_by, *read.having, *(o.value for o in read.order_by)]
+    if any(e.nested for e in outside):
+        restricted |= protected
+    for (_, e), origin, f in zip(read.select, found.outputs, types.fields):
+        if e.looks or not e.plain and isinstance(f.dataType, (T.IntegralType, T.DecimalType)):
+            restricted |= held(origin)
+    if restricted:
+        raise RestrictedUse(sorted(restricted, key=str.lower))
 
 
 def resolve(
@@ -420,27 +302,27 @@ def _resolve(held: dict[str, _Table], request: Request, declared: Mapping[str, s
         held[name] = _Table(df, {c: p.cls for c, p in policies.items()})
     used = {n: held[n] for n in [request.table, *[j.table for j in request.joins]]}
     spark = held[request.table].df.sparkSession
-    shared = frozenset(c.lower() for j in request.joins for c in j.using)
-    scope = Scope(spark, {n: t.df.schema for n, t in used.items()}, shared)
-    guard(request, scope, used)
-    policies: dict[str, Policy] = {}
-    visible = {n: t for n, t in used.items() if not any(j.table == n and ("semi" in j.how or "anti" in j.how) for j in request.joins)}
-    for item in request.select:
-        for expr, name in _expand(item, visible):
-            if name in policies:
-                raise ValueError(f"output column {name} is named twice")
-            policies[name] = output_policy(scope.sources(expr), used, name, declared)
-    if most_columns is not None and len(policies) > most_columns:
+    read = _read(spark, request, used)
+    if most_columns is not None and len(read.select) > most_columns:
         raise ValueError(f"a result has at most {most_columns} columns")
-    try:
-        df = _build(request, used)
-    except AnalysisException as error:
-        raise ValueError("the request does not resolve") from error
+    leaves = _empty(spark, used)
+    with _trying():
+        shape = _build(request, read, leaves)
+        found = trace(shape, leaves)
+        types = shape.schema
+    guard(request, read, found, types, used)
+    policies: dict[str, Policy] = {}
+    for (name, e), origin in zip(read.select, found.outputs):
+        sources = None if e.nested or origin.inside else {c: used[t].classes[c] for t, c in sorted(origin.sources)}
+        policies[name] = output_policy(sources, name, declared, bool(e.plain))
+    with _trying():
+        df = _build(request, read, {n: t.df for n, t in used.items()})
     for other in request.union_all:
         more, theirs = _resolve(held, other, declared, most_columns)
         if len(theirs) != len(policies):
             raise ValueError("all parts of a union have the same number of columns")
-        df = df.union(more)
+        with _trying():
+            df = df.union(more)
         # One strategy per output: parts that disagree are redacted.
         policies = {
             n: a if a.cls == b.cls else Policy(X.UNKNOWN_SENSITIVE, a.source, True)
