@@ -4,14 +4,14 @@ import uuid
 
 from pyspark.sql import Window, functions as F
 
-from checks.base import CONTACTS, SECRET, Tables, check, ctes, digest_sql, fake_digits_sql, hmac_sql, pool_sql
+from checks.base import CONTACTS, SECRET, Tables, check, ctes, digest_sql, duck, fake_digits_sql, hmac_sql, pool_sql
 from checks.values import _SHAPE, _name_digest
 from tableguard.functions import fixed as X
 from tableguard.functions.allowed import call
 from tableguard.functions.keyed import key_table, table_key
 from tableguard.plans import select as P
 from tableguard.session import shared_folder
-from tableguard.streaming import streams as ST
+from tableguard.streaming import stateful as SF, streams as ST
 
 DECLARED = {"c_name": X.PERSONAL_NAME, "c_acctbal": X.FINANCIAL_ACCOUNT}
 
@@ -137,8 +137,42 @@ _DECISIONS = {
     "unknown_filter": (dict(select=("c_custkey",), where=("get_json_object(c_mktsegment, '$.a') = 'x'",)), False),
     "off_the_list": (dict(select=("java_method('java.lang.System', 'getProperty', 'user.name') AS x",)), False),
     "subquery": (dict(select=("c_custkey",), where=("exists (select 1)",)), False),
+    "literals_only": (dict(select=("c_custkey", "'c_name' AS x", "r'\\' || '--' AS y", "'/* c_acctbal */' AS z")), True),
+    "commented_filter": (dict(select=("c_name", "c_custkey /* c_acctbal */"), where=("c_mktsegment /* ' */ = 'BUILDING' -- '",)), True),
+    "comparison": (dict(select=("c_acctbal > 60 AS x",)), False),
+    "cast": (dict(select=("c_acctbal :: string AS x",)), False),
+    "division": (dict(select=("1 / (c_acctbal - 60) AS x",)), False),
+    "place": (dict(select=("c_custkey", "c_acctbal"), order_by=("2",)), False),
+    "place_desc": (dict(select=("c_custkey", "c_acctbal"), order_by=("2 desc",)), False),
+    "place_in_groups": (dict(select=("c_name", "count(*) AS n"), group_by=("1",)), False),
+    "two_keys": (dict(select=("c_custkey",), order_by=("c_custkey, c_acctbal",)), False),
+    "window_order": (dict(select=("rank() over (order by /* ' */ c_acctbal /* ' */) AS x",)), False),
 }
-_ROWS = {"public_filter": "WHERE c_mktsegment = 'BUILDING'"}
+#: Texts that are read differently than they look; each is tried in every clause, in a CTE and in a union.
+_DISGUISES = {
+    "comment": "concat('x', /* ' */ c_name /* ' */, 'y')",
+    "line_comment": "concat('x', -- '\n c_name -- '\n, 'y')",
+    "qualified_comment": "concat('x', /* ' */ c.c_name /* ' */, 'y')",
+    "raw_literal": "concat(r'\\', c_name, r'\\')",
+    "raw_quotes": 'concat(R"\\", `c_name`, R"\\")',
+    "method": "/* ' */ java_method('java.lang.System','getProperty','user.name') /* ' */ || 'z'",
+    "reflection": "r'\\' || reflect('java.lang.System', 'lineSeparator') || r'\\'",
+}
+_CLAUSES = {
+    "select": lambda e: dict(select=("c_custkey", f"{e} AS x")),
+    "where": lambda e: dict(select=("c_custkey",), where=(f"'1' = '1' and {e} like '%Ace%'",)),
+    "order": lambda e: dict(select=("c_custkey",), order_by=(f"{e} desc",)),
+    "group": lambda e: dict(select=("count(*) AS n",), group_by=(e,)),
+    "having": lambda e: dict(select=("c_nationkey",), group_by=("c_nationkey",), having=(f"max({e}) > 'a'",)),
+    "window": lambda e: dict(select=(f"row_number() over (order by {e}) AS x",)),
+}
+for _disguise, _text in _DISGUISES.items():
+    for _clause, _made in _CLAUSES.items():
+        _one = _made(_text)
+        _DECISIONS[f"{_disguise}_{_clause}"] = (_one, False)
+        _DECISIONS[f"{_disguise}_{_clause}_cte"] = (dict(table="v", ctes={"v": P.Request(table="c", **_one)}, select=("*",)), False)
+        _DECISIONS[f"{_disguise}_{_clause}_union"] = (dict(select=("c_custkey", "c_mktsegment AS x")[: len(_one["select"])], union_all=(P.Request(table="c", **_one),)), False)
+_ROWS = dict.fromkeys(("public_filter", "commented_filter"), "WHERE c_mktsegment = 'BUILDING'")
 
 
 @check(
@@ -153,24 +187,49 @@ _ROWS = {"public_filter": "WHERE c_mktsegment = 'BUILDING'"}
 def guard_decisions(t: Tables):
     """What becomes of a request, and whether any answered row shows what the row of its key holds."""
     raw = t.customer.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("raw_name"), F.col("c_acctbal").cast("string").alias("raw_balance"))
-    parts = []
+    parts, refused = [], []
     for name, (request, _) in _DECISIONS.items():
         try:
-            answer = P.protected_rows({"c": t.customer}, P.Request(table="c", **request), t.key, DECLARED)
+            answer = P.protected_rows({"c": t.customer}, P.Request(**({"table": "c"} | request)), t.key, DECLARED)
         except ValueError:
-            parts.append(t.spark.range(1).select(F.lit(name).alias("request"), F.lit("refused").alias("outcome"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("leaks")))
+            refused.append((name, "refused", 0, 0))
             continue
         shown = F.concat_ws("|", *[F.col(f"`{c}`").cast("string") for c in answer.columns if c not in ("c_custkey", "c_nationkey", "n")])
         seen = answer.select(shown.alias("shown"), *([F.col("c_custkey").alias("k")] if "c_custkey" in answer.columns else [F.lit(None).cast("long").alias("k")]))
         leak = F.coalesce(F.contains("shown", F.col("raw_name")) | F.array_contains(F.split("shown", r"\|"), F.col("raw_balance")), F.lit(False))
         met = seen.join(raw, "k", "left").agg(F.count("*").alias("n"), F.count_if(leak).alias("leaks"))
         parts.append(met.select(F.lit(name).alias("request"), F.lit("answered").alias("outcome"), "n", "leaks"))
-    out = parts[0]
-    for part in parts[1:]:
+    out = t.spark.createDataFrame(refused, "request string, outcome string, n long, leaks long")
+    for part in parts:
         out = out.unionByName(part)
     return out
 
 
+@check("hidden_parts", """SELECT event_id, '[REDACTED]' AS scaled, '[REDACTED]' AS moved, '[REDACTED]' AS joined, '[ADDRESS]' AS address, '[REDACTED]' AS turned FROM events""")
+def hidden_parts(t: Tables):
+    """Computations on what is only shown in part; through a common table expression as well."""
+    events = t.sql("select event_id, value as latitude, cast(ts as date) as date_of_birth, concat(event_type, ' street ', event_id) as address from {events}")
+    inner = P.Request(table="e", select=("event_id", "latitude AS n", "date_of_birth AS d", "address"))
+    request = P.Request(
+        table="v", ctes={"v": inner},
+        select=("event_id", "n * 100000 AS scaled", "d + interval 6 months AS moved", "address || '!' AS joined", "address", "-n AS turned"),
+    )
+    return P.protected_rows({"e": events}, request, t.key)
+
+
+@check(
+    "request_windows",
+    """SELECT c_custkey, row_number() OVER w AS a, rank() OVER w AS b, dense_rank() OVER w AS c, ntile(4) OVER w AS d, lag(c_custkey) OVER w AS e, lead(c_custkey) OVER w AS f, first_value(c_custkey) OVER w AS g, last_value(c_custkey) OVER w AS h,
+ count(*) OVER w AS i, CAST(sum(c_custkey) OVER w AS BIGINT) AS j, min(c_custkey) OVER w AS k, max(c_custkey) OVER w AS l, CAST(round(avg(c_custkey) OVER w * 100) AS BIGINT) AS m, CAST(round(percent_rank() OVER w * 10000) AS BIGINT) AS o FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey)""",
+)
+def request_windows(t: Tables):
+    """The windows of the allow list inside a request."""
+    over = "over (partition by c_nationkey order by c_custkey)"
+    plain = ("row_number()", "rank()", "dense_rank()", "ntile(4)", "lag(c_custkey)", "lead(c_custkey)", "first_value(c_custkey)", "last_value(c_custkey)", "count(*)", "sum(c_custkey)", "min(c_custkey)", "max(c_custkey)")
+    select = ("c_custkey", *(f"{c} {over} AS {n}" for c, n in zip(plain, "abcdefghijkl")), f"cast(round(avg(c_custkey) {over} * 100) as bigint) AS m", f"cast(round(percent_rank() {over} * 10000) as bigint) AS o")
+    return P.protected_rows({"c": t.customer}, P.Request(table="c", select=select), t.key, DECLARED)
+
+
 # Allowed functions --------------------------------------------------------------------------------
 
 
@@ -365,3 +424,61 @@ SELECT window_start, 'code' AS column_name, class, 'public' AS expected_class, c
 )
 def drift_alarms(t: Tables):
     return ST.drift_alarm(t.sql(_WATCHED), None, window="1 day")
+
+
+# Streams with keyed state: four arrivals, the last with a fiftieth of the first one's events ----------
+
+_PART = "least(3, cast(floor((date_part('day', ts) - 1) / 8) as int))"
+_ARRIVING = f"select *, case when event_id % 50 = 0 and {_PART} = 0 then 3 else {_PART} end as arrival from {{events}}"
+
+
+def _arrivals(t: Tables, rows, folder: str):
+    """Rows as four parts that come into a folder one after the other; a stream's taker runs after each."""
+    def bring(taker):
+        out = None
+        for k in range(4):
+            rows.where(F.col("arrival") == k).drop("arrival").write.mode("append").parquet(f"{folder}/in")
+            out = taker()
+        return out
+
+    rows.drop("arrival").limit(0).write.parquet(f"{folder}/in")  # the folder is there before its first part
+    return t.spark.readStream.schema(rows.drop("arrival").schema).parquet(f"{folder}/in"), bring
+
+
+_WATCHED_ARRIVING = f"select cast(ts as timestamp) as occurred_at, arrival, case user_id % 5 when 0 then 'u' || cast(user_id as string) || '@mail.example.com' when 1 then '08' || lpad(cast(user_id as string), 8, '3') else 'plain' end as code, case when {_PART} = 2 and event_id % 7 = 0 then '08' || lpad(cast(user_id as string), 8, '3') else event_type end as tag from ({_ARRIVING}) as a"
+_EVENT_TABLE = duck(_WATCHED_ARRIVING)
+
+
+@check(
+    "new_classes_stream",
+    f"""WITH w AS ({_EVENT_TABLE}), heads AS (SELECT arrival + 1 AS arrival, max(max(occurred_at)) OVER (ORDER BY arrival) - INTERVAL 1 HOUR AS mark FROM w GROUP BY arrival),
+cells AS (SELECT arrival, occurred_at, unnest([{{'c': 'code', 'v': trim(code)}}, {{'c': 'tag', 'v': trim(tag)}}]) AS cell FROM w),
+c AS (SELECT time_bucket(INTERVAL '1 day', occurred_at) AS window_start, cell.c AS column_name, cell.v AS v, mark FROM cells LEFT JOIN heads USING (arrival)),
+k AS (SELECT window_start, column_name, mark, {_SHAPE} AS class FROM c),
+n AS (SELECT window_start, column_name, class, count(*) AS n FROM k WHERE class <> 'public' AND (mark IS NULL OR window_start + INTERVAL 1 DAY > mark)
+      AND window_start + INTERVAL 1 DAY <= (SELECT max(mark) FROM heads) GROUP BY ALL)
+SELECT column_name, class, 'public' AS expected_class, min(window_start) AS window_start, arg_min(n, window_start) AS n FROM n GROUP BY column_name, class""",
+)
+def new_classes_stream(t: Tables):
+    """Each class once, though it stands in many windows; late events of closed windows are dropped."""
+    folder = _run_folder(t)
+    stream, bring = _arrivals(t, t.sql(_WATCHED_ARRIVING), folder)
+    return bring(SF.as_table(SF.new_classes(stream, None, window="1 day", watermark="1 hour"), folder)).drop("batch")
+
+
+@check(
+    "aliased_by_state",
+    f"""WITH h AS (SELECT event_id, {hmac_sql("CAST(user_id AS VARCHAR)")} AS d FROM events), b AS (SELECT event_id, CAST(('0x' || substr(d, 1, 12)) AS BIGINT) >> 2 AS top FROM h)
+SELECT event_id, 'user_' || {' || '.join(f"substr('{_BASE32}', 1 + CAST((top >> {5 * (9 - i)}) & 31 AS INTEGER), 1)" for i in range(10))} AS login FROM b""",
+)
+def aliased_by_state(t: Tables):
+    """Aliases from keyed state over four batches; each batch is told what it asks only."""
+    folder = _run_folder(t)
+    stream, bring = _arrivals(t, t.sql(_ARRIVING).select("event_id", F.col("user_id").cast("string").alias("login"), "arrival"), folder)
+    sink = SF.alias_state_sink(f"{folder}/aliases", f"{folder}/out", {"login": X.USERNAME}, lambda s: table_key(key_table(s, SECRET)))
+
+    def take():
+        _drain(stream, folder, "append", sink)
+        return t.spark.read.parquet(f"{folder}/out")
+
+    return bring(take).drop("batch")

@@ -8,7 +8,8 @@ from tableguard.functions import fixed as X
 from tableguard.functions.keyed import Key, hmac_hex
 from tableguard.functions.values import as_col, folded
 
-_FIRST, _STEP, _FULL = 10, 2, 52
+#: Characters of an alias at first, at each step beyond, and of a whole encoding.
+CODE, STEP, _FULL = 10, 2, 52
 
 
 def alias_digest(value: Column | str, key: Key) -> Column:
@@ -29,10 +30,10 @@ def encode_digest(digest: Column | str) -> Column:
 def _length_apart(a: Column, b: Column) -> Column:
     """Shortest allowed length at which two encodings differ."""
     out = None
-    for n in range(_FIRST, _FULL + 1, _STEP):
+    for n in range(CODE, _FULL + 1, STEP):
         differ = F.substring(a, 1, n) != F.substring(b, 1, n)
         out = F.when(differ, n) if out is None else out.when(differ, n)
-    return F.coalesce(F.when(b.isNull(), _FIRST).otherwise(out), F.lit(_FIRST))
+    return F.coalesce(F.when(b.isNull(), CODE).otherwise(out), F.lit(CODE))
 
 
 def alias_registry(values: DataFrame, registry: DataFrame, key: Key) -> DataFrame:
@@ -48,6 +49,11 @@ def alias_registry(values: DataFrame, registry: DataFrame, key: Key) -> DataFram
         .select("class", alias_digest("value", key).alias("digest"))
         .distinct()
     )
+    return register(wanted, registry)
+
+
+def register(wanted: DataFrame, registry: DataFrame) -> DataFrame:
+    """Rows to append to a registry for the (class, digest) it does not hold yet."""
     new = wanted.join(registry.select("class", "digest"), ["class", "digest"], "left_anti")
     # Encodings that share ten characters share eleven hex digits of the digest, so only those
     # registered digests matter; the work after this depends on the new values alone.
@@ -57,7 +63,7 @@ def alias_registry(values: DataFrame, registry: DataFrame, key: Key) -> DataFram
         rivals.select("class", "digest", F.lit(False).alias("fresh"))
     )
     coded = both.withColumn("code", encode_digest("digest"))
-    group = Window.partitionBy("class", F.substring("code", 1, _FIRST)).orderBy("code")
+    group = Window.partitionBy("class", F.substring("code", 1, CODE)).orderBy("code")
     length = F.greatest(
         _length_apart(F.col("code"), F.lag("code").over(group)),
         _length_apart(F.col("code"), F.lead("code").over(group)),
@@ -69,16 +75,26 @@ def alias_registry(values: DataFrame, registry: DataFrame, key: Key) -> DataFram
 
 
 def apply_aliases(df: DataFrame, column: str, cls: str, registry: DataFrame, key: Key) -> DataFrame:
+    """Replace a column by its registered alias; null stays null."""
+    return salted_alias(df, column, cls, registry, key)
+
+
+def salted_alias(df: DataFrame, column: str, cls: str, registry: DataFrame, key: Key, salts: int = 16) -> DataFrame:
     """Replace a column by its registered alias; null stays null.
 
-    Nulls get keys of their own that match nothing, one per partition, so they do not meet in one task.
+    The registry's rows are repeated ``salts`` times, and each partition of the rows meets one of
+    the copies, so a hot value spreads over as many tasks. Nulls get keys of their own that match
+    nothing, one per partition.
     """
     own = registry.where(F.col("class") == cls).select(
-        F.col("digest").alias("__tg_digest"), F.col("alias").alias("__tg_alias")
+        F.col("digest").alias("__tg_digest"), F.col("alias").alias("__tg_alias"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__tg_salt")
     )
     nothing = F.concat(F.lit("null "), F.spark_partition_id().cast("string"))
-    keyed = df.withColumn("__tg_key", F.coalesce(alias_digest(F.col(f"`{column}`").cast("string"), key), nothing))
-    joined = keyed.join(own, F.col("__tg_key") == F.col("__tg_digest"), "left")
-    return joined.select(
+    keyed = df.withColumns({
+        "__tg_key": F.coalesce(alias_digest(F.col(f"`{column}`").cast("string"), key), nothing),
+        "__tg_own": F.pmod(F.spark_partition_id(), F.lit(salts)),
+    })
+    same = (F.col("__tg_key") == F.col("__tg_digest")) & (F.col("__tg_own") == F.col("__tg_salt"))
+    return keyed.join(own, same, "left").select(
         *[F.col("__tg_alias").alias(c) if c == column else F.col(f"`{c}`") for c in df.columns]
     )

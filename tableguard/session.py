@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +45,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+_STORE = "spark.sql.streaming.stateStore."
+#: Keyed state on disk; the partitions of an executor share the memory for blocks and for writing.
+STATE_ON_DISK = {
+    f"{_STORE}providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STORE}rocksdb.boundedMemoryUsage": "true",
+    f"{_STORE}rocksdb.maxMemoryUsageMB": "256",
+    f"{_STORE}rocksdb.writeBufferSizeMB": "8",
+    f"{_STORE}rocksdb.allowFAllocate": "false",  # a small partition would take 4 MB ahead
+    f"{_STORE}rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """A stream started inside keeps its state in RocksDB; the session's settings come back after."""
+    before = {k: spark.conf.get(k, None) for k in STATE_ON_DISK}
+    for k, v in STATE_ON_DISK.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)

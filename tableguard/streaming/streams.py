@@ -133,7 +133,7 @@ def compact_index(spark: SparkSession, root: str, target: str) -> None:
     spark.read.parquet(f"{root}/ledger").write.partitionBy("batch").parquet(f"{target}/ledger")
 
 
-def _timed(df: DataFrame, time: str, watermark: str) -> DataFrame:
+def timed(df: DataFrame, time: str, watermark: str) -> DataFrame:
     """A stream gets its watermark, which needs a time with a zone; a table stays as it is."""
     if not df.isStreaming:
         return df
@@ -154,7 +154,7 @@ def audit_rollup(
 
     ``events`` has the time column, the key columns, ``failed`` (boolean) and ``duration_ms``.
     """
-    rows = _timed(events, time, watermark)
+    rows = timed(events, time, watermark)
     w = F.window(time, window, slide) if slide else F.window(time, window)
     return (
         rows.groupBy(w.alias("w"), *keys)
@@ -175,7 +175,16 @@ def drift_alarm(
     time: str = "occurred_at",
 ) -> DataFrame:
     """Value classes seen per window and column that the column's own class does not explain."""
-    rows = _timed(df, time, watermark)
+    return (
+        drift_cells(timed(df, time, watermark), policy, time)
+        .groupBy(F.window(time, window).alias("w"), "column_name", "class", "expected_class")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select(F.col("w.start").alias("window_start"), "column_name", "class", "expected_class", "n")
+    )
+
+
+def drift_cells(df: DataFrame, policy: Mapping[str, str] | None, time: str) -> DataFrame:
+    """Time, column and class of every text value whose class its column does not explain."""
     strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     pairs = F.array(
         *[
@@ -187,11 +196,5 @@ def drift_alarm(
             for c in strings
         ]
     )
-    cells = rows.select(F.col(time), F.inline(pairs))
     surprise = (F.col("class") != "public") & (F.col("class") != F.col("expected_class"))
-    return (
-        cells.where(surprise)
-        .groupBy(F.window(time, window).alias("w"), "column_name", "class", "expected_class")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.col("w.start").alias("window_start"), "column_name", "class", "expected_class", "n")
-    )
+    return df.select(F.col(time), F.inline(pairs)).where(surprise)
