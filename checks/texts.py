@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from checks.base import CONTACTS, Tables, check, ctes
-from tableguard.functions import text as Tx
+from checks.base import CONTACTS, SECRET, Tables, check, ctes, digest_sql, fake_digits_sql
+from tableguard.functions import surface, text as Tx
+from tableguard.functions.keyed import key_table
 from tableguard.operators import texts as TX
 
 _ASSIGN = "(?i)(password|passwd|pwd|secret|api[_-]?key|token)\\s*=\\s*(?:''[^''\\n]*''|\"[^\"\\n]*\")"
@@ -232,3 +233,34 @@ _SIZE = {"email": "email", "phone": "phone", "credit_card": "card", "personal_na
 def planted_findings(t: Tables):
     """Every planted value, and nothing else: a phone number inside an address is the address's."""
     return TX.pii_findings(t.sql(PLANTED), "message", "k")
+
+
+# Functions for SQL text -----------------------------------------------------------------------------
+
+
+@check(
+    "lateral_findings",
+    f"{ctes(p=PLANTED)} " + " UNION ALL ".join(f"SELECT k, '{c}' AS class, CAST({_AT[c]} AS INTEGER) AS start, CAST({_AT[c]} + length({_SIZE[c]}) AS INTEGER) AS \"end\" FROM p" + (" WHERE k % 3 <> 2" if c == "personal_name" else "") for c in _PIECES),
+)
+def lateral_findings(t: Tables):
+    """The table function beside the text it reads."""
+    surface.register(t.spark, key_table(t.spark, SECRET))
+    return t.spark.sql("SELECT k, f.* FROM {planted}, LATERAL pii_findings(message) AS f", planted=t.sql(PLANTED))
+
+
+@check(
+    "surface_functions",
+    f"""WITH e AS (SELECT event_id, '08' || lpad(CAST(user_id AS VARCHAR), 8, '5') AS p FROM events), h AS (SELECT *, {digest_sql('phone', 'p')} AS d FROM e), f AS (SELECT event_id, {fake_digits_sql('p', 'd')} AS fake FROM h)
+SELECT event_id, 'call ' || fake AS scanned, '{{"phone":"' || fake || '","pwd":"[REDACTED]"}}' AS walked, CAST(NULL AS VARCHAR) AS no_json, 'create view v as select   from t' AS visible FROM f""",
+)
+def surface_functions(t: Tables):
+    """The scanners as functions of SQL text; the key stays in its table."""
+    surface.register(t.spark, key_table(t.spark, SECRET))
+    phone = F.concat(F.lit("08"), F.lpad(F.col("user_id").cast("string"), 8, "5"))
+    rows = t.events.select(
+        "event_id", phone.alias("p"), F.concat(F.lit('{"phone": "'), phone, F.lit('", "pwd": 5}')).alias("j"), F.concat(F.lit("create view v as select '"), phone, F.lit("' from t")).alias("s")
+    )
+    return t.spark.sql(
+        "SELECT event_id, scan_text('call ' || p) AS scanned, protect_json(j, 'props') AS walked, protect_json(p, 'props') AS no_json, declaration_surface(s) AS visible FROM {rows}",
+        rows=rows,
+    )

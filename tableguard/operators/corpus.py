@@ -151,7 +151,7 @@ def visible_code(sql: str) -> str:
 
 
 @F.arrow_udf(T.StringType())
-def _visible(values: pa.Array) -> pa.Array:
+def visible(values: pa.Array) -> pa.Array:
     return pa.array([None if v is None else visible_code(v) for v in values.to_pylist()], pa.string())
 
 
@@ -166,7 +166,7 @@ DECLARATION_RE = (
 def declaration_surface(c: Column | str) -> Column:
     """Visible code of SQL text; only text with quotes, comments or brackets leaves the JVM."""
     c = as_col(c)
-    return F.coalesce(_visible(F.when(c.rlike("['\"\\[]|--|/\\*"), c)), c)
+    return F.coalesce(visible(F.when(c.rlike("['\"\\[]|--|/\\*"), c)), c)
 
 
 def _bare(c: Column) -> Column:
