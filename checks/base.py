@@ -104,14 +104,16 @@ def pool_sql(pool: list[str], digest: str) -> str:
     return f"list_extract([{items}], 1 + CAST(CAST(('0x' || substr({digest}, 1, 8)) AS BIGINT) % {len(pool)} AS INTEGER))"
 
 
-def set_hash_sql(payload: str) -> str:
-    """Order-free hash of a group, as an aggregate expression."""
-    row = f"sha256({payload})"
-    sums = [
-        f"CAST(coalesce(sum(CAST(('0x' || substr({row}, {s + 1}, {min(6, 64 - s)})) AS BIGINT)), 0) AS VARCHAR)"
-        for s in range(0, 64, 6)
-    ]
-    return f"'sha256:' || sha256(CAST(count(*) AS VARCHAR) || '|' || {' || chr(124) || '.join(sums)})"
+def sealed_sql(source: str, payload: str, key: str, by: str, more: str = "") -> str:
+    """CTEs ``r`` (rows) and ``g`` (buckets) of a sealed digest; ``more`` is a column to add up."""
+    add, sum_ = (f", {more}", f", sum({more}) AS {more}") if more else ("", "")
+    return (
+        f"r AS (SELECT {by}, substr(sha256({key}), 1, 3) AS b, sha256({payload}) AS h{add} FROM {source}), "
+        f"g AS (SELECT {by}, b, sha256(string_agg(h, '' ORDER BY h)) AS h, count(*) AS n{sum_} FROM r GROUP BY {by}, b)"
+    )
+
+
+SEAL = "'sha256:' || sha256(string_agg(b || h, '' ORDER BY b))"
 
 
 # Derived tables -------------------------------------------------------------------------------

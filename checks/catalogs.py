@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.base import (
-    COLUMNS, CONSTRAINT_ROWS, CONTACTS, FOREIGN_KEYS, OBJECTS, RECORDS, Tables, check, ctes, set_hash_sql,
+    COLUMNS, CONSTRAINT_ROWS, CONTACTS, FOREIGN_KEYS, OBJECTS, RECORDS, Tables, check, ctes, SEAL, sealed_sql,
 )
 from checks.texts import _secret_steps
 from tableguard.operators import catalog as C, fingerprints as FP
@@ -80,7 +80,7 @@ _PAYLOAD = "schema_name || chr(0) || object_type || chr(0) || object_name || chr
 
 @check(
     "schema_fingerprints",
-    f"{ctes(o=OBJECTS)}, f AS (SELECT *, {_FP} AS fingerprint FROM o) SELECT schema_name, count(*) AS object_count, {set_hash_sql(_PAYLOAD)} AS schema_fingerprint FROM f GROUP BY schema_name",
+    f"{ctes(o=OBJECTS)}, f AS (SELECT *, {_FP} AS fingerprint FROM o), {sealed_sql('f', _PAYLOAD, "schema_name || chr(0) || object_type || chr(0) || object_name", 'schema_name')} SELECT schema_name, CAST(sum(n) AS BIGINT) AS object_count, {SEAL} AS schema_fingerprint FROM g GROUP BY schema_name",
 )
 def schema_fingerprints(t: Tables):
     return FP.schema_fingerprint(FP.with_fingerprints(t.sql(OBJECTS)), ["schema_name"])

@@ -1,12 +1,15 @@
 """Checks of the context index, managed files and materialised output."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from checks.base import ENTRIES, FILES, INDEX, OBJECTS, Tables, check, ctes, set_hash_sql, sha_text, with_lists
+from checks.base import ENTRIES, FILES, INDEX, OBJECTS, Tables, check, ctes, SEAL, sealed_sql, sha_text, with_lists
 from checks.catalogs import FINAL
 from checks.objectgraph import RULES
 from checks.texts import _ASSIGN, _BEARER, _DONE, _GATED, _n, _secret_steps
-from tableguard.operators import bundle as B, corpus as CO, fingerprints as FP, index as I, texts as TX
+from tableguard.operators import bundle as B, corpus as CO, fingerprints as FP, index as I, merkle as MK, texts as TX
+from tableguard.session import shared_folder
 
 _OWNED = ["context", "description", "tags_csv", "classification_status", "classification_source"]
 _TECH = ["source_fingerprint", "content_hash", "managed_relative_path", "header_version", "output_format_version", "evidence_csv"]
@@ -282,7 +285,10 @@ def manifest(t: Tables):
     return B.inventory(t.sql(FILES))
 
 
-@check("inventory_hashes", f"{_INV} SELECT batch, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes, {set_hash_sql(_INV_PAYLOAD)} AS inventory_sha256 FROM inv GROUP BY batch")
+@check(
+    "inventory_hashes",
+    f"{_INV}, {sealed_sql('inv', _INV_PAYLOAD, 'path', 'batch', 'size_bytes')} SELECT batch, CAST(sum(n) AS BIGINT) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes, {SEAL} AS inventory_sha256 FROM g GROUP BY batch",
+)
 def inventory_hashes(t: Tables):
     return B.inventory_hash(_inventory(t), ["batch"])
 
@@ -407,3 +413,27 @@ def classification_report(t: Tables):
 def export_report(t: Tables):
     samples = t.customer.groupBy("c_nationkey").agg(F.least(F.lit(12), F.count(F.lit(1))).alias("actual_count"), F.lit(12).alias("requested_count"))
     return B.export_report(_inventory(t), t.part, samples)
+
+
+_FILES_OF_DOCS = "select concat(source, '/', lang, '/', cast(doc_id as string), '.txt') as path, text, doc_id from {documents}"
+
+
+def _text_files(rows):
+    return rows.select("path", F.octet_length("text").cast("long").alias("size_bytes"), F.concat(F.lit("sha256:"), F.sha2("text", 256)).alias("sha256"))
+
+
+@check(
+    "inventory_changes",
+    f"""{ctes(f=_FILES_OF_DOCS)} SELECT path, CASE WHEN doc_id % 97 = 5 THEN 'removed' WHEN doc_id % 89 = 7 THEN 'added' ELSE 'changed' END AS kind,
+ CASE WHEN doc_id % 97 = 5 OR doc_id % 89 <> 7 THEN 'sha256:' || sha256(text) END AS before, CASE WHEN doc_id % 97 <> 5 THEN 'sha256:' || sha256(text || CASE WHEN doc_id % 89 <> 7 THEN '!' ELSE '' END) END AS after
+FROM f WHERE doc_id % 97 = 5 OR doc_id % 89 = 7 OR doc_id % 101 = 9""",
+)
+def inventory_changes(t: Tables):
+    """All documents as two stored hash trees, one with changes; compared from their roots."""
+    folder = f"{shared_folder(t.spark)}/trees-{uuid.uuid4().hex}"
+    docs, k = t.sql(_FILES_OF_DOCS), F.col("doc_id")
+    removed, added = k % 97 == 5, (k % 97 != 5) & (k % 89 == 7)
+    later = docs.where(~removed).withColumn("text", F.when((k % 101 == 9) & ~added, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    MK.write_tree(_text_files(docs.where(~added)), f"{folder}/old", depth=1)
+    MK.write_tree(_text_files(later), f"{folder}/new", depth=1)
+    return MK.changes(t.spark, f"{folder}/old", f"{folder}/new", depth=1)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tableguard.functions import fixed as X
 from tableguard.functions.values import as_col
-from tableguard.operators.fingerprints import joined, order_free_checksum, sha256_text
+from tableguard.operators.fingerprints import joined, sealed_digest, sha256_text
 
 # Reports rebuilt during assembly, by output profile.
 REPORTS = {
@@ -68,12 +68,9 @@ def inventory(files: DataFrame) -> DataFrame:
 
 
 def inventory_hash(items: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Number, bytes and one order-free hash of the files of an inventory."""
-    return items.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("files"),
-        F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"),
-        order_free_checksum(joined("path", "size_bytes", "sha256")).alias("inventory_sha256"),
-    )
+    """Number, bytes and one hash of the files of an inventory, whatever their order."""
+    sealed = sealed_digest(items, joined("path", "size_bytes", "sha256"), F.col("path"), list(by), sums={"bytes": F.col("size_bytes")})
+    return sealed.select(*by, F.col("rows").alias("files"), "bytes", F.col("digest").alias("inventory_sha256"))
 
 
 def distinct_bundles(files: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tableguard.functions import fixed as X
 from tableguard.functions.values import as_col, java
-from tableguard.operators.fingerprints import joined, order_free_checksum, sha256_text
+from tableguard.operators.fingerprints import joined, sealed_digest, sha256_text
 from tableguard.operators.objects import classify_corpus
 from tableguard.session import cut_lineage
 from tableguard.sources.rules import Rules
@@ -382,6 +382,5 @@ def replace_in_manifest(manifest: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def manifest_hash(manifest: DataFrame) -> DataFrame:
-    return manifest.agg(
-        F.count(F.lit(1)).alias("files"), order_free_checksum(joined("path", "sha256")).alias("inventory_hash")
-    )
+    sealed = sealed_digest(manifest, joined("path", "sha256"), F.col("path"))
+    return sealed.select(F.col("rows").alias("files"), F.col("digest").alias("inventory_hash"))

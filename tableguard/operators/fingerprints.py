@@ -7,9 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tableguard.functions import text as Tx
 from tableguard.functions.values import as_col
 
-_LIMBS = [(start, min(6, 64 - start)) for start in range(0, 64, 6)]
-
-
 def sha256_text(c: Column | str) -> Column:
     """``sha256:<hex>`` of a text or binary column."""
     return F.concat(F.lit("sha256:"), F.sha2(as_col(c), 256))
@@ -20,36 +17,28 @@ def joined(*cols: Column | str) -> Column:
     return F.concat_ws("\0", *[F.coalesce(as_col(c).cast("string"), F.lit("")) for c in cols])
 
 
-def order_free_checksum(payload: Column) -> Column:
-    """Aggregate: checksum of the payloads of a group, whatever their order.
-
-    Row hashes are added limb by limb, so the aggregate is partial on the map side and no task
-    ever holds a list. It tells whether something changed; it does not resist anyone who makes
-    collisions on purpose. ``sealed_digest`` does.
-    """
-    row = F.sha2(payload, 256)
-    sums = [
-        F.sum(F.conv(F.substring(row, start + 1, size), 16, 10).cast("long")) for start, size in _LIMBS
-    ]
-    parts = [F.coalesce(s, F.lit(0)).cast("string") for s in sums]
-    return F.concat(
-        F.lit("sha256:"), F.sha2(F.concat_ws("|", F.count(payload).cast("string"), *parts), 256)
-    )
-
-
-def sealed_digest(df: DataFrame, payload: Column, key: Column, by: list[str] | None = None, digits: int = 3) -> DataFrame:
-    """(by.., rows, digest): SHA-256 over sorted row hashes, collision-resistant.
+def sealed_digest(
+    df: DataFrame, payload: Column, key: Column, by: list[str] | None = None, digits: int = 3, sums: dict[str, Column] | None = None
+) -> DataFrame:
+    """(by.., rows, digest, sums..): SHA-256 over sorted row hashes, collision-resistant.
 
     Rows fall into buckets by the first hex digits of the hash of their key (16^digits of them); each
     bucket's sorted row hashes are hashed, and then the buckets' hashes in order. So lists stay a
     bucket long, whatever the size of a group.
     """
-    by = list(by or [])
-    hashed = df.select(*by, F.substring(F.sha2(key, 256), 1, digits).alias("__tg_bucket"), F.sha2(payload, 256).alias("__tg_row"))
+    by, sums = list(by or []), dict(sums or {})
+    hashed = df.select(
+        *by, F.substring(F.sha2(F.coalesce(key, F.lit("")), 256), 1, digits).alias("__tg_bucket"), F.sha2(payload, 256).alias("__tg_row"),
+        *[c.alias(f"__tg_sum_{n}") for n, c in sums.items()],
+    )
     rows = F.sha2(F.array_join(F.array_sort(F.collect_list("__tg_row")), ""), 256)
-    buckets = hashed.groupBy(*by, "__tg_bucket").agg(rows.alias("__tg_hash"), F.count(F.lit(1)).alias("__tg_n"))
+    buckets = hashed.groupBy(*by, "__tg_bucket").agg(rows.alias("__tg_hash"), F.count(F.lit(1)).alias("__tg_n"), *[F.sum(f"__tg_sum_{n}").alias(f"__tg_sum_{n}") for n in sums])
     whole = F.transform(F.array_sort(F.collect_list(F.struct("__tg_bucket", "__tg_hash"))), lambda b: F.concat(b["__tg_bucket"], b["__tg_hash"]))
-    return buckets.groupBy(*by).agg(F.sum("__tg_n").alias("rows"), F.concat(F.lit("sha256:"), F.sha2(F.array_join(whole, ""), 256)).alias("digest"))
+    return buckets.groupBy(*by).agg(
+        F.coalesce(F.sum("__tg_n"), F.lit(0)).alias("rows"),
+        F.concat(F.lit("sha256:"), F.sha2(F.array_join(whole, ""), 256)).alias("digest"),
+        *[F.coalesce(F.sum(f"__tg_sum_{n}"), F.lit(0)).alias(n) for n in sums],
+    )
 
 
 def object_fingerprint(
@@ -64,10 +53,9 @@ def with_fingerprints(objects: DataFrame) -> DataFrame:
 
 def schema_fingerprint(objects: DataFrame, by: list[str] | None = None) -> DataFrame:
     """One hash per group (or for all) over object identities, or fingerprints where known."""
-    payload = joined(*[c for c in ("schema_name", "object_type", "object_name", "fingerprint") if c in objects.columns])
-    return objects.groupBy(*(by or [])).agg(
-        F.count(F.lit(1)).alias("object_count"), order_free_checksum(payload).alias("schema_fingerprint")
-    )
+    known = [c for c in ("schema_name", "object_type", "object_name", "fingerprint") if c in objects.columns]
+    sealed = sealed_digest(objects, joined(*known), joined(*known[:3]), by)
+    return sealed.select(*(by or []), F.col("rows").alias("object_count"), F.col("digest").alias("schema_fingerprint"))
 
 
 def definition_fingerprint(objects: DataFrame, definition: str = "definition") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tableguard.functions import fixed as X
 from tableguard.operators.catalog import PAGE_ROWS, checked_page
-from tableguard.operators.fingerprints import order_free_checksum, joined as joined_text, sha256_text
+from tableguard.operators.fingerprints import joined as joined_text, sealed_digest, sha256_text
 
 KEY = ["schema_name", "object_name", "object_type"]
 OWNED = ["context", "description", "tags", "classification_status", "classification_source"]
@@ -241,4 +241,4 @@ def generation_plan(index: DataFrame, corpus: DataFrame, include_unresolved: boo
 def plan_hash(items: DataFrame) -> DataFrame:
     """One hash over the items of a plan, whatever their order."""
     payload = joined_text("object_id", "managed_relative_path", "content_hash")
-    return items.agg(F.count(F.lit(1)).alias("items"), order_free_checksum(payload).alias("plan_hash"))
+    return sealed_digest(items, payload, F.col("object_id").cast("string")).select(F.col("rows").alias("items"), F.col("digest").alias("plan_hash"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tableguard.functions import names as N, values as V
 from tableguard.functions.keyed import Key
 from tableguard.operators.aliases import alias_registry, apply_aliases
-from tableguard.operators.fingerprints import joined, order_free_checksum
+from tableguard.operators.fingerprints import joined, sealed_digest
 from tableguard.operators.index import FIELDS, KEY, upsert
 from tableguard.operators.protect import protect
 
@@ -83,7 +83,7 @@ def index_sink(root: str) -> Callable[[DataFrame, int], None]:
         spark = batch.sparkSession
         entries = _newest(batch)
         payload = joined(*KEY, *[F.to_json(F.struct(F.col(f))) for f in FIELDS])
-        digest = entries.agg(order_free_checksum(payload).alias("digest")).first()["digest"]
+        digest = sealed_digest(entries, payload, joined(*KEY)).first()["digest"]
         ledger = _stored(spark, f"{root}/ledger", "digest string")
         seen = ledger.where(F.col("batch") == batch_id).select("digest").first()
         if seen is not None:
