@@ -2,12 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from checks.base import OBJECTS, Tables, check, ctes
+from checks.base import OBJECTS, Tables, check, ctes, duck
 from checks.catalogs import FINAL
-from checks.selects import _drain, _event_stream, _run_folder
+from checks.selects import _ARRIVING, _arrivals, _drain, _event_stream, _run_folder
 from tableguard.operators import catalog as C
 from tableguard.sources import catalog as SC, tables as ST
-from tableguard.streaming import streams as SS
+from tableguard.streaming import bucketed as BK, streams as SS
 
 _ROWS = "select event_id, event_type, user_id, case when user_id % 7 = 0 then null else props end as props from {events}"
 
@@ -80,6 +80,36 @@ def indexed_stream(t: Tables):
     return SS.read_index(t.spark, root).select("object_name", "context", "description", "source_fingerprint", "active")
 
 
+_OWNED_USERS = """select 'app' as schema_name, 'user_' || cast(user_id as string) as object_name, 'table' as object_type, 'v' || cast(arrival as string) as context,
+ 'about ' || event_type as description, cast(null as string) as classification_status, case when user_id % 3 = 0 and arrival = 1 then 'owner' else 'rule' end as classification_source,
+ 'sha256:' || cast(arrival as string) as source_fingerprint, cast(null as string) as content_hash, 'um/user.sql' as managed_relative_path, 1 as header_version, '2' as output_format_version, cast(ts as timestamp) as submitted_at, arrival
+ from ({inner}) as a where (user_id + arrival) % 2 = 0 or user_id % 3 = 0"""
+
+
+@check(
+    "bucketed_stream",
+    f"""WITH u AS ({duck(_OWNED_USERS.replace('{inner}', _ARRIVING))}), k AS (SELECT object_name, arrival, arg_max(context, submitted_at) AS context, arg_max(classification_source, submitted_at) AS src FROM u GROUP BY ALL),
+o AS (SELECT object_name, max(arrival) AS last, max(arrival) FILTER (src = 'owner') AS owner FROM k GROUP BY object_name)
+SELECT o.object_name, 'v' || CAST(coalesce(owner, last) AS VARCHAR) AS context, CASE WHEN owner IS NULL THEN 'rule' ELSE 'owner' END AS classification_source, 'sha256:' || CAST(last AS VARCHAR) AS source_fingerprint, true AS active FROM o""",
+)
+def bucketed_stream(t: Tables):
+    """Four batches into an index laid out by hash; what owners said stays. The last batch comes twice."""
+    folder = _run_folder(t)
+    none = F.array().cast("array<string>")
+    rows = t.sql(_OWNED_USERS.replace("{inner}", _ARRIVING)).withColumn("tags", none).withColumn("evidence", none)
+    stream, bring = _arrivals(t, rows, folder)
+    sink, seen = BK.bucketed_sink(f"{folder}/index", buckets=64, most_parts=2), {}
+
+    def apply(df, batch_id):
+        df.write.mode("overwrite").parquet(f"{folder}/replayed")
+        seen["last"] = batch_id
+        sink(df, batch_id)
+
+    bring(lambda: _drain(stream, folder, "append", apply))
+    sink(t.spark.read.parquet(f"{folder}/replayed"), seen["last"])
+    return BK.read_bucketed(t.spark, f"{folder}/index").select("object_name", "context", "classification_source", "source_fingerprint", "active")
+
+
 def _columns(sql: str) -> list[str]:
     """Expressions of a SELECT without commas inside calls other than casts."""
     body = sql[len("select ") : sql.index(" from {")].replace("\n", " ")

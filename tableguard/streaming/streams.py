@@ -62,7 +62,7 @@ class BatchConflict(ValueError):
     """A batch number came back with different content."""
 
 
-def _newest(entries: DataFrame) -> DataFrame:
+def newest_entries(entries: DataFrame) -> DataFrame:
     """Last entry per identity inside one micro-batch."""
     payload = F.struct(*[F.col(c) for c in entries.columns])
     order = F.struct(F.col("submitted_at"), F.to_json(payload)) if "submitted_at" in entries.columns else F.to_json(payload)
@@ -81,7 +81,7 @@ def index_sink(root: str) -> Callable[[DataFrame, int], None]:
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        entries = _newest(batch)
+        entries = newest_entries(batch)
         payload = joined(*KEY, *[F.to_json(F.struct(F.col(f))) for f in FIELDS])
         digest = sealed_digest(entries, payload, joined(*KEY)).first()["digest"]
         ledger = _stored(spark, f"{root}/ledger", "digest string")

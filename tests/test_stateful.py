@@ -2,11 +2,12 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from tableguard.functions.keyed import key_table, table_key
 from tableguard.operators import aliases as A
-from tableguard.streaming import stateful as SF
+from tableguard.streaming import bucketed as BK, stateful as SF, streams as SS
 
 T0 = dt.datetime(2024, 1, 1)
 SCHEMA = "occurred_at timestamp, code string"
@@ -114,3 +115,49 @@ def test_hot_value_is_dealt_to_many_tasks(spark, key):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def index_rows(spark, names, context, source="rule"):
+    schema = "schema_name string, object_name string, object_type string, context string, description string, tags array<string>, classification_status string, classification_source string, source_fingerprint string, content_hash string, managed_relative_path string, header_version int, output_format_version string, evidence array<string>"
+    rows = [("s", n, "table", context, "d", [], None, source, f"f{context}", None, None, 1, "2", []) for n in names]
+    return spark.createDataFrame(rows, schema)
+
+
+def test_a_batch_reads_its_buckets_and_compacts_them(spark, tmp_path):
+    root = str(tmp_path / "index")
+    sink = BK.bucketed_sink(root, buckets=256, most_parts=2)
+    sink(index_rows(spark, [f"n{i}" for i in range(400)], "a"), 0)
+    ten = [f"n{i}" for i in range(10)]
+    parts = BK.parts_of(spark, root, index_rows(spark, ten, "b"), 256)
+    assert 1 <= len({b for b, _ in parts}) <= 10
+    schema = spark.read.parquet(f"{root}/schema").schema
+    read = {f.split("bucket=")[1].split("/")[0] for f in BK._rows(spark, root, parts, schema).inputFiles()}
+    assert read == {str(b) for b, _ in parts}
+    for batch_id, context in ((1, "b"), (2, "c"), (3, "d")):
+        sink(index_rows(spark, ten, context, "owner" if context == "c" else "rule"), batch_id)
+    now = {r.object_name: (r.context, r.source_fingerprint) for r in BK.read_bucketed(spark, root).collect()}
+    assert len(now) == 400 and now["n3"] == ("c", "fd") and now["n300"] == ("a", "fa")
+    before = {r.object_name: r.context for r in BK.read_bucketed(spark, root, version=1).collect()}
+    assert before["n3"] == "b" and len(before) == 400
+    held = BK._manifest(spark, root, 3)[0]
+    assert max(sum(b == x for b, _ in held) for x, _ in held) <= 2
+    assert BK.vacuum(spark, root) > 0 and BK.read_bucketed(spark, root).count() == 400
+
+
+def test_replays_conflicts_and_unfinished_versions(spark, tmp_path):
+    root = str(tmp_path / "index")
+    sink = BK.bucketed_sink(root, buckets=8)
+    with pytest.raises(ValueError):
+        BK.read_bucketed(spark, root)
+    one = index_rows(spark, ["x", "y"], "a")
+    sink(one, 4)
+    sink(one.repartition(3), 4)
+    for rows, batch_id in ((index_rows(spark, ["x"], "a"), 4), (one, 2)):
+        with pytest.raises(SS.BatchConflict):
+            sink(rows, batch_id)
+    # A version without its mark is not there.
+    index_rows(spark, ["z"], "q").selectExpr("1 as bucket", "9L as batch", "'d' as digest").write.parquet(f"{root}/manifest/version=9")
+    (tmp_path / "index" / "manifest" / "version=9" / "_SUCCESS").unlink()
+    assert BK.read_bucketed(spark, root).count() == 2
+    sink(one.limit(0), 9)  # an empty batch is a version as well
+    assert BK.read_bucketed(spark, root).count() == 2 and BK._versions(spark, root) == [4, 9]
