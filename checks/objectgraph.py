@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from checks.base import COLUMNS, CONSTRAINT_ROWS, EDGES, FOREIGN_KEYS, OBJECTS, Tables, check, ctes
 from checks.catalogs import FINAL
-from tableguard.operators import catalog as C, graph as G, objects as O
+from tableguard.operators import catalog as C, graph as G, objects as O, ruletable as RT
 from tableguard.sources.rules import make_rules
 
 CATEGORIES = [
@@ -97,6 +97,12 @@ def rule_matches(t: Tables):
     return _confidence(O.pass1_matches(t.sql(OBJECTS), RULES)).drop("seq")
 
 
+@check("rules_as_table", f"{_P1} SELECT {_MATCH_OUT} FROM first")
+def rules_as_table(t: Tables):
+    """The same matches with the rules in a table."""
+    return _confidence(RT.table_matches(t.sql(OBJECTS), RT.rule_table(t.spark, RULES))).drop("seq")
+
+
 @check("preliminary_pass", f"{_P1} SELECT object_id, category, 'preliminary' AS status, candidates FROM p1")
 def preliminary_pass(t: Tables):
     return _listed(_first(t))

@@ -1,5 +1,7 @@
 """Checks of classification and value protection."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.base import (
@@ -7,7 +9,8 @@ from checks.base import (
 )
 from checks.texts import PLANTED
 from tableguard.functions import fixed as X, keyed as K, names as N, scan as S, values as V
-from tableguard.operators import aliases as A, protect as P
+from tableguard.operators import aliases as A, profiles as PR, protect as P
+from tableguard.session import shared_folder
 
 
 def _in(words: list[str]) -> str:
@@ -510,3 +513,34 @@ def scanned_texts(t: Tables):
 @check("scanned_conversations")
 def scanned_conversations(t: Tables):
     return P.protect(t.conversations.withColumnRenamed("text", "message"), None, t.key)
+
+
+_DAYS = "select cast(ts as date) as day, case user_id % 5 when 0 then 'u' || cast(user_id as string) || '@mail.example.com' when 1 then '08' || lpad(cast(user_id as string), 8, '3') else 'plain' end as code, event_type as tag from {events}"
+
+
+@check(
+    "merged_profiles",
+    f"""{ctes(e=_DAYS)}, c AS (SELECT unnest([{{'c': 'code', 'v': code}}, {{'c': 'tag', 'v': tag}}]) AS cell FROM e), p AS (SELECT cell.c AS column_name, cell.v AS x, trim(cell.v) AS v FROM c), k AS (SELECT column_name, x, {_SHAPE} AS class FROM p),
+f AS (SELECT column_name, class, x, count(*) AS m FROM k GROUP BY ALL)
+SELECT column_name, class, CAST(sum(m) AS BIGINT) AS n, min(length(x)) AS shortest, max(length(x)) AS longest, true AS close, CASE WHEN class = 'public' THEN CAST(max(m) AS BIGINT) END AS top FROM f GROUP BY column_name, class""",
+)
+def merged_profiles(t: Tables):
+    """Thirty stored daily profiles added up, held against an exact count of distinct values."""
+    folder = f"{shared_folder(t.spark)}/profiles-{uuid.uuid4().hex}"
+    rows = t.sql(_DAYS)
+    PR.profile_parts(rows, ["day"]).write.partitionBy("day").parquet(folder)
+    whole = PR.estimated(PR.merge_profiles(t.spark.read.parquet(folder)), 1)
+    exact = [rows.select(F.lit(c).alias("column_name"), V.classify_value(c).alias("class"), F.col(c).alias("v")).groupBy("column_name", "class").agg(F.count_distinct("v").alias("exact")) for c in ("code", "tag")]
+    close = F.abs(F.col("distinct_values") - F.col("exact")) <= F.greatest(F.lit(1), F.col("exact") * 0.06)
+    top = F.when(F.col("class") == "public", F.get("most_frequent", F.lit(0))["count"])
+    return whole.join(exact[0].unionByName(exact[1]), ["column_name", "class"]).select("column_name", "class", "n", "shortest", "longest", close.alias("close"), top.alias("top"))
+
+
+@check(
+    "profile_rollup",
+    f"""{ctes(e=_DAYS)}, c AS (SELECT CAST(day AS VARCHAR) AS day, unnest([{{'c': 'code', 'v': code}}, {{'c': 'tag', 'v': tag}}]) AS cell FROM e), p AS (SELECT day, cell.c AS column_name, trim(cell.v) AS v FROM c), k AS (SELECT day, column_name, {_SHAPE} AS class FROM p)
+SELECT day, column_name, class, CAST(count(*) AS BIGINT) AS n, CAST(3 - (grouping(day) + grouping(column_name) + grouping(class)) AS INTEGER) AS level FROM k GROUP BY ROLLUP (day, column_name, class)""",
+)
+def profile_rollup(t: Tables):
+    rows = t.sql(_DAYS).withColumn("day", F.col("day").cast("string"))
+    return PR.rollup_profiles(PR.profile_parts(rows, ["day"]), "day", "column_name", "class").select("day", "column_name", "class", "n", F.col("level").cast("int").alias("level"))
