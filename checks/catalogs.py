@@ -198,10 +198,11 @@ def sample_per_nation(t: Tables):
 
 @check(
     "sample_shortage",
-    "SELECT 20 AS requested_count, least(20, count(*)) AS actual_count, CASE WHEN count(*) < 20 THEN 'source_returned_fewer_rows' END AS shortage_reason, true AS deterministic FROM region",
+    "SELECT o_custkey, 20 AS requested_count, least(20, count(*)) AS actual_count, CASE WHEN count(*) < 20 THEN 'source_returned_fewer_rows' END AS shortage_reason, true AS deterministic FROM orders GROUP BY o_custkey",
 )
 def sample_shortage(t: Tables):
-    return C.sample_status(C.sample(t.region, 20, primary=["r_regionkey"]), 20, True)
+    """Twenty orders of every customer, and who has fewer."""
+    return C.sample_status(C.sample_groups(t.orders, ["o_custkey"], ["o_orderkey"], 20), 20, True, ["o_custkey"])
 
 
 _PRELIM = "CASE WHEN len(list_filter(string_split(lower(object_name), '_'), lambda x: x <> '')) >= 2 AND regexp_matches(list_filter(string_split(lower(object_name), '_'), lambda x: x <> '')[1], '^[a-z][a-z0-9]*$') THEN list_filter(string_split(lower(object_name), '_'), lambda x: x <> '')[1] END"

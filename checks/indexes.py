@@ -367,19 +367,75 @@ def reread_states(t: Tables):
     return B.reread_check(t.sql(_DECL), t.sql(_REAL))
 
 
-@check(
-    "reconciliation",
-    f"""{_ASM}, n AS (SELECT count(*) FILTER (k > 1) AS clash, (SELECT count(*) FROM inv WHERE output_profile <> 'full') AS odd FROM a)
-SELECT false AS valid, true AS discovered_count_valid, true AS analyzed_count_valid, true AS materialized_count_valid, true AS exclusion_count_valid, true AS output_format_version_valid, false AS assembled_inventory_complete,
- concat_ws(',', CASE WHEN clash > 0 THEN 'conflicting_managed_path' END, CASE WHEN odd > 0 THEN 'output_profile_mismatch' END, 'assembled_inventory_mismatch') AS errors FROM n""",
-)
+_FILES_OF_DOCS = "select concat(source, '/', lang, '/', cast(doc_id as string), '.txt') as path, text, doc_id from {documents}"
+
+
+def _text_files(rows):
+    return rows.select("path", F.octet_length("text").cast("long").alias("size_bytes"), F.concat(F.lit("sha256:"), F.sha2("text", 256)).alias("sha256"))
+
+
+#: What is wrong in each case: counts that are off, and what was done to the files.
+_CASES = {
+    "passing": {}, "discovered": {"discovered": 1}, "analysed": {"analysed": 1, "excluded": 1}, "materialised": {"materialised": -1, "excluded": 1},
+    "excluded": {"excluded": 2}, "version": {}, "profile": {}, "missing_file": {}, "undeclared_file": {}, "changed_file": {}, "conflict": {}, "no_manifest": {},
+}
+_COUNTED = "SELECT count(*) AS discovered, count(*) FILTER (c_acctbal >= 0) AS analysed, count(*) FILTER (c_acctbal >= 0 AND c_nationkey <> 5) AS materialised, count(*) FILTER (c_acctbal >= 0 AND c_nationkey = 5) AS excluded FROM customer"
+_INCOMPLETE = ("missing_file", "undeclared_file", "changed_file", "no_manifest", "conflict")
+
+
+def _case_sql(name: str) -> str:
+    off = {k: _CASES[name].get(k, 0) for k in ("discovered", "analysed", "materialised", "excluded")}
+    tests = {
+        "conflicting_managed_path": "false" if name == "conflict" else "true", "output_profile_mismatch": "false" if name == "profile" else "true",
+        "assembled_inventory_mismatch": "false" if name in _INCOMPLETE else "true", "output_format_version_mismatch": "false" if name == "version" else "true",
+        "discovered_count_mismatch": f"discovered + {off['discovered']} = discovered", "analyzed_count_mismatch": f"analysed + {off['analysed']} = analysed",
+        "materialized_count_mismatch": f"materialised + {off['materialised']} = materialised",
+        "exclusion_count_mismatch": f"analysed + {off['analysed']} = materialised + {off['materialised']} + excluded + {off['excluded']}",
+    }
+    errors = ", ".join(f"CASE WHEN NOT ({ok}) THEN '{code}' END" for code, ok in tests.items())
+    return (
+        f"SELECT '{name}' AS name, concat_ws(',', {errors}) = '' AS valid, {tests['discovered_count_mismatch']} AS discovered_count_valid, {tests['analyzed_count_mismatch']} AS analyzed_count_valid, "
+        f"{tests['materialized_count_mismatch']} AS materialized_count_valid, {tests['exclusion_count_mismatch']} AS exclusion_count_valid, {tests['output_format_version_mismatch']} AS output_format_version_valid, "
+        f"{tests['assembled_inventory_mismatch']} AS assembled_inventory_complete, concat_ws(',', {errors}) AS errors FROM n"
+    )
+
+
+@check("reconciliation", f"WITH n AS ({_COUNTED}) " + " UNION ALL ".join(map(_case_sql, _CASES)))
 def reconciliation(t: Tables):
-    inv = _inventory(t)
-    merged, _ = B.assemble(inv)
-    one = F.countDistinct("r_regionkey")
-    counts = t.region.agg(one.alias("discovered"), one.alias("analysed"), one.alias("materialised"), F.lit(0).alias("excluded"))
-    expected = {"version": "2", "discovered": 5, "analysed": 5, "materialised": 5}
-    return B.reconcile(inv.withColumn("output_format_version", F.lit("2")), merged, counts, expected)
+    """All documents as files and all customers as objects: one sound export, and each fault alone."""
+    files = _text_files(t.sql(_FILES_OF_DOCS)).withColumns({"output_format_version": F.lit("2"), "output_profile": F.lit("full")})
+    reports = [*(p for p in B.REPORTS["full"] if p != "manifest.yaml"), "manifest.yaml"]
+    extra = t.spark.createDataFrame([(p, 1, "r") for p in reports], "path string, size_bytes long, sha256 string")
+    content = ["path", "size_bytes", "sha256"]
+    one = files.agg(F.min("path")).first()[0]
+    this = F.col("path") == one
+    counts = t.customer.agg(
+        F.count("*").alias("discovered"), F.count_if(F.expr("c_acctbal >= 0")).alias("analysed"),
+        F.count_if(F.expr("c_acctbal >= 0 and c_nationkey <> 5")).alias("materialised"), F.count_if(F.expr("c_acctbal >= 0 and c_nationkey = 5")).alias("excluded"),
+    )
+    expected = {"version": "2", **counts.first().asDict()}
+    out = None
+    for name, off in _CASES.items():
+        declared, given = files, files.select(*content).unionByName(extra)
+        if name == "version":
+            declared = declared.withColumn("output_format_version", F.when(this, "1").otherwise(F.col("output_format_version")))
+        elif name == "profile":
+            declared = declared.withColumn("output_profile", F.when(this, "other").otherwise(F.col("output_profile")))
+        elif name == "missing_file":
+            given = given.where(~this)
+        elif name == "undeclared_file":
+            declared = declared.where(~this)
+        elif name == "changed_file":
+            given = given.withColumn("sha256", F.when(this, "x").otherwise(F.col("sha256")))
+        elif name == "conflict":
+            declared = declared.unionByName(declared.where(this).withColumn("sha256", F.lit("")))
+            given = given.where(~this)
+        elif name == "no_manifest":
+            given = given.where("path <> 'manifest.yaml'")
+        status = counts.select(*[(F.col(c) + off.get(c, 0)).alias(c) for c in counts.columns])
+        row = B.reconcile(declared, given, status, expected).withColumn("name", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @check(
@@ -415,13 +471,6 @@ def export_report(t: Tables):
     return B.export_report(_inventory(t), t.part, samples)
 
 
-_FILES_OF_DOCS = "select concat(source, '/', lang, '/', cast(doc_id as string), '.txt') as path, text, doc_id from {documents}"
-
-
-def _text_files(rows):
-    return rows.select("path", F.octet_length("text").cast("long").alias("size_bytes"), F.concat(F.lit("sha256:"), F.sha2("text", 256)).alias("sha256"))
-
-
 @check(
     "inventory_changes",
     f"""{ctes(f=_FILES_OF_DOCS)} SELECT path, CASE WHEN doc_id % 97 = 5 THEN 'removed' WHEN doc_id % 89 = 7 THEN 'added' ELSE 'changed' END AS kind,

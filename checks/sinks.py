@@ -7,7 +7,7 @@ from checks.catalogs import FINAL
 from checks.selects import _ARRIVING, _arrivals, _drain, _event_stream, _run_folder
 from tableguard.operators import catalog as C
 from tableguard.sources import catalog as SC, tables as ST
-from tableguard.streaming import bucketed as BK, streams as SS
+from tableguard.streaming import bucketed as BK, stateful as SF, streams as SS
 
 _ROWS = "select event_id, event_type, user_id, case when user_id % 7 = 0 then null else props end as props from {events}"
 
@@ -141,3 +141,20 @@ def audit_windows_appended(t: Tables):
     rolled = SS.audit_rollup(events, window="6 hours", watermark="12 hours")
     _drain(rolled, folder, "append", lambda df, i: df.write.mode("overwrite").parquet(f"{folder}/out/batch={i}"))
     return t.spark.read.schema(rolled.schema).parquet(f"{folder}/out").select(*rolled.columns)
+
+
+_LATE_ARRIVING = f"select cast(ts as timestamp) as occurred_at, event_type as operation, case when value < 5 then 'refused' else 'succeeded' end as outcome, event_type = 'error' as failed, cast(floor(value) as bigint) as duration_ms, arrival from ({_ARRIVING}) as a"
+
+
+@check(
+    "audit_windows_late",
+    f"""WITH a AS ({duck(_LATE_ARRIVING)}), heads AS (SELECT arrival + 1 AS arrival, max(max(occurred_at)) OVER (ORDER BY arrival) - INTERVAL 12 HOUR AS mark FROM a GROUP BY arrival),
+w AS (SELECT time_bucket(INTERVAL '6 hours', occurred_at) AS window_start, a.*, mark FROM a LEFT JOIN heads USING (arrival))
+SELECT window_start, window_start + INTERVAL 6 HOUR AS window_end, operation, outcome, count(*) AS n, count(*) FILTER (failed) AS failures, CAST(sum(duration_ms) AS BIGINT) AS duration_ms
+FROM w WHERE (mark IS NULL OR window_start + INTERVAL 6 HOUR > mark) AND window_start + INTERVAL 6 HOUR <= (SELECT max(mark) FROM heads) GROUP BY ALL""",
+)
+def audit_windows_late(t: Tables):
+    """The roll-up over four arrivals; events behind the watermark are dropped, those before it count."""
+    folder = _run_folder(t)
+    stream, bring = _arrivals(t, t.sql(_LATE_ARRIVING), folder)
+    return bring(SF.as_table(SS.audit_rollup(stream, window="6 hours", watermark="12 hours"), folder)).drop("batch")

@@ -310,9 +310,10 @@ def sample_groups(
     return table.withColumn("sample_rank", rank).where(F.col("sample_rank") <= _checked_size(n, bounds))
 
 
-def sample_status(page: DataFrame, requested: int, deterministic: bool) -> DataFrame:
+def sample_status(page: DataFrame, requested: int, deterministic: bool, by: Sequence[str] = ()) -> DataFrame:
+    """Rows asked for and given, of the whole sample or of each of its groups."""
     n = F.count(F.lit(1))
-    return page.agg(
+    return page.groupBy(*by).agg(
         F.lit(requested).cast("long").alias("requested_count"),
         n.alias("actual_count"),
         F.when(n < requested, "source_returned_fewer_rows").alias("shortage_reason"),
