@@ -6,7 +6,7 @@ from checks.base import OBJECTS, Tables, check, ctes, duck
 from checks.catalogs import FINAL
 from checks.selects import _ARRIVING, _arrivals, _drain, _event_stream, _run_folder
 from tableguard.operators import catalog as C
-from tableguard.sources import catalog as SC, tables as ST
+from tableguard.sources import catalog as SC, footers as FT, tables as ST
 from tableguard.streaming import bucketed as BK, stateful as SF, streams as SS
 
 _ROWS = "select event_id, event_type, user_id, case when user_id % 7 = 0 then null else props end as props from {events}"
@@ -158,3 +158,19 @@ def audit_windows_late(t: Tables):
     folder = _run_folder(t)
     stream, bring = _arrivals(t, t.sql(_LATE_ARRIVING), folder)
     return bring(SF.as_table(SS.audit_rollup(stream, window="6 hours", watermark="12 hours"), folder)).drop("batch")
+
+
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@check("footer_sizes", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS rows FROM {n}" for n in _TABLES))
+def footer_sizes(t: Tables):
+    """Rows of all tables, from the files' footers in one job."""
+    return FT.table_sizes(t.spark, t.sf).select("table_name", "rows")
+
+
+@check("footer_nulls", " UNION ALL ".join(f"SELECT '{n}' AS table_name, '{c}' AS column_name, count(*) - count({c}) AS nulls FROM {n}" for n, c in (("orders", "o_custkey"), ("customer", "c_name"), ("events", "event_type"), ("documents", "lang"), ("labels", "toxic"), ("conversations", "text"))))
+def footer_nulls(t: Tables):
+    rows = FT.column_bounds(t.spark, t.sf, protected=("c_name",)).select("table_name", "column_name", "nulls")
+    pairs = F.concat_ws(".", "table_name", "column_name").isin("orders.o_custkey", "customer.c_name", "events.event_type", "documents.lang", "labels.toxic", "conversations.text")
+    return rows.where(pairs)
