@@ -1,6 +1,7 @@
 """Protected select: lineage, guard, output policy and bounds."""
 
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -311,12 +312,12 @@ def _disguised(rng):
 
 
 def test_no_disguise_gets_through(people, key):
-    """2,000 made-up expressions: refused, or answered without a raw value."""
+    """400 made-up requests (TABLEGUARD_FUZZ sets more): refused, or answered without a raw value."""
     rng = random.Random(11)
     few = people.limit(3)
     secrets = ("Ann", "Lee", "hunter2", "ANN", "LEE")
     tables, held, answered, refused = {"p": few}, [], 0, 0
-    for i in range(2000):
+    for i in range(int(os.environ.get("TABLEGUARD_FUZZ", 400))):
         item = f"{_disguised(rng)} AS x{i}"
         clause = dict(select=("id",), where=(f"{item.rsplit(' AS ', 1)[0]} like '%n%'",)) if i % 20 == 0 else dict(select=(item,))
         try:
@@ -331,4 +332,4 @@ def test_no_disguise_gets_through(people, key):
     for at in range(0, len(held), 40):
         for row in P.protected_rows(tables, P.Request(table="p", select=tuple(held[at : at + 40])), key).collect():
             assert not [(n, v) for n, v in row.asDict().items() if any(s in str(v) for s in secrets)]
-    assert answered > 200 and refused > 200
+    assert answered > 40 and refused > 40
