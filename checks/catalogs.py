@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from checks.base import (
-    COLUMNS, CONSTRAINT_ROWS, CONTACTS, FOREIGN_KEYS, OBJECTS, RECORDS, Tables, check, ctes, SEAL, sealed_sql,
+    COLUMNS, CONSTRAINT_ROWS, CONTACTS, FOREIGN_KEYS, OBJECTS, RECORDS, Tables, check, ctes, digest_sql, SEAL, sealed_sql,
 )
 from checks.texts import _secret_steps
+from tableguard.functions import fixed as X
 from tableguard.operators import catalog as C, fingerprints as FP
 
 _SCHEMAS = [f"brand_{i}" for i in range(1, 21)]
@@ -205,6 +206,35 @@ def sample_shortage(t: Tables):
     return C.sample_status(C.sample_groups(t.orders, ["o_custkey"], ["o_orderkey"], 20), 20, True, ["o_custkey"])
 
 
+_LOOKUP_ROWS = """select concat('table:app.', replace(lower(c_mktsegment), ' ', '_')) as object_id, c_custkey, c_name, c_acctbal, c_nationkey from {customer}"""
+_LOOKUP_SUPPLIERS = "select 'table:app.supplier' as object_id, s_suppkey, s_name, s_acctbal, s_nationkey from {supplier}"
+
+
+def _lookup_json(p: str, source: str) -> str:
+    alias = f"""'user_' || substr({digest_sql("email", f"{p}_name")}, 1, 10) || '@example.invalid'"""
+    k = {"c": "c_custkey", "s": "s_suppkey"}[p]
+    return f"""SELECT object_id, '{{"{k}":' || {k} || ',"{p}_name":"' || {alias} || '","{p}_acctbal":"[REDACTED]","{p}_nationkey":' || {p}_nationkey || '}}' AS row FROM {source}"""
+
+
+@check("lookup_rows", f"""{ctes(a=_LOOKUP_ROWS, b=_LOOKUP_SUPPLIERS)} {_lookup_json("c", "a WHERE object_id NOT LIKE '%furniture'")} UNION ALL {_lookup_json("s", "b")}""")
+def lookup_rows(t: Tables):
+    """Lookup tables of two layouts: one for each market segment but furniture, and the suppliers."""
+    tables = [t.sql(_LOOKUP_ROWS), t.sql(_LOOKUP_SUPPLIERS)]
+    columns = None
+    for table in tables:
+        names = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("data_type")) for i, f in enumerate(table.schema.fields[1:])])
+        listed = table.select("object_id").distinct().select("object_id", F.inline(names))
+        columns = listed if columns is None else columns.unionByName(listed)
+    category = F.when(F.col("object_id").endswith("furniture"), "um").otherwise("lut")
+    plan = columns.select("object_id", F.lit("table").alias("object_type"), category.alias("final_category")).distinct()
+
+    def read(ids):
+        return next(x for x in tables if (x.columns[1] == "s_suppkey") == (list(ids) == ["table:app.supplier"])).where(F.col("object_id").isin(*ids))
+
+    policy = {"c_name": X.EMAIL, "s_name": X.EMAIL, "c_acctbal": "secret", "s_acctbal": "secret"}
+    return C.lookup_rows(plan, columns, read, policy, t.key)
+
+
 _PRELIM = "CASE WHEN len(list_filter(string_split(lower(object_name), '_'), lambda x: x <> '')) >= 2 AND regexp_matches(list_filter(string_split(lower(object_name), '_'), lambda x: x <> '')[1], '^[a-z][a-z0-9]*$') THEN list_filter(string_split(lower(object_name), '_'), lambda x: x <> '')[1] END"
 _ODD_NAMES = f"""select case p_partkey % 6 when 0 then object_name when 1 then '_' || object_name when 2 then cast(p_partkey as string) || '_X' when 3 then replace(object_name, '_', '') when 4 then '__' else 'a__b' end as object_name from ({OBJECTS}) x"""
 

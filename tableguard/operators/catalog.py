@@ -13,6 +13,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tableguard.functions import fixed as X
 from tableguard.functions.values import as_col, java
 from tableguard.operators.protect import protect
 
@@ -333,6 +334,37 @@ def lookup_snapshot(
     return {i: protect(read(i), policy.get(i), key) for i in ids}
 
 
+def lookup_layouts(plan_rows: DataFrame, columns: DataFrame) -> DataFrame:
+    """(layout, object_ids) of the lookup tables of a plan: those with equal columns and types together.
+
+    ``columns`` has ``object_id, ordinal, column_name, data_type``.
+    """
+    chosen = plan_rows.where((F.col("final_category") == LOOKUP) & (F.col("object_type") == "table")).select("object_id").distinct()
+    listed = F.array_sort(F.collect_set(F.struct("ordinal", "column_name", "data_type")))
+    shapes = columns.join(chosen, "object_id", "left_semi").groupBy("object_id").agg(F.sha2(F.to_json(listed), 256).alias("layout"))
+    return shapes.groupBy("layout").agg(F.array_sort(F.collect_set("object_id")).alias("object_ids"))
+
+
+def lookup_rows(
+    plan_rows: DataFrame, columns: DataFrame, read: Callable[[Sequence[str]], DataFrame], policy: Mapping[str, str], key
+) -> DataFrame:
+    """(object_id, row) of all rows of all lookup tables of a plan, protected, as JSON.
+
+    ``read`` takes the ids of tables with equal columns and returns their rows under one another,
+    with ``object_id``: one scan for many tables. ``policy`` gives the class of a column name in any
+    of them. The plan has one branch for each different layout, not for each table. Null columns are
+    left out of the JSON; a plan without lookup tables gives no rows.
+    """
+    out = None
+    for layout in lookup_layouts(plan_rows, columns).orderBy("layout").toLocalIterator():
+        table = read(layout["object_ids"])
+        body = [c for c in table.columns if c != "object_id"]
+        shown = protect(table, {c: k for c, k in policy.items() if c in body}, key, settled={"object_id": (X.PUBLIC, "object_id")})
+        rows = shown.select("object_id", F.to_json(F.struct(*[F.col(f"`{c}`") for c in body])).alias("row"))
+        out = rows if out is None else out.unionByName(rows)
+    return plan_rows.sparkSession.createDataFrame([], "object_id string, row string") if out is None else out
+
+
 # Categories and plans -----------------------------------------------------------------------
 
 

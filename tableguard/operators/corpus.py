@@ -11,10 +11,13 @@ from tableguard.functions import fixed as X
 from tableguard.functions.values import as_col, java
 from tableguard.operators.fingerprints import joined, sealed_digest, sha256_text
 from tableguard.operators.objects import classify_corpus
+from tableguard.operators.spread import spread_left_join
 from tableguard.session import cut_lineage
 from tableguard.sources.rules import Rules
 
 DEFAULT_PREFIX = "-- context: "
+#: Most clashes of a folder plan that are broadcast (some 300 bytes each); more are joined by a shuffle.
+CLASHES = 100_000
 
 # Header fields in the order they are written (sorted keys).
 HEADER = T.StructType(
@@ -254,8 +257,9 @@ def folder_plan(
     """Plan of a folder: class, destination, hashes and ``problem`` per file.
 
     ``corpus`` has ``path, content``; ``resolutions`` has ``path, context, description, tags`` set
-    by the owner. Duplicate identities and colliding destinations are counted per key and joined
-    back, so no group of files meets in one task.
+    by the owner. Duplicate identities and colliding destinations are counted over keys alone: only
+    path, keys and own problem of each file are stored, no text. The files are then read a second
+    time, meet the clashes (broadcast up to ``CLASHES`` of them), and are rendered last.
     """
     checked = check_identity(corpus, engine, prefix=prefix)
     flat = checked.select("path", "content", "body", "problem", "header.*")
@@ -289,35 +293,16 @@ def folder_plan(
     )
     rows = ruled.withColumn("destination", destination)
     rows = rows.withColumn("input_hash", sha256_text("content"))
-    rendered = F.concat(
-        header_line(F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in HEADER.fields]), prefix),
-        F.lit("\n"),
-        F.col("body"),
-    )
-    rows = rows.withColumn("rendered", rendered).withColumn("output_hash", sha256_text("rendered"))
-
     rows = rows.withColumn("id_key", F.lower("object_id")).withColumn("dest_key", F.lower("destination"))
-    # Files are scanned and rendered once; the counts below read the stored result.
-    rows = cut_lineage(rows)
-
-    def repeated(key: Column, name: str) -> DataFrame:
-        counted = rows.where(F.col("problem").isNull()).groupBy(key.alias(name)).agg(F.count(F.lit(1)).alias("n"))
-        return counted.where("n > 1").select(name, F.lit(True).alias(f"{name}_twice"))
-
-    out = rows.join(repeated(F.col("id_key"), "id_key"), "id_key", "left")
-    out = out.join(repeated(F.col("dest_key"), "dest_key"), "dest_key", "left")
-    problem = (
-        F.when(F.col("problem").isNotNull(), F.col("problem"))
-        .when(F.col("id_key_twice"), "FOLDER_DUPLICATE_OBJECT_IDENTITY")
-        .when(F.col("dest_key_twice"), "FOLDER_DESTINATION_COLLISION")
-    )
-    if in_place:
-        sources = rows.select(F.lower("path").alias("dest_key")).distinct().withColumn("taken", F.lit(True))
-        out = out.join(sources, "dest_key", "left")
-        clash = F.col("taken") & (F.col("dest_key") != F.lower("path"))
-        problem = problem.when(clash, "FOLDER_IN_PLACE_SOURCE_COLLISION")
+    clashes = cut_lineage(_clashes(cut_lineage(rows.select("path", "id_key", "dest_key", "problem")), in_place))
+    found = clashes if clashes.count() > CLASHES else F.broadcast(clashes)
+    same = F.lit(True)
+    for c in ("path", "id_key", "dest_key"):
+        same = same & F.col(c).eqNullSafe(F.col(f"__tg_{c}"))
+    problem = F.coalesce("problem", "__tg_clash")
     header = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in HEADER.fields])
-    return out.select(
+    out = rows.join(found, same, "left").withColumn("rendered", F.concat(header_line(header, prefix), F.lit("\n"), F.col("body")))
+    return out.withColumn("output_hash", sha256_text("rendered")).select(
         "path",
         "destination",
         "object_id",
@@ -334,6 +319,27 @@ def folder_plan(
     )
 
 
+def _clashes(keys: DataFrame, in_place: bool) -> DataFrame:
+    """Path, keys and problem of the files that no problem of their own keeps out but another file does.
+
+    ``keys`` has ``path, id_key, dest_key, problem`` and may be read several times.
+    """
+    sound = keys.where(F.col("problem").isNull()).drop("problem")
+
+    def repeated(name: str) -> DataFrame:
+        counted = sound.groupBy(name).agg(F.count(F.lit(1)).alias("n"))
+        return counted.where("n > 1").select(name, F.lit(True).alias(f"{name}_twice"))
+
+    out = spread_left_join(spread_left_join(sound, repeated("id_key"), "id_key"), repeated("dest_key"), "dest_key")
+    clash = F.when(F.col("id_key_twice"), "FOLDER_DUPLICATE_OBJECT_IDENTITY").when(F.col("dest_key_twice"), "FOLDER_DESTINATION_COLLISION")
+    if in_place:
+        sources = keys.select(F.lower("path").alias("dest_key")).distinct().withColumn("taken", F.lit(True))
+        out = spread_left_join(out, sources, "dest_key")
+        clash = clash.when(F.col("taken") & (F.col("dest_key") != F.lower("path")), "FOLDER_IN_PLACE_SOURCE_COLLISION")
+    told = [F.col(c).alias(f"__tg_{c}") for c in ("path", "id_key", "dest_key")]
+    return out.select(*told, clash.alias("__tg_clash")).where("__tg_clash is not null").distinct()
+
+
 def unused_resolutions(corpus: DataFrame, resolutions: DataFrame) -> DataFrame:
     """Owner resolutions whose file does not exist."""
     paths = corpus.select(F.lower("path").alias("key")).distinct()

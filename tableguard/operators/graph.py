@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tableguard.operators.spread import spread_left_join
+
 # Edge names in the graph by dependency type.
 EDGE_NAMES = {
     "foreign_key": "FOREIGN_KEY",
@@ -72,11 +74,14 @@ def _column_id() -> Column:
 
 
 def boundary(edges: DataFrame, plan: DataFrame) -> DataFrame:
-    """Edges with ``boundary_only``: exactly one end is materialised."""
+    """Edges with ``boundary_only``: exactly one end is materialised.
+
+    Ends that many edges share are told in several tasks.
+    """
     inside = _included(plan)
     s = inside.select(F.col("object_id").alias("source"), F.lit(True).alias("s_in"))
     t = inside.select(F.col("object_id").alias("target"), F.lit(True).alias("t_in"))
-    joined = edges.join(s, "source", "left").join(t, "target", "left")
+    joined = spread_left_join(spread_left_join(edges, s, "source"), t, "target")
     flag = F.coalesce("s_in", F.lit(False)) != F.coalesce("t_in", F.lit(False))
     return joined.select(*edges.columns, flag.alias("boundary_only"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tableguard.functions import fixed as X
 from tableguard.operators.catalog import PAGE_ROWS, checked_page
 from tableguard.operators.fingerprints import joined as joined_text, sealed_digest, sha256_text
+from tableguard.operators.spread import own_if_null
 
 KEY = ["schema_name", "object_name", "object_type"]
 OWNED = ["context", "description", "tags", "classification_status", "classification_source"]
@@ -215,15 +216,17 @@ def sync_result(actions: DataFrame, deactivated: DataFrame | None = None) -> Dat
 def generation_plan(index: DataFrame, corpus: DataFrame, include_unresolved: bool = False) -> DataFrame:
     """Index rows checked against their managed files: one row each with its drift, if any.
 
-    ``corpus`` is the output of ``corpus.parse_header`` (``path, state, header, body``).
+    ``corpus`` is the output of ``corpus.parse_header`` (``path, state, header, body``). Rows
+    without a path meet no file; each has a join key of its own.
     """
     rows = index.where("active")
     if not include_unresolved:
         rows = rows.where(F.col("classification_status") != "unresolved")
     files = corpus.select(
-        F.col("path").alias("managed_relative_path"), "state", "header", sha256_text("body").alias("body_hash")
+        F.col("path").alias("__tg_path"), "state", "header", sha256_text("body").alias("body_hash")
     ).withColumn("found", F.lit(True))
-    joined = rows.join(files, "managed_relative_path", "left")
+    keyed = rows.withColumn("__tg_path", own_if_null(F.col("managed_relative_path"), *KEY))
+    joined = keyed.join(files, "__tg_path", "left")
     oid = F.concat(F.col("object_type"), F.lit(":"), F.col("schema_name"), F.lit("."), F.col("object_name"))
     same = oid.eqNullSafe(F.col("header.object_id")) & F.col("object_type").eqNullSafe(F.col("header.object_type"))
     for f in OWNED + ["source_fingerprint", "evidence", "header_version", "output_format_version", "content_hash"]:

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tableguard.operators.spread import spread_left_join
 from tableguard.sources.rules import Rule, Rules
 
 # Confidences, limits and evidence kinds.
@@ -142,8 +143,9 @@ def neighbour_vote(edges: DataFrame, pass1: DataFrame) -> DataFrame:
     """Match when all neighbours with a first-pass category agree on it.
 
     ``edges`` has ``source_object_id, target_object_id, edge_type``; ``pass1`` has
-    ``object_id, category``. Parallel edges are merged before the join, and agreement is a
-    minimum and a maximum, so a hub costs no more memory than any other object.
+    ``object_id, category``. Parallel edges are merged before the join, the edges of a hub meet its
+    category in several tasks, and agreement is a minimum and a maximum, so a hub costs no more
+    memory than any other object.
     """
     routine = F.col("edge_type").isin(*ROUTINE_EDGES)
     out = edges.select(
@@ -155,7 +157,7 @@ def neighbour_vote(edges: DataFrame, pass1: DataFrame) -> DataFrame:
     pairs = out.unionByName(back).groupBy("object_id", "other").agg(F.bool_or("routine").alias("routine"))
     known = pass1.where(F.col("category").isNotNull()).select(F.col("object_id").alias("other"), "category")
     votes = (
-        pairs.join(known, "other", "left")
+        spread_left_join(pairs, known, "other")
         .groupBy("object_id")
         .agg(F.min("category").alias("low"), F.max("category").alias("high"), F.bool_or("routine").alias("routine"))
         .where(F.col("low") == F.col("high"))

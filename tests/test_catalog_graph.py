@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tableguard.functions.allowed import ALLOWED, call, register
 from tableguard.operators import catalog as C, graph as G, index as I, objects as O
+from tableguard.operators.spread import spread_left_join
 from tableguard.sources.rules import make_rules, read_rules
 
 RULES = make_rules(
@@ -116,6 +117,36 @@ def test_hub_object_needs_one_row_per_neighbour(spark):
     assert O.neighbour_vote(edges, mixed).count() == 0
 
 
+def busiest(df):
+    """Share of the rows that the fullest partition holds."""
+    counts = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    return max(counts) / sum(counts)
+
+
+def test_hot_keys_meet_their_facts_in_many_tasks(spark):
+    """Nine tenths of the rows share a key, another part has none; no help from adaptive splitting."""
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(20000).selectExpr("id", "case when id % 20 < 18 then 'hub' when id % 20 = 18 then null else concat('n', id) end as k")
+        facts = spark.range(20000).selectExpr("concat('n', id) as k", "id as fact").unionByName(spark.createDataFrame([("hub", -1)], "k string, fact long"))
+        plain, spread = rows.join(facts, "k", "left"), spread_left_join(rows, facts, "k")
+        assert spread.select("id", "k", "fact").exceptAll(plain.select("id", "k", "fact")).count() == 0 and spread.count() == 20000
+        assert busiest(plain) > 0.85 and busiest(spread) < 0.5
+        edges = spark.range(20000).selectExpr("concat('n', id) as source", "if(id % 10 = 0, concat('n', id), 'hub') as target")
+        plan = spark.createDataFrame([("hub", True), ("n7", True), ("n9", False)], "object_id string, included boolean")
+        flagged = G.boundary(edges, plan)
+        assert busiest(flagged) < 0.5
+        assert flagged.where("boundary_only").count() == 18000 - 1  # n7 is inside as well
+        same = flagged.where("source = 'n7'").first()
+        assert not same.boundary_only and G.boundary(edges.limit(0), plan).count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_rules_are_checked(tmp_path):
     with pytest.raises(ValueError):
         make_rules([dict(name="Bad Name")])
@@ -160,6 +191,24 @@ def test_lookup_tables_are_read_whole(spark, key):
     assert got["table:a.L"].where("email not like 'user_%@example.invalid'").count() == 0
 
 
+def test_lookup_tables_of_one_layout_are_read_together(spark, key):
+    plan = spark.createDataFrame([(f"table:a.L{i}", "table", "lut") for i in range(6)] + [("table:a.M", "table", "um")], "object_id string, object_type string, final_category string")
+    shapes = [(f"table:a.L{i}", k, c, "string") for i in range(5) for k, c in enumerate(("id", "email"))] + [("table:a.L5", 0, "code", "int"), ("table:a.M", 0, "code", "int")]
+    columns = spark.createDataFrame(shapes, "object_id string, ordinal int, column_name string, data_type string")
+    reads = []
+
+    def read(ids):
+        reads.append(list(ids))
+        rows = spark.createDataFrame([(i,) for i in ids], "object_id string")
+        return rows.selectExpr("object_id", "7 as code") if ids == ["table:a.L5"] else rows.selectExpr("object_id", "explode(array('1', null)) as id", "'a@b.co' as email")
+
+    got = C.lookup_rows(plan, columns, read, {}, key).collect()
+    assert sorted(reads) == [[f"table:a.L{i}" for i in range(5)], ["table:a.L5"]]
+    assert len(got) == 11 and [r.row for r in got if r.object_id == "table:a.L5"] == ['{"code":7}']
+    assert not any("a@b.co" in r.row for r in got) and sum('"id"' in r.row for r in got) == 5
+    assert C.lookup_rows(plan.limit(0), columns, read, {}, key).count() == 0
+
+
 def test_completeness(spark, objects, final):
     none = spark.createDataFrame([], "object_id string, stage string, error_code string")
     status = C.status(objects, none, C.plan(objects, final, "all"))

@@ -165,6 +165,30 @@ def test_folder_plan_and_drift(spark):
     assert problems["k/UM_B.sql"] == "FOLDER_IN_PLACE_SOURCE_COLLISION"
 
 
+def test_folder_plan_stores_keys_and_no_text(spark, monkeypatch):
+    rules = make_rules([dict(name="um", description="users", prefixes=["UM_"])])
+    files = [(f"{i}/T{i % 7}.sql", f"create table app.T{i} (x int)") for i in range(40)] + [("z/a.sql", None), ("z/b.sql", "")]
+    corpus = spark.createDataFrame(files, "path string, content string")
+    stored = []
+    cut = CO.cut_lineage
+    monkeypatch.setattr(CO, "cut_lineage", lambda df: stored.append(df.columns) or cut(df))
+    few = {r.path: r for r in CO.folder_plan(corpus, rules, "postgres").collect()}
+    assert stored == [["path", "id_key", "dest_key", "problem"], ["__tg_path", "__tg_id_key", "__tg_dest_key", "__tg_clash"]]
+    monkeypatch.setattr(CO, "CLASHES", 0)  # joined by a shuffle
+    many = {r.path: r for r in CO.folder_plan(corpus, rules, "postgres").collect()}
+    assert few == many and len(few) == 42
+    assert {r.problem for p, r in few.items() if not p.startswith("z/")} == {"FOLDER_DESTINATION_COLLISION"}
+    assert CO.folder_plan(corpus.limit(0), rules, "postgres").count() == 0
+
+
+def test_index_rows_without_path_do_not_meet(spark):
+    rows = entries(spark, {}).withColumn("active", F.lit(True)).drop("managed_relative_path").crossJoin(spark.range(1000)).drop("id")
+    rows = rows.withColumn("managed_relative_path", F.lit(None).cast("string"))
+    corpus = CO.parse_header(spark.createDataFrame([(None, "x"), ("um/A.sql", "y")], "path string, content string"))
+    got = I.generation_plan(rows, corpus, include_unresolved=True).groupBy("drift").count().collect()
+    assert [(r.drift, r["count"]) for r in got] == [("path_or_hash_missing", 1000)]
+
+
 def test_assembly_is_stable_and_reconciles(spark):
     def inv(batch, *paths):
         return [(batch, p, 1, f"sha256:{p}", "full") for p in paths]
