@@ -1,19 +1,20 @@
 """Exact top-k inner products of a query set against all vectors.
 
-Components become ``floor(256 * x)``. Vectors are dealt in order of descending length and packed
-into blocks of bounded bytes; the queries are packed into blocks too, and every block of vectors
-meets every block of queries. The longest block gives each query a first bound: the score of its
-k-th best there. In the other blocks a query is skipped altogether if its length times the block's
-greatest length stays below that bound, and single pairs are skipped by Cauchy-Schwarz: the inner
-product over the first directions of a singular value decomposition, plus the product of the
-residual lengths. What is left is scored exactly. The decomposition comes from one block; it
-changes what is skipped, never the result.
+Components become ``floor(256 * x)``. Vectors are ordered by descending length, packed into blocks of
+bounded bytes, and processed in bands of blocks: the longest block, the next four, the next sixteen,
+and so on. After each band every query's floor is raised to its k-th best score so far, and the
+queries are packed anew by reach, the least length that can still beat their floor. A block of
+vectors is sent only to the query blocks whose reach is not above its greatest length; once the
+next band is shorter than every reach, the search is over. Inside a pair of blocks, queries are
+skipped by length and single pairs by Cauchy-Schwarz: the inner product over the first directions of
+a singular value decomposition, plus the product of the residual lengths. What is left is scored
+exactly. The decomposition comes from the longest block; it changes what is skipped, never the result.
 
 Vectors that are null, or hold a null or non-finite component, and rows without id take no part.
-Missing components count as 0 where vectors differ in length. A query's own id is no candidate;
-other repeated rows each count. Of repeated query ids the first vector by its bytes is the query.
-Scores beyond 64 bits are held at the ends of the range. Ties go to the smaller id. Other columns
-are not read.
+Missing components count as 0 where vectors differ in length. A row is no candidate of its own, and
+every other row is one, also where ids repeat; each row of a repeated query id is a query and gives
+its own ranks. Scores beyond 64 bits are ordered exactly and shown at the ends of the range. Ties go
+to the smaller id. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,14 +36,25 @@ DIRECTIONS = 16
 BROADCAST_BYTES = 64 << 20
 #: Integers up to here are exact in double precision.
 EXACT = float(1 << 53)
-
-_VECTORS = T.StructType([T.StructField("id", T.LongType()), T.StructField("norm", T.DoubleType()), T.StructField("dim", T.IntegerType()), T.StructField("vec", T.BinaryType())])
-_BLOCKS = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("vecs", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("longest", T.DoubleType())])
-
-
-def whole_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """id, norm, dim and packed whole-number components of every vector that takes part."""
-    narrow = table.select(table[id_col].cast("long").alias("id"), table[vector_col].cast("array<double>").alias("v")).where("id is not null and v is not null")
+#: A band has this many times the blocks of the one before.
+GROWTH = 4
+#: Most steps of reach that query blocks are told apart by when blocks are sent to them.
+STEPS = 256
+#: Ends of 64-bit integers.
+LOW, HIGH = -(1 << 63), (1 << 63) - 1
+
+_LONG, _BYTES = T.LongType(), T.BinaryType()
+_VECTORS = T.StructType([T.StructField("id", _LONG), T.StructField("query", T.BooleanType()), T.StructField("norm", T.DoubleType()), T.StructField("dim", T.IntegerType()), T.StructField("vec", _BYTES)])
+#: Rows and ids of a block's vectors, the vectors, and the greatest length (of queries the least reach and the floors).
+_BLOCKS = T.StructType([*(T.StructField(n, _BYTES) for n in ("rows", "ids", "vecs")), T.StructField("n", T.IntegerType()), T.StructField("longest", T.DoubleType())])
+_ASKED = T.StructType([*_BLOCKS.fields[:4], T.StructField("reach", T.DoubleType()), T.StructField("floors", _BYTES)])
+_FOUND = T.StructType([T.StructField("row", _LONG), T.StructField("query_id", _LONG), T.StructField("vec_id", _LONG), T.StructField("score", _LONG), T.StructField("excess", T.StringType())])
+
+
+def whole_vectors(table: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """id, query, norm, dim and packed whole-number components of every vector that takes part."""
+    asked = F.coalesce(is_query, F.lit(False)).alias("query")
+    narrow = table.select(table[id_col].cast("long").alias("id"), asked, table[vector_col].cast("array<double>").alias("v")).where("id is not null and v is not null")
 
     def part(batch: pa.RecordBatch) -> dict:
         lists = batch.column("v")
@@ -57,40 +69,44 @@ def whole_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "e
         with np.errstate(over="ignore"):
             norms = [float(np.sqrt(v @ v)) for v in vecs]
         return {
-            "id": batch.column("id").take(pa.array(good)), "norm": norms,
+            "id": batch.column("id").take(pa.array(good)), "query": batch.column("query").take(pa.array(good)), "norm": norms,
             "dim": [len(v) for v in vecs], "vec": [v.astype("<f8").tobytes() for v in vecs],
         }
 
     return map_batches(narrow, part, _VECTORS)
 
 
-def _packed(vectors: DataFrame, dim: int, key: str | None = None) -> DataFrame:
-    """Blocks of the rows of each partition, in their order; a block holds one value of ``key``."""
-    schema = T.StructType([*_BLOCKS.fields, *([T.StructField(key, T.IntegerType())] if key else [])])
+def _packed(vectors: DataFrame, dim: int, schema: T.StructType) -> DataFrame:
+    """Blocks of the rows of each partition, in their order.
+
+    Vectors have ``norm``; queries have ``reach`` and ``floor`` instead.
+    """
     arrow = arrow_schema(schema)
     most = _block_rows(dim)
+    asked = "reach" in schema.names
+    names = ["row", "id", "vec", *(["reach", "floor"] if asked else ["norm"])]
 
     def block(rows: list) -> pa.RecordBatch:
         matrix = np.zeros((len(rows), dim))
-        for k, (_, _, vec, _) in enumerate(rows):
+        for k, (_, _, vec, *_) in enumerate(rows):
             matrix[k, : len(vec) // 8] = np.frombuffer(vec, "<f8")
-        ids = np.array([r[0] for r in rows], np.int64)
-        values = (ids.tobytes(), matrix.tobytes(), len(rows), max(r[1] for r in rows), rows[0][3])[: len(arrow)]
+        number, ids, _, size, *floor = zip(*rows, strict=True)
+        values = [np.array(number, np.int64).tobytes(), np.array(ids, np.int64).tobytes(), matrix.tobytes(), len(rows), min(size) if asked else max(size)]
+        values += [np.array(f, np.float64).tobytes() for f in floor]
         return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(values, arrow, strict=True)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list = []
         for batch in batches:
-            keys = batch.column(key).to_pylist() if key else [0] * batch.num_rows
-            for row in zip(*(batch.column(n).to_pylist() for n in ("id", "norm", "vec")), keys, strict=True):
-                if len(rows) == most or rows and rows[0][3] != row[3]:
+            for row in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+                if len(rows) == most:
                     yield block(rows)
                     rows = []
                 rows.append(row)
         if rows:
             yield block(rows)
 
-    return map_arrow(vectors.select("id", "norm", "vec", *([key] if key else [])), run, schema)
+    return map_arrow(vectors.select(*names), run, schema)
 
 
 def _block_rows(dim: int) -> int:
@@ -100,9 +116,9 @@ def _block_rows(dim: int) -> int:
 class Block:
     """A block unpacked, with its partial coordinates and residual lengths."""
 
-    def __init__(self, ids: bytes, vecs: bytes, n: int, turn: np.ndarray) -> None:
-        self.ids = np.frombuffer(ids, np.int64)
-        self.vecs = np.frombuffer(vecs, np.float64).reshape(n, -1) if n else np.zeros((0, len(turn)))
+    def __init__(self, rows: bytes, ids: bytes, vecs: bytes, n: int, turn: np.ndarray) -> None:
+        self.rows, self.ids = np.frombuffer(rows, np.int64), np.frombuffer(ids, np.int64)
+        self.vecs = np.frombuffer(vecs, np.float64).reshape(n, -1)
         with np.errstate(over="ignore", invalid="ignore"):
             self.part = self.vecs @ turn
             self.norm = np.sqrt(np.einsum("ij,ij->i", self.vecs, self.vecs))
@@ -110,16 +126,30 @@ class Block:
 
 
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whole-number inner products of all rows, as 64-bit integers."""
+    """Whole-number inner products of all rows: 64-bit integers, or numbers without bound."""
     if a.size and b.size and np.abs(a).max() * np.abs(b).max() * a.shape[1] >= EXACT:
         whole = [[int(x) for x in r] for r in b]
-        out = [[sum(x * y for x, y in zip(p, r, strict=True)) for r in whole] for p in ([int(x) for x in q] for q in a)]
-        return np.array([[min(max(v, -(1 << 63)), (1 << 63) - 1) for v in r] for r in out], np.int64)
+        out = np.empty((len(a), len(b)), object)
+        for k, q in enumerate(a):
+            asked = [int(x) for x in q]
+            out[k] = [sum(x * y for x, y in zip(asked, r, strict=True)) for r in whole]
+        return out
     return (a @ b.T).astype(np.int64)
 
 
+def _excess(score: int) -> str:
+    """How far a score lies beyond 64 bits, as a text that sorts like the number."""
+    if score > HIGH:
+        beyond = str(score - HIGH)
+        return f"2{len(beyond):06d}{beyond}"
+    if score < LOW:
+        beyond = str(LOW - score).translate(str.maketrans("0123456789", "9876543210"))
+        return f"0{999999 - len(beyond):06d}{beyond}"
+    return "1"
+
+
 def best_of(queries: Block, vectors: Block, floors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query place, id, score) of the k best candidates of each query in one block of vectors.
+    """(query place, id, exact score) of the k best candidates of each query in one block of vectors.
 
     Candidates that cannot reach a query's floor may be missing.
     """
@@ -128,7 +158,7 @@ def best_of(queries: Block, vectors: Block, floors: np.ndarray, k: int) -> tuple
         rows = np.flatnonzero(~(queries.norm * vectors.norm.max(initial=0) + slack < floors))
         bound = queries.part[rows] @ vectors.part.T + np.outer(queries.rest[rows], vectors.rest)
         able = ~(bound + slack[rows, None] < floors[rows, None])
-    able &= queries.ids[rows, None] != vectors.ids[None, :]
+    able &= queries.rows[rows, None] != vectors.rows[None, :]
     keep_q, keep_v = able.any(axis=1), able.any(axis=0)
     rows, able = rows[keep_q], able[keep_q][:, keep_v]
     by_id = np.argsort(vectors.ids[keep_v], kind="stable")
@@ -145,6 +175,8 @@ def best_of(queries: Block, vectors: Block, floors: np.ndarray, k: int) -> tuple
 def _first(scores: np.ndarray, able: np.ndarray, k: int) -> np.ndarray:
     """Columns of the k greatest scores of each row, of equal ones the first; unable ones last."""
     n = scores.shape[1]
+    if scores.dtype == object:
+        return np.array([sorted(range(n), key=lambda j: (not able[i, j], -row[j], j))[:k] for i, row in enumerate(scores)])
     if np.abs(scores.astype(np.float64)).max() < (1 << 60) // n:  # score and column fit one number
         mixed = np.where(able, scores * n + np.arange(n)[::-1], np.iinfo(np.int64).min)
         some = np.argpartition(mixed, max(n - k, 0), axis=1)[:, max(n - k, 0) :]
@@ -152,57 +184,97 @@ def _first(scores: np.ndarray, able: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((np.broadcast_to(np.arange(n), scores.shape), ~scores, ~able), axis=1)[:, :k]
 
 
-def _floors(queries: Block, vectors: Block, k: int) -> np.ndarray:
-    """For each query the k-th best score in a block; minus infinity if it has fewer."""
-    place, _, score = best_of(queries, vectors, np.full(len(queries.ids), -np.inf), k)
-    count = np.bincount(place, minlength=len(queries.ids))
-    least = np.full(len(queries.ids), np.inf)
-    np.minimum.at(least, place, score)
-    return np.where(count >= k, least, -np.inf)
+def _numbered(blocks: DataFrame) -> DataFrame:
+    """Blocks with ``band``; their partitions are ranges of descending length, and so are the blocks in each.
+
+    What the driver holds is one number per partition.
+    """
+    stored = cut_lineage(blocks.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = dict(stored.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    before, total = [0] * (max(counts, default=0) + 1), 0
+    for p in range(len(before)):
+        before[p], total = total, total + counts.get(p, 0)
+    number = F.get(F.array(*[F.lit(x) for x in before]), part.cast("int")) + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    # Blocks before band j: 1 + GROWTH + .. = (GROWTH^j - 1) / (GROWTH - 1).
+    firsts, size = [1], GROWTH
+    while firsts[-1] < total:
+        firsts, size = [*firsts, firsts[-1] + size], size * GROWTH
+    band = F.size(F.filter(F.array(*[F.lit(x) for x in firsts]), lambda x: x <= number))
+    return stored.select(*_BLOCKS.names, band.alias("band"))
+
+
+def _with_floors(queries: DataFrame, best: DataFrame | None, k: int) -> DataFrame:
+    """Queries with their floors and reaches.
+
+    The slack covers what double precision loses; a query of length 0 scores 0 with all, so only ids decide.
+    """
+    if best is None:
+        return queries.select("row", "id", "vec", F.lit(float("-inf")).alias("floor"), F.lit(-1.0).alias("reach"))
+    floors = best.groupBy("row").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("floor"))
+    safe = (F.col("norm") > 0) & (F.col("norm") < 1e300) & F.col("floor").isNotNull()
+    reach = F.when(safe, F.greatest(F.lit(-1.0), (F.col("floor") - 1) / (F.col("norm") * (1 + 1e-6)))).otherwise(-1.0)
+    return queries.join(floors, "row", "left").select("row", "id", "vec", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"), reach.alias("reach"))
+
+
+def _meetings(blocks: DataFrame, asked: DataFrame, steps: list[float], size: int) -> DataFrame:
+    """Each block of vectors with the query blocks whose reach is not above its greatest length.
+
+    ``steps`` cut the reaches; a block goes to the steps it can reach, and the join tells the rest.
+    """
+    cuts = F.array(*[F.lit(x) for x in steps]).cast("array<double>")
+    step_of = lambda c: F.size(F.filter(cuts, lambda x: x <= F.col(c)))
+    side = asked.select(step_of("reach").alias("step"), *(F.col(c).alias(f"q_{c}") for c in asked.columns))
+    spread = blocks.withColumn("step", F.explode(F.sequence(F.lit(0), step_of("longest"))))
+    return spread.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, "step").where(F.col("q_reach") <= F.col("longest"))
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.col("score").desc(), F.col("excess").desc(), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def top_k(table: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of the k best candidates of every query."""
-    vectors = cut_lineage(whole_vectors(table, id_col, vector_col))
-    chosen = table.where(is_query).select(table[id_col].cast("long").alias("id")).distinct()
-    queries = vectors.join(chosen, "id", "left_semi").groupBy("id").agg(F.min("vec").alias("vec")).withColumn("norm", F.lit(0.0))
-    dim = vectors.agg(F.max("dim")).first()[0] or 0
-    blocks = cut_lineage(_packed(vectors.repartitionByRange(F.col("norm").desc(), "id").sortWithinPartitions(F.col("norm").desc(), "id"), dim))
-    groups = -(-chosen.count() // _block_rows(dim)) or 1  # groups of about one block of queries
-    numbered = queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
-    asked = _packed(numbered.repartition("qb").sortWithinPartitions("qb", "id"), dim, "qb")
-    longest = blocks.orderBy(F.col("longest").desc(), F.xxhash64("ids")).first()
-    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
-    if longest is None:
-        return table.sparkSession.createDataFrame([], T.StructType([schema[0], T.StructField("rank", T.IntegerType()), *schema.fields[1:]]))
-    sample = np.frombuffer(longest["vecs"], np.float64).reshape(longest["n"], -1)
-    turn = np.linalg.svd(sample, full_matrices=False)[2][:DIRECTIONS].T if dim else np.zeros((0, 0))
-    shared = table.sparkSession.sparkContext.broadcast((turn, longest["ids"], longest["vecs"], longest["n"]))
-
-    floored = T.StructType([*_BLOCKS.fields[:3], T.StructField("qb", T.IntegerType()), T.StructField("floors", T.BinaryType())])
-
-    def first_bounds(batch: pa.RecordBatch) -> dict:
-        turn, *rest = shared.value
-        head = Block(*rest, turn)
-        floors = [_floors(Block(*(batch.column(c)[i].as_py() for c in ("ids", "vecs", "n")), turn), head, k).tobytes() for i in range(batch.num_rows)]
-        return {c: batch.column(c) for c in ("ids", "vecs", "n", "qb")} | {"floors": floors}
-
-    asked = cut_lineage(map_batches(asked, first_bounds, floored))
-    size = asked.agg(F.sum(F.octet_length("vecs") + F.octet_length("ids") + F.octet_length("floors"))).first()[0] or 0
-    side = asked.select(*(F.col(c).alias(f"q_{c}") for c in ("ids", "vecs", "n", "qb", "floors")))
-    # Every block of vectors against every block of queries.
-    spread = blocks.withColumn("q_qb", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    met = spread.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, "q_qb")
+    spark = table.sparkSession
+    vectors = cut_lineage(whole_vectors(table, is_query, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()))
+    dim, asking = vectors.agg(F.max("dim"), F.count_if("query")).first()
+    dim = dim or 0
+    order = [F.col("norm").desc(), F.col("row")]
+    blocks = _numbered(_packed(vectors.repartitionByRange(*order).sortWithinPartitions(*order), dim, _BLOCKS))
+    bands = {r["band"]: r["longest"] for r in blocks.groupBy("band").agg(F.max("longest").alias("longest")).collect()}
+    queries = vectors.where("query")
+    groups = min(-(-asking // _block_rows(dim)) or 1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    head = blocks.where("band = 0").first()
+    turn = np.zeros((dim, 0))
+    if head is not None and dim:
+        turn = np.linalg.svd(np.frombuffer(head["vecs"], np.float64).reshape(head["n"], -1), full_matrices=False)[2][:DIRECTIONS].T
+    shared = spark.sparkContext.broadcast(turn)
 
     def search(batch: pa.RecordBatch) -> dict:
-        turn = shared.value[0]
-        out = []
+        out: dict[str, list] = {n: [] for n in _FOUND.names}
         for row in batch.to_pylist():
-            q, v = (Block(row[f"{p}ids"], row[f"{p}vecs"], row[f"{p}n"], turn) for p in ("q_", ""))
+            q, v = (Block(*(row[f"{p}{c}"] for c in ("rows", "ids", "vecs", "n")), shared.value) for p in ("q_", ""))
             place, ids, scores = best_of(q, v, np.frombuffer(row["q_floors"], np.float64), k)
-            out.append((q.ids[place], ids, scores))
-        return dict(zip(schema.names, (np.concatenate(x) for x in zip(*out, strict=True)), strict=True))
-
-    found = map_batches(met, search, schema)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            exact = scores.tolist()
+            out["row"] += q.rows[place].tolist()
+            out["query_id"] += q.ids[place].tolist()
+            out["vec_id"] += ids.tolist()
+            out["score"] += [min(max(x, LOW), HIGH) for x in exact]
+            out["excess"] += [_excess(x) for x in exact]
+        return out
+
+    best: DataFrame | None = None
+    for band in sorted(bands):
+        ordered = _with_floors(queries, best, k).repartitionByRange(groups, "reach", "row").sortWithinPartitions("reach", "row")
+        asked = cut_lineage(_packed(ordered, dim, _ASKED))
+        size = F.sum(F.octet_length("vecs") + F.octet_length("ids") + F.octet_length("rows") + F.octet_length("floors"))
+        least, size, steps = asked.agg(F.min("reach"), size, F.percentile_approx("reach", [i / STEPS for i in range(1, STEPS)])).first()
+        if least is None or bands[band] < least:
+            break  # nothing to ask, or no vector from here on is long enough
+        met = _meetings(blocks.where(F.col("band") == band), asked, sorted(set(steps)), size)
+        found = map_batches(met, search, _FOUND)
+        best = cut_lineage(_best(found if best is None else best.drop("rank").unionByName(found), k))
+    if best is None:
+        best = spark.createDataFrame([], T.StructType([*_FOUND.fields, T.StructField("rank", T.IntegerType())]))
+    return best.select("query_id", "rank", "vec_id", "score")

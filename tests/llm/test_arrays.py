@@ -141,11 +141,59 @@ def test_top_k_odd_vectors(spark, monkeypatch):
             got[r.query_id].append((r.vec_id, r.score))
         assert dict(got) == {q: v for q, v in want.items() if v}
     assert topk.top_k(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    none = topk.top_k(table, F.lit(False))
+    assert none.count() == 0 and none.columns == ["query_id", "rank", "vec_id", "score"]
     big = spark.createDataFrame([(0, [1e15, 3.0]), (1, [1e15, 1.0]), (2, [-1e300, 1.0])], "vec_id long, embedding array<double>")
     rows = topk.top_k(big, F.col("vec_id") == 0).orderBy("rank").collect()
     assert [r.vec_id for r in rows] == [1, 2] and rows[0].score == (1 << 63) - 1
 
 
+def test_top_k_orders_scores_beyond_64_bits_exactly(spark):
+    rows = [(0, [1e15, 1.0]), (1, [1e15, 0.0]), (2, [3e15, 0.0]), (3, [2e15, 1.0]), (4, [2e15, 2.0]), (5, [-1e15, 0.0]), (6, [-2e15, 0.0]), (7, [0.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(table, F.col("vec_id") == 0, 9).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [2, 4, 3, 1, 7, 5, 6]
+    assert [r.score for r in got] == [topk.HIGH] * 4 + [65536] + [topk.LOW] * 2
+
+
+def test_top_k_repeated_ids(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 2.0]), (50, [0.0, 2.0]), (7, [3.0, 0.5]), (7, [3.0, 0.5]), (8, [0.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.Counter((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(table, F.col("vec_id") % 50 == 0, 3).collect())
+    want: collections.Counter = collections.Counter()
+    for q, (i, a) in enumerate(rows):
+        if i == 50:
+            scores = sorted((-sum(int(256 * x) * int(256 * y) for x, y in zip(a, b)), j) for n, (j, b) in enumerate(rows) if n != q)[:3]
+            want.update((50, r + 1, j, -s) for r, (s, j) in enumerate(scores))
+    assert got == want
+
+
+def test_top_k_sends_blocks_only_where_they_reach(spark, monkeypatch):
+    """Floors rise from band to band, and short blocks stay away from queries with high ones."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=8) * 3 * 0.995**i]) for i in range(1200)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 64 * 20)  # 60 blocks of vectors, 2 of queries
+    pairs, bands = [], []
+    meet = topk._meetings
+
+    def counted(blocks, asked, steps, size):
+        met = meet(blocks, asked, steps, size)
+        pairs.append(met.count())
+        bands.append(blocks.count() * asked.count())
+        return met
+
+    monkeypatch.setattr(topk, "_meetings", counted)
+    for most in (topk.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(topk, "BROADCAST_BYTES", most)
+        pairs.clear(), bands.clear()
+        got = collections.defaultdict(list)
+        for r in topk.top_k(table, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+            got[r.query_id].append((r.vec_id, r.score))
+        assert dict(got) == plain_top(rows, 5)
+        assert pairs[0] == bands[0] and sum(pairs) < 60 * 2 / 2
+
+
 def plain_chats(rows):
     out = {}
     groups = collections.defaultdict(list)
