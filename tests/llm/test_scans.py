@@ -1,8 +1,11 @@
 """Language ID, license scans, secret scans and token counts."""
 
+import collections
 import hashlib
+import math
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -225,3 +228,65 @@ def test_language_scores_do_not_depend_on_blocks(documents, monkeypatch):
     monkeypatch.setattr(langid, "BLOCK", 97)
     got = langid.score_texts(texts, model)
     assert got[0] == want[0] and all(abs(a - b) < 1e-3 for a, b in zip(got[1], want[1], strict=True))
+
+
+def plain_bayes(training, texts):
+    """Naive Bayes with dictionaries: hashed n-grams of letters one by one, half a count more for every bucket."""
+    import unicodedata
+
+    def grams(text):
+        points = [c if unicodedata.category(c)[0] == "L" else " " for c in f"  {text.lower()}    "]
+        for size in langid.SIZES:
+            for i in range(len(points) - 2):
+                h = ord(points[i]) * 0x9E3779B1 % (1 << 32)
+                for k in range(1, size):
+                    h = (h ^ ord(points[i + k])) * (0x85EBCA6B, 0xC2B2AE35)[k - 1] % (1 << 32)
+                yield (h ^ h >> 15) * (0x2C1B3C6D + 2 * size) % (1 << 32) >> (32 - langid.BUCKET_BITS)
+
+    counts = {}
+    for lang, text in training:
+        counts.setdefault(lang, collections.Counter()).update(grams(text))
+    out = []
+    for text in texts:
+        if text is None or not any(unicodedata.category(c)[0] == "L" for c in text):
+            out.append(("und", 0.0))
+            continue
+        mine = collections.Counter(grams(text))
+        total = {k: sum(n * math.log((c[g] + 0.5) / (sum(c.values()) + 0.5 * (1 << langid.BUCKET_BITS))) for g, n in mine.items()) for k, c in counts.items()}
+        best = min(total, key=lambda k: (-total[k], k))
+        out.append((best, 1 / sum(math.exp(x - total[best]) for x in total.values())))
+    return out
+
+
+def test_language_against_plain_bayes_in_one_slab_and_several(spark, messy, monkeypatch):
+    """Any number of labels; rows without id are learnt from; equal rows once, rows of one id each for itself."""
+    rows = [(i, f"{'abcdefg'[i % 7] * 3}{'xyz'[i % 3]} word{'qrstuvw'[i % 7]} Été {i}", f"l{i % 7}") for i in range(40)]
+    rows += [(None, "without any id zzz", "l8"), (None, "without any id zzz", "l8"), (5, "other text of the same id", "l9"), (5, "a third text of it", "l9"), (77, None, "l1"), (78, "no label", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    training = sorted({(i, t, x) for i, t, x in rows if t is not None and x is not None}, key=str)
+    texts = [t for _, t, _ in rows] + ["", "12", "zzz without", "WORDQ été"]
+    asked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("_so_far", F.lit("clash")).withColumn("_lang", F.lit("clash"))
+    want = plain_bayes([(x, t) for _, t, x in training], texts)
+    for slab, sizes in ((1024, 100_000), (4, 100_000), (1, 0)):
+        monkeypatch.setattr(langid, "SLAB_LANGUAGES", slab)
+        monkeypatch.setattr(langid, "SIZES_BROADCAST", sizes)
+        model = langid.train(docs, F.lit(True))
+        assert len(model.more) == (0 if slab > 9 else -(-9 // slab) - 1)
+        got = by_id(langid.predict(asked, model).collect())
+        for k, (lang, score) in enumerate(want):
+            assert got[k].lang_pred == lang and abs(got[k].score - score) < 1e-3, (slab, texts[k])
+        kept = langid.keep_known(asked, model, 0.3)
+        assert kept.columns == asked.columns
+        assert sorted(r.doc_id for r in kept.collect()) == [k for k, r in got.items() if r.score >= 0.3 and r.lang_pred != "und"]
+
+
+def test_language_sample_is_bounded_and_spread(spark):
+    """A row repeated ten thousand times fills one place of the sample; others are learnt beside it."""
+    many = spark.range(10_000).selectExpr("cast(null as long) as doc_id", "'same text again' as text", "'a' as lang")
+    docs = many.unionByName(spark.range(500).selectExpr("id as doc_id", "concat('text number ', repeat(chr(97 + id % 26), 3)) as text", "'a' as lang"))
+    model = langid.train(docs, F.lit(True), rows=10)
+    assert model.languages == ["a"] and len(langid.train(docs.limit(0), F.lit(True)).languages) == 0
+    few = langid.train(many, F.lit(True), rows=10)
+    grams = 2 * (len("same text again") + 4)
+    once = 0.5 / (grams + 0.5 * (1 << langid.BUCKET_BITS))  # the text was counted once
+    assert few.languages == ["a"] and np.isclose(np.exp(few.weights.astype(np.float64)).min(), once, rtol=1e-3)
