@@ -170,6 +170,17 @@ def _renew(v: Vocabulary, sym: np.ndarray, best: np.ndarray, piece: np.ndarray,
     best[rows, at], piece[rows, at] = _candidates(v, sym[rows, at], sym[rows, middle], key[rows], _spot(at, middle, after[rows, middle]), limit)
 
 
+_ALL = (1 << 64) - 1
+
+
+def _mix(x: int) -> int:
+    """``mix64`` of one plain number."""
+    x = (x + 0x9E3779B97F4A7C15) & _ALL
+    x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & _ALL
+    x = ((x ^ x >> 27) * 0x94D049BB133111EB) & _ALL
+    return x ^ x >> 31
+
+
 def _merge_long(v: Vocabulary, symbols: np.ndarray, key: np.uint64, limit: np.uint64) -> np.ndarray:
     """The same for one long unit, with an agenda."""
     n = len(symbols)
@@ -177,6 +188,19 @@ def _merge_long(v: Vocabulary, symbols: np.ndarray, key: np.uint64, limit: np.ui
     after, ahead = list(range(1, n + 1)), list(range(-1, n - 1))
     c = np.arange(n - 1)
     best, piece = _candidates(v, symbols[:-1], symbols[1:], np.full(n - 1, key), _spot(c, c + 1, c + 2), limit)
+    # What two symbols make is looked up once a unit; whether a place is skipped is plain arithmetic.
+    made: dict[int, tuple[int, int]] = {}
+    number, bound = int(key), int(limit)
+
+    def candidate(left: int, right: int, spot: int) -> tuple[int, int]:
+        if left < 0 or right < 0 or bound and _mix(number ^ _mix(spot)) < bound:
+            return _NEVER, -1
+        pair = left << 32 | right
+        if pair not in made:
+            merged = int(v.merged(np.array([left]), np.array([right]))[0])
+            made[pair] = (int(v.priority[merged]) if merged >= 0 else _NEVER, merged)
+        return made[pair]
+
     agenda = [(b, s, s + 1, s + 2, p) for b, s, p in zip(best.tolist(), c.tolist(), piece.tolist(), strict=True) if b < _NEVER]
     heapq.heapify(agenda)
 
@@ -184,9 +208,9 @@ def _merge_long(v: Vocabulary, symbols: np.ndarray, key: np.uint64, limit: np.ui
         middle = after[start]
         if middle < n:
             end = after[middle]
-            b, p = _candidates(v, np.array([sym[start]]), np.array([sym[middle]]), np.array([key]), _spot(*(np.array([x]) for x in (start, middle, end))), limit)
-            if b[0] < _NEVER:
-                heapq.heappush(agenda, (int(b[0]), start, middle, end, int(p[0])))
+            b, p = candidate(sym[start], sym[middle], (start << 42 ^ middle << 21 ^ end) & _ALL)
+            if b < _NEVER:
+                heapq.heappush(agenda, (b, start, middle, end, p))
 
     while agenda:
         _, start, middle, end, merged = heapq.heappop(agenda)

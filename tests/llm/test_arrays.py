@@ -255,6 +255,61 @@ def test_pieces_without_dropout_are_the_library_s(messy, documents):
                 assert r.pieces == coder.encode(texts[r.doc_id]), r.doc_id
 
 
+def plain_pieces(text, key, processor, dropout):
+    """One merge after the other over a list of (symbol, start, end): of the candidates that the keyed
+    hash lets pass, the best score and of equal ones the leftmost; no arrays, no agenda, no linked list."""
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = (x + 0x9E3779B97F4A7C15) & mask
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    limit = int(dropout * 2.0**64)
+    known = {processor.id_to_piece(i): i for i in range(processor.get_piece_size()) if not (processor.is_control(i) or processor.is_unknown(i) or processor.is_byte(i))}
+    marked = (" " + text if text else "").replace(" ", "\u2581")
+    units, at = [], 0
+    for k in range(1, len(marked) + 1):
+        if k == len(marked) or marked[k] == "\u2581" and marked[k - 1] != "\u2581":
+            units.append(marked[at:k])
+            at = k
+    out = []
+    for number, unit in enumerate(units if marked else []):
+        unit_key = mix(key ^ mix(number))
+        parts = [(c, k, k + 1) for k, c in enumerate(unit)]
+        while True:
+            able = []
+            for j in range(len(parts) - 1):
+                (a, start, middle), (b, _, end) = parts[j], parts[j + 1]
+                spot = (start << 42) ^ (middle << 21) ^ end
+                if a + b in known and not mix(unit_key ^ mix(spot)) < limit:
+                    able.append((-processor.get_score(known[a + b]), j))
+            if not able:
+                break
+            j = min(able)[1]
+            parts[j : j + 2] = [(parts[j][0] + parts[j + 1][0], parts[j][1], parts[j + 1][2])]
+        for symbol, _, _ in parts:
+            out += [known[symbol]] if symbol in known else [processor.piece_to_id(f"<0x{b:02X}>") for b in symbol.encode()]
+    return out
+
+
+@pytest.mark.parametrize("longest", [pieces.LONGEST, 3])
+def test_pieces_with_dropout_are_those_of_the_plain_loop(monkeypatch, longest):
+    """Units side by side and units with an agenda, against merging one pair after the other."""
+    import sentencepiece
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    processor, v = sentencepiece.SentencePieceProcessor(model_file=path), pieces.vocabulary(path)
+    monkeypatch.setattr(pieces, "LONGEST", longest)
+    texts = ["", " ", "  two  blanks ", "international tokenization of counterrevolutionaries", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "naïve 日本語 \U0001F600 x", "ab" * 60, "unbroken" * 9, "The quick brown fox, 1234567890!"]
+    keys = np.array([(i * 0x9E3779B97F4A7C15) % (1 << 64) for i in range(len(texts))], np.uint64)
+    for dropout in (0.0, 0.1, 0.5, 0.9):
+        ids, at = pieces.encode_texts(texts, keys, v, dropout)
+        for i, text in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == plain_pieces(text, int(keys[i]), processor, dropout), (dropout, text)
+
+
 def test_pieces_with_dropout(messy, nothing, documents):
     path = tokenizer_path("piece_bpe_32k.model")
     one, again, other = (pieces.encode(documents, path, 0.2, seed).orderBy("doc_id").collect() for seed in (1, 1, 2))
