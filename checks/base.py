@@ -40,10 +40,11 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.sf}/{name}.parquet")
 
-    def sql(self, text: str) -> DataFrame:
-        """Derived table; ``{name}`` stands for a test table."""
+    def sql(self, text: str, shuffled: tuple[str, ...] = ()) -> DataFrame:
+        """Derived table; ``{name}`` stands for a test table. Joins never broadcast the ``shuffled`` ones,
+        whose rows take far more memory than their file's size tells."""
         used = {n: getattr(self, n) for n in TABLES if "{" + n + "}" in text}
-        return self.spark.sql(text, **used)
+        return self.spark.sql(text, **{n: df.hint("shuffle_hash") if n in shuffled else df for n, df in used.items()})
 
     @property
     def key(self) -> Key:

@@ -82,6 +82,11 @@ def _first(t: Tables):
     return O.pass1(t.sql(OBJECTS), RULES)
 
 
+# Joins with the parts: as many objects as parts, so they are shuffled, not broadcast.
+def _edges(t: Tables):
+    return t.sql(EDGES, shuffled=("part",))
+
+
 def _listed(df):
     parts = F.transform(
         "candidates", lambda c: F.concat(c["category"], F.lit(":"), F.round(c["confidence"] * 1000).cast("long").cast("string"))
@@ -146,7 +151,7 @@ _EDGED = f"{ctes(o=OBJECTS, e=EDGES)}, first AS ({_FIRST}), {_pick('first', 'p1'
 
 @check("neighbourhood_vote", f"{_EDGED} SELECT {_MATCH_OUT} FROM vote")
 def neighbourhood_vote(t: Tables):
-    return _confidence(O.neighbour_vote(t.sql(EDGES), _first(t))).drop("seq")
+    return _confidence(O.neighbour_vote(_edges(t), _first(t))).drop("seq")
 
 
 # Sample pages: the column names of objects that have some.

@@ -145,19 +145,18 @@ def neighbour_vote(edges: DataFrame, pass1: DataFrame) -> DataFrame:
     ``edges`` has ``source_object_id, target_object_id, edge_type``; ``pass1`` has
     ``object_id, category``. Parallel edges are merged before the join, the edges of a hub meet its
     category in several tasks, and agreement is a minimum and a maximum, so a hub costs no more
-    memory than any other object.
+    memory than any other object. The first grouping only hashes; the second, which sorts for the
+    minimum of texts, gets a row per object and category.
     """
-    routine = F.col("edge_type").isin(*ROUTINE_EDGES)
-    out = edges.select(
-        F.col("source_object_id").alias("object_id"), F.col("target_object_id").alias("other"), routine.alias("routine")
-    )
-    back = edges.select(
-        F.col("target_object_id").alias("object_id"), F.col("source_object_id").alias("other"), routine.alias("routine")
-    )
-    pairs = out.unionByName(back).groupBy("object_id", "other").agg(F.bool_or("routine").alias("routine"))
+    routine = F.bool_or(F.col("edge_type").isin(*ROUTINE_EDGES)).alias("routine")
+    merged = edges.groupBy(F.col("source_object_id").alias("a"), F.col("target_object_id").alias("b")).agg(routine)
+    both_ways = F.inline(F.array(*[F.struct(F.col(x).alias("object_id"), F.col(y).alias("other")) for x, y in ("ab", "ba")]))
+    pairs = merged.select(both_ways, "routine")
     known = pass1.where(F.col("category").isNotNull()).select(F.col("object_id").alias("other"), "category")
     votes = (
-        spread_left_join(pairs, known, "other")
+        spread_left_join(pairs, known, "other", long=True)
+        .groupBy("object_id", "category")
+        .agg(F.bool_or("routine").alias("routine"))
         .groupBy("object_id")
         .agg(F.min("category").alias("low"), F.max("category").alias("high"), F.bool_or("routine").alias("routine"))
         .where(F.col("low") == F.col("high"))

@@ -8,15 +8,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 SALTS = 16
 
 
-def spread_left_join(rows: DataFrame, facts: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
+def spread_left_join(rows: DataFrame, facts: DataFrame, key: str, salts: int = SALTS, long: bool = False) -> DataFrame:
     """``rows`` left-joined to ``facts``, a narrow table with one row per ``key``.
 
     Every row goes to one of ``salts`` copies of the facts by the hash of the whole row, so the rows
     of a hot key, and those without a key, spread over as many tasks; repeated executions of a task
-    choose the same copy. The copies cost ``salts`` narrow rows per different key.
+    choose the same copy. The copies cost ``salts`` narrow rows per different key. Spark's size
+    estimate leaves them out, so facts whose number grows with the data are ``long``: their copies
+    are dealt out and hashed by the tasks, never broadcast through the driver.
     """
     own = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(salts)).cast("int")
     copies = facts.withColumn("__tg_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    if long:
+        copies = copies.hint("shuffle_hash")
     return rows.withColumn("__tg_salt", own).join(copies, [key, "__tg_salt"], "left").drop("__tg_salt")
 
 
