@@ -87,6 +87,10 @@ def _edges(t: Tables):
     return t.sql(EDGES, shuffled=("part",))
 
 
+def _columns(t: Tables):
+    return t.sql(COLUMNS, shuffled=("part",))
+
+
 def _listed(df):
     parts = F.transform(
         "candidates", lambda c: F.concat(c["category"], F.lit(":"), F.round(c["confidence"] * 1000).cast("long").cast("string"))
@@ -165,7 +169,7 @@ _SHAPES = " UNION ALL ".join(
 
 
 def _samples(t: Tables):
-    return t.sql(_SAMPLES).select("object_id", F.split("names", " ").alias("columns"))
+    return t.sql(_SAMPLES, shuffled=("part",)).select("object_id", F.split("names", " ").alias("columns"))
 
 
 @check("sample_shapes", f"{ctes(s=_SAMPLES)}, shape AS ({_SHAPES}) SELECT {_MATCH_OUT} FROM shape")
@@ -196,7 +200,7 @@ def final_pass(t: Tables):
     f"""{_ALL} SELECT DISTINCT 'ev_' || substr(sha256(object_id || chr(0) || kind || chr(0) || category || chr(0) || summary), 1, 24) AS evidence_id, object_id, kind, substr(summary, 1, 240) AS summary FROM m""",
 )
 def evidence(t: Tables):
-    return O.evidence(O.all_matches(t.sql(OBJECTS), _first(t), RULES, t.sql(COLUMNS), t.sql(EDGES), _samples(t)))
+    return O.evidence(O.all_matches(t.sql(OBJECTS), _first(t), RULES, _columns(t), _edges(t), _samples(t)))
 
 
 @check(

@@ -314,7 +314,8 @@ def all_matches(
             F.lit(True).alias("authoritative"),
             F.lit(0).alias("seq"),
         )
-        out = out.unionByName(forced.join(objects.select("object_id"), "object_id", "left_semi"))
+        # The overrides are broadcast, never the objects.
+        out = out.unionByName(objects.select("object_id").join(F.broadcast(forced), "object_id").distinct())
     if proposals is not None:
         # However many proposals repeat a category, the most confident one is kept per object.
         best = proposals.groupBy("object_id", "category").agg(

@@ -34,7 +34,7 @@ def folder(spark, tmp_path_factory):
     return at
 
 
-QUERIES = ["neighbourhood_vote"]
+QUERIES = ["neighbourhood_vote", "evidence"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
