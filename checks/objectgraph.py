@@ -187,7 +187,7 @@ _FINAL = f"""{_ALL}, {_pick('m', 'p2', True)}, final AS (SELECT p2.object_id, co
 
 def _final(t: Tables):
     objects = t.sql(OBJECTS)
-    return O.pass2(objects, _first(t), RULES, t.sql(COLUMNS), t.sql(EDGES), _samples(t))
+    return O.pass2(objects, _first(t), RULES, _columns(t), _edges(t), _samples(t))
 
 
 @check("final_pass", f"{_FINAL} SELECT * FROM final")

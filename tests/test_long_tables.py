@@ -34,7 +34,7 @@ def folder(spark, tmp_path_factory):
     return at
 
 
-QUERIES = ["neighbourhood_vote", "evidence"]
+QUERIES = ["neighbourhood_vote", "evidence", "final_pass"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
