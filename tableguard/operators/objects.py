@@ -377,7 +377,10 @@ def intake_counts(marked: DataFrame) -> DataFrame:
 
 
 def changes(first: DataFrame, final: DataFrame, selected: Sequence[str] = ()) -> DataFrame:
-    """Category before and after, and moves into or out of the selected categories."""
+    """Category before and after, and moves into or out of the selected categories.
+
+    Both sides are as long as the catalog, however small its file: neither is broadcast.
+    """
     a = first.select("object_id", F.col("category").alias("pass_1_category"))
     b = final.select("object_id", F.col("category").alias("pass_2_category"))
 
@@ -386,7 +389,7 @@ def changes(first: DataFrame, final: DataFrame, selected: Sequence[str] = ()) ->
 
     was, now = inside("pass_1_category"), inside("pass_2_category")
     some = F.lit(bool(selected))
-    return a.join(b, "object_id").select(
+    return a.hint("shuffle_hash").join(b, "object_id").select(
         "object_id",
         "pass_1_category",
         "pass_2_category",

@@ -34,7 +34,7 @@ def folder(spark, tmp_path_factory):
     return at
 
 
-QUERIES = ["neighbourhood_vote", "evidence", "final_pass"]
+QUERIES = ["neighbourhood_vote", "evidence", "final_pass", "classification_changes"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
