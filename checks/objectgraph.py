@@ -222,7 +222,7 @@ _ORDERED = "CASE WHEN sure THEN 0 ELSE 0 END"
 )
 def open_requests(t: Tables):
     final = _final(t)
-    known = O.evidence(O.all_matches(t.sql(OBJECTS), _first(t), RULES, t.sql(COLUMNS), t.sql(EDGES), _samples(t)))
+    known = O.evidence(O.all_matches(t.sql(OBJECTS), _first(t), RULES, _columns(t), _edges(t), _samples(t)))
     rows = O.open_requests(final, known)
     return rows.withColumn("sanitized_evidence", F.array_join("sanitized_evidence", "|")).withColumn(
         "candidate_categories", F.array_join("candidate_categories", ",")
