@@ -422,8 +422,11 @@ def open_requests(final: DataFrame, known_evidence: DataFrame) -> DataFrame:
 
 
 def source_and_tags(final: DataFrame, objects: DataFrame) -> DataFrame:
-    """Where a classification comes from (owner, rule, unknown) and the tags it exports."""
-    rows = final.join(objects.select("object_id", "object_type"), "object_id")
+    """Where a classification comes from (owner, rule, unknown) and the tags it exports.
+
+    Both sides are as long as the catalog, however small its file: neither is broadcast.
+    """
+    rows = final.join(objects.select("object_id", "object_type").hint("shuffle_hash"), "object_id")
     sure = F.col("status") == CONFIRMED
     owner = F.exists("candidates", lambda c: c["kind"] == "owner_override")
     category = F.when(sure, F.col("category"))

@@ -34,7 +34,7 @@ def folder(spark, tmp_path_factory):
     return at
 
 
-QUERIES = ["neighbourhood_vote", "evidence", "final_pass", "classification_changes", "open_requests"]
+QUERIES = ["neighbourhood_vote", "evidence", "final_pass", "classification_changes", "open_requests", "sources_and_tags"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
