@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tableguard.operators.spread import spread_left_join
+from tableguard.operators.spread import own_copy, own_if_null, salted
 from tableguard.sources.rules import Rule, Rules
 
 # Confidences, limits and evidence kinds.
@@ -143,18 +143,27 @@ def neighbour_vote(edges: DataFrame, pass1: DataFrame) -> DataFrame:
     """Match when all neighbours with a first-pass category agree on it.
 
     ``edges`` has ``source_object_id, target_object_id, edge_type``; ``pass1`` has
-    ``object_id, category``. Parallel edges are merged before the join, the edges of a hub meet its
-    category in several tasks, and agreement is a minimum and a maximum, so a hub costs no more
-    memory than any other object. The first grouping only hashes; the second, which sorts for the
-    minimum of texts, gets a row per object and category.
+    ``object_id, category``. An edge is shuffled with both its ends twice: to copies of the target's
+    category, where parallel edges are merged, and to copies of the source's. It then brings each
+    end the category of the other. The copies spread the edges of a hub over several tasks, and
+    agreement is a minimum and a maximum, so a hub costs no more memory than any other object. The
+    first grouping only hashes; the second, which sorts for the minimum of texts, gets a row per
+    object and category.
     """
-    routine = F.bool_or(F.col("edge_type").isin(*ROUTINE_EDGES)).alias("routine")
-    merged = edges.groupBy(F.col("source_object_id").alias("a"), F.col("target_object_id").alias("b")).agg(routine)
-    both_ways = F.inline(F.array(*[F.struct(F.col(x).alias("object_id"), F.col(y).alias("other")) for x, y in ("ab", "ba")]))
-    pairs = merged.select(both_ways, "routine")
-    known = pass1.where(F.col("category").isNotNull()).select(F.col("object_id").alias("other"), "category")
+    known = pass1.where(F.col("category").isNotNull()).select("object_id", "category")
+
+    def met(rows: DataFrame, end: str, other: str) -> DataFrame:
+        copies = salted(known.select(F.col("object_id").alias(end), F.col("category").alias(f"{end}_category")), long=True)
+        return rows.withColumn("__tg_salt", own_copy(other)).join(copies, [end, "__tg_salt"], "left")
+
+    routine = F.col("edge_type").isin(*ROUTINE_EDGES).alias("routine")
+    rows = edges.select(F.col("source_object_id").alias("a"), F.col("target_object_id").alias("b"), routine)
+    # Grouped as the join has dealt them, so nothing is shuffled between the two.
+    merged = met(rows, "b", "a").groupBy("b", "__tg_salt", "a", "b_category").agg(F.bool_or("routine").alias("routine"))
+    ends = [F.struct(F.col(x).alias("object_id"), F.col(f"{y}_category").alias("category")) for x, y in ("ab", "ba")]
     votes = (
-        spread_left_join(pairs, known, "other", long=True)
+        met(merged, "a", "b")
+        .select(F.inline(F.array(*ends)), "routine")
         .groupBy("object_id", "category")
         .agg(F.bool_or("routine").alias("routine"))
         .groupBy("object_id")
@@ -399,21 +408,34 @@ def changes(first: DataFrame, final: DataFrame, selected: Sequence[str] = ()) ->
 
 
 def open_requests(final: DataFrame, known_evidence: DataFrame) -> DataFrame:
-    """Objects that still need the owner, with the summaries behind their candidates."""
+    """Objects that still need the owner, with the summaries behind their candidates.
+
+    The joins are on keys that are never null: nullable ones would put a filter under one side only,
+    and what ``final`` and ``known_evidence`` have in common would be shuffled once for each.
+    """
     todo = final.where(F.col("status") != CONFIRMED)
     request = F.concat(F.lit("clr_"), F.substring(F.sha2("object_id", 256), 1, 20))
+
+    def key(name: str, side: str) -> Column:
+        own = F.concat(F.lit(f"\0{side}"), F.xxhash64("object_id", "evidence_id").cast("string"))
+        return F.coalesce(F.col(name), own).alias(f"__tg_{name}")
+
     cited = todo.select("object_id", F.posexplode("candidates").alias("at", "c")).select(
         "object_id", "at", F.col("c.evidence_id").alias("evidence_id")
     )
-    text = known_evidence.select("object_id", "evidence_id", "summary")
+    keys = ["object_id", "evidence_id"]
+    text = known_evidence.select(*[key(k, "known") for k in keys], "summary")
     gathered = (
-        cited.join(text, ["object_id", "evidence_id"])
-        .groupBy("object_id")
+        cited.select(*[key(k, "cited") for k in keys], "at")
+        .hint("shuffle_hash")
+        .join(text, [f"__tg_{k}" for k in keys])
+        .groupBy("__tg_object_id")
         .agg(F.array_sort(F.collect_list(F.struct("at", "summary"))).alias("e"))
-        .select("object_id", F.transform("e", lambda x: x["summary"]).alias("sanitized_evidence"))
+        .select("__tg_object_id", F.transform("e", lambda x: x["summary"]).alias("sanitized_evidence"))
     )
     none = F.array().cast("array<string>")
-    return todo.join(gathered, "object_id", "left").select(
+    keyed = todo.withColumn("__tg_object_id", own_if_null(F.col("object_id"), "candidates"))
+    return keyed.join(gathered, "__tg_object_id", "left").select(
         request.alias("request_id"),
         "object_id",
         F.coalesce("sanitized_evidence", none).alias("sanitized_evidence"),

@@ -17,11 +17,19 @@ def spread_left_join(rows: DataFrame, facts: DataFrame, key: str, salts: int = S
     estimate leaves them out, so facts whose number grows with the data are ``long``: their copies
     are dealt out and hashed by the tasks, never broadcast through the driver.
     """
-    own = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(salts)).cast("int")
+    rows = rows.withColumn("__tg_salt", own_copy(*rows.columns, salts=salts))
+    return rows.join(salted(facts, salts, long), [key, "__tg_salt"], "left").drop("__tg_salt")
+
+
+def own_copy(*by: str, salts: int = SALTS) -> Column:
+    """The copy of the facts that a row meets, by the hash of these columns."""
+    return F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in by]), F.lit(salts)).cast("int")
+
+
+def salted(facts: DataFrame, salts: int = SALTS, long: bool = False) -> DataFrame:
+    """The copies of the facts, told apart by ``__tg_salt``."""
     copies = facts.withColumn("__tg_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    if long:
-        copies = copies.hint("shuffle_hash")
-    return rows.withColumn("__tg_salt", own).join(copies, [key, "__tg_salt"], "left").drop("__tg_salt")
+    return copies.hint("shuffle_hash") if long else copies
 
 
 def own_if_null(key: Column, *row: Column | str) -> Column:
